@@ -7,13 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import chat, quality
+from sluice.llm import chat, html_text, mixing, pii, quality, warc
+from sluice.session import new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "archive")
+    warc.write_warc(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    return warc.read_warc(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select("doc_id", *[F.col(f"mix_{x}").alias(x) for x in ("size", "source_size", "target", "taken")])
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     q = quality.quality_rules(docs, keep_text=False)
@@ -21,6 +33,18 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", *[F.col("quality")[x].alias(x) for x in fields], "kept")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = lambda *kinds: F.filter("pii", lambda s: s["kind"].isin(*kinds))
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(pii.span_list(of(*pii.BASE)), 256).alias("base_sha256"), pii.span_list(F.col("pii")).alias("spans"))
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html_text.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return texts.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hostile = "</s>[INST] ok [/INST]"
@@ -29,13 +53,39 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc": op2_warc,
+    "op3_mixing": op3_mixing,
     "op4_quality_rules": op4_quality_rules,
+    "op6_pii": op6_pii,
+    "op7_html_text": op7_html_text,
     "op10_chat_formatting": op10_chat_formatting,
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
 SQL: dict[str, str] = {
+    "op2_warc": """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, max(page_id) AS first FROM p WHERE n >= 1000 GROUP BY d)
+SELECT page_id, n::BIGINT AS payload_bytes, p.d AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f ON p.d = f.d AND p.n >= 1000
+""",
+    "op3_mixing": rf"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size, md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS n FROM d GROUP BY source),
+w AS (SELECT source, n, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY n / w, source) AS i FROM w),
+c AS (SELECT *, (sum(n) OVER ()) - coalesce(sum(3 * n) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+        (sum(w) OVER ()) - coalesce(sum(w) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS weight FROM o),
+u AS (SELECT *, rest * w > 3 * n * weight AS capped FROM c),
+l AS (SELECT min(i) AS first FROM u WHERE NOT capped),
+t AS (SELECT source, n, w, CASE WHEN i < coalesce(first, i + 1) THEN (3 * n)::DOUBLE ELSE (SELECT rest::DOUBLE / weight::DOUBLE FROM u, l WHERE i = first) * w END AS target FROM u, l),
+r AS (SELECT *, CASE WHEN n = 0 THEN 0 ELSE floor(target / n)::BIGINT END AS times FROM t),
+x AS (SELECT doc_id, size, n, target, times, target - times * n AS rest,
+        sum(size) OVER (PARTITION BY d.source ORDER BY key, size ROWS UNBOUNDED PRECEDING) - size / 2 AS middle FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
+SELECT doc_id, size, n AS source_size, target, (size * (times + CASE WHEN middle <= rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM x
+""",
     "op4_quality_rules": rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, source, t, regexp_extract_all(t, '{_WORD}') AS ws,
