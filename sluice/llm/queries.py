@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import chat, html_text, mixing, pii, quality, warc
+from sluice.llm import chat, html_text, line_dedup, mixing, pii, quality, substring_dedup, warc
 from sluice.session import new_path
 
 
@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = substring_dedup.substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "text", F.col("dedup_parts").alias("n_sentences"), F.col("dedup_removed").alias("n_removed"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "archive")
     warc.write_warc(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
@@ -45,6 +50,11 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "text", F.col("lines_parts").alias("n_lines"), F.col("lines_removed").alias("n_removed"))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hostile = "</s>[INST] ok [/INST]"
@@ -53,17 +63,37 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_warc": op2_warc,
     "op3_mixing": op3_mixing,
     "op4_quality_rules": op4_quality_rules,
     "op6_pii": op6_pii,
     "op7_html_text": op7_html_text,
+    "op9_line_dedup": op9_line_dedup,
     "op10_chat_formatting": op10_chat_formatting,
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
 SQL: dict[str, str] = {
+    "op1_substring_dedup": r"""
+WITH d AS (SELECT doc_id, text, string_split(regexp_replace(text, '([.!?]\s|\n)', '\1' || chr(1), 'g'), chr(1)) AS p FROM documents),
+x AS (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM d WHERE text IS NOT NULL),
+s AS (SELECT doc_id, i, trim(regexp_replace(p[i], '\s+', ' ', 'g')) AS s FROM x),
+n AS (SELECT *, length(s) - length(replace(s, ' ', '')) + 1 AS w FROM s WHERE s <> ''),
+r AS (SELECT doc_id, i, s, w, lead(s) OVER o AS s2, lead(s, 2) OVER o AS s3, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3, lead(i) OVER o AS i2, lead(i, 2) OVER o AS i3
+    FROM n WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT doc_id, i, i AS last, s AS g FROM r WHERE w >= 25
+    UNION ALL SELECT doc_id, i, i2, s || chr(2) || s2 FROM r WHERE w + w2 >= 25
+    UNION ALL SELECT doc_id, i, i3, s || chr(2) || s2 || chr(2) || s3 FROM r WHERE w + w2 + w3 >= 10),
+l AS (SELECT doc_id, i, last FROM g QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, last + 1)) AS i FROM l),
+t AS (SELECT x.doc_id, string_agg(p[x.i], '' ORDER BY x.i) AS t FROM x ANTI JOIN gone ON x.doc_id = gone.doc_id AND x.i = gone.i GROUP BY x.doc_id),
+k AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN text IS NOT NULL THEN coalesce(t.t, '') END AS text, len(string_split(regexp_replace(coalesce(text, ''), '([.!?]\s|\n)', '\1' || chr(1), 'g'), chr(1)))::BIGINT AS n_sentences,
+    coalesce(k.n, 0)::BIGINT AS n_removed
+FROM d LEFT JOIN t ON d.doc_id = t.doc_id LEFT JOIN k ON d.doc_id = k.doc_id
+""",
     "op2_warc": """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
 f AS (SELECT d, max(page_id) AS first FROM p WHERE n >= 1000 GROUP BY d)
@@ -107,6 +137,20 @@ x AS (SELECT mean, CASE WHEN between_hosts > 1e-12 THEN greatest(mean * (1 - mea
 rate AS (SELECT source, CASE WHEN weight IS NULL THEN mean ELSE (k + mean * weight) / (n + weight) END AS rate FROM h, x)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rate > 0.7 AS kept
 FROM f JOIN rate ON f.source IS NOT DISTINCT FROM rate.source
+""",
+    # Runs of equal lines along diagonals of all pairs of equal lines, so in another way than the operator's.
+    "op9_line_dedup": r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS p FROM documents),
+x AS (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM d WHERE text IS NOT NULL),
+s AS (SELECT doc_id, i, trim(translate(p[i], chr(9) || chr(11) || chr(12) || chr(13), '    ')) AS s FROM x),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pos, length(s) - length(replace(s, ' ', '')) + 1 AS w FROM s WHERE s <> ''),
+e AS (SELECT b.doc_id, b.i, b.pos, b.w, a.doc_id AS other, b.pos - a.pos AS diagonal FROM n a JOIN n b ON a.s = b.s AND (a.doc_id, a.pos) < (b.doc_id, b.pos)),
+r AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, other, diagonal ORDER BY pos) AS island FROM e),
+gone AS (SELECT DISTINCT doc_id, i FROM (SELECT doc_id, i, sum(w) OVER (PARTITION BY doc_id, other, diagonal, island) AS words FROM r) WHERE words >= 20),
+t AS (SELECT x.doc_id, string_agg(p[x.i], chr(10) ORDER BY x.i) AS t FROM x ANTI JOIN gone ON x.doc_id = gone.doc_id AND x.i = gone.i GROUP BY x.doc_id),
+k AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN text IS NOT NULL THEN coalesce(t.t, '') END AS text, len(string_split(coalesce(text, ''), chr(10)))::BIGINT AS n_lines, coalesce(k.n, 0)::BIGINT AS n_removed
+FROM d LEFT JOIN t ON d.doc_id = t.doc_id LEFT JOIN k ON d.doc_id = k.doc_id
 """,
     "op10_chat_formatting": r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
