@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import chat, html_text, line_dedup, mixing, pii, quality, substring_dedup, warc
+from sluice.llm import chat, decontaminate, html_text, jaccard, line_dedup, mixing, pii, quality, substring_dedup, warc
 from sluice.session import new_path
 
 
@@ -38,6 +38,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", *[F.col("quality")[x].alias(x) for x in fields], "kept")
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     of = lambda *kinds: F.filter("pii", lambda s: s["kind"].isin(*kinds))
@@ -50,6 +54,12 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    hits = decontaminate.find_hits(docs, table(spark, sf_dir, "benchmark"))
+    return hits.select("doc_id", F.explode("hits").alias("h")).select("doc_id", F.col("h.item").alias("item_id"), F.col("h.tokens").alias("item_tokens"), F.col("h.covered").alias("covered_tokens"), F.col("h.tiles").alias("n_tiles"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", "text", F.col("lines_parts").alias("n_lines"), F.col("lines_removed").alias("n_removed"))
@@ -67,8 +77,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_mixing": op3_mixing,
     "op4_quality_rules": op4_quality_rules,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_pii": op6_pii,
     "op7_html_text": op7_html_text,
+    "op8_decontamination": op8_decontamination,
     "op9_line_dedup": op9_line_dedup,
     "op10_chat_formatting": op10_chat_formatting,
 }
