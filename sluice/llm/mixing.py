@@ -146,7 +146,7 @@ def mix(docs: DataFrame, text: str = "text", sources: str = "source", doc_id: st
     rows = []
     for p, words in patterns.items():
         times = int(given[p] // words) if words else 0
-        rows.append((list(p), sum(of_source[s] for s in p), sum(goals[s] for s in p), times, given[p] - times * words))
+        rows.append((list(p), sum(of_source[s] for s in p), float(sum(goals[s] for s in p)), times, float(given[p] - times * words)))
     quotas = docs.sparkSession.createDataFrame(rows, f"{pat} array<string>, q_source_size long, q_target double, q_times int, q_rest double")
     order = Window.partitionBy(pat).orderBy(part).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # At most PARTS rows a pattern: where each part of the seeded order starts.
