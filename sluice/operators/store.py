@@ -56,10 +56,7 @@ class TableSchema:
         return json.dumps({"columns": self.columns, "required": self.required, "unique": self.unique, "indexes": self.indexes, "strict": self.strict})
 
     def struct(self) -> T.StructType:
-        out = T.StructType()
-        for name, kind in self.columns.items():
-            out = out.add(name, TYPES[kind])
-        return out.add("sole_id", "string")
+        return T.StructType.fromDDL(", ".join([*(f"`{n}` {TYPES[k]}" for n, k in self.columns.items()), "sole_id string"]))
 
 
 def infer_type(kind: T.DataType) -> str:

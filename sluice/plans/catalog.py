@@ -8,8 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.functions import predicates, text, urls
-from sluice.operators import frontier, memory, metrics, profile, score, store, tree
-from sluice.plans.spider import bfs
+from sluice.operators import extract, frontier, jsonshape, memory, metrics, profile, score, store, tree
+from sluice.plans import report
+from sluice.plans.pipeline import Pipeline
+from sluice.plans.spider import CrawlSpec, bfs, crawl
+from sluice.session import new_path
+from sluice.sources import sitemap
+from sluice.sources.pages import LandedPages
+from sluice.streaming import events as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -615,3 +621,125 @@ def ext_sliding(spark, sf_dir):
 SELECT user_id, min(ts) AS start, count(*)::BIGINT AS n FROM s GROUP BY user_id, k""")
 def ext_session(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(F.session_window("ts", "30 minutes").alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
+
+
+# ------------------------------------------------------------------ documents parsed
+
+
+@query(_U + """, a AS (SELECT page_id, scheme || '://' || auth AS root, unnest(regexp_extract_all((SELECT html FROM pages p WHERE p.page_id = u.page_id), '<a href="([^"]*)"', 1)) AS href FROM u)
+SELECT page_id, root || replace(href, '&amp;', '&') AS link, count(*)::BIGINT AS n FROM a WHERE href LIKE '/%' GROUP BY 1, 2""")
+def dom_links(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract.links(pages, 'a[href^="/"]').groupBy("page_id", "link").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT page_id, tag, len(regexp_extract_all(html, '<' || tag || '[ >]'))::BIGINT AS n FROM pages, (SELECT unnest(['li', 'a', 'nav', 'h1', 'article']) AS tag)""")
+def dom_element_counts(spark, sf_dir):
+    e = extract.elements(table(spark, sf_dir, "pages").select("page_id", "html"))
+    return e.filter(F.col("tag").isin("li", "a", "nav", "h1", "article")).groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT page_id, trim(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', '\"'), '&lt;', '<'), '&amp;', '&')) AS title, length(html)::BIGINT AS html_chars, 1::BIGINT AS scripts FROM pages")
+def dom_fields_and_signals(spark, sf_dir):
+    pages = extract.signals(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    got = extract.fields_of(pages, {"title": "title::text"})
+    return got.select("page_id", F.col("fields")["title"][0].alias("title"), "signals.html_chars", "signals.scripts")
+
+
+@query()
+def dom_page_text(spark, sf_dir):
+    return extract.page_text(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", F.length("text").alias("n"), F.md5("text").alias("text"))
+
+
+@query()
+def selector_candidates(spark, sf_dir):
+    return extract.selector_candidates(table(spark, sf_dir, "pages").select("page_id", "url", "html"), ["link", "title"]).select("page_id", "field", "rank", "selector", "score", "hits")
+
+
+@query()
+def site_spec(spark, sf_dir):
+    return report.site_spec(table(spark, sf_dir, "pages").select("url", "html"), ["link", "title"])
+
+
+@query()
+def pagination_candidates(spark, sf_dir):
+    return extract.pagination(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "rank", "kind", "next", "confidence")
+
+
+@query()
+def api_hints(spark, sf_dir):
+    return extract.api_hints(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "pos", "hint", "source", "json_like", "paged")
+
+
+@query()
+def page_analysis(spark, sf_dir):
+    a = report.analyze(table(spark, sf_dir, "pages").select("page_id", "url", "html"), "news articles", ["title"])
+    return a.select("page_id", "challenge", "js_shell", F.array_join("categories", ",").alias("categories"), "response_score", "site_type", "ok")
+
+
+@query()
+def site_summary(spark, sf_dir):
+    return report.site_summary(report.analyze(table(spark, sf_dir, "pages").select("url", "html")))
+
+
+@query("SELECT event_id, 'k' AS path, 'number' AS kind, props->>'$.k' AS value FROM events WHERE json_exists(props, '$.k')")
+def json_walk(spark, sf_dir):
+    return jsonshape.nodes(table(spark, sf_dir, "events").select("event_id", "props"), "props").filter("path <> '$'").select("event_id", "path", "kind", "value")
+
+
+@query("SELECT event_id, props->>'$.k' AS k FROM events")
+def json_path_dialect(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", jsonshape.json_path(F.col("props"), "k").alias("k"))
+
+
+@query("SELECT page_id, url AS loc, '2024-01-0' || (page_id % 9 + 1) AS lastmod FROM pages")
+def sitemap_entries(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").filter("url is not null")
+    xml = F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>'), F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("</loc><lastmod>2024-01-0"), (F.col("page_id") % 9 + 1).cast("string"), F.lit("</lastmod></url></urlset>"))
+    return sitemap.entries(p.select("page_id", xml.alias("body"))).select("page_id", "loc", "lastmod")
+
+
+@query(_U + "SELECT page_id, NOT (path LIKE '/en/%' AND NOT path LIKE '/en/1%') AS can_fetch FROM u")
+def robots_allowed(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    hosts = p.select(urls.host(F.col("url")).alias("host")).distinct().withColumn("body", F.lit("User-agent: *\nDisallow: /en/\nAllow: /en/1"))
+    return sitemap.allowed(p, sitemap.robots_rules(hosts)).select("page_id", "can_fetch").distinct()
+
+
+@query("SELECT s_nationkey AS nationkey, min(s_suppkey) AS suppkey, 'n' || s_nationkey AS name FROM supplier GROUP BY s_nationkey")
+def store_round_trip(spark, sf_dir):
+    s = store.Store(spark, new_path(spark, "store"))
+    s.register("d", "t", {"columns": {"nationkey": "INTEGER", "suppkey": "INTEGER", "name": "TEXT"}, "unique": ["nationkey"]})
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nationkey"), F.col("s_suppkey").alias("suppkey"), F.concat(F.lit("n"), F.col("s_nationkey")).alias("name"))
+    s.save(rows, "d", "t", order="suppkey")
+    s.save(rows, "d", "t", order="suppkey")
+    return s.table("d", "t").select(F.col("nationkey").cast("int").alias("nationkey"), "suppkey", "name")
+
+
+@query()
+def pipeline_run(spark, sf_dir):
+    pages = LandedPages(table(spark, sf_dir, "pages").select("url", "html"))
+    first = table(spark, sf_dir, "pages").agg(F.min_by("url", "page_id")).first()[0]
+    spec = {"steps": [{"step": "frontier_add", "source": "urls", "urls": [first]}, {"step": "frontier_next", "limit": 5}, {"step": "crawl_products", "fields": {"title": "h1", "links": "a@href"}}, {"step": "filter", "condition": "title exists"}]}
+    return Pipeline(spec).run(spark, pages, now=1.0).records.select("url", "title")
+
+
+@query()
+def crawl_levels(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("url", "html")
+    first = [r[0] for r in pages.orderBy("url").limit(3).collect()]
+    return crawl(pages, CrawlSpec(first, max_depth=2))
+
+
+@query("SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, count(*)::BIGINT AS n FROM events GROUP BY 1, 2")
+def stream_tumbling(spark, sf_dir):
+    """The same windows by a stream that reads all there is, into a memory table, and ends."""
+    source = table(spark, sf_dir, "events")
+    path = new_path(spark, "stream")
+    source = source.select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    source.write.parquet(path)
+    stream = spark.readStream.schema(source.schema).parquet(path)
+    name = "stream_tumbling_result"
+    q = streams.tumbling(stream, "event_type").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
