@@ -292,6 +292,13 @@ def test_main_text_of_a_page():
     assert [t for _, t in html_text.read_page("a < b &lt;c&gt <p>x<br>y &am")[0]] == ["a < b <c>", "x y &am"]
 
 
+def test_what_is_left_out_of_a_page():
+    page = """<body class="has-sidebar"><div class="wrap with-menu"><div id="cookie-notice">Cookies!</div><article class="post"><header class="entry-header"><h1 id="search">T</h1></header>
+    <div class="entry">Body<span style="display: none">gone</span></div><div class="share-buttons">Share</div><ol class="commentlist"><li>Hi</ol></article>
+    <article class="comment">Me too</article><div id="sidebar">Side</div></div>"""
+    assert [t for _, t in html_text.read_page(page)[0]] == ["T", "Body"]
+
+
 def test_style_tree_drops_what_a_host_repeats(spark):
     page = "<body><div class=top>The same on all pages</div><div class=text>Own text {i} of this page</div><p>Mail us about anything</p></body>"
     rows = [(i, "http://h.example/" + str(i), page.format(i=i), "x") for i in range(20)] + [(100, "http://other.example/", page.format(i=5), "x"), (101, None, page.format(i=7), "x"), (102, "http://h.example/n", None, "x")]
