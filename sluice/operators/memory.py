@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sluice.session import write_out
 
@@ -12,13 +13,28 @@ MODES = ("requests", "curl_cffi", "browser")
 
 
 def streaks(log: DataFrame, key: str, order: list[str], success: Column) -> DataFrame:
-    """log with success_streak and fail_streak as they stand after each attempt."""
-    by = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ok = success.cast("int")
-    marked = log.withColumns({"_ok": ok, "_islands_ok": F.sum(1 - ok).over(by), "_islands_bad": F.sum(ok).over(by)})
-    run = lambda island, value: F.sum(value).over(Window.partitionBy(key, island).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = marked.withColumns({"success_streak": run("_islands_ok", F.col("_ok")), "fail_streak": run("_islands_bad", 1 - F.col("_ok"))})
-    return out.drop("_ok", "_islands_ok", "_islands_bad")
+    """log with success_streak and fail_streak as they stand after each attempt.
+
+    Attempts are dealt by ranges of key and order, so a key with very many is spread over tasks. Each range
+    counts on its own; the runs with which ranges end are carried over for keys that lie in several of them,
+    of which there are fewer than ranges.
+    """
+    dealt = write_out(log.withColumn("_ok", success.cast("int")).repartitionByRange(F.col(key), *order).withColumn("_pid", F.spark_partition_id()), "attempts")
+    frame = lambda *by: Window.partitionBy("_pid", key, *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = dealt.withColumns({"_bad": F.sum(1 - F.col("_ok")).over(frame()), "_good": F.sum("_ok").over(frame())})
+    own = marked.withColumns({"_s": F.sum("_ok").over(frame("_bad")), "_f": F.sum(1 - F.col("_ok")).over(frame("_good"))})
+    ends = own.groupBy(key, "_pid").agg(F.max_by(F.struct("_s", "_f", "_bad", "_good"), F.struct(*order)).alias("e"))
+    spread = ends.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col(key).alias("_key"))
+    pieces = ends.join(spread, F.col(key).eqNullSafe(F.col("_key"))).select("_key", "_pid", "e.*")
+    carried, last = [], None
+    for r in sorted(pieces.collect(), key=lambda r: (r["_key"] is None, r["_key"], r["_pid"])):
+        s, f = (last[1], last[2]) if last and last[0] == r["_key"] else (0, 0)
+        carried.append((r["_key"], r["_pid"], s, f))
+        last = (r["_key"], r["_s"] + (s if not r["_bad"] else 0), r["_f"] + (f if not r["_good"] else 0))
+    carry = log.sparkSession.createDataFrame(carried, T.StructType([T.StructField("_key", log.schema[key].dataType), T.StructField("_at", T.IntegerType()), T.StructField("_cs", T.LongType()), T.StructField("_cf", T.LongType())]))
+    both = own.join(F.broadcast(carry), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_pid") == F.col("_at")), "left")
+    more = lambda own_run, broken, c: F.col(own_run) + F.when(F.col(broken) == 0, F.coalesce(F.col(c), F.lit(0))).otherwise(F.lit(0))
+    return both.select(*log.columns, more("_s", "_bad", "_cs").alias("success_streak"), more("_f", "_good", "_cf").alias("fail_streak"))
 
 
 def domain_memory(log: DataFrame, key: str, order: list[str], success: Column, mode: Column, at: Column) -> DataFrame:
@@ -54,7 +70,10 @@ def target_key(kind: Column, name: Column, url: Column) -> Column:
 
 
 def recent_rates(log: DataFrame, key: str, order: list[str], success: Column, last: int = 20) -> DataFrame:
-    """log with n_recent and rate over the last attempts, fails in a row, and whether the key is disabled then and for how long."""
+    """log with n_recent and rate over the last attempts, fails in a row, and whether the key is disabled then and for how long.
+
+    The last attempts are a window by key: all attempts of one key are one task's work.
+    """
     ordered = Window.partitionBy(key).orderBy(*order)
     near = ordered.rowsBetween(-(last - 1), Window.currentRow)
     upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -131,6 +131,17 @@ def test_domain_memory(spark):
     assert {r["k"]: r["hit"] for r in hits.collect()} == {"d": True, "f": False, "g": False}
 
 
+def test_streaks_of_a_key_over_many_ranges(spark):
+    marks = "TTFFFTFTTTTTFFFFFFTT" * 5
+    rows = [("hot", i, c == "T") for i, c in enumerate(marks)] + [("b", 1, False), (None, 1, True), (None, 2, True)]
+    got = {(r["k"], r["at"]): (r["success_streak"], r["fail_streak"]) for r in memory.streaks(spark.createDataFrame(rows, "k string, at int, ok boolean"), "k", ["at"], F.col("ok")).collect()}
+    s = f = 0
+    for i, c in enumerate(marks):
+        s, f = (s + 1, 0) if c == "T" else (0, f + 1)
+        assert got[("hot", i)] == (s, f), i
+    assert got[("b", 1)] == (0, 1) and got[(None, 2)] == (2, 0)
+
+
 def test_proxy_health(spark):
     log = spark.createDataFrame([("p", i, c == "T") for i, c in enumerate("FFTFFTFFTF")], "k string, at int, ok boolean")
     last = memory.recent_rates(log, "k", ["at"], F.col("ok")).orderBy(F.desc("at")).first()
