@@ -32,16 +32,30 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path for a new table or archive in the shared folder."""
-    return f"{shared_folder(spark)}/sluice-{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_folder(spark)}/sluice-{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the tables and archives that this process has written to the shared folder.
+
+    Call it when no DataFrame of an operator is needed any more: they read these tables when they run.
+    """
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def write_out(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it again.
 
     It cuts the lineage: what is lost with an executor is read again, not computed again, and later
-    plans see the table's true size. The tables live as long as the shared folder.
+    plans see the table's true size. The tables stay until clear().
     """
     spark = df.sparkSession
     path = new_path(spark, name)
