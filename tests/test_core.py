@@ -1,4 +1,4 @@
-"""The operators on the cases that the reference's own tests state."""
+"""The operators on cases whose results are known."""
 
 from __future__ import annotations
 
