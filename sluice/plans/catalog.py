@@ -543,7 +543,7 @@ def network_summary(spark, sf_dir):
     return score.network_candidates(e, "pos", 30).select("url", "score")
 
 
-@query("""SELECT p_partkey % 40 AS sample, round(0.3 + 0.45 + CASE WHEN bool_and(length(p_name) BETWEEN 5 AND 180) THEN 0.12 ELSE 0 END, 3) AS title_score, round(0.3 + 0.45 + 0.18, 3) AS price_score
+@query("""SELECT p_partkey % 40 AS sample, round(0.3 + 0.45 + CASE WHEN bool_and(length(p_name) BETWEEN 5 AND 180) THEN 0.12 ELSE 0 END, 3)::DOUBLE AS title_score, round(0.3 + 0.45 + 0.18, 3)::DOUBLE AS price_score
 FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey % 40 ORDER BY p_partkey) AS k FROM part) WHERE k <= 5 GROUP BY 1""")
 def field_quality_scores(spark, sf_dir):
     p = table(spark, sf_dir, "part")
