@@ -279,10 +279,14 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_links(docs: DataFrame, sketches: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+def classes(sketches: DataFrame) -> DataFrame:
+    """(key, id, n, sig, bands): one row per set of shingles, with its least id and its number of rows."""
+    by = sketches.filter(F.col("key").isNotNull()).groupBy("key")
+    return by.agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands"))
+
+
+def near_links(docs: DataFrame, reps: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """(key, links, root): per class and task its links, and a class of the same component."""
-    reps = sketches.filter(F.col("key").isNotNull()).groupBy("key").agg(F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands"))
-    reps = write_out(reps, "classes")
     spread = reps.select("key", F.explode("bands").alias("bucket"))
     buckets = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     members = spread.join(buckets, "bucket")
@@ -296,7 +300,7 @@ def near_links(docs: DataFrame, sketches: DataFrame, text: str = "text", doc_id:
     kept = members.select("block", "bucket", "across", "chunk", "key", "sig").mapInArrow(_prune(least_matches(threshold)), "block string, key binary, partners array<binary>")
     kept = write_out(kept, "candidates")
 
-    wanted = write_out(sketches.join(kept.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("id").alias("id")).select(F.col("id").alias("wanted")).distinct(), "wanted")
+    wanted = write_out(reps.select("key", "id").join(kept.select("key").distinct(), "key", "left_semi").select(F.col("id").alias("wanted")).distinct(), "wanted")
     bounded = wanted.count() * 24 <= BROADCAST_BYTES
     some = docs.join(F.broadcast(wanted) if bounded else wanted, F.col(doc_id).eqNullSafe(F.col("wanted")), "left_semi")
     grams = some.select(F.arrow_udf(_sets, "struct<key:binary,grams:binary>")(F.col(text).cast("string")).alias("s")).select("s.*")
@@ -308,10 +312,11 @@ def near_links(docs: DataFrame, sketches: DataFrame, text: str = "text", doc_id:
 def _grouped(docs: DataFrame, text: str, doc_id: str, threshold: float) -> DataFrame:
     """(doc_id, hash, class_id, copy_id, n_links), one row per row of docs."""
     sketches = write_out(sketch(docs, text, doc_id), "sketches")
-    links = near_links(docs, sketches, text, doc_id, threshold)
+    reps = write_out(classes(sketches), "classes")
+    links = near_links(docs, reps, text, doc_id, threshold)
     count = links.groupBy("key").agg(F.sum("links").alias("n_links"))
     label = components(links.filter(F.col("key") != F.col("root")).select(F.col("key").alias("a"), F.col("root").alias("b")))
-    copies = sketches.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("id").alias("copy_id"), F.count(F.lit(1)).alias("n"))
+    copies = reps.select("key", F.col("id").alias("copy_id"), "n")
     copies = copies.join(count, "key", "left").join(label.withColumnRenamed("node", "key"), "key", "left")
     copies = write_out(copies.filter("n > 1 or n_links > 0"), "copies")
     least = copies.filter(F.col("label").isNotNull()).groupBy("label").agg(F.min("copy_id").alias("class_id"))
