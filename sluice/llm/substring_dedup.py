@@ -58,8 +58,10 @@ def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     # Counted by half of the hash first: most runs are found once and go no further than this sum.
     twice = runs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a")
     some = write_out(runs.join(twice, "a", "left_semi"), "runs")
-    first = some.groupBy("a", "b").agg(F.min(F.struct("id", "hash", "at")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    later = some.join(first, ["a", "b"]).filter(F.struct("id", "hash", "at") != F.col("first"))
+    # What is not first is what the firsts leave: this join has the row itself in its key, so no hash is hot.
+    first = some.groupBy("a", "b").agg(F.min(F.struct("id", "hash", "at")).alias("f")).select(F.col("a").alias("fa"), F.col("b").alias("fb"), "f.*").toDF("fa", "fb", "fid", "fhash", "fat")
+    same = (F.col("a") == F.col("fa")) & (F.col("b") == F.col("fb")) & (F.col("hash") == F.col("fhash")) & (F.col("at") == F.col("fat")) & F.col("id").eqNullSafe(F.col("fid"))
+    later = some.join(first, same, "left_anti")
     spans = later.groupBy("id", "hash", "at").agg(F.max("last").alias("last"))
     return spans.select("id", "hash", F.explode(F.sequence("at", "last")).alias("at"))
 
