@@ -102,8 +102,12 @@ def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words:
     at = F.transform(F.slice(s, F.col("w.start") + 1, F.col("w.m")), lambda y: y["at"])
     runs = runs.select("id", "hash", at.alias("ats"), F.get(at, F.lit(0)).alias("at"), "w.m", "w.x", "w.y")
     runs = write_out(runs, "runs")
-    first = runs.groupBy("m", "x", "y").agg(F.min(F.struct("id", "hash", "at")).alias("first"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
-    later = runs.join(first, ["m", "x", "y"]).filter(F.struct("id", "hash", "at") != F.col("first"))
+    # What is not first is what the firsts leave: this join has the row itself in its key, so no run is hot.
+    first = runs.groupBy("m", "x", "y").agg(F.min(F.struct("id", "hash", "at")).alias("f")).select("m", "x", "y", "f.*").toDF("fm", "fx", "fy", "fid", "fhash", "fat")
+    same = F.col("id").eqNullSafe(F.col("fid"))
+    for c in ("m", "x", "y", "hash", "at"):
+        same = same & (F.col(c) == F.col(f"f{c}"))
+    later = runs.join(first, same, "left_anti")
     return later.select("id", "hash", F.explode("ats").alias("at"))
 
 
