@@ -2,9 +2,10 @@
 
 Each page is read into its branches (elements by tag and class along their path) and blocks of text. The
 branches of all pages of a host are merged: for each path the tree holds how often which presentation (the
-tags below it) and which content stands there. A branch's importance is the entropy of its contents and
-presentations over the host's pages, between 0 (the same on all) and 1 (different on each). Branches of
-low importance are removed from each page with all below them. Before that, elements whose tags, roles or
+tags below it) and which content stands there. A branch's importance is its own term of the entropy of the
+contents and presentations at its path over the host's pages, between 0 (found on all of them) and 1 (found
+on this one), so siblings of one path are judged each on its own. Branches of low importance are removed
+from each page with all below them. Before that, elements whose tags, roles or
 class names say what they are (menus, headers, footers, sidebars, notices, adverts, forms, comments,
 scripts, styles) are left out, and pages that mark their article or main part keep that part alone; the
 tree then takes nothing out of that part, as an article that a host shows on many pages is no template.
@@ -21,7 +22,7 @@ import html
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.session import fresh, write_out
@@ -58,12 +59,13 @@ def _hash(text: str) -> int:
 
 
 class _Element:
-    __slots__ = ("tag", "path", "out", "main", "content", "tags")
+    __slots__ = ("tag", "path", "out", "main", "content", "tags", "key")
 
     def __init__(self, tag: str, path: str, out: bool, main: bool):
         self.tag, self.path, self.out, self.main = tag, path, out, main
         self.content: list[str] = []
         self.tags: list[str] = []
+        self.key: int | None = None
 
 
 #: Class names that begin so tell of a neighbour or a state, not of the element itself.
@@ -90,15 +92,16 @@ def _left_out(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
     return bool(said & (OUT_WORDS - {"header"} if in_article else OUT_WORDS))
 
 
-def read_page(source: str) -> tuple[list[tuple[str, str]], bool, list[tuple[str, int, int]]]:
-    """(blocks, main, branches): blocks as (path, text) in page order, those of the article or main part if main.
+def read_page(source: str) -> tuple[list[tuple[list[int], str]], bool, list[tuple[int, int, int, int]]]:
+    """(blocks, main, branches): blocks as (keys, text) in page order, those of the article or main part if main.
 
-    Branches are (path, presentation, content) of what the page has outside that part.
+    Branches are (path, presentation, content, key) of what the page has outside that part, equal ones once;
+    a block has the keys of all branches it is in.
     """
     root = _Element("", "", False, False)
     stack = [root]
-    blocks: list[tuple[str, str, bool]] = []
-    branches: dict[str, tuple[int, int]] = {}
+    blocks: list[tuple[list[_Element], str, bool]] = []
+    branches: dict[int, tuple[int, int, int]] = {}
     text: list[str] = []
 
     def flush() -> None:
@@ -109,8 +112,8 @@ def read_page(source: str) -> tuple[list[tuple[str, str]], bool, list[tuple[str,
                 for e in stack:
                     if not e.main:
                         e.content.append(words)
-                at = next((e for e in reversed(stack) if e.tag in BLOCK), root)
-                blocks.append((at.path, words, stack[-1].main))
+                at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag in BLOCK), 0)
+                blocks.append((stack[1 : at + 1], words, stack[-1].main))
 
     def add(piece: str) -> None:
         if not stack[-1].out:
@@ -125,8 +128,10 @@ def read_page(source: str) -> tuple[list[tuple[str, str]], bool, list[tuple[str,
             if stack[-1].tag in BLOCK:
                 flush()
             e = stack.pop()
-            if not e.main and e.path and e.content and e.path not in branches:
-                branches[e.path] = (_hash(" ".join(e.tags)), _hash("\n".join(e.content)))
+            if not e.main and e.path and e.content:
+                branch = (_hash(e.path), _hash(" ".join(e.tags)), _hash("\n".join(e.content)))
+                e.key = _hash(repr(branch))
+                branches[e.key] = branch
 
     at, size = 0, len(source)
     for m in iter(lambda: _TAG.search(source, at), None):
@@ -181,14 +186,15 @@ def read_page(source: str) -> tuple[list[tuple[str, str]], bool, list[tuple[str,
     flush()
     close(1)
     main = any(b[2] for b in blocks)
-    return [(p, t) for p, t, inside in blocks if inside or not main], main, [(p, *v) for p, v in branches.items()]
+    return [([e.key for e in of if e.key is not None], t) for of, t, inside in blocks if inside or not main], main, [(*v, k) for k, v in branches.items()]
 
 
-_TYPE = "struct<blocks:array<struct<path:string,text:string>>,main:boolean,branches:array<struct<path:string,style:long,content:long>>>"
+_TYPE = "struct<blocks:array<struct<keys:array<long>,text:string>>,main:boolean,branches:array<struct<path:long,style:long,content:long,key:long>>>"
+_BRANCH = ("path", "style", "content", "key")
 _ARROW = pa.struct([
-    ("blocks", pa.list_(pa.struct([("path", pa.string()), ("text", pa.string())]))),
+    ("blocks", pa.list_(pa.struct([("keys", pa.list_(pa.int64())), ("text", pa.string())]))),
     ("main", pa.bool_()),
-    ("branches", pa.list_(pa.struct([("path", pa.string()), ("style", pa.int64()), ("content", pa.int64())]))),
+    ("branches", pa.list_(pa.struct([(c, pa.int64()) for c in _BRANCH]))),
 ])
 
 
@@ -196,24 +202,30 @@ def _read_pages(pages: pa.Array) -> pa.Array:
     out = []
     for page in pages:
         blocks, main, branches = read_page(page.as_py() or "")
-        out.append({"blocks": [{"path": p, "text": t} for p, t in blocks], "main": main, "branches": [{"path": p, "style": s, "content": c} for p, s, c in branches]})
+        out.append({"blocks": [{"keys": k, "text": t} for k, t in blocks], "main": main, "branches": [dict(zip(_BRANCH, b, strict=True)) for b in branches]})
     return pa.array(out, type=_ARROW)
 
 
 def style_tree(parsed: DataFrame, host: str, page: str) -> DataFrame:
-    """(host, path, pages, importance) of all branches; equal pages of a host count once."""
+    """(host, key, pages, importance) of branches whose content is on two pages or more; equal pages of a host count once."""
     b = F.col(f"{page}.branches")
     once = parsed.filter(F.col(host).isNotNull()).select(F.col(host).alias("host"), b.alias("branches")).withColumn("whole", F.xxhash64("host", "branches"))
     once = once.groupBy("host", "whole").agg(F.any_value("branches").alias("branches"))
-    nodes = once.select("host", F.explode("branches").alias("b")).select("host", "b.*")
-    # Counts of each content and presentation first: sums over a path then take few rows of the hottest host.
-    counted = nodes.select("host", "path", F.explode(F.array(F.struct(F.lit(True).alias("content"), F.col("content").alias("value")), F.struct(F.lit(False).alias("content"), F.col("style").alias("value")))).alias("x"))
-    counted = counted.groupBy("host", "path", "x.content", "x.value").agg(F.count(F.lit(1)).alias("n"))
-    entropy = counted.groupBy("host", "path", "content").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log2("n")).alias("nlogn"))
-    m = F.col("pages")
-    entropy = entropy.withColumn("e", F.when(m > 1, (F.log2(m) - F.col("nlogn") / m) / F.log2(m)).otherwise(F.lit(1.0)))
-    weighted = F.when(F.col("content"), F.col("e") * GAMMA).otherwise(F.col("e") * (1 - GAMMA))
-    return entropy.groupBy("host", "path").agg(F.max("pages").alias("pages"), F.sum(weighted).alias("importance"))
+    # A page counts once for each path, presentation, content and branch it has. These counts take few rows of the hottest host.
+    none = F.lit(None).cast("long")
+
+    def counted(x: Column) -> Column:
+        kinds = [("path", none, none, none), ("style", x["style"], none, none), ("content", none, x["content"], none), ("key", x["style"], x["content"], x["key"])]
+        return F.array(*[F.struct(F.lit(kind).alias("kind"), x["path"].alias("path"), s.alias("style"), c.alias("content"), k.alias("key")) for kind, s, c, k in kinds])
+
+    each = once.select("host", F.explode(F.array_distinct(F.flatten(F.transform("branches", counted)))).alias("x")).select("host", "x.*")
+    counts = write_out(each.groupBy("host", "kind", "path", "style", "content", "key").agg(F.count(F.lit(1)).alias("n")), "tree")
+    of = lambda kind, *by: counts.filter(F.col("kind") == kind).select("host", "path", *by, F.col("n").alias(f"n_{kind}"))
+    own = lambda n: 1 - F.log2(n) / F.log2("n_path")
+    # What the content alone keeps is left out first.
+    tree = of("content", "content").filter("n_content > 1").join(of("path"), ["host", "path"]).filter(own("n_content") * GAMMA < LEAST_IMPORTANCE)
+    tree = of("key", "style", "content", "key").join(tree, ["host", "path", "content"]).join(of("style", "style"), ["host", "path", "style"])
+    return tree.select("host", "key", F.col("n_path").alias("pages"), (own("n_content") * GAMMA + own("n_style") * (1 - GAMMA)).alias("importance"))
 
 
 def main_text(pages: DataFrame, url: str = "url", source: str = "html", out: str = "main_text") -> DataFrame:
@@ -225,9 +237,9 @@ def main_text(pages: DataFrame, url: str = "url", source: str = "html", out: str
     parsed = write_out(parsed, "pages")
     tree = style_tree(parsed, host, page)
     drop = tree.filter((F.col("importance") < LEAST_IMPORTANCE) & (F.col("pages") >= LEAST_PAGES))
-    drop = write_out(drop.groupBy(F.col("host").alias(f"{host}_of")).agg(F.collect_set("path").alias(low)), "low")
-    size = drop.select(F.sum(F.octet_length(F.array_join(low, " ")) + 64)).first()[0] or 0
+    drop = write_out(drop.groupBy(F.col("host").alias(f"{host}_of")).agg(F.collect_set("key").alias(low)), "low")
+    size = drop.select(F.sum(F.size(low) * 8 + 64)).first()[0] or 0
     joined = parsed.join(F.broadcast(drop) if size <= BROADCAST_BYTES else drop, F.col(host) == F.col(f"{host}_of"), "left")
-    gone = lambda b: F.exists(F.coalesce(F.col(low), F.array().cast("array<string>")), lambda p: F.startswith(F.concat(b["path"], F.lit("/")), F.concat(p, F.lit("/"))))
+    gone = lambda b: F.arrays_overlap(b["keys"], F.coalesce(F.col(low), F.array().cast("array<long>")))
     kept = F.when(F.col(f"{page}.main"), F.col(f"{page}.blocks")).otherwise(F.filter(F.col(f"{page}.blocks"), lambda b: ~gone(b)))
     return joined.withColumn(out, F.array_join(F.transform(kept, lambda b: b["text"]), "\n")).select(*keep, out)

@@ -308,6 +308,15 @@ def test_style_tree_drops_what_a_host_repeats(spark):
     assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_style_tree_judges_siblings_of_one_path_each_on_its_own(spark):
+    page = "<body><p>By the editors</p><p>Own text {i}</p>{more}<p>All rights are kept</p></body>"
+    rows = [(i, f"http://h.example/{i}", page.format(i=i, more=f"<p>More of {i}</p>" * (i % 3))) for i in range(20)]
+    rows += [(100 + i, f"http://i.example/{i}", f"<body><p>First {i}</p><p>The same</p></body>") for i in range(20)]
+    got = {r["page_id"]: r["main_text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "\n".join([f"Own text {i}"] + [f"More of {i}"] * (i % 3)) for i in range(20))
+    assert all(got[100 + i] == f"First {i}" for i in range(20))
+
+
 def test_warc_round_trip(spark):
     inner = "WARC/1.0\r\nWARC-Type: response\r\nX-Page-Id: 666\r\nContent-Length: 5\r\n\r\nfalse\r\n\r\n"
     big = "é" * 700
