@@ -7,8 +7,10 @@ contents and presentations at its path over the host's pages, between 0 (found o
 on this one), so siblings of one path are judged each on its own. Branches of low importance are removed
 from each page with all below them. Before that, elements whose tags, roles or
 class names say what they are (menus, headers, footers, sidebars, notices, adverts, forms, comments,
-scripts, styles) are left out, and pages that mark their article or main part keep that part alone; the
-tree then takes nothing out of that part, as an article that a host shows on many pages is no template.
+scripts, styles) are left out, and pages that mark their article or main part keep that part alone. The
+tree judges the branches inside that part too, by counts of their own in which equal articles of a host
+count once. An article of which the tree would take half of the characters or more is a copy, not a template, and
+stays whole.
 
 Edge cases: a null or empty page gives an empty text; a page cut off anywhere is read as far as it goes,
 a tag that is cut off is dropped; pages with a null url or without a host form no tree; equal pages of a
@@ -52,6 +54,8 @@ _SCOPE = frozenset("article section div table ul ol dl main body html td th nav
 #: Weight of contents against presentations, the importance below which a branch goes, and the pages it must be on.
 GAMMA, LEAST_IMPORTANCE, LEAST_PAGES = 0.9, 0.25, 8
 BROADCAST_BYTES = 8 << 20
+#: Where the paths inside an article or main part begin.
+PART = "part"
 
 
 def _hash(text: str) -> int:
@@ -92,16 +96,16 @@ def _left_out(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
     return bool(said & (OUT_WORDS - {"header"} if in_article else OUT_WORDS))
 
 
-def read_page(source: str) -> tuple[list[tuple[list[int], str]], bool, list[tuple[int, int, int, int]]]:
+def read_page(source: str) -> tuple[list[tuple[list[int], str]], bool, list[tuple[int, int, int, int, bool]]]:
     """(blocks, main, branches): blocks as (keys, text) in page order, those of the article or main part if main.
 
-    Branches are (path, presentation, content, key) of what the page has outside that part, equal ones once;
-    a block has the keys of all branches it is in.
+    Branches are (path, presentation, content, key, inside), equal ones once: those outside that part, and those
+    inside it, whose paths begin there. A block has the keys of all branches it is in on its side.
     """
     root = _Element("", "", False, False)
     stack = [root]
     blocks: list[tuple[list[_Element], str, bool]] = []
-    branches: dict[int, tuple[int, int, int]] = {}
+    branches: dict[int, tuple[int, int, int, bool]] = {}
     text: list[str] = []
 
     def flush() -> None:
@@ -110,8 +114,7 @@ def read_page(source: str) -> tuple[list[tuple[list[int], str]], bool, list[tupl
             text.clear()
             if words:
                 for e in stack:
-                    if not e.main:
-                        e.content.append(words)
+                    e.content.append(words)
                 at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag in BLOCK), 0)
                 blocks.append((stack[1 : at + 1], words, stack[-1].main))
 
@@ -120,16 +123,15 @@ def read_page(source: str) -> tuple[list[tuple[list[int], str]], bool, list[tupl
             text.append(html.unescape(piece))
         elif words := " ".join(html.unescape(piece).split()):
             for e in stack:
-                if not e.main:
-                    e.content.append(words)
+                e.content.append(words)
 
     def close(to: int) -> None:
         while len(stack) > to:
             if stack[-1].tag in BLOCK:
                 flush()
             e = stack.pop()
-            if not e.main and e.path and e.content:
-                branch = (_hash(e.path), _hash(" ".join(e.tags)), _hash("\n".join(e.content)))
+            if e.path not in ("", PART) and e.content:
+                branch = (_hash(e.path), _hash(" ".join(e.tags)), _hash("\n".join(e.content)), e.main)
                 e.key = _hash(repr(branch))
                 branches[e.key] = branch
 
@@ -172,9 +174,9 @@ def read_page(source: str) -> tuple[list[tuple[list[int], str]], bool, list[tupl
         for e in stack[-2:]:
             e.tags.append(style)
         main = up.main or (not up.out and (tag in ("article", "main") or attrs.get("role") == "main"))
-        stack.append(_Element(tag, f"{up.path}/{style}" if not up.main else up.path, up.out or _left_out(tag, attrs, up.main), main))
-        if stack[-1].out and not up.out:
-            stack[-1].main = False
+        out = up.out or _left_out(tag, attrs, up.main)
+        # The part itself is no branch of its own, and its classes, which may name one article, are no part of a path.
+        stack.append(_Element(tag, PART if main and not up.main and not out else f"{up.path}/{style}", out, main and not out))
         if m[3].endswith("/") and tag not in BLOCK:
             stack.pop()
         elif tag in RAW:
@@ -186,15 +188,16 @@ def read_page(source: str) -> tuple[list[tuple[list[int], str]], bool, list[tupl
     flush()
     close(1)
     main = any(b[2] for b in blocks)
-    return [([e.key for e in of if e.key is not None], t) for of, t, inside in blocks if inside or not main], main, [(*v, k) for k, v in branches.items()]
+    kept = [([e.key for e in of if e.key is not None and e.main == inside], t) for of, t, inside in blocks if inside or not main]
+    return kept, main, [(*v[:3], k, v[3]) for k, v in branches.items()]
 
 
-_TYPE = "struct<blocks:array<struct<keys:array<long>,text:string>>,main:boolean,branches:array<struct<path:long,style:long,content:long,key:long>>>"
-_BRANCH = ("path", "style", "content", "key")
+_TYPE = "struct<blocks:array<struct<keys:array<long>,text:string>>,main:boolean,branches:array<struct<path:long,style:long,content:long,key:long,inside:boolean>>>"
+_BRANCH = ("path", "style", "content", "key", "inside")
 _ARROW = pa.struct([
     ("blocks", pa.list_(pa.struct([("keys", pa.list_(pa.int64())), ("text", pa.string())]))),
     ("main", pa.bool_()),
-    ("branches", pa.list_(pa.struct([(c, pa.int64()) for c in _BRANCH]))),
+    ("branches", pa.list_(pa.struct([(c, pa.bool_() if c == "inside" else pa.int64()) for c in _BRANCH]))),
 ])
 
 
@@ -207,9 +210,10 @@ def _read_pages(pages: pa.Array) -> pa.Array:
 
 
 def style_tree(parsed: DataFrame, host: str, page: str) -> DataFrame:
-    """(host, key, pages, importance) of branches whose content is on two pages or more; equal pages of a host count once."""
+    """(host, key, pages, importance) of branches whose content is on two pages or more; equal pages of a host count once, and so do equal articles."""
     b = F.col(f"{page}.branches")
-    once = parsed.filter(F.col(host).isNotNull()).select(F.col(host).alias("host"), b.alias("branches")).withColumn("whole", F.xxhash64("host", "branches"))
+    sides = F.array(F.filter(b, lambda x: ~x["inside"]), F.filter(b, lambda x: x["inside"]))
+    once = parsed.filter(F.col(host).isNotNull()).select(F.col(host).alias("host"), F.explode(sides).alias("branches")).withColumn("whole", F.xxhash64("host", "branches"))
     once = once.groupBy("host", "whole").agg(F.any_value("branches").alias("branches"))
     # A page counts once for each path, presentation, content and branch it has. These counts take few rows of the hottest host.
     none = F.lit(None).cast("long")
@@ -241,5 +245,8 @@ def main_text(pages: DataFrame, url: str = "url", source: str = "html", out: str
     size = drop.select(F.sum(F.size(low) * 8 + 64)).first()[0] or 0
     joined = parsed.join(F.broadcast(drop) if size <= BROADCAST_BYTES else drop, F.col(host) == F.col(f"{host}_of"), "left")
     gone = lambda b: F.arrays_overlap(b["keys"], F.coalesce(F.col(low), F.array().cast("array<long>")))
-    kept = F.when(F.col(f"{page}.main"), F.col(f"{page}.blocks")).otherwise(F.filter(F.col(f"{page}.blocks"), lambda b: ~gone(b)))
+    chars = lambda x: F.aggregate(x, F.lit(0), lambda n, b: n + F.length(b["text"]))
+    all_of, left = (fresh(x, joined) for x in ("h_all", "h_left"))
+    joined = joined.withColumn(all_of, F.col(f"{page}.blocks")).withColumn(left, F.filter(F.col(f"{page}.blocks"), lambda b: ~gone(b)))
+    kept = F.when(F.col(f"{page}.main") & (2 * chars(F.col(left)) <= chars(F.col(all_of))), F.col(all_of)).otherwise(F.col(left))
     return joined.withColumn(out, F.array_join(F.transform(kept, lambda b: b["text"]), "\n")).select(*keep, out)

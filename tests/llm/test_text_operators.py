@@ -317,6 +317,16 @@ def test_style_tree_judges_siblings_of_one_path_each_on_its_own(spark):
     assert all(got[100 + i] == f"First {i}" for i in range(20))
 
 
+def test_style_tree_judges_inside_the_article(spark):
+    page = "<body><p>menu {i}</p><article class=post-{i}><h1>Title {i}</h1><p>Own text {i}, long enough to be most of it</p><p>Follow us</p></article></body>"
+    rows = [(i, f"http://h.example/{i}", page.format(i=i)) for i in range(20)]
+    copied = "<main><p>{i} told</p><div><p>The story as all tell it.</p><p>Its end.</p></div></main>"
+    rows += [(100 + i, f"http://i.example/{i}", f"<p>menu {i}</p>" + copied.format(i=7)) for i in range(20)] + [(200 + i, f"http://j.example/{i}", copied.format(i=i)) for i in range(20)]
+    got = {r["page_id"]: r["main_text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Title {i}\nOwn text {i}, long enough to be most of it" for i in range(20))
+    assert all(got[100 + i] == "7 told\nThe story as all tell it.\nIts end." and got[200 + i] == f"{i} told\nThe story as all tell it.\nIts end." for i in range(20))
+
+
 def test_warc_round_trip(spark):
     inner = "WARC/1.0\r\nWARC-Type: response\r\nX-Page-Id: 666\r\nContent-Length: 5\r\n\r\nfalse\r\n\r\n"
     big = "é" * 700
