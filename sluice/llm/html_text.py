@@ -5,7 +5,7 @@ branches of all pages of a host are merged: for each path the tree holds how oft
 tags below it) and which content stands there. A branch's importance is its own term of the entropy of the
 contents and presentations at its path over the host's pages, between 0 (found on all of them) and 1 (found
 on this one), so siblings of one path are judged each on its own. Branches of low importance are removed
-from each page with all below them. Before that, elements whose tags, roles or
+from each page with all below them, on every host with two different pages or more. Before that, elements whose tags, roles or
 class names say what they are (menus, headers, footers, sidebars, notices, adverts, forms, comments,
 scripts, styles) are left out, and pages that mark their article or main part keep that part alone. The
 tree judges the branches inside that part too, by counts of their own in which equal articles of a host
@@ -51,8 +51,8 @@ _P_ENDS = BLOCK - {"html", "body", "head"}
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("article section div table ul ol dl main body html td th nav aside footer header form blockquote".split())
 
-#: Weight of contents against presentations, the importance below which a branch goes, and the pages it must be on.
-GAMMA, LEAST_IMPORTANCE, LEAST_PAGES = 0.9, 0.25, 8
+#: Weight of contents against presentations, and the importance below which a branch goes.
+GAMMA, LEAST_IMPORTANCE = 0.9, 0.25
 BROADCAST_BYTES = 8 << 20
 #: Where the paths inside an article or main part begin.
 PART = "part"
@@ -63,13 +63,13 @@ def _hash(text: str) -> int:
 
 
 class _Element:
-    __slots__ = ("tag", "path", "out", "main", "content", "tags", "key")
+    __slots__ = ("tag", "path", "out", "main", "content", "tags", "at")
 
     def __init__(self, tag: str, path: str, out: bool, main: bool):
         self.tag, self.path, self.out, self.main = tag, path, out, main
         self.content: list[str] = []
         self.tags: list[str] = []
-        self.key: int | None = None
+        self.at: int | None = None
 
 
 #: Class names that begin so tell of a neighbour or a state, not of the element itself.
@@ -96,16 +96,17 @@ def _left_out(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
     return bool(said & (OUT_WORDS - {"header"} if in_article else OUT_WORDS))
 
 
-def read_page(source: str) -> tuple[list[tuple[list[int], str]], bool, list[tuple[int, int, int, int, bool]]]:
-    """(blocks, main, branches): blocks as (keys, text) in page order, those of the article or main part if main.
+def read_page(source: str) -> tuple[list[tuple[list[int], str]], bool, list[tuple[int, int, int, bool, bool]]]:
+    """(blocks, main, branches): blocks as (at, text) in page order, those of the article or main part if main.
 
-    Branches are (path, presentation, content, key, inside), equal ones once: those outside that part, and those
-    inside it, whose paths begin there. A block has the keys of all branches it is in on its side.
+    Branches are (path, presentation, content, first, inside), equal ones once: those outside that part, and those
+    inside it, whose paths begin there; first tells whether path and content are new on the page. What is left out
+    has none. A block has the places of all branches it is in on its side.
     """
     root = _Element("", "", False, False)
     stack = [root]
     blocks: list[tuple[list[_Element], str, bool]] = []
-    branches: dict[int, tuple[int, int, int, bool]] = {}
+    branches: dict[tuple[int, int, int, bool], int] = {}
     text: list[str] = []
 
     def flush() -> None:
@@ -130,10 +131,9 @@ def read_page(source: str) -> tuple[list[tuple[list[int], str]], bool, list[tupl
             if stack[-1].tag in BLOCK:
                 flush()
             e = stack.pop()
-            if e.path not in ("", PART) and e.content:
+            if e.path not in ("", PART) and e.content and not e.out:
                 branch = (_hash(e.path), _hash(" ".join(e.tags)), _hash("\n".join(e.content)), e.main)
-                e.key = _hash(repr(branch))
-                branches[e.key] = branch
+                e.at = branches.setdefault(branch, len(branches))
 
     at, size = 0, len(source)
     for m in iter(lambda: _TAG.search(source, at), None):
@@ -188,16 +188,18 @@ def read_page(source: str) -> tuple[list[tuple[list[int], str]], bool, list[tupl
     flush()
     close(1)
     main = any(b[2] for b in blocks)
-    kept = [([e.key for e in of if e.key is not None and e.main == inside], t) for of, t, inside in blocks if inside or not main]
-    return kept, main, [(*v[:3], k, v[3]) for k, v in branches.items()]
+    kept = [([e.at for e in of if e.at is not None and e.main == inside], t) for of, t, inside in blocks if inside or not main]
+    met: set[tuple[int, int]] = set()
+    told = [(p, s, c, (p, c) not in met and not met.add((p, c)), inside) for p, s, c, inside in branches]
+    return kept, main, told
 
 
-_TYPE = "struct<blocks:array<struct<keys:array<long>,text:string>>,main:boolean,branches:array<struct<path:long,style:long,content:long,key:long,inside:boolean>>>"
-_BRANCH = ("path", "style", "content", "key", "inside")
+_TYPE = "struct<blocks:array<struct<at:array<int>,text:string>>,main:boolean,branches:array<struct<path:long,style:long,content:long,first:boolean,inside:boolean>>>"
+_BRANCH = ("path", "style", "content", "first", "inside")
 _ARROW = pa.struct([
-    ("blocks", pa.list_(pa.struct([("keys", pa.list_(pa.int64())), ("text", pa.string())]))),
+    ("blocks", pa.list_(pa.struct([("at", pa.list_(pa.int32())), ("text", pa.string())]))),
     ("main", pa.bool_()),
-    ("branches", pa.list_(pa.struct([(c, pa.bool_() if c == "inside" else pa.int64()) for c in _BRANCH]))),
+    ("branches", pa.list_(pa.struct([(c, pa.bool_() if c in ("first", "inside") else pa.int64()) for c in _BRANCH]))),
 ])
 
 
@@ -205,31 +207,32 @@ def _read_pages(pages: pa.Array) -> pa.Array:
     out = []
     for page in pages:
         blocks, main, branches = read_page(page.as_py() or "")
-        out.append({"blocks": [{"keys": k, "text": t} for k, t in blocks], "main": main, "branches": [dict(zip(_BRANCH, b, strict=True)) for b in branches]})
+        out.append({"blocks": [{"at": k, "text": t} for k, t in blocks], "main": main, "branches": [dict(zip(_BRANCH, b, strict=True)) for b in branches]})
     return pa.array(out, type=_ARROW)
 
 
 def style_tree(parsed: DataFrame, host: str, page: str) -> DataFrame:
-    """(host, key, pages, importance) of branches whose content is on two pages or more; equal pages of a host count once, and so do equal articles."""
+    """(host, key, importance) of branches whose content is on two pages or more; equal pages of a host count once, and so do equal articles."""
     b = F.col(f"{page}.branches")
     sides = F.array(F.filter(b, lambda x: ~x["inside"]), F.filter(b, lambda x: x["inside"]))
     once = parsed.filter(F.col(host).isNotNull()).select(F.col(host).alias("host"), F.explode(sides).alias("branches")).withColumn("whole", F.xxhash64("host", "branches"))
     once = once.groupBy("host", "whole").agg(F.any_value("branches").alias("branches"))
-    # A page counts once for each path, presentation, content and branch it has. These counts take few rows of the hottest host.
+    # A page counts once for each path, presentation and content it has. These counts take few rows of the hottest host.
     none = F.lit(None).cast("long")
 
     def counted(x: Column) -> Column:
-        kinds = [("path", none, none, none), ("style", x["style"], none, none), ("content", none, x["content"], none), ("key", x["style"], x["content"], x["key"])]
-        return F.array(*[F.struct(F.lit(kind).alias("kind"), x["path"].alias("path"), s.alias("style"), c.alias("content"), k.alias("key")) for kind, s, c, k in kinds])
+        kinds = [("path", none, none, F.lit(True)), ("style", x["style"], none, F.lit(True)), ("content", x["style"], x["content"], x["first"])]
+        return F.array(*[F.struct(F.lit(kind).alias("kind"), x["path"].alias("path"), s.alias("style"), c.alias("content"), n.alias("first")) for kind, s, c, n in kinds])
 
     each = once.select("host", F.explode(F.array_distinct(F.flatten(F.transform("branches", counted)))).alias("x")).select("host", "x.*")
-    counts = write_out(each.groupBy("host", "kind", "path", "style", "content", "key").agg(F.count(F.lit(1)).alias("n")), "tree")
+    counts = write_out(each.groupBy("host", "kind", "path", "style", "content").agg(F.sum(F.col("first").cast("long")).alias("n")), "tree")
     of = lambda kind, *by: counts.filter(F.col("kind") == kind).select("host", "path", *by, F.col("n").alias(f"n_{kind}"))
     own = lambda n: 1 - F.log2(n) / F.log2("n_path")
     # What the content alone keeps is left out first.
-    tree = of("content", "content").filter("n_content > 1").join(of("path"), ["host", "path"]).filter(own("n_content") * GAMMA < LEAST_IMPORTANCE)
-    tree = of("key", "style", "content", "key").join(tree, ["host", "path", "content"]).join(of("style", "style"), ["host", "path", "style"])
-    return tree.select("host", "key", F.col("n_path").alias("pages"), (own("n_content") * GAMMA + own("n_style") * (1 - GAMMA)).alias("importance"))
+    tree = of("content", "content").groupBy("host", "path", "content").agg(F.sum("n_content").alias("n_content")).filter("n_content > 1")
+    tree = tree.join(of("path"), ["host", "path"]).filter(own("n_content") * GAMMA < LEAST_IMPORTANCE)
+    tree = of("content", "style", "content").drop("n_content").join(tree, ["host", "path", "content"]).join(of("style", "style"), ["host", "path", "style"])
+    return tree.select("host", F.xxhash64("path", "style", "content").alias("key"), (own("n_content") * GAMMA + own("n_style") * (1 - GAMMA)).alias("importance"))
 
 
 def main_text(pages: DataFrame, url: str = "url", source: str = "html", out: str = "main_text") -> DataFrame:
@@ -240,11 +243,13 @@ def main_text(pages: DataFrame, url: str = "url", source: str = "html", out: str
     parsed = pages.withColumn(host, F.nullif(name, F.lit(""))).withColumn(page, F.arrow_udf(_read_pages, _TYPE)(F.col(source).cast("string"))).select(*keep, host, page)
     parsed = write_out(parsed, "pages")
     tree = style_tree(parsed, host, page)
-    drop = tree.filter((F.col("importance") < LEAST_IMPORTANCE) & (F.col("pages") >= LEAST_PAGES))
+    drop = tree.filter(F.col("importance") < LEAST_IMPORTANCE)
     drop = write_out(drop.groupBy(F.col("host").alias(f"{host}_of")).agg(F.collect_set("key").alias(low)), "low")
     size = drop.select(F.sum(F.size(low) * 8 + 64)).first()[0] or 0
     joined = parsed.join(F.broadcast(drop) if size <= BROADCAST_BYTES else drop, F.col(host) == F.col(f"{host}_of"), "left")
-    gone = lambda b: F.arrays_overlap(b["keys"], F.coalesce(F.col(low), F.array().cast("array<long>")))
+    low_set = F.coalesce(F.col(low), F.array().cast("array<long>"))
+    branch = lambda i: F.get(F.col(f"{page}.branches"), i)
+    gone = lambda b: (F.size(F.col(low)) > 0) & F.exists(b["at"], lambda i: F.array_contains(low_set, F.xxhash64(branch(i)["path"], branch(i)["style"], branch(i)["content"])))
     chars = lambda x: F.aggregate(x, F.lit(0), lambda n, b: n + F.length(b["text"]))
     all_of, left = (fresh(x, joined) for x in ("h_all", "h_left"))
     joined = joined.withColumn(all_of, F.col(f"{page}.blocks")).withColumn(left, F.filter(F.col(f"{page}.blocks"), lambda b: ~gone(b)))

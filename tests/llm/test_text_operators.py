@@ -327,6 +327,14 @@ def test_style_tree_judges_inside_the_article(spark):
     assert all(got[100 + i] == "7 told\nThe story as all tell it.\nIts end." and got[200 + i] == f"{i} told\nThe story as all tell it.\nIts end." for i in range(20))
 
 
+@pytest.mark.parametrize("pages", [2, 3, 7])
+def test_style_tree_judges_small_hosts(spark, pages):
+    page = "<body><div class=top>The same on all pages</div><div class=text>Own text {i}</div></body>"
+    rows = [(i, f"http://h.example/{i}", page.format(i=i)) for i in range(pages)] + [(100 + i, f"http://i.example/{i}", page.format(i=1)) for i in range(pages)]
+    got = {r["page_id"]: r["main_text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Own text {i}" and got[100 + i] == "The same on all pages\nOwn text 1" for i in range(pages))
+
+
 def test_warc_round_trip(spark):
     inner = "WARC/1.0\r\nWARC-Type: response\r\nX-Page-Id: 666\r\nContent-Length: 5\r\n\r\nfalse\r\n\r\n"
     big = "é" * 700
