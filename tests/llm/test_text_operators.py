@@ -274,6 +274,14 @@ def test_pii(spark, sf_dir):
     assert by[4]["redacted"] == "ünï ☃ 😀 mail: ü<EMAIL> 😀 <IP>" and by[8]["redacted"] is None
 
 
+def test_ibans_behind_others_and_of_all_countries():
+    ibans = lambda t: [t[a:b] for k, a, b, _ in pii.spans(t) if k == "iban"]
+    assert ibans("DE89370400440532013000 GB29NWBK60161331926819") == ["DE89370400440532013000", "GB29NWBK60161331926819"]
+    assert ibans("AB12 ORDER NUMBER DE89 3704 0044 0532 0130 00 DE89370400440532013001 NL91ABNA0417164300") == ["DE89 3704 0044 0532 0130 00", "NL91ABNA0417164300"]
+    others = ["TR330006100519786457841326", "SA0380000000608010167519", "AE070331234567890123456", "IL620108000000099999999", "BR1800360305000010009795493C1", "PK36SCBL0000001123456702", "UA213223130000026007233566001"]
+    assert ibans(" ".join(others)) == others and ibans(", ".join(others)) == others
+
+
 # ---------------------------------------------------------------- pages
 
 
