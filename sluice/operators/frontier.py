@@ -46,15 +46,17 @@ def eligible(now: float, lease_seconds: float, domain: str = "") -> Column:
     return free & (F.col("domain") == domain.lower()) if domain else free
 
 
-def next_batch(frontier: DataFrame, now: float, limit: int = 10, domain: str = "", lease_seconds: float = 900) -> DataFrame:
-    """The rows to work on next, as they stand: highest priority, then oldest, then by hash. A top-k, no global window."""
+def next_batch(frontier: DataFrame, now: float, limit: int | None = 10, domain: str = "", lease_seconds: float = 900) -> DataFrame:
+    """The rows to work on next, as they stand: highest priority, then oldest, then by hash. A top-k, no global window; all rows if limit is None."""
     order = [F.desc("priority"), F.asc("created_at"), F.asc("url_hash")]
-    return frontier.filter(eligible(now, lease_seconds, domain)).orderBy(*order).limit(max(1, min(limit, MOST_LEASED)))
+    ready = frontier.filter(eligible(now, lease_seconds, domain)).orderBy(*order)
+    return ready if limit is None else ready.limit(max(1, min(limit, MOST_LEASED)))
 
 
-def lease(frontier: DataFrame, batch: DataFrame, now: float, worker_id: str = "local", token: str = "") -> DataFrame:
-    """The frontier after the batch (at most MOST_LEASED rows, so broadcast) is handed to a worker."""
-    mine = F.broadcast(batch.select("url_hash", F.lit(True).alias("_mine")))
+def lease(frontier: DataFrame, batch: DataFrame, now: float, worker_id: str = "local", token: str = "", most: int | None = MOST_LEASED) -> DataFrame:
+    """The frontier after the batch is handed to a worker: broadcast as it has at most MOST_LEASED rows, unless most is None."""
+    mine = batch.select("url_hash", F.lit(True).alias("_mine"))
+    mine = mine if most is None else F.broadcast(mine)
     return _update(frontier.join(mine, "url_hash", "left"), {"status": F.lit("running"), "attempts": F.col("attempts") + 1, "worker_id": F.lit(worker_id), "locked_at": F.lit(now), "updated_at": F.lit(now), "lease_token": F.lit(token)}, frontier)
 
 

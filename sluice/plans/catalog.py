@@ -719,16 +719,14 @@ def store_round_trip(spark, sf_dir):
 @query()
 def pipeline_run(spark, sf_dir):
     pages = LandedPages(table(spark, sf_dir, "pages").select("url", "html"))
-    first = table(spark, sf_dir, "pages").agg(F.min_by("url", "page_id")).first()[0]
-    spec = {"steps": [{"step": "frontier_add", "source": "urls", "urls": [first]}, {"step": "frontier_next", "limit": 5}, {"step": "crawl_products", "fields": {"title": "h1", "links": "a@href"}}, {"step": "filter", "condition": "title exists"}]}
+    spec = {"steps": [{"step": "frontier_add", "source": "pages"}, {"step": "frontier_next", "limit": "all"}, {"step": "crawl_products", "fields": {"title": "h1", "links": "a@href"}}, {"step": "filter", "condition": "title exists"}]}
     return Pipeline(spec).run(spark, pages, now=1.0).records.select("url", "title")
 
 
 @query()
 def crawl_levels(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("url", "html")
-    first = [r[0] for r in pages.orderBy("url").limit(3).collect()]
-    return crawl(pages, CrawlSpec(first, max_depth=2))
+    return crawl(pages, CrawlSpec(pages.select("url"), max_depth=2))
 
 
 @query("SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, count(*)::BIGINT AS n FROM events GROUP BY 1, 2")

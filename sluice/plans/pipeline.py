@@ -105,7 +105,10 @@ def crawl_lists(state: State, step: dict, c: Context) -> None:
 
 
 def frontier_add(state: State, step: dict, c: Context) -> None:
-    urls = state.links.select("url", "pos") if step.get("source", "links") == "links" and not step.get("urls") else c.spark.createDataFrame([(u, i) for i, u in enumerate(step.get("urls", ()))], "url string, pos long")
+    if step.get("source") == "pages":
+        urls = c.pages.urls().select("url", F.monotonically_increasing_id().alias("pos"))
+    else:
+        urls = state.links.select("url", "pos") if step.get("source", "links") == "links" and not step.get("urls") else c.spark.createDataFrame([(u, i) for i, u in enumerate(step.get("urls", ()))], "url string, pos long")
     before = state.frontier if state.frontier is not None else c.spark.createDataFrame([], frontier.SCHEMA)
     options = {"priority": int(step.get("priority", 0)), "kind": step.get("kind", "detail"), "depth": int(step.get("depth", 0)), "parent_url": step.get("parent_url", ""), "payload_json": json.dumps(step.get("payload", {}), sort_keys=True)}
     state.frontier, _ = frontier.add_urls(before, urls, c.now, order="pos", **options)
@@ -115,9 +118,10 @@ def frontier_next(state: State, step: dict, c: Context) -> None:
     if state.frontier is None:
         raise ValueError("frontier_next comes after frontier_add")
     now = write_out(state.frontier, "frontier")
-    batch = frontier.next_batch(now, c.now, int(step.get("limit", 20)), step.get("domain", ""), float(step.get("lease_seconds", 900)))
+    most = None if step.get("limit") == "all" else int(step.get("limit", 20))
+    batch = frontier.next_batch(now, c.now, most, step.get("domain", ""), float(step.get("lease_seconds", 900)))
     batch = write_out(batch, "batch")
-    state.frontier = frontier.lease(now, batch, c.now, step.get("worker_id", "pipeline"))
+    state.frontier = frontier.lease(now, batch, c.now, step.get("worker_id", "pipeline"), most=most)
     state.links = batch.select("url", F.col("kind").alias("text"), F.lit(None).cast("string").alias("source_list_url"), F.monotonically_increasing_id().alias("pos"))
 
 

@@ -32,9 +32,9 @@ def bfs(start: DataFrame, follow: Callable[[DataFrame], DataFrame], most_depth:
 
 @dataclass
 class CrawlSpec:
-    """What to crawl: start URLs, link rules in order (pattern, label), allowed domains and depth."""
+    """What to crawl: start URLs (a list or a DataFrame with url), link rules in order (pattern, label), allowed domains and depth."""
 
-    start_urls: list[str]
+    start_urls: list[str] | DataFrame
     rules: list[tuple[str, str]] = field(default_factory=list)
     allow: tuple[str, ...] = ()
     deny: tuple[str, ...] = ()
@@ -54,7 +54,8 @@ def crawl(pages: DataFrame, spec: CrawlSpec) -> DataFrame:
     """(url, depth, found): every URL reached, whether a landed page answers it. pages: (url, html)."""
     spark = pages.sparkSession
     landed = write_out(pages.select(urls.canonical_url(F.col("url")).alias("node"), "html").filter(F.col("node").isNotNull()).groupBy("node").agg(F.any_value("html").alias("html")), "landed")
-    start = spark.createDataFrame([(u,) for u in spec.start_urls], "u string").select(urls.canonical_url(F.col("u")).alias("node")).filter(F.col("node").isNotNull())
+    given = spec.start_urls if isinstance(spec.start_urls, DataFrame) else spark.createDataFrame([(u,) for u in spec.start_urls], "url string")
+    start = given.select(urls.canonical_url(F.col("url")).alias("node")).filter(F.col("node").isNotNull())
 
     def follow(level: DataFrame) -> DataFrame:
         found = links(level.join(landed, "node"), spec.selector, html="html", url="node")

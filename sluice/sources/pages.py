@@ -16,6 +16,8 @@ MOST_CHARS = 80_000
 class PageSource(Protocol):
     def fetch(self, urls: DataFrame, whole: bool = False) -> DataFrame: ...
 
+    def urls(self) -> DataFrame: ...
+
 
 class LandedPages:
     """Pages (url, html, ...) landed as Parquet."""
@@ -27,6 +29,9 @@ class LandedPages:
     def read(spark: SparkSession, path: str) -> LandedPages:
         return LandedPages(spark.read.parquet(path))
 
+    def urls(self) -> DataFrame:
+        return self.pages.select("url")
+
     def fetch(self, urls: DataFrame, whole: bool = False) -> DataFrame:
         """urls (url, ...) with html, ok and truncated. Of pages landed twice any one answers."""
         landed = self.pages.select(canonical_url(F.col("url")).alias("_key"), "html").filter(F.col("_key").isNotNull()).groupBy("_key").agg(F.any_value("html").alias("_html"))
