@@ -148,7 +148,7 @@ def brute_jaccard(rows):
     for key, s in sets.items():
         if s is not None:
             classes[s].append(key[0])
-    rep = {s: min(i, key=lambda x: (x is not None, x)) for s, i in classes.items()}
+    rep = {s: min(i, key=lambda x: (x is not None, x or 0)) for s, i in classes.items()}
     index = defaultdict(list)
     names = list(classes)
     for n, s in enumerate(names):
@@ -170,12 +170,16 @@ def brute_jaccard(rows):
     group = defaultdict(list)
     for n, s in enumerate(names):
         group[find(n)].append(rep[s])
-    return {key: (min(group[find(names.index(s))]), rep[s], links[names.index(s)]) if s is not None else (key[0], key[0], 0) for key, s in sets.items()}
+    first = lambda ids: min(ids, key=lambda x: (x is not None, x or 0))
+    return {key: (first(group[find(names.index(s))]), rep[s], links[names.index(s)]) if s is not None else (key[0], key[0], 0) for key, s in sets.items()}
 
 
 def test_jaccard_groups(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(jaccard, "CHUNK", 8)
-    rows = [(r[0], r[1]) for r in documents(spark, sf_dir)[0] if r[0] is not None]
+    monkeypatch.setattr(jaccard, "CHUNK_BYTES", 1 << 14)
+    monkeypatch.setattr(jaccard, "SLICE", 300)
+    rows = [(r[0], r[1]) for r in documents(spark, sf_dir)[0]]
+    rows += [(None, "one two three"), (None, "these words stand in rows without an id"), (None, "these words stand in rows without an id"), (None, "  these words stand in\nrows without an id")]
     base = [f"word{i}" for i in range(120)]
     near = []
     for i in range(40):  # a group in which most, but not all, are linked
@@ -185,13 +189,15 @@ def test_jaccard_groups(spark, sf_dir, monkeypatch):
         near.append((4000 + i, " ".join(w)))
     rows += near
     want = brute_jaccard(rows)
-    got = jaccard.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert len(got) == len(rows)
-    text = dict(rows)
-    for r in got:
-        assert (r["class_id"], r["copy_id"], r["n_links"]) == want[(r["doc_id"], text[r["doc_id"]])], r["doc_id"]
-    kept = jaccard.one_per_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted(r["doc_id"] for r in kept) == sorted({want[k][0] for k in want})
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, wanted int, gone_id int, group int")
+    got = jaccard.jaccard_groups(df).collect()
+    assert Counter(map(tuple, got)) == Counter((i, *want[(i, t)]) for i, t in rows)
+    kept = jaccard.one_per_group(df).collect()
+    # A group is told by its class id, and those without one by the texts of their rows.
+    nameless = {t for i, t in rows if want[(i, t)][0] is None}
+    alone = lambda t: " ".join(WORD.findall(t))
+    assert Counter(r["doc_id"] for r in kept if r["doc_id"] is not None) == Counter({want[k][0] for k in want} - {None})
+    assert sorted(alone(r["text"]) for r in kept if r["doc_id"] is None) == sorted({alone(t) for t in nameless} - {alone(t) for i, t in rows if i is not None and t in nameless and want[(i, t)][1] is not None})
     assert jaccard.jaccard_groups(empty(spark)).count() == 0 and jaccard.one_per_group(empty(spark)).count() == 0
 
 
