@@ -367,11 +367,34 @@ def test_warc_round_trip(spark):
     assert want == sorted((r["page_id"] is not None, r["page_id"] or 0, r["payload_bytes"], r["payload_digest"]) for r in got)
     assert {(r["page_id"], r["record_type"], r["refers_to"]) for r in got if r["page_id"] in (1, 2, 3, 9)} == {(1, "response", None), (2, "revisit", 3), (3, "response", None), (9, "response", None)}
     assert all(bytes(r["payload"]).decode() == (dict((i, h) for i, _, h in rows)[r["page_id"]] or "") for r in got if r["record_type"] == "response")
+    assert {r["page_id"]: r["url"] for r in got if r["page_id"] != 2} == {i: u for i, u, _ in rows if i != 2} and {r["url"] for r in got if r["page_id"] == 2} == {"http://b\r\nX: y"}
+    assert all(bytes(r["payload"]).decode() == big for r in got if r["record_type"] == "revisit")
     none = new_path(spark, "archive")
     warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), none)
     assert warc.read_warc(spark, none).count() == 0
 
 
+def test_warc_header_lines_end_with_crlf_only(spark):
+    urls = ["http://x/a\u2028X-Page-Id: 999 b", "http://x/\u0085X-Page-Id: 998", "http://x/\u2029", "", "  http://x/blanks \t", "http://x/\nContent-Length: 3", "é", None, "http://x/%0A"]
+    rows = [(i, u, f"<p>{i}</p>" + "x" * 1000 * (i % 2)) for i, u in enumerate(urls)] + [(100, "http://y\u2028X-Refers-To-Page: 7", "<p>1</p>" + "x" * 1000)]
+    path = new_path(spark, "archive")
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    got = {r["page_id"]: r for r in warc.read_warc(spark, path).collect()}
+    assert {i: r["url"] for i, r in got.items()} == {i: u for i, u, _ in rows}
+    assert got[1]["refers_to"] == 100 and bytes(got[1]["payload"]).decode() == rows[1][2] and got[100]["record_type"] == "response"
+
+
+def test_warc_of_version_1_1_and_a_revisit_of_what_is_not_there(spark, tmp_path):
+    head = "WARC/1.1\r\nWARC-Type: {}\r\nWARC-Record-ID: <urn:{}>\r\nX-Page-Id: {}\r\n{}Content-Type: application/http\r\nContent-Length: {}\r\n\r\n{}\r\n\r\n"
+    http = "HTTP/1.1 200 OK\r\nContent-Length: {}\r\n\r\n{}"
+    one, two = http.format(2, "hi"), http.format(2000, "")
+    text = head.format("response", "a", 1, "", len(one), one) + head.format("revisit", "b", 2, "WARC-Refers-To: <urn:a>\r\n", len(one) - 2, http.format(2, "")) + head.format("revisit", "c", 3, "WARC-Refers-To: <urn:z>\r\nWARC-Payload-Digest: sha1:77\r\n", len(two), two)
+    (tmp_path / "a.warc").write_bytes(text.encode())
+    got = {r["page_id"]: (r["refers_to"], r["payload_bytes"], r["payload_digest"], bytes(r["payload"])) for r in warc.read_warc(spark, str(tmp_path)).collect()}
+    sha = hashlib.sha1(b"hi").hexdigest()
+    assert got == {1: (None, 2, sha, b"hi"), 2: (1, 2, sha, b"hi"), 3: (None, 2000, "77", b"")}
+
+
 # ---------------------------------------------------------------- chat
 
 
