@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -235,14 +237,71 @@ def test_tiling_finds_reordered_passages(spark):
     assert decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), none).count() == len(docs)
 
 
-def test_blocks_of_the_benchmark_agree(spark, sf_dir, monkeypatch):
-    docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    one = {(r["doc_id"], h["item"]) for r in decontaminate.find_hits(docs, bench).collect() for h in r["hits"]}
-    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 2000)
-    assert one == {(r["doc_id"], h["item"]) for r in decontaminate.find_hits(docs, bench).collect() for h in r["hits"]}
-    items = [(r["item_id"], " ".join(decontaminate.words(r["text"]))) for r in bench.collect()]
-    whole = {(r["doc_id"], i) for r in docs.collect() for i, t in items if t and f" {t} " in f" {' '.join(decontaminate.words(r['text']))} "}
-    assert whole and whole <= one
+def plain_tiles(item, doc, least):
+    """Greedy string tiling word by word: the longest common runs of unmarked words, until they are too short."""
+    free_i, free_d, out = [True] * len(item), [True] * len(doc), []
+    while True:
+        best = {}
+        for x in range(len(item)):
+            for y in range(len(doc)):
+                n = 0
+                while x + n < len(item) and y + n < len(doc) and item[x + n] == doc[y + n] and free_i[x + n] and free_d[y + n]:
+                    n += 1
+                if n:
+                    best.setdefault(n, []).append((x, y))
+        s = max(best, default=0)
+        if s < least:
+            return sorted(out, reverse=True)
+        for x, y in best[s]:
+            if all(free_i[x : x + s]) and all(free_d[y : y + s]):
+                free_i[x : x + s] = free_d[y : y + s] = [False] * s
+                out.append(s)
+
+
+def test_tiling_is_greedy():
+    rng = random.Random(5)
+    for _ in range(150):
+        letters = "ab" if rng.random() < 0.3 else "abcdefgh"
+        item = [rng.choice(letters) for _ in range(rng.randint(1, 30))]
+        doc = [rng.choice(letters) for _ in range(rng.randint(0, 40))]
+        cut = rng.randint(0, len(item))
+        doc[rng.randint(0, len(doc)) :] = item[cut:] + doc[:3] + item[:cut]
+        for least in (1, 3, 5):
+            i, d = (decontaminate.tokens(" ".join(x)) for x in (item, doc))
+            n = min(least, len(item))
+            want = plain_tiles(item, doc, n)
+            assert sorted((x[0] for x in decontaminate.tile(i, d, n)), reverse=True) == want
+            # Cut to the parts under seeds, the places keep their order, so tiles are the same.
+            assert sorted((x[0] for x in decontaminate.tile(i, decontaminate._parts(d, i, n), n)), reverse=True) == want
+    one, many = decontaminate.tokens("word " * 1000), decontaminate.tokens("word " * 200_000)
+    began = time.time()
+    assert decontaminate.tile(one, many) == [(1000, 0, 0)] and time.time() - began < 5
+
+
+@pytest.mark.parametrize("filter_bytes,broadcast", [(1 << 20, 8 << 20), (-1, -1)])
+def test_hits_against_plain_tiling(spark, sf_dir, monkeypatch, filter_bytes, broadcast):
+    monkeypatch.setattr(decontaminate, "FILTER_BYTES", filter_bytes)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", broadcast)
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect() if len(r["text"]) < 3000]
+    bench = [(str(r["item_id"]), r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    w = bench[0][1].split()
+    docs += [(None, " ".join(w[len(w) // 2 :] + ["so"] + w[: len(w) // 2])), (5001, " ".join(w[:6])), (5001, " ".join(w[:6])), (5002, "what is the capital of spain"), (5003, "what is the capital of france or so they asked"), (5004, "a b " * 40), (5005, "")]
+    bench += [("q", "What is the capital of France, or so?"), ("z", "a b " * 12), ("z", "a b " * 12), (None, w[0]), ("e", "")]
+    want = Counter()
+    for i, t in docs:
+        got = decontaminate.words(t)
+        for key, item in set(bench):
+            of = decontaminate.words(item)
+            n = min(5, len(of))
+            if of and len({tuple(of[k : k + n]) for k in range(len(of) - n + 1)} & {tuple(got[k : k + n]) for k in range(len(got) - n + 1)}):
+                tiles = plain_tiles(of, got, n)
+                if sum(tiles) >= 0.5 * len(of) and sum(tiles) >= min(len(of), 8):
+                    want[i, key, len(of), sum(tiles), len(tiles)] += 1
+    df = spark.createDataFrame([(*r, "x", 1) for r in docs], "doc_id long, text string, hits string, hit_key int")
+    found = decontaminate.find_hits(df, spark.createDataFrame(bench, "item_id string, text string"), out="found").collect()
+    assert len(found) == len(docs) and Counter((r["doc_id"], *h) for r in found for h in r["found"]) == want and len(want) > 5
+    assert not any(k[0] == 5002 for k in want) and any(k[:2] == (5003, "q") for k in want)
+    assert decontaminate.find_hits(df.limit(0), spark.createDataFrame(bench, "item_id string, text string")).count() == 0
 
 
 # ---------------------------------------------------------------- personal data
