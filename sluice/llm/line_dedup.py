@@ -14,7 +14,7 @@ Only DataFrame functions are used.
 
 Edge cases: a null text stays null; an empty text stays empty; rows that repeat an id and a text are one
 document and share its result; a null id comes first in the order; an empty table gives an empty table;
-extra columns stay.
+extra columns stay, but for those that have the names of the results, which take their place.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from sluice.llm.parts import text_hash, without
 from sluice.session import write_out
 
-WORDS = 20
+#: Words of a repeated run that counts. What is shorter are trivial lines, which repeat by chance.
+WORDS = 5
 
 
 def lines(text: Column) -> Column:
@@ -67,7 +68,7 @@ def _sequences(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     """(id, hash, part, pos, at, n, r0): lines that occur twice or more, in parts without gaps, their words and rank."""
     body = F.transform(lines(F.col(text).cast("string")), lambda x, i: F.struct(i.alias("at"), F.trim(F.translate(x, "\t\r\x0b\x0c", "    ")).alias("s")))
     rows = docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), text_hash(F.col(text)).alias("hash"), F.posexplode(F.filter(body, lambda x: x["s"] != "")).alias("pos", "l"))
-    rows = rows.select("id", "hash", "pos", F.col("l.at").alias("at"), F.xxhash64("l.s").alias("a"), F.xxhash64("l.s", F.lit(1)).alias("b"), (F.length("l.s") - F.length(F.replace("l.s", F.lit(" "), F.lit(""))) + 1).alias("n"))
+    rows = rows.select("id", "hash", "pos", F.col("l.at").alias("at"), F.xxhash64("l.s").alias("a"), F.xxhash64(F.lit(1), F.col("l.s")).alias("b"), (F.length("l.s") - F.length(F.replace("l.s", F.lit(" "), F.lit(""))) + 1).alias("n"))
     rows = write_out(rows, "lines")
     twice = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
     ranked = _numbered(twice, "a", "b").withColumnRenamed("rank", "r0")

@@ -36,7 +36,6 @@ def without(docs: DataFrame, gone: DataFrame, split: Callable[[Column], Column],
     n = F.size(parts)
     left = F.transform(F.array_except(F.sequence(F.lit(0), n - 1), F.col(at)), lambda i: F.get(F.col(parts), i))
     cut = F.when(F.col(at).isNull(), F.col(text).cast("string")).otherwise(F.array_join(left, glue))
-    kept = [c for c in docs.columns if c != out]
-    counts = [n.cast("long").alias(f"{prefix}parts"), F.coalesce(F.size(at), F.lit(0)).cast("long").alias(f"{prefix}removed")]
-    counts[1] = F.when(F.col(at).isNull(), F.lit(0)).otherwise(F.size(at)).cast("long").alias(f"{prefix}removed")
-    return joined.select(*[F.col(c) for c in kept], cut.alias(out), *counts)
+    counts = {f"{prefix}parts": n.cast("long"), f"{prefix}removed": F.when(F.col(at).isNull(), F.lit(0)).otherwise(F.size(at)).cast("long")}
+    kept = [c for c in docs.columns if c.lower() not in {x.lower() for x in (out, *counts)}]
+    return joined.select(*[F.col(c) for c in kept], cut.alias(out), *[c.alias(k) for k, c in counts.items()])

@@ -88,16 +88,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _WORD = r"[^\x20\x09-\x0D]+"
 
 SQL: dict[str, str] = {
+    # All runs of 2 to 10 sentences that have the words, so more than the operator hashes.
     "op1_substring_dedup": r"""
 WITH d AS (SELECT doc_id, text, string_split(regexp_replace(text, '([.!?]\s|\n)', '\1' || chr(1), 'g'), chr(1)) AS p FROM documents),
 x AS (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM d WHERE text IS NOT NULL),
 s AS (SELECT doc_id, i, trim(regexp_replace(p[i], '\s+', ' ', 'g')) AS s FROM x),
 n AS (SELECT *, length(s) - length(replace(s, ' ', '')) + 1 AS w FROM s WHERE s <> ''),
-r AS (SELECT doc_id, i, s, w, lead(s) OVER o AS s2, lead(s, 2) OVER o AS s3, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3, lead(i) OVER o AS i2, lead(i, 2) OVER o AS i3
-    FROM n WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
-g AS (SELECT doc_id, i, i AS last, s AS g FROM r WHERE w >= 25
-    UNION ALL SELECT doc_id, i, i2, s || chr(2) || s2 FROM r WHERE w + w2 >= 25
-    UNION ALL SELECT doc_id, i, i3, s || chr(2) || s2 || chr(2) || s3 FROM r WHERE w + w2 + w3 >= 10),
+c AS (SELECT doc_id, list(s ORDER BY i) AS s, list(w ORDER BY i) AS w, list(i ORDER BY i) AS p FROM n GROUP BY doc_id),
+r AS (SELECT doc_id, s, w, p, x, x + k AS y, k FROM (SELECT *, unnest(range(1, len(s))) AS x FROM c), (SELECT unnest(range(1, 10)) AS k) WHERE x + k <= len(s)),
+g AS (SELECT doc_id, p[x] AS i, p[y] AS last, array_to_string(s[x:y], chr(2)) AS g FROM r WHERE list_sum(w[x:y]) >= CASE WHEN k = 1 THEN 25 ELSE 10 END),
 l AS (SELECT doc_id, i, last FROM g QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1),
 gone AS (SELECT DISTINCT doc_id, unnest(range(i, last + 1)) AS i FROM l),
 t AS (SELECT x.doc_id, string_agg(p[x.i], '' ORDER BY x.i) AS t FROM x ANTI JOIN gone ON x.doc_id = gone.doc_id AND x.i = gone.i GROUP BY x.doc_id),
@@ -158,7 +157,7 @@ s AS (SELECT doc_id, i, trim(translate(p[i], chr(9) || chr(11) || chr(12) || chr
 n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pos, length(s) - length(replace(s, ' ', '')) + 1 AS w FROM s WHERE s <> ''),
 e AS (SELECT b.doc_id, b.i, b.pos, b.w, a.doc_id AS other, b.pos - a.pos AS diagonal FROM n a JOIN n b ON a.s = b.s AND (a.doc_id, a.pos) < (b.doc_id, b.pos)),
 r AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, other, diagonal ORDER BY pos) AS island FROM e),
-gone AS (SELECT DISTINCT doc_id, i FROM (SELECT doc_id, i, sum(w) OVER (PARTITION BY doc_id, other, diagonal, island) AS words FROM r) WHERE words >= 20),
+gone AS (SELECT DISTINCT doc_id, i FROM (SELECT doc_id, i, sum(w) OVER (PARTITION BY doc_id, other, diagonal, island) AS words FROM r) WHERE words >= 5),
 t AS (SELECT x.doc_id, string_agg(p[x.i], chr(10) ORDER BY x.i) AS t FROM x ANTI JOIN gone ON x.doc_id = gone.doc_id AND x.i = gone.i GROUP BY x.doc_id),
 k AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN text IS NOT NULL THEN coalesce(t.t, '') END AS text, len(string_split(coalesce(text, ''), chr(10)))::BIGINT AS n_lines, coalesce(k.n, 0)::BIGINT AS n_removed

@@ -1,16 +1,19 @@
 """Substring dedup over sliding sentence spans.
 
-Every run of SPAN consecutive sentences is hashed, and so is every shorter run that has as many words as
-LONG. Equal runs are joined over all documents; sentences that a run covers which is not the first of its
-kind (by document id, then position) are removed. What is left of a text is as it was, spaces included.
+Every run of several consecutive sentences is hashed that is just long enough to count: two sentences of
+LONG words or more, or SPAN sentences and as many more as LEAST words take. Of each sentence these are the
+shortest such run that starts with it and the shortest that ends with it; they cover every longer run.
+Equal runs are joined over all documents; sentences that a run covers which is not the first of its kind
+(by document id, then position) are removed. What is left of a text is as it was, spaces included.
 
 Sentences end behind . ! or ? and a white space, or with a line. Runs are equal if their sentences are,
-with white space at their ends off and white space inside as one space. Runs of fewer than LEAST words
-don't count, so that chance repeats of very short sentences stay.
+with white space at their ends off and white space inside as one space. Shorter runs don't count, so that
+chance repeats of very short sentences stay; a passage of short sentences counts by its words in sum.
 
 Edge cases: a null text stays null and has no sentences; an empty text stays empty; a repeat inside one
 document is removed as one between two; rows that repeat an id and a text are one document and share its
-result; a null id comes first in the order; an empty table gives an empty table; extra columns stay.
+result; a null id comes first in the order; an empty table gives an empty table; extra columns stay, but
+for those that have the names of the results, which take their place.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from pyspark.sql import functions as F
 from sluice.llm.parts import text_hash, without
 from sluice.session import write_out
 
+#: Sentences and words of a run: two sentences with LONG words, or SPAN or more with LEAST words.
 SPAN, LONG, LEAST = 3, 25, 10
 
 
@@ -29,35 +33,48 @@ def sentences(text: Column) -> Column:
     return F.split(text, r"(?<=[.!?]\s)|(?<=\n)")
 
 
+def _spans(n: Column) -> Column:
+    """Of the sentences' numbers of words: start * LEAST + number of sentences - 1 of the shortest runs that count."""
+
+    def shortest(i: Column, step: int) -> Column:
+        """How many sentences the run takes that starts (step 1) or ends (-1) at i; null if the text has too few."""
+        one, two, three = (F.get(n, i + step * k) for k in range(3))
+        ahead = F.slice(n, i + 1, F.lit(LEAST)) if step > 0 else F.reverse(F.slice(n, F.greatest(i - LEAST + 2, F.lit(1)), F.least(i + 1, F.lit(LEAST))))
+        grown = F.aggregate(ahead, F.struct(F.lit(0).alias("k"), F.lit(0).alias("w")), lambda s, x: F.when((s["w"] >= LEAST) & (s["k"] >= SPAN), s).otherwise(F.struct((s["k"] + 1).alias("k"), (s["w"] + x).alias("w"))))
+        long = F.when((grown["w"] >= LEAST) & (grown["k"] >= SPAN), grown["k"])
+        return F.when(one + two >= LONG, F.lit(2)).when(one + two + three >= LEAST, F.lit(SPAN)).when(three.isNotNull(), long)
+
+    first = F.transform(n, lambda _, i: i * LEAST + shortest(i, 1) - 1)
+    last = F.transform(n, lambda _, i: (i - shortest(i, -1) + 1) * LEAST + shortest(i, -1) - 1)
+    return F.filter(F.array_distinct(F.concat(first, last)), lambda x: x.isNotNull())
+
+
 def _runs(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """(id, hash, at, last, a, b): runs of sentences from position at to last and their 128-bit hash."""
+    """(id, hash, at, last, a, b): per document arrays of runs, of sentences from position at to last, and their 128-bit hashes."""
     clean = F.transform(sentences(F.col(text).cast("string")), lambda s, i: F.struct(i.alias("i"), F.trim(F.regexp_replace(s, r"\s+", " ")).alias("s")))
-    hashed = F.transform(
-        F.filter(clean, lambda x: x["s"] != ""),
-        lambda x: F.struct(x["i"].alias("i"), F.xxhash64(x["s"]).alias("a"), F.xxhash64(x["s"], F.lit(1)).alias("b"), (F.length(x["s"]) - F.length(F.replace(x["s"], F.lit(" "), F.lit(""))) + 1).alias("n")),
-    )
-    df = docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), text_hash(F.col(text)).alias("hash"), hashed.alias("s"))
-    s = F.col("s")
-
-    def runs(x: Column, i: Column) -> Column:
-        out = []
-        for k in range(1, SPAN + 1):
-            of = [x, *[F.get(s, i + j) for j in range(1, k)]]
-            words = sum((y["n"] for y in of[1:]), of[0]["n"])
-            run = F.struct(x["i"].alias("at"), of[-1]["i"].alias("last"), F.xxhash64(*[y["a"] for y in of]).alias("a"), F.xxhash64(*[y["b"] for y in of]).alias("b"))
-            out.append(F.when(words >= (LEAST if k == SPAN else LONG), run))
-        return F.array(*out)
-
-    each = df.select("id", "hash", F.explode(F.transform(s, runs)).alias("r"))
-    return each.select("id", "hash", F.explode(F.filter("r", lambda x: x.isNotNull())).alias("r")).select("id", "hash", "r.*")
+    df = docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), text_hash(F.col(text)).alias("hash"), F.filter(clean, lambda x: x["s"] != "").alias("s"))
+    each = {
+        "i": lambda x: x["i"],
+        "n": lambda x: F.length(x["s"]) - F.length(F.replace(x["s"], F.lit(" "), F.lit(""))) + 1,
+        # Two seeds: what is equal under one need not be under the other.
+        "a": lambda x: F.xxhash64(x["s"]),
+        "b": lambda x: F.xxhash64(F.lit(1), x["s"]),
+    }
+    df = df.select("id", "hash", *[F.transform("s", f).alias(k) for k, f in each.items()]).withColumn("span", _spans(F.col("n")))
+    start, more = lambda x: F.floor(x / LEAST).cast("int"), lambda x: x % LEAST
+    of = lambda c: F.transform("span", lambda x: F.xxhash64(F.slice(c, start(x) + 1, more(x) + 1)))
+    place = lambda at: F.transform("span", lambda x: F.get("i", at(x)))
+    return df.select("id", "hash", place(start).alias("at"), place(lambda x: start(x) + more(x)).alias("last"), of("a").alias("a"), of("b").alias("b"))
 
 
 def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(id, hash, at) of all sentences that a run covers which is not the first of its kind."""
-    runs = _runs(docs, text, doc_id)
+    # Texts are cut and hashed once; what is written is read twice.
+    runs = write_out(_runs(docs, text, doc_id), "runs")
     # Counted by half of the hash first: most runs are found once and go no further than this sum.
-    twice = runs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a")
-    some = write_out(runs.join(twice, "a", "left_semi"), "runs")
+    twice = runs.select(F.explode("a").alias("a")).groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a")
+    each = runs.select("id", "hash", F.explode(F.arrays_zip("at", "last", "a", "b")).alias("r")).select("id", "hash", "r.*")
+    some = write_out(each.join(twice, "a", "left_semi"), "repeats")
     # What is not first is what the firsts leave: this join has the row itself in its key, so no hash is hot.
     first = some.groupBy("a", "b").agg(F.min(F.struct("id", "hash", "at")).alias("f")).select(F.col("a").alias("fa"), F.col("b").alias("fb"), "f.*").toDF("fa", "fb", "fid", "fhash", "fat")
     same = (F.col("a") == F.col("fa")) & (F.col("b") == F.col("fb")) & (F.col("hash") == F.col("fhash")) & (F.col("at") == F.col("fat")) & F.col("id").eqNullSafe(F.col("fid"))

@@ -73,9 +73,9 @@ def brute_spans(rows):
         parts = re.split(r"(?<=[.!?][ \t\n\x0b\f\r])|(?<=\n)", key[1])
         s = [(i, x) for i, x in ((i, re.sub(r"[ \t\n\x0b\f\r]+", " ", p).strip(" ")) for i, p in enumerate(parts)) if x]
         for at in range(len(s)):
-            for k in (1, 2, 3):
+            for k in range(2, 13):
                 run = s[at : at + k]
-                if len(run) == k and sum(len(x.split(" ")) for _, x in run) >= (10 if k == 3 else 25):
+                if len(run) == k and sum(len(x.split(" ")) for _, x in run) >= (25 if k == 2 else 10):
                     g = tuple(x for _, x in run)
                     if seen.setdefault(g, (key, at)) != (key, at):
                         gone[key] |= set(range(run[0][0], run[-1][0] + 1))
@@ -86,6 +86,8 @@ def test_substring_dedup(spark, sf_dir):
     rows, df = documents(spark, sf_dir)
     passage = "This passage is said again and again by many. It has some sentences of its own, all the same. They follow each other in this order! "
     rows = [(r[0], r[1]) for r in rows] + [(2000, "A start. " + passage + "An end."), (2001, "Else.\n" + passage.replace(" is", "  is") + "Over."), (2002, passage + passage)]
+    short = "Go on. Stop. Yes. No. Well then. So be it. Oh. "  # 10 words in all
+    rows += [(2010, "One more. " + short + "Ha!"), (2011, short), (2012, "Stop. Yes. No. Well then. So be it. Oh."), (2013, "Go. " * 9), (2014, "Up. " * 25)]
     gone = brute_spans(rows)
     out = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(out) == len(rows)
@@ -96,7 +98,7 @@ def test_substring_dedup(spark, sf_dir):
         parts = re.split(r"(?<=[.!?][ \t\n\x0b\f\r])|(?<=\n)", key[1])
         assert r["text"] == "".join(p for i, p in enumerate(parts) if i not in gone.get(key, ())), key[0]
     by = {r["doc_id"]: r["text"] for r in out}
-    assert by[2000] == "A start. " + passage + "An end." and by[2001] == "Else.\nOver." and by[2002] == ""
+    assert by[2000] == "A start. " + passage + "An end." and by[2001] == "Else.\nOver." and by[2002] == "" and by[2011] == "" and by[2012] == "Stop. Yes. No. Well then. So be it. Oh." and by[2013] == "Go. " * 9 and by[2014] == "Up. "
     assert substring_dedup.substring_dedup(empty(spark)).count() == 0
 
 
@@ -133,7 +135,7 @@ def test_line_dedup(spark, sf_dir):
         want = None if key[1] is None else "\n".join(x for i, x in enumerate(key[1].split("\n")) if i not in gone.get(key, ()))
         assert r["text"] == want, key[0]
     by = {r["doc_id"]: r for r in out}
-    assert by[3001]["text"] == "y" and by[3002]["lines_removed"] == 0 and by[3003]["lines_removed"] == 6
+    assert by[3001]["text"] == "y" and by[3002]["lines_removed"] == 3 and by[3003]["lines_removed"] == 6
     assert line_dedup.line_dedup(empty(spark)).count() == 0
 
 
