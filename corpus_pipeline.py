@@ -27,8 +27,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later copies of repeated runs of lines; documents of which nothing is left go."""
-    cut = line_dedup.line_dedup(docs, prefix="stage_lines_")
-    left = cut.filter((F.col("stage_lines_removed") == 0) | (F.trim(F.col("text")) != ""))
+    prefix = "lines_"
+    while any(c.lower().startswith(prefix.lower()) for c in docs.columns):
+        prefix += "_"
+    cut = line_dedup.line_dedup(docs, prefix=prefix)
+    left = cut.filter((F.col(f"{prefix}removed") == 0) | (F.trim(F.col("text")) != ""))
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
