@@ -33,16 +33,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.parts import text_hash
-from sluice.session import fresh, write_out
+from sluice.session import fresh, small_batches, write_out
 
 N_GRAM, THRESHOLD = 5, 0.8
 HASHES, BAND, STEP, TOLERANCE = 128, 4, 32, 1e-5
 #: Members of a bucket in one chunk and bytes of their shingles, both on average; two chunks are a block.
-CHUNK, CHUNK_BYTES = 1024, 4 << 20
+CHUNK, CHUNK_BYTES = 512, 4 << 20
 #: Blocks of at most so many rows are compared together, and so many shingles looked up at once.
 SMALL, PART = 512, 1 << 20
 #: A text is read in slices of so many bytes, each up to the end of a word.
-SLICE = 1 << 20
+SLICE = 1 << 17
 #: Ids of candidates that take up to this many bytes are broadcast; more of them are joined by id.
 BROADCAST_BYTES = 8 << 20
 
@@ -365,9 +365,10 @@ def near_links(docs: DataFrame, reps: DataFrame, threshold: float = THRESHOLD) -
 def _grouped(docs: DataFrame, text: str, doc_id: str, threshold: float) -> DataFrame:
     """(doc_id, hash, group, class_id, copy_id, n_links), one row per row of docs; group is null for those alone."""
     docs = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
-    sketches = write_out(sketch(docs), "sketches")
-    reps = write_out(classes(sketches), "classes")
-    links = near_links(docs, reps, threshold)
+    with small_batches(docs.sparkSession):
+        sketches = write_out(sketch(docs), "sketches")
+        reps = write_out(classes(sketches), "classes")
+        links = near_links(docs, reps, threshold)
     count = links.groupBy("key").agg(F.sum("links").alias("n_links"))
     label = components(links.filter(F.col("key") != F.col("root")).select(F.col("key").alias("a"), F.col("root").alias("b")))
     copies = reps.select("key", F.col("id").alias("copy_id"), "n")
