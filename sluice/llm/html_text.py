@@ -12,22 +12,27 @@ tree judges the branches inside that part too, by counts of their own in which e
 count once. An article of which the tree would take half of the characters or more is a copy, not a template, and
 stays whole.
 
+A page is read in one pass: an element holds hashes of its path, of the tags below it and of its contents,
+which its parent takes over when it closes, so time and memory grow with the page, however deep it is.
+
 Edge cases: a null or empty page gives an empty text; a page cut off anywhere is read as far as it goes,
 a tag that is cut off is dropped; pages with a null url or without a host form no tree; equal pages of a
-host count once in its tree; repeated rows are each extracted; extra columns stay, whatever their names.
+host count once in its tree; repeated rows are each extracted; extra columns stay, whatever their names, but for
+one that has the name of the result, which takes its place.
 """
 
 from __future__ import annotations
 
 import hashlib
 import html
+import itertools
 import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.session import fresh, write_out
+from sluice.session import fresh, small_batches, write_out
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<([/A-Za-z])[^>]*(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.DOTALL)
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -54,22 +59,29 @@ _SCOPE = frozenset("article section div table ul ol dl main body html td th nav
 #: Weight of contents against presentations, and the importance below which a branch goes.
 GAMMA, LEAST_IMPORTANCE = 0.9, 0.25
 BROADCAST_BYTES = 8 << 20
-#: Where the paths inside an article or main part begin.
-PART = "part"
+_PRIME, _BASE = (1 << 61) - 1, 0x1F3D5B79A2C4E688 >> 3
 
 
 def _hash(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") % _PRIME
+
+
+#: Where the paths inside an article or main part begin.
+PART = _hash("part")
 
 
 class _Element:
-    __slots__ = ("tag", "path", "out", "main", "content", "tags", "at")
+    """An open element: number is its branch; content and tags are polynomial hashes of sequences, of n texts and of tags."""
 
-    def __init__(self, tag: str, path: str, out: bool, main: bool):
-        self.tag, self.path, self.out, self.main = tag, path, out, main
-        self.content: list[str] = []
-        self.tags: list[str] = []
-        self.at: int | None = None
+    __slots__ = ("tag", "path", "out", "main", "content", "n", "tags", "number")
+
+    def __init__(self, tag: str, path: int, out: bool, main: bool, number: int):
+        self.tag, self.path, self.out, self.main, self.number = tag, path, out, main, number
+        self.content = self.n = self.tags = 0
+
+    def add(self, content: int, n: int) -> None:
+        self.content = (self.content * pow(_BASE, n, _PRIME) + content) % _PRIME
+        self.n += n
 
 
 #: Class names that begin so tell of a neighbour or a state, not of the element itself.
@@ -96,44 +108,46 @@ def _left_out(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
     return bool(said & (OUT_WORDS - {"header"} if in_article else OUT_WORDS))
 
 
-def read_page(source: str) -> tuple[list[tuple[list[int], str]], bool, list[tuple[int, int, int, bool, bool]]]:
+def read_page(source: str) -> tuple[list[tuple[int, str]], bool, list[tuple[int, int, int, bool, bool, int]]]:
     """(blocks, main, branches): blocks as (at, text) in page order, those of the article or main part if main.
 
-    Branches are (path, presentation, content, first, inside), equal ones once: those outside that part, and those
-    inside it, whose paths begin there; first tells whether path and content are new on the page. What is left out
-    has none. A block has the places of all branches it is in on its side.
+    Branches are (path, presentation, content, first, inside, last) in page order: those outside that part, and
+    those inside it, whose paths begin there; first tells whether path and content are new on the page, and all
+    up to the number last are below it. What is left out has none. at is the innermost branch of a block, or -1.
     """
-    root = _Element("", "", False, False)
+    root = _Element("", 0, False, False, -1)
     stack = [root]
-    blocks: list[tuple[list[_Element], str, bool]] = []
-    branches: dict[tuple[int, int, int, bool], int] = {}
+    opened: dict[str, int] = {}
+    blocks: list[tuple[int, str, bool]] = []
+    branches: list[tuple | None] = []
     text: list[str] = []
+    # Of each open element the innermost one that is a block, itself included.
+    around = [root]
 
     def flush() -> None:
         if text:
             words = " ".join("".join(text).split())
             text.clear()
             if words:
-                for e in stack:
-                    e.content.append(words)
-                at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag in BLOCK), 0)
-                blocks.append((stack[1 : at + 1], words, stack[-1].main))
+                stack[-1].add(_hash(words), 1)
+                blocks.append((around[-1].number, words, stack[-1].main))
 
     def add(piece: str) -> None:
         if not stack[-1].out:
             text.append(html.unescape(piece))
         elif words := " ".join(html.unescape(piece).split()):
-            for e in stack:
-                e.content.append(words)
+            stack[-1].add(_hash(words), 1)
 
     def close(to: int) -> None:
         while len(stack) > to:
             if stack[-1].tag in BLOCK:
                 flush()
             e = stack.pop()
-            if e.path not in ("", PART) and e.content and not e.out:
-                branch = (_hash(e.path), _hash(" ".join(e.tags)), _hash("\n".join(e.content)), e.main)
-                e.at = branches.setdefault(branch, len(branches))
+            around.pop()
+            opened[e.tag] -= 1
+            stack[-1].add(e.content, e.n)
+            if e.path not in (0, PART) and e.n and not e.out:
+                branches[e.number] = (e.path, e.tags, e.content, e.main, len(branches) - 1)
 
     at, size = 0, len(source)
     for m in iter(lambda: _TAG.search(source, at), None):
@@ -144,7 +158,7 @@ def read_page(source: str) -> tuple[list[tuple[list[int], str]], bool, list[tupl
             continue
         tag = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened.get(tag) else ():
                 if stack[k].tag == tag:
                     close(k)
                     break
@@ -163,7 +177,7 @@ def read_page(source: str) -> tuple[list[tuple[list[int], str]], bool, list[tupl
         attrs = {a[0].lower(): html.unescape(a[1] or a[2] or a[3]) for a in _ATTR.findall(m[3])} if m[3].strip(" /") else {}
         if tag in _P_ENDS or tag in _SAME:
             ends = _SAME.get(tag, set()) | ({"p"} if tag in _P_ENDS else set())
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if any(opened.get(x) for x in ends) else ():
                 if stack[k].tag in ends:
                     close(k)
                     break
@@ -171,35 +185,42 @@ def read_page(source: str) -> tuple[list[tuple[list[int], str]], bool, list[tupl
                     break
         up = stack[-1]
         style = tag + "".join(f".{c}" for c in sorted(attrs.get("class", "").split()))
+        of = _hash(style)
         for e in stack[-2:]:
-            e.tags.append(style)
+            e.tags = (e.tags * _BASE + of) % _PRIME
         main = up.main or (not up.out and (tag in ("article", "main") or attrs.get("role") == "main"))
         out = up.out or _left_out(tag, attrs, up.main)
         # The part itself is no branch of its own, and its classes, which may name one article, are no part of a path.
-        stack.append(_Element(tag, PART if main and not up.main and not out else f"{up.path}/{style}", out, main and not out))
+        path = PART if main and not up.main and not out else (up.path * _BASE + of + 1) % _PRIME
         if m[3].endswith("/") and tag not in BLOCK:
-            stack.pop()
-        elif tag in RAW:
+            continue
+        if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE).search(source, at)
             at = end.end() if end else size
-            stack.pop()
+            continue
+        stack.append(_Element(tag, path, out, main and not out, len(branches)))
+        around.append(stack[-1] if tag in BLOCK else around[-1])
+        opened[tag] = opened.get(tag, 0) + 1
+        branches.append(None)
     if at < size:
         add(source[at:])
     flush()
     close(1)
     main = any(b[2] for b in blocks)
-    kept = [([e.at for e in of if e.at is not None and e.main == inside], t) for of, t, inside in blocks if inside or not main]
+    # Numbers from here on count what has become a branch.
+    upto = list(itertools.accumulate((b is not None for b in branches), initial=0))
     met: set[tuple[int, int]] = set()
-    told = [(p, s, c, (p, c) not in met and not met.add((p, c)), inside) for p, s, c, inside in branches]
+    told = [(p, s, c, (p, c) not in met and not met.add((p, c)), inside, upto[last + 1] - 1) for p, s, c, inside, last in filter(None, branches)]
+    kept = [(upto[k] if k >= 0 and branches[k] else -1, t) for k, t, inside in blocks if inside or not main]
     return kept, main, told
 
 
-_TYPE = "struct<blocks:array<struct<at:array<int>,text:string>>,main:boolean,branches:array<struct<path:long,style:long,content:long,first:boolean,inside:boolean>>>"
-_BRANCH = ("path", "style", "content", "first", "inside")
+_TYPE = "struct<blocks:array<struct<at:int,text:string>>,main:boolean,branches:array<struct<path:long,style:long,content:long,first:boolean,inside:boolean,last:int>>>"
+_BRANCH = ("path", "style", "content", "first", "inside", "last")
 _ARROW = pa.struct([
-    ("blocks", pa.list_(pa.struct([("at", pa.list_(pa.int32())), ("text", pa.string())]))),
+    ("blocks", pa.list_(pa.struct([("at", pa.int32()), ("text", pa.string())]))),
     ("main", pa.bool_()),
-    ("branches", pa.list_(pa.struct([(c, pa.bool_() if c in ("first", "inside") else pa.int64()) for c in _BRANCH]))),
+    ("branches", pa.list_(pa.struct([*[(c, pa.int64()) for c in _BRANCH[:3]], ("first", pa.bool_()), ("inside", pa.bool_()), ("last", pa.int32())]))),
 ])
 
 
@@ -207,8 +228,9 @@ def _read_pages(pages: pa.Array) -> pa.Array:
     out = []
     for page in pages:
         blocks, main, branches = read_page(page.as_py() or "")
-        out.append({"blocks": [{"at": k, "text": t} for k, t in blocks], "main": main, "branches": [dict(zip(_BRANCH, b, strict=True)) for b in branches]})
-    return pa.array(out, type=_ARROW)
+        # Into Arrow page by page, as Python objects take many times the bytes.
+        out.append(pa.array([{"blocks": [{"at": k, "text": t} for k, t in blocks], "main": main, "branches": [dict(zip(_BRANCH, b, strict=True)) for b in branches]}], type=_ARROW))
+    return pa.concat_arrays(out) if out else pa.array([], type=_ARROW)
 
 
 def style_tree(parsed: DataFrame, host: str, page: str) -> DataFrame:
@@ -239,19 +261,23 @@ def main_text(pages: DataFrame, url: str = "url", source: str = "html", out: str
     """pages, without the source column, with the main text."""
     host, page, low = (fresh(x, pages) for x in ("h_host", "h_page", "h_low"))
     name = F.lower(F.regexp_extract(F.col(url).cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    keep = [c for c in pages.columns if c != source]
+    keep = [c for c in pages.columns if c.lower() not in (source.lower(), out.lower())]
+    of = fresh(f"{host}_of", pages)
     parsed = pages.withColumn(host, F.nullif(name, F.lit(""))).withColumn(page, F.arrow_udf(_read_pages, _TYPE)(F.col(source).cast("string"))).select(*keep, host, page)
-    parsed = write_out(parsed, "pages")
+    with small_batches(pages.sparkSession):
+        parsed = write_out(parsed, "pages")
     tree = style_tree(parsed, host, page)
     drop = tree.filter(F.col("importance") < LEAST_IMPORTANCE)
-    drop = write_out(drop.groupBy(F.col("host").alias(f"{host}_of")).agg(F.collect_set("key").alias(low)), "low")
+    drop = write_out(drop.groupBy(F.col("host").alias(of)).agg(F.collect_set("key").alias(low)), "low")
     size = drop.select(F.sum(F.size(low) * 8 + 64)).first()[0] or 0
-    joined = parsed.join(F.broadcast(drop) if size <= BROADCAST_BYTES else drop, F.col(host) == F.col(f"{host}_of"), "left")
-    low_set = F.coalesce(F.col(low), F.array().cast("array<long>"))
-    branch = lambda i: F.get(F.col(f"{page}.branches"), i)
-    gone = lambda b: (F.size(F.col(low)) > 0) & F.exists(b["at"], lambda i: F.array_contains(low_set, F.xxhash64(branch(i)["path"], branch(i)["style"], branch(i)["content"])))
-    chars = lambda x: F.aggregate(x, F.lit(0), lambda n, b: n + F.length(b["text"]))
-    all_of, left = (fresh(x, joined) for x in ("h_all", "h_left"))
-    joined = joined.withColumn(all_of, F.col(f"{page}.blocks")).withColumn(left, F.filter(F.col(f"{page}.blocks"), lambda b: ~gone(b)))
+    joined = parsed.join(F.broadcast(drop) if size <= BROADCAST_BYTES else drop, F.col(host) == F.col(of), "left")
+    # Branches of low importance on the side of the page that counts, as spans of branches.
+    spans, all_of, left = (fresh(x, joined) for x in ("h_spans", "h_all", "h_left"))
+    numbered = F.transform(F.col(f"{page}.branches"), lambda b, i: F.struct(i.alias("from"), b["last"].alias("to"), b["inside"].alias("inside"), F.xxhash64(b["path"], b["style"], b["content"]).alias("key")))
+    found = F.filter(numbered, lambda b: (b["inside"] == F.col(f"{page}.main")) & F.array_contains(low, b["key"]))
+    joined = joined.withColumn(spans, F.when(F.col(low).isNull(), F.array().cast("array<struct<from:int,to:int,inside:boolean,key:long>>")).otherwise(found))
+    gone = lambda b: F.exists(spans, lambda s: (s["from"] <= b["at"]) & (b["at"] <= s["to"]))
+    chars = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda n, b: n + F.length(b["text"]))
+    joined = joined.withColumn(all_of, F.col(f"{page}.blocks")).withColumn(left, F.when(F.size(spans) == 0, F.col(f"{page}.blocks")).otherwise(F.filter(F.col(f"{page}.blocks"), lambda b: ~gone(b))))
     kept = F.when(F.col(f"{page}.main") & (2 * chars(F.col(left)) <= chars(F.col(all_of))), F.col(all_of)).otherwise(F.col(left))
     return joined.withColumn(out, F.array_join(F.transform(kept, lambda b: b["text"]), "\n")).select(*keep, out)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import time
+import tracemalloc
 from collections import Counter, defaultdict
 
 import pytest
@@ -402,6 +404,71 @@ def test_style_tree_judges_inside_the_article(spark):
     assert all(got[100 + i] == "7 told\nThe story as all tell it.\nIts end." and got[200 + i] == f"{i} told\nThe story as all tell it.\nIts end." for i in range(20))
 
 
+def plain_tree(pages):
+    """The texts of pages (id, host, html) by the tree, from what read_page gives: counts in dicts, branches by walking."""
+    read = {i: html_text.read_page(h) for i, _, h in pages}
+    n_path, n_style, n_content, sets = Counter(), Counter(), Counter(), set()
+    for i, host, _ in pages:
+        for inside in (False, True):
+            side = [b[:3] for b in read[i][2] if b[4] == inside]
+            if host and (host, inside, tuple(side)) not in sets:
+                sets.add((host, inside, tuple(side)))
+                n_path.update({(host, b[0]) for b in side})
+                n_style.update({(host, *b[:2]) for b in side})
+                n_content.update({(host, b[0], b[2]) for b in side})
+    out = {}
+    for i, host, _ in pages:
+        blocks, main, branches = read[i]
+        low = []
+        for k, b in enumerate(branches):
+            if host and b[4] == main and (n := n_content[host, b[0], b[2]]) > 1:
+                own = lambda m: 1 - math.log(m) / math.log(n_path[host, b[0]])  # noqa: B023, E731
+                if 0.9 * own(n) + 0.1 * own(n_style[host, b[0], b[1]]) < 0.25:
+                    low.append(range(k, b[5] + 1))
+        left = [t for k, t in blocks if not any(k in x for x in low)]
+        if main and 2 * sum(map(len, left)) <= sum(len(t) for _, t in blocks):
+            left = [t for _, t in blocks]
+        out[i] = "\n".join(left)
+    return out
+
+
+def test_style_tree_against_plain_counts(spark):
+    rng = random.Random(11)
+    tags = ["div", "div class=a", "p", "ul", "section", "span", "b"]
+
+    def part(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return rng.choice(["Follow us on this site. ", "All rights kept. ", f"Own words {rng.randrange(10**6)} of one page. "])
+        tag = rng.choice(tags)
+        return f"<{tag}>" + "".join(part(depth - 1) for _ in range(rng.randint(1, 3))) + f"</{tag.split()[0]}>"
+
+    shared = ["<div class=top>Top of the site</div>", "<div class=note>" + part(3) + "</div>", "<p>Last words</p>"]
+    pages = []
+    for i in range(140):
+        of = rng.choice(["a", "b", "c", None])
+        body = "".join(part(4) for _ in range(rng.randint(1, 4)))
+        body = rng.choice(["<article>{}{}</article>{}", "{}{}{}", "<main>{}<div>{}</div></main>{}"]).format(*rng.sample(shared, 1), body, rng.choice(shared))
+        pages.append((i, of, f"<body>{body}</body>"))
+    pages += [(200 + k, *pages[0][1:]) for k in range(3)] + [pages[1]] * 3 + [(300, "d", None), (301, "d", "")]
+    rows = [(i, f"http://{h}.example/{i}" if h else rng.choice([None, "no host", ""]), p, "x", "y") for i, h, p in pages]
+    got = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, h_host_of string, main_text string")).collect()
+    want = plain_tree([(i, h, p or "") for i, h, p in pages])
+    assert len(got) == len(rows) and all(r["main_text"] == want[r["page_id"]] and r["h_host_of"] == "x" for r in got)
+    changed = sum(want[i] != "\n".join(t for _, t in html_text.read_page(p or "")[0]) for i, _, p in pages)
+    assert changed > 40
+
+
+def test_deep_and_long_pages_take_little():
+    deep = "<div>" * 50_000 + "x" + "</div>" * 10 + "<b>" * 50_000 + "y" + "</p>" * 1000
+    tracemalloc.start()
+    blocks, main, branches = html_text.read_page(deep)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [t for _, t in blocks] == ["x", "y"] and not main and len(branches) == 100_000 and most < 100e6
+    long = html_text.read_page("<article>" + "<p>one two</p>" * 20_000 + "w " * 500_000 + "</article>")
+    assert len(long[0]) == 20_001 and len(long[0][-1][1]) == 999_999
+
+
 @pytest.mark.parametrize("pages", [2, 3, 7])
 def test_style_tree_judges_small_hosts(spark, pages):
     page = "<body><div class=top>The same on all pages</div><div class=text>Own text {i}</div></body>"
