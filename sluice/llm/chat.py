@@ -44,7 +44,9 @@ def prefix_examples(turns: DataFrame) -> DataFrame:
     loss_start and loss_end are code points into formatted, the end exclusive.
     """
     e = lambda c: escape(F.coalesce(F.col(c).cast("string"), F.lit("")))
-    rows = turns.select("conv_id", F.struct(F.col("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("name"), e("role").alias("role"), e("text").alias("text")).alias("t"))
+    raw = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    # Turns are ordered by what they say, not by how that is written: the texts come before their escaped forms.
+    rows = turns.select("conv_id", F.struct(F.col("turn"), raw("role").alias("name"), raw("text").alias("said"), e("role").alias("role"), e("text").alias("text")).alias("t"))
     whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     size = F.size("turns")
     targets = F.filter(F.sequence(F.lit(1), size), lambda i: (F.element_at("turns", i)["name"] == "assistant") | (i == size))

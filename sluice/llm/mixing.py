@@ -3,11 +3,13 @@
 Documents may belong to several sources. They are aggregated by membership pattern; each pattern offers
 its words once for each repetition, at a cost that rises with every repetition; each source asks for its
 target. The cheapest flow from patterns to sources says how many words of each pattern every source
-takes; then whole documents are selected for it in seeded order.
+takes; then whole documents are selected for it in seeded order. The driver holds one number for each
+membership pattern and solves the flow, however many there are; documents and sums stay in tables.
 
 Edge cases: a null text has size 0 and is taken 0 times; a null source is a source of its own and comes
 last; repeated rows count each; ties in the seeded order fall to documents of the same id, ordered by
-size; an empty table gives an empty table; extra columns stay, whatever their names.
+size; rows without an id are ordered by their texts; an empty table gives an empty table; extra columns
+stay, whatever their names, but for those that have the names of the results, which take their place.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from sluice.session import fresh, write_out
 REPEATS = 3
 #: Parts into which the seeded order of a pattern is cut; the running sum inside one is a single task's work.
 PARTS = 4096
-#: The flow network is solved on the driver; it has an edge for each source of each pattern.
-MAX_EDGES = 2_000_000
+#: Quotas and cuts of patterns that take up to so many bytes are broadcast; more of them are joined by pattern.
+BROADCAST_BYTES = 8 << 20
 
 GAP_CHARS = r"[\x20\x09-\x0D]+"
 
@@ -125,17 +127,15 @@ def mix(docs: DataFrame, text: str = "text", sources: str = "source", doc_id: st
     target are those of the document's pattern: its one source's, or the sums over its sources.
     """
     several = dict(docs.dtypes)[sources].startswith("array")
-    size, pat, part, key = (fresh(x, docs) for x in ("q_size", "q_pattern", "q_part", "q_key"))
+    size, pat, part, key, chosen = (fresh(x, docs) for x in ("q_size", "q_pattern", "q_part", "q_key", "q_chosen"))
+    source_size, target, times, rest, cut, before, of = (fresh(x, docs) for x in ("q_source_size", "q_target", "q_times", "q_rest", "q_cut", "q_before", "q_of"))
     pattern = F.array_sort(F.array_distinct(F.col(sources))) if several else F.array(F.col(sources).cast("string"))
     sized = docs.withColumns({size: n_words(F.col(text).cast("string")), pat: F.coalesce(pattern, F.array(F.lit(None).cast("string")))})
-    sized = sized.withColumn(key, F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))))
+    named_by = F.coalesce(F.col(doc_id).cast("string"), F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))
+    sized = sized.withColumn(key, F.md5(F.concat(F.lit(f"{seed}:"), named_by)))
     sized = sized.withColumn(part, F.conv(F.substring(key, 1, 3), 16, 10).cast("int"))
-    groups = write_out(sized.groupBy(pat, part).agg(F.sum(size).alias("words")), "mix_parts")
-    totals = groups.groupBy(pat).agg(F.sum("words").alias("words"))
-    edges = totals.agg(F.sum(F.size(pat))).first()[0] or 0
-    if edges > MAX_EDGES:
-        raise ValueError(f"{edges} pattern-source edges; the flow is solved on the driver for up to {MAX_EDGES}")
-    patterns = {tuple(r[0]): int(r[1]) for r in totals.collect()}
+    groups = write_out(sized.groupBy(F.col(pat).alias("pat"), F.col(part).alias("part")).agg(F.sum(size).alias("words")), "mix_parts")
+    patterns = {tuple(r[0]): int(r[1]) for r in groups.groupBy("pat").agg(F.sum("words").alias("words")).toLocalIterator()}
     of_source: dict = {}
     for p, words in patterns.items():
         for s in p:
@@ -145,24 +145,25 @@ def mix(docs: DataFrame, text: str = "text", sources: str = "source", doc_id: st
 
     rows = []
     for p, words in patterns.items():
-        times = int(given[p] // words) if words else 0
-        rows.append((list(p), sum(of_source[s] for s in p), float(sum(goals[s] for s in p)), times, float(given[p] - times * words)))
-    quotas = docs.sparkSession.createDataFrame(rows, f"{pat} array<string>, q_source_size long, q_target double, q_times int, q_rest double")
-    order = Window.partitionBy(pat).orderBy(part).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        n = int(given[p] // words) if words else 0
+        rows.append((list(p), sum(of_source[s] for s in p), float(sum(goals[s] for s in p)), n, float(given[p] - n * words)))
+    quotas = docs.sparkSession.createDataFrame(rows, f"{of} array<string>, {source_size} long, {target} double, {times} int, {rest} double")
+    order = Window.partitionBy("pat").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # At most PARTS rows a pattern: where each part of the seeded order starts.
-    starts = groups.select(pat, part, (F.sum("words").over(order) - F.col("words")).alias("q_start"), F.col("words").alias("q_words"))
-    plan = write_out(starts.join(quotas, pat), "mix_plan")
-    last = plan.filter((F.col("q_start") <= F.col("q_rest")) & (F.col("q_start") + F.col("q_words") > F.col("q_rest")))
-    cut = last.groupBy(pat).agg(F.max(part).alias("q_cut"), F.max_by("q_start", part).alias("q_before"))
-    cuts = write_out(quotas.join(cut, pat, "left"), "mix_cuts")
-    small = edges <= 100_000
-    joined = sized.join(F.broadcast(cuts) if small else cuts, [pat], "left")
-    inside = F.col(part) == F.col("q_cut")
-    whole = joined.withColumn("q_chosen", F.when(F.col("q_cut").isNull(), F.col("q_rest") > 0).otherwise(F.col(part) < F.col("q_cut")))
+    starts = groups.select("pat", "part", (F.sum("words").over(order) - F.col("words")).alias("start"), "words")
+    plan = write_out(starts.join(quotas, F.col("pat") == F.col(of)), "mix_plan")
+    last = plan.filter((F.col("start") <= F.col(rest)) & (F.col("start") + F.col("words") > F.col(rest)))
+    cuts = last.groupBy("pat").agg(F.max("part").alias(cut), F.max_by("start", "part").alias(before))
+    cuts = write_out(quotas.join(cuts, F.col("pat") == F.col(of), "left").drop("pat"), "mix_cuts")
+    held = cuts.select(F.sum(64 + F.octet_length(F.concat_ws("", of)) + 16 * F.size(of))).first()[0] or 0
+    joined = sized.join(F.broadcast(cuts) if held <= BROADCAST_BYTES else cuts, F.col(pat) == F.col(of), "left")
+    inside = F.col(part) == F.col(cut)
+    whole = joined.withColumn(chosen, F.when(F.col(cut).isNull(), F.col(rest) > 0).otherwise(F.col(part) < F.col(cut)))
     # The running sum of each document inside its part: tasks hold a part of a source, never a whole one.
     seq = Window.partitionBy(pat, part).orderBy(key, size).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    near = whole.filter(inside).withColumn("q_chosen", F.col("q_before") + F.sum(size).over(seq) - F.col(size) / 2 <= F.col("q_rest"))
+    near = whole.filter(inside).withColumn(chosen, F.col(before) + F.sum(size).over(seq) - F.col(size) / 2 <= F.col(rest))
     both = whole.filter(F.coalesce(~inside, F.lit(True))).unionByName(near)
-    taken = F.col(size) * (F.col("q_times") + F.col("q_chosen").cast("int"))
-    named = {"size": F.col(size), "source_size": F.col("q_source_size"), "target": F.col("q_target"), "taken": taken.cast("long")}
-    return both.select(*docs.columns, *[c.alias(prefix + k) for k, c in named.items()])
+    taken = F.col(size) * (F.col(times) + F.col(chosen).cast("int"))
+    named = {"size": F.col(size), "source_size": F.col(source_size), "target": F.col(target), "taken": taken.cast("long")}
+    kept = [c for c in docs.columns if c.lower() not in {(prefix + k).lower() for k in named}]
+    return both.select(*[F.col(c) for c in kept], *[c.alias(prefix + k) for k, c in named.items()])

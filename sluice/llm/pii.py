@@ -2,7 +2,9 @@
 
 Kinds of the base, always kept once their check holds: email, ip (parts up to 255), card (13 to 19
 digits, Luhn), phone (9 to 15 digits). Kinds the method adds: iban (length of its country, mod 97), and
-ssn, which has no checksum and so needs a context word nearby.
+ssn, which has no checksum and so needs a context word nearby. Context words stand within WINDOW code points
+of the span, in English, German, French or Spanish; some raise its score and some lower it. Spans of the
+added kinds with a score below LEAST are dropped, those of the base keep theirs.
 
 Edge cases: a null text is an empty one and has no spans; texts of any length are scanned whole, in
 linear time; offsets are code points, the end exclusive; input columns of any name stay as they are.
@@ -28,7 +30,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])([A-Z]{2})[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
-_SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+# Areas 000, 666 and from 900, group 00 and serial 0000 are never given out.
+_SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _NON_DIGIT = re.compile(r"[^0-9]")
 
 # IBAN lengths by country, as in the registry.
@@ -41,16 +44,24 @@ IBAN_LENGTH = {
     "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
 }
 SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.3}
+# Words of English, German, French and Spanish that raise a score, and such that lower it.
 CONTEXT = {
-    "email": ("mail", "contact", "e-mail"),
-    "ip": ("ip", "address", "server", "host"),
-    "card": ("card", "visa", "mastercard", "credit", "payment"),
-    "phone": ("phone", "tel", "call", "mobile", "fax"),
-    "iban": ("iban", "account", "bank", "konto"),
-    "ssn": ("ssn", "social", "security"),
+    "email": ("mail", "e-mail", "email", "contact", "kontakt", "courriel", "adresse", "correo", "contacto"),
+    "ip": ("ip", "address", "server", "host", "adresse", "serveur", "servidor", "dirección", "rechner"),
+    "card": ("card", "visa", "mastercard", "credit", "payment", "karte", "kreditkarte", "zahlung", "carte", "paiement", "tarjeta", "crédito", "pago"),
+    "phone": ("phone", "tel", "call", "mobile", "fax", "telefon", "anruf", "mobil", "téléphone", "appel", "portable", "teléfono", "llamada", "móvil"),
+    "iban": ("iban", "account", "bank", "konto", "bankverbindung", "compte", "banque", "cuenta", "banco"),
+    "ssn": ("ssn", "social", "security", "sozialversicherung", "sécurité", "sociale", "seguridad", "seguro"),
+}
+AGAINST = {
+    "ip": ("version", "versión", "release", "firmware", "build"),
+    "card": ("isbn", "order", "bestellung", "commande", "pedido"),
+    "phone": ("isbn", "version"),
+    "ssn": ("order", "part", "serial", "bestellung", "commande", "pedido"),
 }
 BONUS, WINDOW, LEAST = 0.3, 40, 0.5
-_CONTEXT = {k: re.compile(r"\b(?:" + "|".join(map(re.escape, words)) + r")\b", re.IGNORECASE) for k, words in CONTEXT.items()}
+_near = lambda table: {k: re.compile(r"\b(?:" + "|".join(map(re.escape, words)) + r")\b", re.IGNORECASE) for k, words in table.items()}
+_CONTEXT, _AGAINST = _near(CONTEXT), _near(AGAINST)
 
 
 def luhn(digits: str) -> bool:
@@ -114,7 +125,8 @@ def spans(text: str) -> list[tuple[str, int, int, float]]:
     out = []
     for kind, start, end in found:
         near = text[max(0, start - WINDOW) : start] + "\n" + text[end : end + WINDOW]
-        score = min(1.0, SCORE[kind] + BONUS * bool(_CONTEXT[kind].search(near)))
+        against = kind in _AGAINST and _AGAINST[kind].search(near)
+        score = min(1.0, max(0.0, SCORE[kind] + BONUS * bool(_CONTEXT[kind].search(near)) - BONUS * bool(against)))
         if kind in BASE or score >= LEAST:
             out.append((kind, start, end, score))
     return out

@@ -3,7 +3,9 @@
 Every document is measured by rules on its words and lines. Rule failures are summed by host (here the
 column `source`), each host's failure rate is shrunk towards the rate of all hosts with a beta prior
 fitted to the hosts themselves, and hosts whose shrunk rate is beyond a limit are rejected with all
-their documents. Only DataFrame functions are used.
+their documents. The limit is relative to the prior: its mean and half its standard deviation, but at
+least LIMIT, so that a host goes only if it stands out and most of its documents fail. Only DataFrame
+functions are used.
 
 Edge cases: a null text counts as an empty one (0 words, fails); a null host is a host of its own; rows
 that repeat are measured and counted each; an empty table gives an empty table; columns of the input
@@ -22,6 +24,8 @@ GAP_CHARS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
+#: The least limit of a host's shrunk failure rate, and the standard deviations of the prior above its mean.
+LIMIT, SPREAD = 0.5, 0.5
 #: Rejected hosts of at most this many bytes of names are broadcast; more of them are joined by salted keys.
 BROADCAST_BYTES = 8 << 20
 SALTS = 32
@@ -79,29 +83,31 @@ def measure(docs: DataFrame, text: str = "text", out: str = "quality") -> DataFr
     return df.drop(body, words, lines, ordered, base)
 
 
-def host_rates(measured: DataFrame, host: str = "source", quality: str = "quality") -> DataFrame:
-    """Per host its documents, failures and shrunk failure rate: (host, docs, failures, rate).
+def host_rates(measured: DataFrame, host: str = "source", quality: str = "quality", least: float = LIMIT) -> DataFrame:
+    """Per host its documents, failures, shrunk failure rate and whether it goes: (host, docs, failures, rate, rejected).
 
-    The beta prior has the mean of all documents. Its weight follows from how far the hosts' rates differ
-    beyond what chance alone explains (method of moments); if they don't, every host gets the common mean.
+    The beta prior has the mean of all documents. Its variance is how far the hosts' rates differ beyond what
+    chance alone explains (method of moments), and gives its weight; if they don't, every host gets the mean.
     """
     hosts = measured.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("docs"), F.sum(F.col(quality)["failed"].cast("long")).alias("failures"))
     hosts = write_out(hosts, "hosts")
     total = hosts.agg(F.count(F.lit(1)).alias("k"), F.sum("docs").alias("n"), F.sum("failures").alias("f"), F.sum(F.col("failures") * F.col("failures") / F.col("docs")).alias("s2")).first()
     if not total["n"]:
-        return hosts.withColumn("rate", F.lit(None).cast("double"))
+        return hosts.withColumns({"rate": F.lit(None).cast("double"), "rejected": F.lit(False)})
     mean = total["f"] / total["n"]
     between = total["s2"] / total["n"] - mean * mean - mean * (1 - mean) * total["k"] / total["n"]
     if between <= 1e-12:
-        return hosts.withColumn("rate", F.lit(float(mean)))
-    weight = max(mean * (1 - mean) / between - 1, 0.0)
-    return hosts.withColumn("rate", (F.col("failures") + F.lit(mean * weight)) / (F.col("docs") + F.lit(weight)))
+        between, rate = 0.0, F.lit(float(mean))
+    else:
+        weight = max(mean * (1 - mean) / between - 1, 0.0)
+        rate = (F.col("failures") + F.lit(mean * weight)) / (F.col("docs") + F.lit(weight))
+    return hosts.withColumn("rate", rate).withColumn("rejected", F.col("rate") > max(least, mean + SPREAD * between**0.5))
 
 
-def judge(measured: DataFrame, rates: DataFrame, limit: float = 0.7, host: str = "source", quality: str = "quality", out: str = "kept") -> DataFrame:
-    """Add the verdict: false if the document's base rules fail or its host's shrunk rate is above limit."""
+def judge(measured: DataFrame, rates: DataFrame, host: str = "source", quality: str = "quality", out: str = "kept") -> DataFrame:
+    """Add the verdict: false if the document's base rules fail or its host is rejected."""
     own = ~F.col(quality)["base_failed"]
-    bad = rates.filter(F.col("rate") > limit).select(F.col("host"))
+    bad = rates.filter("rejected").select(F.col("host"))
     size = bad.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("host") + 16), F.lit(0)).alias("bytes")).first()
     if not size["n"]:
         return measured.withColumn(out, own)
@@ -118,7 +124,7 @@ def judge(measured: DataFrame, rates: DataFrame, limit: float = 0.7, host: str =
     return joined.withColumn(out, own & F.col(mark).isNull()).drop(name, mark)
 
 
-def quality_rules(docs: DataFrame, limit: float = 0.7, text: str = "text", host: str = "source", keep_text: bool = True, quality: str = "quality", out: str = "kept") -> DataFrame:
+def quality_rules(docs: DataFrame, least: float = LIMIT, text: str = "text", host: str = "source", keep_text: bool = True, quality: str = "quality", out: str = "kept") -> DataFrame:
     """docs with the struct of measures and the verdict. keep_text=False drops the text after measuring.
 
     The measured rows are written once, as both the hosts' rates and the verdicts read them.
@@ -127,4 +133,4 @@ def quality_rules(docs: DataFrame, limit: float = 0.7, text: str = "text", host:
     if not keep_text:
         measured = measured.drop(text)
     measured = write_out(measured, "measured")
-    return judge(measured, host_rates(measured, host, quality), limit, host, quality, out)
+    return judge(measured, host_rates(measured, host, quality, least), host, quality, out)

@@ -46,7 +46,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     of = lambda *kinds: F.filter("pii", lambda s: s["kind"].isin(*kinds))
     counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in pii.BASE]
-    return found.select("doc_id", *counts, F.sha2(pii.span_list(of(*pii.BASE)), 256).alias("base_sha256"), pii.span_list(F.col("pii")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(pii.span_list(of(*pii.BASE)), 256).alias("base_sha256"), pii.span_list(F.col("pii")).alias("spans"), F.array_join(F.transform("pii", lambda s: F.format_number(s["score"], 2)), ",").alias("scores"))
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +146,8 @@ p AS (SELECT sum(k) / sum(n) AS mean, sum(k * k / n) / sum(n) AS s2, count(*) /
 b AS (SELECT mean, s2 - mean * mean - mean * (1 - mean) * c AS between_hosts FROM p),
 x AS (SELECT mean, CASE WHEN between_hosts > 1e-12 THEN greatest(mean * (1 - mean) / between_hosts - 1, 0) END AS weight FROM b),
 rate AS (SELECT source, CASE WHEN weight IS NULL THEN mean ELSE (k + mean * weight) / (n + weight) END AS rate FROM h, x)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rate > 0.7 AS kept
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND NOT rate > (SELECT greatest(0.5, mean + 0.5 * sqrt(greatest(between_hosts, 0))) FROM b) AS kept
 FROM f JOIN rate ON f.source IS NOT DISTINCT FROM rate.source
 """,
     # Runs of equal lines along diagonals of all pairs of equal lines, so in another way than the operator's.
