@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.session import fresh, write_out
+from sluice.session import fresh, small_batches, write_out
 
 SEED, LEAST, FLOOR = 5, 0.5, 8
 #: Seeds of the benchmark that take up to so many bytes go to the tasks, which then emit no others.
@@ -214,9 +214,8 @@ def _items(benchmark: DataFrame, item_id: str, item_text: str) -> DataFrame:
     return items.select("item", "text", F.md5(F.col("text").cast("binary")).alias("ikey"), "s.*").filter("tokens > 0")
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = LEAST, out: str = "hits") -> DataFrame:
-    """docs with an array of (item, tokens, covered, tiles) of the items that are hit, in the order of their ids."""
-    kind = dict(benchmark.dtypes)[item_id]
+def _hits(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str, least: float) -> DataFrame:
+    """(key, found): by the hash of a text the items that it hits."""
     items = write_out(_items(benchmark, item_id, item_text), "items")
     # Items of equal text are compared once.
     texts = items.groupBy("ikey").agg(F.any_value("text").alias("item_text"), F.any_value("tokens").alias("tokens"), F.any_value("seeds").alias("seeds"))
@@ -242,7 +241,14 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id
     tiled = candidates.join(bodies, "key").withColumn("t", F.arrow_udf(_tiler(least), _FOUND_TYPE)(F.col("text"), F.transform("of", lambda x: x["item_text"])))
     hits = tiled.select("key", F.explode("t").alias("t"), "of").select("key", F.get(F.col("of"), F.col("t.nth"))["ikey"].alias("ikey"), "t.tokens", "t.covered", "t.tiles")
     hits = hits.join(items.select("ikey", "item"), "ikey").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("item", "tokens", "covered", "tiles"))).alias("found"))
-    hits = write_out(hits, "hits")
+    return write_out(hits, "hits")
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = LEAST, out: str = "hits") -> DataFrame:
+    """docs with an array of (item, tokens, covered, tiles) of the items that are hit, in the order of their ids."""
+    kind = dict(benchmark.dtypes)[item_id]
+    with small_batches(docs.sparkSession):
+        hits = _hits(docs, benchmark, text, item_id, item_text, least)
     taken = hits.select(F.sum(F.size("found") * 64 + 64)).first()[0] or 0
     key, got = fresh("hit_key", docs), fresh("hit_list", docs)
     hits = hits.toDF(key, got)

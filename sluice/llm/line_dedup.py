@@ -84,24 +84,28 @@ def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words:
     seqs = ranked.withColumn("upto", upto).groupBy("id", "hash", "part").agg(F.sort_array(F.collect_list(F.struct("pos", "at", "n", "upto", *levels))).alias("s"))
     s = F.col("s")
 
-    def window(start: Column, m: Column) -> Column:
+    def window(code: Column) -> Column:
         """The run of m lines from start: as LCP interval, the ranks of its first and its last 2^k lines."""
+        start, m = F.floor(code / words).cast("int"), (code % words + 1).cast("int")
         first = F.get(s, start)
         key = F.lit(None)
         for k, level in reversed(list(enumerate(levels))):
             key = F.when((m >= 2**k) & (m < 2 ** (k + 1)), F.struct(first[level].alias("x"), F.get(s, start + m - 2**k)[level].alias("y"))).otherwise(key)
-        return F.struct(start.alias("start"), m.alias("m"), key["x"].alias("x"), key["y"].alias("y"))
+        return F.struct(first["at"].alias("at"), F.transform(F.slice(s, start + 1, m), lambda y: y["at"]).alias("ats"), m.alias("m"), key["x"].alias("x"), key["y"].alias("y"))
 
     def both(x: Column, i: Column) -> Column:
+        """The shortest runs of enough words that start and that end at a line, as start * words + number of lines - 1."""
         ahead = F.slice(s, i + 1, F.lit(words))
         m = F.size(F.filter(ahead, lambda y: y["upto"] < x["upto"] - x["n"] + words)) + 1
         back = F.slice(s, F.greatest(i - words + 2, F.lit(1)), F.least(i + 1, F.lit(words)))
         w = F.size(F.filter(back, lambda y: y["upto"] - y["n"] > x["upto"] - words)) + 1
-        return F.array(F.when(m <= F.size(ahead), window(i, m)), F.when(w <= F.size(back), window(i - w + 1, w)))
+        at = i.cast("long") * words
+        return F.array(F.when(m <= F.size(ahead), at + m - 1), F.when(w <= F.size(back), at - (w - 1) * words + w - 1))
 
-    runs = seqs.select("id", "hash", s, F.explode(F.array_distinct(F.filter(F.flatten(F.transform(s, both)), lambda y: y.isNotNull() & (y["x"] > 0) & (y["y"] > 0)))).alias("w"))
-    at = F.transform(F.slice(s, F.col("w.start") + 1, F.col("w.m")), lambda y: y["at"])
-    runs = runs.select("id", "hash", at.alias("ats"), F.get(at, F.lit(0)).alias("at"), "w.m", "w.x", "w.y")
+    # Numbers, as arrays of these are made distinct by hashing; and no row but its own runs, however long a document is.
+    codes = F.filter(F.array_distinct(F.flatten(F.transform(s, both))), lambda c: c.isNotNull())
+    found = F.filter(F.transform(codes, window), lambda y: (y["x"] > 0) & (y["y"] > 0))
+    runs = seqs.select("id", "hash", F.explode(found).alias("w")).select("id", "hash", "w.*")
     runs = write_out(runs, "runs")
     # What is not first is what the firsts leave: this join has the row itself in its key, so no run is hot.
     first = runs.groupBy("m", "x", "y").agg(F.min(F.struct("id", "hash", "at")).alias("f")).select("m", "x", "y", "f.*").toDF("fm", "fx", "fy", "fid", "fhash", "fat")

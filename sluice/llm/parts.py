@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from sluice.session import fresh, write_out
 
-#: Positions that take up to this many bytes are broadcast; more of them are joined by document.
-BROADCAST_BYTES = 8 << 20
+#: Positions that take up to this many bytes are broadcast; more of them, as of any large table, are joined by document.
+BROADCAST_BYTES = 1 << 20
 
 
 def text_hash(text: Column) -> Column:

@@ -33,20 +33,28 @@ def sentences(text: Column) -> Column:
     return F.split(text, r"(?<=[.!?]\s)|(?<=\n)")
 
 
-def _spans(n: Column) -> Column:
-    """Of the sentences' numbers of words: start * LEAST + number of sentences - 1 of the shortest runs that count."""
+def _spans(n: str, two: str, three: str) -> Column:
+    """start * LEAST + number of sentences - 1 of the shortest runs that count; of arrays of words by sentence, pair and triple."""
 
-    def shortest(i: Column, step: int) -> Column:
-        """How many sentences the run takes that starts (step 1) or ends (-1) at i; null if the text has too few."""
-        one, two, three = (F.get(n, i + step * k) for k in range(3))
-        ahead = F.slice(n, i + 1, F.lit(LEAST)) if step > 0 else F.reverse(F.slice(n, F.greatest(i - LEAST + 2, F.lit(1)), F.least(i + 1, F.lit(LEAST))))
-        grown = F.aggregate(ahead, F.struct(F.lit(0).alias("k"), F.lit(0).alias("w")), lambda s, x: F.when((s["w"] >= LEAST) & (s["k"] >= SPAN), s).otherwise(F.struct((s["k"] + 1).alias("k"), (s["w"] + x).alias("w"))))
-        long = F.when((grown["w"] >= LEAST) & (grown["k"] >= SPAN), grown["k"])
-        return F.when(one + two >= LONG, F.lit(2)).when(one + two + three >= LEAST, F.lit(SPAN)).when(three.isNotNull(), long)
+    def longer(ahead: Column) -> Column:
+        """How many sentences are needed of those ahead; null if there are too few."""
+        grown = lambda s, x: F.when((s["w"] >= LEAST) & (s["k"] >= SPAN), s).otherwise(F.struct((s["k"] + 1).alias("k"), (s["w"] + x).alias("w")))
+        return F.aggregate(ahead, F.struct(F.lit(0).alias("k"), F.lit(0).alias("w")), grown, lambda s: F.when((s["w"] >= LEAST) & (s["k"] >= SPAN), s["k"]))
 
-    first = F.transform(n, lambda _, i: i * LEAST + shortest(i, 1) - 1)
-    last = F.transform(n, lambda _, i: (i - shortest(i, -1) + 1) * LEAST + shortest(i, -1) - 1)
-    return F.filter(F.array_distinct(F.concat(first, last)), lambda x: x.isNotNull())
+    def first(pair: Column, i: Column) -> Column:
+        """The run that starts at i."""
+        of = F.get(three, i)
+        more = i * LEAST + longer(F.slice(n, i + 1, F.lit(LEAST))) - 1
+        return F.when(pair >= LONG, i * LEAST + 1).when(of >= LEAST, i * LEAST + SPAN - 1).when(of.isNotNull(), more)
+
+    def last(_: Column, i: Column) -> Column:
+        """The run that ends at i, if it isn't one that starts somewhere: a pair always is, three are if no pair starts there."""
+        of = F.get(three, i - 2)
+        back = F.reverse(F.slice(n, F.greatest(i - LEAST + 2, F.lit(1)), F.least(i + 1, F.lit(LEAST))))
+        more = i * LEAST - (LEAST - 1) * (longer(back) - 1)
+        return F.when(F.get(two, i - 1) >= LONG, F.lit(None)).when(of >= LEAST, F.when(F.get(two, i - 2) >= LONG, (i - 2) * LEAST + SPAN - 1)).when(of.isNotNull(), more)
+
+    return F.array_distinct(F.filter(F.concat(F.transform(two, first), F.transform(two, last)), lambda x: x.isNotNull()))
 
 
 def _runs(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -60,7 +68,9 @@ def _runs(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
         "a": lambda x: F.xxhash64(x["s"]),
         "b": lambda x: F.xxhash64(F.lit(1), x["s"]),
     }
-    df = df.select("id", "hash", *[F.transform("s", f).alias(k) for k, f in each.items()]).withColumn("span", _spans(F.col("n")))
+    df = df.select("id", "hash", *[F.transform("s", f).alias(k) for k, f in each.items()])
+    df = df.withColumn("two", F.transform("n", lambda x, i: x + F.get("n", i + 1))).withColumn("three", F.transform("two", lambda x, i: x + F.get("n", i + 2)))
+    df = df.withColumn("span", _spans("n", "two", "three"))
     start, more = lambda x: F.floor(x / LEAST).cast("int"), lambda x: x % LEAST
     of = lambda c: F.transform("span", lambda x: F.xxhash64(F.slice(c, start(x) + 1, more(x) + 1)))
     place = lambda at: F.transform("span", lambda x: F.get("i", at(x)))
@@ -72,7 +82,7 @@ def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     # Texts are cut and hashed once; what is written is read twice.
     runs = write_out(_runs(docs, text, doc_id), "runs")
     # Counted by half of the hash first: most runs are found once and go no further than this sum.
-    twice = runs.select(F.explode("a").alias("a")).groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a")
+    twice = write_out(runs.select(F.explode("a").alias("a")).groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a"), "twice")
     each = runs.select("id", "hash", F.explode(F.arrays_zip("at", "last", "a", "b")).alias("r")).select("id", "hash", "r.*")
     some = write_out(each.join(twice, "a", "left_semi"), "repeats")
     # What is not first is what the firsts leave: this join has the row itself in its key, so no hash is hot.
