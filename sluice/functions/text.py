@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from http import HTTPStatus
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,6 +53,8 @@ CITIES = {
     "重庆": ("China", "重庆", "重庆"),
     "大连": ("China", "辽宁", "大连"),
 }
+PROXY_ERRORS = ("net::err_proxy", "net::err_tunnel", "connection refused", "connection reset", "connection timed out", "failed to connect", "could not resolve proxy")
+AGENT_WORDS = ("ai agent", "agent", "llm", "智能体", "Agent开发", "多智能体", "大模型")
 BENEFITS = ("福利", "五险一金", "奖金", "期权", "股权", "体检", "年假")
 NUMBER = r"-?\d+(?:\.\d+)?"
 
@@ -72,8 +77,20 @@ def first_match(text: Column, patterns: tuple[str, ...]) -> Column:
     return out.otherwise(F.lit(""))
 
 
-def challenge_in_html(html: Column, patterns: tuple[str, ...] = CHALLENGE_PATTERNS, sample: int = 200_000) -> Column:
-    return first_match(F.lower(F.substring(F.coalesce(html, F.lit("")), 1, sample)), patterns)
+def _head(text: Column, most: int | None) -> Column:
+    """The text, or its first characters if a number is given."""
+    whole = F.coalesce(text, F.lit(""))
+    return whole if most is None else F.substring(whole, 1, most)
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def challenge_in_html(html: Column, patterns: tuple[str, ...] = CHALLENGE_PATTERNS, sample: int | None = None) -> Column:
+    """The first challenge pattern in a page; sample looks at so many characters alone."""
+    return _bound(F.lower(_head(html, sample)), lambda t: first_match(t, patterns))
 
 
 def is_challenge_status(status: Column) -> Column:
@@ -108,21 +125,26 @@ def challenge_in_response(status: Column, headers: Column, cookies: Column, html
     )
 
 
-def access_categories(visible: Column, error: Column | None = None, status: Column | None = None) -> Column:
-    """Why a page could not be read, by its visible text, error and status; several may hold."""
-    shown = F.substring(F.coalesce(visible, F.lit("")), 1, 20_000)
+def access_categories(visible: Column, error: Column | None = None, status: Column | None = None, *, truncated: Column | None = None, js_shell: Column | None = None, api_hints: Column | None = None, sample: int | None = None) -> Column:
+    """Why a page could not be read, and what it is like, by its visible text, error, status and signals; several may hold.
+
+    sample looks at so many characters of the text alone. Each text is lowered once.
+    """
+    shown = _head(visible, sample)
     said = F.coalesce(error, F.lit("")) if error is not None else F.lit("")
-    text = F.lower(F.concat(said, F.lit("\n"), shown))
-    found = [F.when(first_match(text, PAGE_CHALLENGE_PATTERNS) != "", F.lit("challenge"))]
-    if status is not None:
-        found += [F.when(status == 429, F.lit("rate_limited")).when(status.isin(401, 403), F.lit("forbidden")).when(status >= 500, F.lit("server_error"))]
-    for name, words in ACCESS_KEYWORDS.items():
-        hit = first_match(text, words) != ""
-        if name == "login_required":
-            hit = hit & (F.length(shown) <= 2000)
-        found.append(F.when(hit, F.lit(name)))
-    out = F.array_distinct(F.array_compact(F.array(*found)))
-    return F.when(F.size(out) > 0, out).when(said != "", F.array(F.lit("fetch_error"))).otherwise(F.array(F.lit("html_available")))
+    signals = [F.when(holds, F.lit(name)) for name, holds in (("html_truncated", truncated), ("js_shell", js_shell), ("api_hints_found", api_hints)) if holds is not None]
+    statuses = [F.when(status == 429, F.lit("rate_limited")).when(status.isin(401, 403), F.lit("forbidden")).when(status >= 500, F.lit("server_error"))] if status is not None else []
+
+    def judged(text: Column) -> Column:
+        holds = lambda words: F.exists(F.array(*[F.lit(w.lower()) for w in words]), lambda w: F.contains(text, w))
+        # The text is the error, a line feed and what is shown.
+        short = F.length(text) - F.length(said) - 1 <= 2000
+        found = [F.when(holds(PAGE_CHALLENGE_PATTERNS), F.lit("challenge")), *statuses]
+        found += [F.when(holds(words) & short if name == "login_required" else holds(words), F.lit(name)) for name, words in ACCESS_KEYWORDS.items()]
+        return F.array_distinct(F.array_compact(F.array(*found, *signals)))
+
+    none = F.when(said != "", F.array(F.lit("fetch_error"))).otherwise(F.array(F.lit("html_available")))
+    return _bound(_bound(F.lower(F.concat(said, F.lit("\n"), shown)), judged), lambda out: F.when(F.size(out) > 0, out).otherwise(none))
 
 
 def site_type_scores(text: Column, fields: list[str] = ()) -> dict[str, Column]:
@@ -258,3 +280,73 @@ def regex_all(text: Column, pattern: str, group: int = 0, *, case_sensitive: boo
 
 def sort_characters(text: Column) -> Column:
     return F.array_join(F.array_sort(F.split(text, "")), "")
+
+
+def status_text(code: Column) -> Column:
+    """The reason that goes with an HTTP status, or a text that says it is unknown."""
+    table = F.create_map(*[F.lit(x) for s in HTTPStatus for x in (s.value, s.phrase)])
+    return F.coalesce(table[code.cast("int")], F.lit("Unknown Status Code"))
+
+
+def is_proxy_error(error: Column) -> Column:
+    return _bound(F.lower(F.coalesce(error, F.lit(""))), lambda t: first_match(t, PROXY_ERRORS) != "")
+
+
+def is_agent_related(text: Column, words: tuple[str, ...] = AGENT_WORDS) -> Column:
+    return _bound(F.lower(F.coalesce(text, F.lit(""))), lambda t: first_match(t, words) != "")
+
+
+def relaxed_json(text: Column) -> Column:
+    """A JSON text out of an HTML comment, if it is in one; null if it isn't JSON."""
+    inner = F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), r"^<!--", ""), r"-->\s*$", ""))
+    plain = F.when(F.trim(text).startswith("<!--"), inner).otherwise(F.trim(text))
+    return F.when(F.try_parse_json(plain).isNotNull() & (plain != ""), plain)
+
+
+def value_summary(text: Column) -> Column:
+    """struct(type, size, keys, preview) of a JSON text: of objects the keys, of lists those of the first item, of others the value."""
+    keys = lambda t: F.coalesce(F.json_object_keys(t), F.array().cast("array<string>"))
+    first = F.get_json_object(text, "$[0]")
+    is_map, is_list = F.trim(text).startswith("{"), F.trim(text).startswith("[")
+    return F.struct(
+        F.when(is_map, F.lit("dict")).when(is_list, F.lit("list")).otherwise(F.lit("value")).alias("type"),
+        F.when(is_map, F.size(keys(text))).when(is_list, F.json_array_length(text)).alias("size"),
+        F.when(is_map, F.slice(keys(text), 1, 30)).when(is_list & F.coalesce(F.trim(first).startswith("{"), F.lit(False)), F.slice(keys(first), 1, 20)).otherwise(F.array().cast("array<string>")).alias("keys"),
+        F.when(~is_map & ~is_list, F.substring(F.trim(text), 1, 200)).alias("preview"),
+    )
+
+
+def useful_text(text: Column) -> Column:
+    return F.coalesce(F.length(F.trim(text)).between(2, 2000), F.lit(False))
+
+
+def retry_delay(retry_after: Column, attempt: Column, base: float = 1.0, most: float = 60.0, jitter: Column | None = None) -> Column:
+    """Seconds to wait: what Retry-After says, else doubled with every attempt, with the jitter, at most `most`."""
+    grown = F.lit(base) * F.pow(F.lit(2.0), attempt) + (jitter if jitter is not None else F.lit(0.0))
+    return F.least(F.coalesce(F.trim(retry_after).try_cast("double"), grown), F.lit(most))
+
+
+def salary_from_jsonld(job: Column) -> Column:
+    """What a job posting (JSON-LD text) pays: currency, range or value, and unit; null if it says nothing."""
+    at = lambda path: F.nullif(F.get_json_object(job, f"$.baseSalary.{path}"), F.lit(""))
+    word = lambda path: F.coalesce(at(path), F.lit(""))
+    low, high, one, plain = at("value.minValue"), at("value.maxValue"), at("value.value"), at("value")
+    told = F.when(low.isNotNull() & high.isNotNull(), F.concat(word("currency"), F.lit(" "), low, F.lit("-"), high, F.lit(" / "), word("value.unitText")))
+    told = told.when(one.isNotNull(), F.concat(word("currency"), F.lit(" "), one, F.lit(" / "), word("value.unitText")))
+    return F.trim(told.when(~plain.startswith("{"), F.concat(word("currency"), F.lit(" "), plain)))
+
+
+def location_from_jsonld(job: Column) -> Column:
+    """Where a job posting (JSON-LD text) is: parts of its addresses by commas, places by slashes, Remote if it says so."""
+    where = F.coalesce(F.get_json_object(job, "$.jobLocation"), F.get_json_object(job, "$.applicantLocationRequirements"))
+    places = F.when(F.trim(where).startswith("["), F.from_json(where, "array<string>")).when(where.isNotNull(), F.array(where)).otherwise(F.array().cast("array<string>"))
+
+    def one(place: Column) -> Column:
+        address = F.coalesce(F.get_json_object(place, "$.address"), place)
+        parts = [F.get_json_object(address, f"$.{k}") for k in ("addressLocality", "addressRegion", "addressCountry", "streetAddress")]
+        bits = F.filter(F.transform(F.array(*parts), clean_text), lambda x: F.coalesce(x, F.lit("")) != "")
+        return F.when(F.trim(address).startswith("{"), F.array_join(bits, ", ")).otherwise(clean_text(address))
+
+    told = F.filter(F.transform(places, one), lambda x: x != "")
+    remote = (F.get_json_object(job, "$.jobLocationType") == "TELECOMMUTE") & ~F.exists(told, lambda x: F.contains(x, F.lit("Remote")) | F.contains(x, F.lit("远程")))
+    return F.array_join(F.array_distinct(F.when(F.coalesce(remote, F.lit(False)), F.concat(told, F.array(F.lit("Remote")))).otherwise(told)), " / ")

@@ -154,3 +154,30 @@ def validate_url(url: Column, *, allowed_domains: list[str] | None = None, block
     if allowed_domains:
         out = out.when(~domain_matches(h, allowed_domains), F.lit("not_allowed"))
     return out.when(private, F.lit("private")).otherwise(F.lit(""))
+
+
+def comparable_url(url: Column, keep_fragment: bool = False) -> Column:
+    """The canonical form of a URL with its query parameters in order, blank ones kept, and the fragment if wanted; for comparison, not for fetching."""
+    base = canonical_url(url)
+    pairs = F.array_sort(F.filter(F.split(query(url), "&"), lambda p: p != ""))
+    rest = F.when(F.size(pairs) > 0, F.concat(F.lit("?"), F.array_join(pairs, "&"))).otherwise(F.lit(""))
+    fragment = F.coalesce(F.concat(F.lit("#"), part(url, "REF")), F.lit("")) if keep_fragment else F.lit("")
+    return F.concat(F.substring_index(base, "?", 1), rest, fragment)
+
+
+def request_fingerprint(url: Column, method: Column | None = None, body: Column | None = None, session: Column | None = None, extra: Column | None = None) -> Column:
+    """SHA-1, in hex, of a request: its comparable URL, method, body, session and, if given, a map of what else tells requests apart."""
+    told = {"url": comparable_url(url), "method": F.upper(F.coalesce(method, F.lit("GET")) if method is not None else F.lit("GET")), "body": F.coalesce(body, F.lit("")) if body is not None else F.lit(""), "sid": F.coalesce(session, F.lit("")) if session is not None else F.lit("")}
+    fields = [told[k].alias(k) for k in sorted(told)]
+    if extra is not None:
+        fields.append(F.transform(F.array_sort(F.map_entries(extra)), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))).alias("extra"))
+    return F.sha1(F.to_json(F.struct(*fields)).cast("binary"))
+
+
+def next_page_urls(url: Column, most: int = 10) -> Column:
+    """The URL with its first paging number, and the ones behind it; the URL alone if no parameter has a number for a page."""
+    name = F.get(F.filter(F.transform(F.split(query(url), "&"), lambda p: F.regexp_extract(p, r"^([^=]+)=[0-9]+$", 1)), lambda k: (k != "") & F.lower(k).isin(*PAGINATION_NAMES)), F.lit(0))
+    of = F.get(F.filter(F.split(query(url), "&"), lambda p: F.substring_index(p, "=", 1) == name), F.lit(0))
+    number = F.regexp_replace(of, "^[^=]*=", "").cast("long")
+    at = lambda n: F.concat(F.substring_index(url, "?", 1), F.lit("?"), F.array_join(F.transform(F.split(query(url), "&"), lambda p: F.when(F.substring_index(p, "=", 1) == name, F.concat(name, F.lit("="), n.cast("string"))).otherwise(p)), "&"))
+    return F.when(name.isNull(), F.array(url)).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(most - 1).cast("long")), lambda k: at(number + k)))

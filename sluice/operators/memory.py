@@ -128,3 +128,53 @@ def first_working_mode(attempts: DataFrame, key: str, mode: str, ok: Column, cha
     chain = MODES[MODES.index(start) :]
     rank = F.array_position(F.array(*[F.lit(m) for m in chain]), F.col(mode))
     return attempts.filter((rank > 0) & ok & ~challenged).groupBy(key).agg(F.min_by(mode, rank).alias("mode"))
+
+
+def record(memory: DataFrame, log: DataFrame, key: str, order: list[str], success: Column, mode: Column, at: Column) -> DataFrame:
+    """The memory (as domain_memory gives it) after more attempts: streaks go on where no attempt of the other kind has ended them."""
+    new = domain_memory(log, key, order, success, mode, at).toDF("_k", "_mode", "_good", "_bad", "_n", "_at")
+    both = memory.join(new, F.col("key").eqNullSafe(F.col("_k")), "full")
+    seen = F.col("_n").isNotNull()
+    goes_on = lambda old, more: F.when(~seen, F.col(old)).when(F.col(more) == F.col("_n"), F.coalesce(F.col(old), F.lit(0)) + F.col(more)).otherwise(F.col(more)).alias(old)
+    return both.select(
+        F.coalesce("key", "_k").alias("key"),
+        F.coalesce("_mode", "preferred_mode").alias("preferred_mode"),
+        goes_on("success_streak", "_good"),
+        goes_on("fail_streak", "_bad"),
+        (F.coalesce("attempts", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("attempts"),
+        F.coalesce("_at", "last_success").alias("last_success"),
+    )
+
+
+def count_outcomes(memory: DataFrame, outcomes: DataFrame, key: str = "key", success: str = "success") -> DataFrame:
+    """memory with successes and failures counted up by outcomes (key, success)."""
+    new = outcomes.groupBy(F.col(key).alias("_k")).agg(F.count_if(success).alias("_s"), F.count_if(~F.col(success)).alias("_f"))
+    more = lambda c, by: (F.coalesce(F.col(c) if c in memory.columns else F.lit(0), F.lit(0)) + F.coalesce(by, F.lit(0))).cast("long").alias(c)
+    kept = [F.col(c) for c in memory.columns if c not in ("successes", "failures")]
+    return memory.join(new, F.col(key).eqNullSafe(F.col("_k")), "left").select(*kept, more("successes", "_s"), more("failures", "_f"))
+
+
+def reset(memory: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
+    """memory without the keys (a table with the same key column)."""
+    gone = keys.select(F.col(key).alias("_k")).distinct()
+    return memory.join(gone, F.col(key).eqNullSafe(F.col("_k")), "left_anti")
+
+
+def put(entries: DataFrame, new: DataFrame, key: str = "key", at: str = "timestamp") -> DataFrame:
+    """Cache entries with the new ones; of a key the latest stays."""
+    return upsert_latest(entries.unionByName(new), key, at).select(*entries.columns)
+
+
+def clear_entries(entries: DataFrame, kinds: tuple[int, ...] = (), domain: str = "", *, kind: str = "kind", url: str = "url") -> DataFrame:
+    """Cache entries that stay when those of the kinds, or of URLs that hold the domain, go; without both all go."""
+    gone = F.lit(not kinds and not domain)
+    if kinds:
+        gone = gone | F.coalesce(F.col(kind).isin(*kinds), F.lit(False))
+    if domain:
+        gone = gone | F.coalesce(F.contains(F.col(url), F.lit(domain)), F.lit(False))
+    return entries.filter(~gone)
+
+
+def variant(*parts: Column) -> Column:
+    """What tells cache entries of one URL apart: the hash of the parts as a JSON list."""
+    return F.md5(F.to_json(F.array(*[F.coalesce(p.cast("string"), F.lit("")) for p in parts])).cast("binary"))

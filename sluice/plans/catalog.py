@@ -164,7 +164,7 @@ BLOCKED = ("example.org", "m.ththth.example.net", "ththre.example.com")
 def blocked_domain_anti(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("page_id", urls.host(F.col("url")).alias("host"))
     listed = spark.createDataFrame([(b,) for b in BLOCKED], "suffix string")
-    below = p.select("page_id", F.explode(urls.host_suffixes(F.col("host"))).alias("suffix")).join(F.broadcast(listed), "suffix", "left_semi")
+    below = p.select("page_id", F.explode(urls.host_suffixes(F.col("host"))).alias("suffix")).join(listed, "suffix", "left_semi")
     return p.join(below.select("page_id").distinct(), "page_id", "left_anti")
 
 
@@ -509,7 +509,7 @@ def site_type_scores(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", *[c.alias(k) for k, c in s.items()])
 
 
-@query("SELECT doc_id, CASE " + " ".join(f"WHEN contains(lower(left(text, 200000)), '{p}') THEN '{p}'" for p in text.CHALLENGE_PATTERNS) + " ELSE '' END AS challenge FROM documents")
+@query("SELECT doc_id, CASE " + " ".join(f"WHEN contains(lower(text), '{p}') THEN '{p}'" for p in text.CHALLENGE_PATTERNS) + " ELSE '' END AS challenge FROM documents")
 def challenge_first_match(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.challenge_in_html(F.col("text")).alias("challenge"))
 
@@ -518,7 +518,7 @@ def _any(words):
     return "(" + " OR ".join(f"contains(t, '{w}')" for w in words) + ")"
 
 
-@query("WITH d AS (SELECT doc_id, lower(left(text, 20000)) AS t, length(left(text, 20000)) AS n FROM documents), c AS (SELECT doc_id, list_filter([CASE WHEN " + _any(text.PAGE_CHALLENGE_PATTERNS) + " THEN 'challenge' END, " + ", ".join(f"CASE WHEN {_any(ws)}{' AND n <= 2000' if k == 'login_required' else ''} THEN '{k}' END" for k, ws in text.ACCESS_KEYWORDS.items()) + "], lambda x: x IS NOT NULL) AS c FROM d) SELECT doc_id, CASE WHEN len(c) = 0 THEN 'html_available' ELSE array_to_string(c, ',') END AS categories FROM c")
+@query("WITH d AS (SELECT doc_id, lower(text) AS t, length(text) AS n FROM documents), c AS (SELECT doc_id, list_filter([CASE WHEN " + _any(text.PAGE_CHALLENGE_PATTERNS) + " THEN 'challenge' END, " + ", ".join(f"CASE WHEN {_any(ws)}{' AND n <= 2000' if k == 'login_required' else ''} THEN '{k}' END" for k, ws in text.ACCESS_KEYWORDS.items()) + "], lambda x: x IS NOT NULL) AS c FROM d) SELECT doc_id, CASE WHEN len(c) = 0 THEN 'html_available' ELSE array_to_string(c, ',') END AS categories FROM c")
 def access_categories(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.access_categories(F.col("text")), ",").alias("categories"))
 

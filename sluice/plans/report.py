@@ -31,7 +31,7 @@ def analyze(pages: DataFrame, goal: str = "", fields: list[str] = (), *, html: s
         "signals",
         challenge.alias("challenge"),
         shell.alias("js_shell"),
-        text.access_categories(F.col("_text")).alias("categories"),
+        text.access_categories(F.col("_text"), js_shell=shell).alias("categories"),
         score.response_score(F.col(html), js_shell=shell).alias("response_score"),
         text.best_site_type(kinds).alias("site_type"),
         found.alias("findings"),

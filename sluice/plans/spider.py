@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.functions import urls
@@ -18,16 +19,97 @@ from sluice.operators.score import first_rule
 from sluice.session import write_out
 
 
-def bfs(start: DataFrame, follow: Callable[[DataFrame], DataFrame], most_depth: int, key: str = "node") -> DataFrame:
-    """(key, depth): everything reached from start, with the least number of steps. follow maps a level to its targets."""
-    seen = write_out(start.select(key).distinct().withColumn("depth", F.lit(0)), "seen")
-    level = seen
-    for depth in range(1, most_depth + 1):
-        level = write_out(follow(level).select(key).distinct().join(seen, key, "left_anti").withColumn("depth", F.lit(depth)), "level")
-        if level.isEmpty():
+def bfs(start: DataFrame, follow: Callable[[DataFrame], DataFrame], most_depth: int, key: str = "node", state: CrawlState | None = None) -> DataFrame:
+    """(key, depth): everything reached from start, with the least number of steps. follow maps a level to its targets.
+
+    Each level is written once and never again. With a state the levels stay in its folder, and a crawl that was
+    stopped goes on behind its last whole level.
+    """
+    levels: list[DataFrame] = state.levels() if state else []
+
+    def keep(level: DataFrame, depth: int) -> DataFrame:
+        level = level.withColumn("depth", F.lit(depth))
+        return state.add(level, depth) if state else write_out(level, "level")
+
+    if not levels:
+        levels.append(keep(start.select(key).distinct(), 0))
+    seen = lambda: reduce(DataFrame.unionByName, levels)
+    for depth in range(len(levels), most_depth + 1):
+        if levels[-1].isEmpty():
             break
-        seen = write_out(seen.unionByName(level), "seen")
-    return seen
+        levels.append(keep(follow(levels[-1]).select(key).distinct().join(seen().select(key), key, "left_anti"), depth))
+    return seen()
+
+
+class CrawlState:
+    """A crawl's levels in a folder that all can reach: a Parquet table for each, whole once its writer has ended."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _there(self, name: str) -> bool:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+
+    def levels(self) -> list[DataFrame]:
+        """The levels that are whole, in order."""
+        out: list[DataFrame] = []
+        while self._there(f"level-{len(out)}/_SUCCESS"):
+            out.append(self.spark.read.parquet(f"{self.path}/level-{len(out)}"))
+        return out
+
+    def add(self, level: DataFrame, depth: int) -> DataFrame:
+        level.write.mode("overwrite").parquet(f"{self.path}/level-{depth}")
+        return self.spark.read.parquet(f"{self.path}/level-{depth}")
+
+    def snapshot(self) -> DataFrame:
+        """(level, rows): what has been reached so far."""
+        levels = self.levels()
+        return reduce(DataFrame.unionByName, levels).groupBy(F.col("depth").alias("level")).agg(F.count(F.lit(1)).alias("rows")) if levels else self.spark.createDataFrame([], "level int, rows long")
+
+
+class Jobs:
+    """Crawls by name: when they started and how they stand, appended as JSON; the latest line of a name counts."""
+
+    SCHEMA = "job string, status string, at double, depth int, rows long, error string"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def tell(self, job: str, status: str, at: float, depth: int = 0, rows: int = 0, error: str = "") -> None:
+        self.spark.createDataFrame([(job, status, at, depth, rows, error)], self.SCHEMA).write.mode("append").json(self.path)
+
+    def run(self, job: str, work: Callable[[], DataFrame], clock: Callable[[], float]) -> DataFrame:
+        """The result of the work, written out; its start and its end, or what stopped it, are told."""
+        self.tell(job, "running", clock())
+        try:
+            done = write_out(work(), "job")
+        except Exception as stopped:
+            self.tell(job, "failed", clock(), error=str(stopped)[:500])
+            raise
+        self.tell(job, "done", clock(), int(done.agg(F.max("depth")).first()[0] or 0) if "depth" in done.columns else 0, done.count())
+        return done
+
+    def list(self, status: str = "", most: int | None = None) -> DataFrame:
+        """One row a job, the latest first."""
+        rows = self.spark.read.schema(self.SCHEMA).json(self.path)
+        latest = rows.groupBy("job").agg(F.max_by(F.struct("status", "at", "depth", "rows", "error"), "at").alias("r"), F.min("at").alias("started")).select("job", "started", "r.*")
+        latest = latest.filter(F.col("status") == status) if status else latest
+        ordered = latest.orderBy(F.desc("at"), "job")
+        return ordered if most is None else ordered.limit(most)
+
+
+def child_requests(parents: DataFrame, links: DataFrame, on: str = "url", link: str = "link") -> DataFrame:
+    """Requests that follow from links of parents (url, priority, sid, meta, depth): what they inherit, the referer and their own depth.
+
+    links: (on, link[, meta]); a link's own meta goes above its parent's.
+    """
+    own = F.col("_meta") if "meta" in links.columns else F.create_map().cast("map<string,string>")
+    given = links.withColumnRenamed("meta", "_meta") if "meta" in links.columns else links
+    inherited = parents.select(F.col(on).alias("_parent"), *[c for c in ("priority", "sid", "meta", "depth") if c in parents.columns])
+    made = given.join(inherited, F.col(on).eqNullSafe(F.col("_parent")))
+    merged = F.map_concat(F.map_filter(F.coalesce("meta", F.create_map().cast("map<string,string>")), lambda k, _: ~F.array_contains(F.map_keys(F.coalesce(own, F.create_map().cast("map<string,string>"))), k)), F.coalesce(own, F.create_map().cast("map<string,string>")))
+    return made.select(F.col(link).alias("url"), "priority", "sid", merged.alias("meta"), F.col("_parent").alias("referer"), (F.col("depth") + 1).alias("depth"))
 
 
 @dataclass
@@ -50,8 +132,8 @@ class CrawlSpec:
         return CrawlSpec(list(spec["start_urls"]), rules, tuple(spec.get("allow", ())), tuple(spec.get("deny", ())), tuple(spec.get("allowed_domains", ())), int(spec.get("max_depth", 2)), spec.get("selector", "a[href]"))
 
 
-def crawl(pages: DataFrame, spec: CrawlSpec) -> DataFrame:
-    """(url, depth, found): every URL reached, whether a landed page answers it. pages: (url, html)."""
+def crawl(pages: DataFrame, spec: CrawlSpec, state: CrawlState | None = None) -> DataFrame:
+    """(url, depth, found): every URL reached, whether a landed page answers it. pages: (url, html). A state makes it go on where it stopped."""
     spark = pages.sparkSession
     landed = write_out(pages.select(urls.canonical_url(F.col("url")).alias("node"), "html").filter(F.col("node").isNotNull()).groupBy("node").agg(F.any_value("html").alias("html")), "landed")
     given = spec.start_urls if isinstance(spec.start_urls, DataFrame) else spark.createDataFrame([(u,) for u in spec.start_urls], "url string")
@@ -63,7 +145,7 @@ def crawl(pages: DataFrame, spec: CrawlSpec) -> DataFrame:
         ok = urls.url_allowed(F.col("node"), allow=spec.allow, deny=spec.deny, allow_domains=spec.allowed_domains)
         return first_rule(targets.filter(ok), "node", spec.rules)
 
-    reached = bfs(start, follow, spec.max_depth)
+    reached = bfs(start, follow, spec.max_depth, state=state)
     return reached.join(landed.select("node", F.lit(True).alias("found")), "node", "left").select(F.col("node").alias("url"), "depth", F.coalesce("found", F.lit(False)).alias("found"))
 
 

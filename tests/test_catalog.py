@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions.urls import canonical_url
 from sluice.operators import frontier
-from sluice.plans import catalog
+from sluice.plans import catalog, catalog_search  # noqa: F401  (the second adds its queries to the first)
 from tests.conftest import SF
 
 
