@@ -21,13 +21,13 @@ whatever their names.
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from sluice.session import fresh, small_batches, write_out
 
@@ -39,24 +39,16 @@ BROADCAST_BYTES = 8 << 20
 
 _WORD = re.compile(r"\w+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_known: dict[str, int] = {}
 
 
 def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def _hash(word: str) -> int:
-    if len(_known) > 1 << 18:
-        _known.clear()
-    h = _known[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-    return h
-
-
 def tokens(text: str | None) -> np.ndarray:
-    """The 64-bit hashes of the text's words."""
-    get = _known.get
-    return np.array([h if (h := get(w)) is not None else _hash(w) for w in words(text)], np.uint64)
+    """The 64-bit hashes of the text's words, the same in all processes."""
+    found = words(text)
+    return np.fromiter(map(xxh3_64_intdigest, found), np.uint64, len(found))
 
 
 def seeds(ids: np.ndarray, n: int) -> np.ndarray:

@@ -2,7 +2,8 @@
 
 Kinds of the base, always kept once their check holds: email, ip (parts up to 255), card (13 to 19
 digits, Luhn), phone (9 to 15 digits). Kinds the method adds: iban (length of its country, mod 97), and
-ssn, which has no checksum and so needs a context word nearby. Context words stand within WINDOW code points
+ssn and secret (a key of 32 to 64 hexadecimal digits, of which DISTINCT or more differ), which have no
+checksum and so need a context word nearby. Context words stand within WINDOW code points
 of the span, in English, German, French or Spanish; some raise its score and some lower it. Spans of the
 added kinds with a score below LEAST are dropped, those of the base keep theirs.
 
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "iban", "ssn")
+KINDS = (*BASE, "iban", "ssn", "secret")
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -32,6 +33,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])([A-Z]{2})[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
 # Areas 000, 666 and from 900, group 00 and serial 0000 are never given out.
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
+_SECRET = re.compile(r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,64}+(?![0-9A-Za-z])")
 _NON_DIGIT = re.compile(r"[^0-9]")
 
 # IBAN lengths by country, as in the registry.
@@ -43,7 +45,7 @@ IBAN_LENGTH = {
     "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25,
     "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
 }
-SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.3}
+SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.3, "secret": 0.3}
 # Words of English, German, French and Spanish that raise a score, and such that lower it.
 CONTEXT = {
     "email": ("mail", "e-mail", "email", "contact", "kontakt", "courriel", "adresse", "correo", "contacto"),
@@ -51,15 +53,17 @@ CONTEXT = {
     "card": ("card", "visa", "mastercard", "credit", "payment", "karte", "kreditkarte", "zahlung", "carte", "paiement", "tarjeta", "crédito", "pago"),
     "phone": ("phone", "tel", "call", "mobile", "fax", "telefon", "anruf", "mobil", "téléphone", "appel", "portable", "teléfono", "llamada", "móvil"),
     "iban": ("iban", "account", "bank", "konto", "bankverbindung", "compte", "banque", "cuenta", "banco"),
+    "secret": ("token", "key", "apikey", "api_key", "secret", "password", "bearer", "passwort", "schlüssel", "clé", "jeton", "contraseña", "clave"),
     "ssn": ("ssn", "social", "security", "sozialversicherung", "sécurité", "sociale", "seguridad", "seguro"),
 }
 AGAINST = {
     "ip": ("version", "versión", "release", "firmware", "build"),
     "card": ("isbn", "order", "bestellung", "commande", "pedido"),
     "phone": ("isbn", "version"),
+    "secret": ("checksum", "digest", "commit", "md5", "sha1", "sha256"),
     "ssn": ("order", "part", "serial", "bestellung", "commande", "pedido"),
 }
-BONUS, WINDOW, LEAST = 0.3, 40, 0.5
+BONUS, WINDOW, LEAST, DISTINCT = 0.3, 40, 0.5, 8
 _near = lambda table: {k: re.compile(r"\b(?:" + "|".join(map(re.escape, words)) + r")\b", re.IGNORECASE) for k, words in table.items()}
 _CONTEXT, _AGAINST = _near(CONTEXT), _near(AGAINST)
 
@@ -122,6 +126,7 @@ def spans(text: str) -> list[tuple[str, int, int, float]]:
     found += (("iban", *x) for x in _ibans(text))
     if "-" in text:
         found += (("ssn", *m.span()) for m in _SSN.finditer(text))
+    found += (("secret", *m.span()) for m in _SECRET.finditer(text) if len(set(m[0].lower())) >= DISTINCT)
     out = []
     for kind, start, end in found:
         near = text[max(0, start - WINDOW) : start] + "\n" + text[end : end + WINDOW]

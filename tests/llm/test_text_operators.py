@@ -386,12 +386,16 @@ def plain_added(text):
         alone = not re.match(r"[0-9-]", text[m.start() - 1 : m.start()] or "x") and not re.match(r"[0-9-]", text[m.end() : m.end() + 1] or "x")
         if alone and a not in ("000", "666") and a < "900" and b != "00" and c != "0000" and found & set(pii.CONTEXT["ssn"]) and not found & set(pii.AGAINST["ssn"]):
             out.append(("ssn", *m.span()))
+    for m in re.finditer(r"[0-9A-Za-z]+", text):
+        around = set(re.findall(r"\w+", text[max(0, m.start() - 40) : m.start()].lower() + " | " + text[m.end() : m.end() + 40].lower()))
+        if re.fullmatch(r"[0-9a-fA-F]{32,64}", m[0]) and len(set(m[0].lower())) >= 8 and around & set(pii.CONTEXT["secret"]) and not around & set(pii.AGAINST["secret"]):
+            out.append(("secret", *m.span()))
     return out
 
 
 def test_added_kinds_against_plain_search():
     rng = random.Random(4)
-    bits = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "TR330006100519786457841326", "AB12", "DE", "123-45-6789", "666-12-1234", "000-12-1234", "912-12-1234", "123-00-1234", "123-45-0000", "12123-45-6789", "123-45-67890", "ssn", "Sozialversicherung", "seguridad", "order", "ORDER", "X", "é", ",", "."]
+    bits = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "TR330006100519786457841326", "AB12", "DE", "123-45-6789", "666-12-1234", "000-12-1234", "912-12-1234", "123-00-1234", "123-45-0000", "12123-45-6789", "123-45-67890", "ssn", "Sozialversicherung", "seguridad", "order", "ORDER", "X", "é", ",", ".", "0123456789abcdef" * 2, "A1" * 20, "0123456789abcdef" * 4, "token", "Clave", "sha1"]
     for _ in range(3000):
         text = "".join(rng.choice(bits) + rng.choice(["", " ", " ", "  ", "\n", "-"]) for _ in range(rng.randint(1, 9)))
         assert [s[:3] for s in pii.spans(text) if s[0] not in pii.BASE] == plain_added(text), text
