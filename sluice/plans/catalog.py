@@ -625,6 +625,34 @@ def ext_session(spark, sf_dir):
 
 # ------------------------------------------------------------------ documents parsed
 
+# Pages with their canonical URL, the decoded text of their h1 and of their title, and their links as absolute URLs.
+_DECODED = "replace(replace(replace(replace(replace(replace({}, '&quot;', chr(34)), '&lt;', '<'), '&gt;', '>'), '&middot;', chr(183)), '&copy;', chr(169)), '&amp;', '&')"
+_P = (
+    _U
+    + f""", c AS (SELECT page_id, scheme || '://' || auth AS root, scheme || '://' || auth || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN q = '' THEN '' ELSE '?' || q END AS canonical FROM u),
+p AS (SELECT c.*, url, html, trim(regexp_replace({_DECODED.format("regexp_extract(html, '<h1>([^<]*)', 1)")}, '\\s+', ' ', 'g')) AS h1, trim(regexp_replace({_DECODED.format("regexp_extract(html, '<title>([^<]*)', 1)")}, '\\s+', ' ', 'g')) AS title,
+    list_transform(regexp_extract_all(html, '<a href="([^"]*)"', 1), lambda x: c.root || {_DECODED.format('x')}) AS links FROM c JOIN pages USING (page_id))
+"""
+)
+# And their text: what stands between tags, without scripts, styles and comments, a piece a line.
+_T = (
+    _P
+    + f""", r AS (SELECT *, regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', '', 'gs'), '<!--.*?-->', chr(1), 'gs') AS bare FROM p),
+t AS (SELECT *, array_to_string(list_filter(list_transform(string_split(regexp_replace(bare, '<[^>]*(>|$)', chr(1), 'g'), chr(1)), lambda x: trim({_DECODED.format('x')}, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> ''), chr(10)) AS text FROM r)
+"""
+)
+_WORDS_IN = lambda goal, words: "(" + " + ".join(f"contains(lower({goal}), '{w}')::INT" for w in words) + ")"
+
+
+def _analysis(goal: str, asked: str = "") -> str:
+    """The columns of an analysis over _T, by its definitions: challenge, score and site type."""
+    challenge = "CASE " + " ".join(f"WHEN contains(lower(html), '{p}') THEN '{p}'" for p in text.CHALLENGE_PATTERNS) + " ELSE '' END"
+    scores = {k: f"round(least(1.0, {_WORDS_IN(goal, ws)} / 5.0{' + 0.25' if k == asked else ''}), 3)" for k, ws in text.SITE_WORDS.items()}
+    top = f"greatest({', '.join(scores.values())})"
+    kind = f"CASE WHEN {top} < 0.2 THEN 'unknown' " + " ".join(f"WHEN {v} = {top} THEN '{k}'" for k, v in scores.items()) + " END"
+    return f"{challenge} AS challenge, ((least(length(html), 500000) + 5) // 10 - CASE WHEN {challenge} <> '' THEN 25000 ELSE 0 END - CASE WHEN length(html) < 500 THEN 5000 ELSE 0 END) / 100 AS response_score, {kind} AS site_type"
+
+
 
 @query(_U + """, a AS (SELECT page_id, scheme || '://' || auth AS root, unnest(regexp_extract_all((SELECT html FROM pages p WHERE p.page_id = u.page_id), '<a href="([^"]*)"', 1)) AS href FROM u)
 SELECT page_id, root || replace(href, '&amp;', '&') AS link, count(*)::BIGINT AS n FROM a WHERE href LIKE '/%' GROUP BY 1, 2""")
@@ -646,38 +674,47 @@ def dom_fields_and_signals(spark, sf_dir):
     return got.select("page_id", F.col("fields")["title"][0].alias("title"), "signals.html_chars", "signals.scripts")
 
 
-@query()
+@query(_T + "SELECT page_id, length(text)::INT AS n, md5(text) AS text FROM t")
 def dom_page_text(spark, sf_dir):
     return extract.page_text(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", F.length("text").alias("n"), F.md5("text").alias("text"))
 
 
-@query()
+@query(_P + """SELECT page_id, 'link' AS field, 0::INT AS rank, 'a@href' AS selector, round(list_sum(list_transform(links, lambda x: 1.0 + 3 * regexp_matches(x, '(?i)(\\.html$|/producten/|/product/|/p/|pid=|sku=)')::INT)) + 5 * len(list_distinct(links)), 3)::DOUBLE AS score, len(list_distinct(links))::INT AS hits FROM p WHERE len(links) > 0
+UNION ALL SELECT page_id, 'title', 0, 'h1', round(least(length(h1), 120) / 12 + 13, 3), 1 FROM p WHERE length(h1) >= 2
+UNION ALL SELECT page_id, 'title', (length(h1) >= 2)::INT, 'title', round(least(length(title), 120) / 12 + 5, 3), 1 FROM p WHERE length(title) >= 2""")
 def selector_candidates(spark, sf_dir):
     return extract.selector_candidates(table(spark, sf_dir, "pages").select("page_id", "url", "html"), ["link", "title"]).select("page_id", "field", "rank", "selector", "score", "hits")
 
 
-@query()
+@query(_P + """SELECT field, selector, votes, (SELECT count(*) FROM p) AS rows, round(votes / (SELECT count(*) FROM p), 3)::DOUBLE AS confidence FROM
+    (SELECT 'link' AS field, 'a@href' AS selector, count(*) FILTER (len(links) > 0)::BIGINT AS votes FROM p UNION ALL SELECT 'title', 'h1', count(*) FILTER (length(h1) >= 2) FROM p)""")
 def site_spec(spark, sf_dir):
     return report.site_spec(table(spark, sf_dir, "pages").select("url", "html"), ["link", "title"])
 
 
-@query()
+@query(_U + """SELECT page_id, 0::INT AS rank, CASE WHEN regexp_matches(q, '(^|&)page=[0-9]+') THEN 'current_query_pattern' ELSE 'page_param_guess' END AS kind,
+    CASE WHEN regexp_matches(q, '(^|&)page=[0-9]+') THEN regexp_replace(url, '([?&])page=[0-9]+', '\\1page=' || (regexp_extract(q, '(?:^|&)page=([0-9]+)', 1)::BIGINT + 1)) ELSE url || CASE WHEN q <> '' THEN '&' ELSE '?' END || 'page=2' END AS next,
+    CASE WHEN regexp_matches(q, '(^|&)page=[0-9]+') THEN 0.78 ELSE 0.45 END::DOUBLE AS confidence FROM u""")
 def pagination_candidates(spark, sf_dir):
     return extract.pagination(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "rank", "kind", "next", "confidence")
 
 
-@query()
+@query("SELECT page_id, 0::INT AS pos, '' AS hint, '' AS source, false AS json_like, false AS paged FROM pages WHERE regexp_matches(html, '(?i)<script[^>]*>[^<]*(https?:)?/[a-z0-9]+[^<]*(api|graphql|ajax)')")
 def api_hints(spark, sf_dir):
     return extract.api_hints(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "pos", "hint", "source", "json_like", "paged")
 
 
-@query()
+@query(_T + f""", a AS (SELECT page_id, lower(text) AS t, {_analysis("'news articles ' || url || ' ' || text")} FROM t),
+k AS (SELECT *, list_filter([CASE WHEN {_any(text.PAGE_CHALLENGE_PATTERNS)} THEN 'challenge' END, {", ".join(f"CASE WHEN {_any(ws)}{' AND length(t) <= 2000' if k == 'login_required' else ''} THEN '{k}' END" for k, ws in text.ACCESS_KEYWORDS.items())}], lambda x: x IS NOT NULL) AS c FROM a)
+SELECT page_id, challenge, false AS js_shell, CASE WHEN len(c) = 0 THEN 'html_available' ELSE array_to_string(c, ',') END AS categories, response_score, site_type, challenge = '' AS ok FROM k""")
 def page_analysis(spark, sf_dir):
     a = report.analyze(table(spark, sf_dir, "pages").select("page_id", "url", "html"), "news articles", ["title"])
     return a.select("page_id", "challenge", "js_shell", F.array_join("categories", ",").alias("categories"), "response_score", "site_type", "ok")
 
 
-@query()
+@query(_T + f""", a AS (SELECT lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host, {_analysis("' ' || url || ' ' || text")} FROM t),
+n AS (SELECT host, site_type, count(*) AS n FROM a GROUP BY host, site_type), m AS (SELECT host, max((n, site_type)) AS best FROM n GROUP BY host)
+SELECT host, count(*)::BIGINT AS pages, count(*) FILTER (challenge = '')::BIGINT AS ok, (2 * round(sum(response_score) * 100)::BIGINT + count(*)) // (2 * count(*)) / 100 AS mean_score, any_value(best[2]) AS site_type FROM a JOIN m USING (host) GROUP BY host""")
 def site_summary(spark, sf_dir):
     return report.site_summary(report.analyze(table(spark, sf_dir, "pages").select("url", "html")))
 
@@ -716,14 +753,15 @@ def store_round_trip(spark, sf_dir):
     return s.table("d", "t").select(F.col("nationkey").cast("int").alias("nationkey"), "suppkey", "name")
 
 
-@query()
+@query(_P + "SELECT DISTINCT canonical AS url, h1 AS title FROM p WHERE canonical IS NOT NULL AND h1 <> ''")
 def pipeline_run(spark, sf_dir):
     pages = LandedPages(table(spark, sf_dir, "pages").select("url", "html"))
     spec = {"steps": [{"step": "frontier_add", "source": "pages"}, {"step": "frontier_next", "limit": "all"}, {"step": "crawl_products", "fields": {"title": "h1", "links": "a@href"}}, {"step": "filter", "condition": "title exists"}]}
     return Pipeline(spec).run(spark, pages, now=1.0).records.select("url", "title")
 
 
-@query()
+@query(_P + """, s AS (SELECT DISTINCT canonical AS url FROM p WHERE canonical LIKE 'http%://_%'), l AS (SELECT DISTINCT regexp_replace(unnest(links), '#.*$', '') AS url FROM (SELECT max_by(links, html) AS links FROM p GROUP BY canonical))
+SELECT url, 0::INT AS depth, true AS found FROM s UNION ALL SELECT url, 1, false FROM l WHERE url NOT IN (SELECT url FROM s)""")
 def crawl_levels(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("url", "html")
     return crawl(pages, CrawlSpec(pages.select("url"), max_depth=2))

@@ -40,9 +40,9 @@ def analyze(pages: DataFrame, goal: str = "", fields: list[str] = (), *, html: s
 
 
 def site_summary(analyzed: DataFrame, url: str = "url") -> DataFrame:
-    """(host, pages, ok, mean_score, site_type): one row a host; the type is the one most pages have."""
-    by = analyzed.groupBy(urls.host(F.col(url)).alias("host"), "site_type").agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("ok"), F.sum("response_score").alias("score"))
-    return by.groupBy("host").agg(F.sum("n").alias("pages"), F.sum("ok").alias("ok"), F.round(F.sum("score") / F.sum("n"), 2).alias("mean_score"), F.max_by("site_type", F.struct("n", "site_type")).alias("site_type"))
+    """(host, pages, ok, mean_score, site_type): one row a host; the type is the one most pages have. Scores are summed exactly."""
+    by = analyzed.groupBy(urls.host(F.col(url)).alias("host"), "site_type").agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("ok"), F.sum(F.col("response_score").cast("decimal(18,2)")).alias("score"))
+    return by.groupBy("host").agg(F.sum("n").alias("pages"), F.sum("ok").alias("ok"), F.round(F.sum("score") / F.sum("n"), 2).cast("double").alias("mean_score"), F.max_by("site_type", F.struct("n", "site_type")).alias("site_type"))
 
 
 def site_spec(pages: DataFrame, fields: list[str], *, html: str = "html", url: str = "url") -> DataFrame:

@@ -133,9 +133,12 @@ class CrawlSpec:
 
 
 def crawl(pages: DataFrame, spec: CrawlSpec, state: CrawlState | None = None) -> DataFrame:
-    """(url, depth, found): every URL reached, whether a landed page answers it. pages: (url, html). A state makes it go on where it stopped."""
+    """(url, depth, found): every URL reached, whether a landed page answers it. pages: (url, html). A state makes it go on where it stopped.
+
+    Of pages that are one in canonical form the one with the greatest text counts, so that reruns agree.
+    """
     spark = pages.sparkSession
-    landed = write_out(pages.select(urls.canonical_url(F.col("url")).alias("node"), "html").filter(F.col("node").isNotNull()).groupBy("node").agg(F.any_value("html").alias("html")), "landed")
+    landed = write_out(pages.select(urls.canonical_url(F.col("url")).alias("node"), "html").filter(F.col("node").isNotNull()).groupBy("node").agg(F.max("html").alias("html")), "landed")
     given = spec.start_urls if isinstance(spec.start_urls, DataFrame) else spark.createDataFrame([(u,) for u in spec.start_urls], "url string")
     start = given.select(urls.canonical_url(F.col("url")).alias("node")).filter(F.col("node").isNotNull())
 
