@@ -22,7 +22,9 @@ def incoming(urls: DataFrame, now: float, *, url: str = "url", order: str | None
     """Frontier rows, and outcome invalid or new, of raw URLs; of equal ones the first in order is kept, others are repeat."""
     canon = canonical_url(F.col(url))
     rows = urls.select(canon.alias("url"), (F.col(order) if order else F.monotonically_increasing_id()).alias("pos"))
-    first = F.row_number().over(Window.partitionBy("url").orderBy("pos")) == 1
+    # What is no URL has no equals: each such row is a group of its own, so that they don't meet in one task.
+    group = F.coalesce(F.col("url"), F.concat(F.lit(" "), F.col("pos").cast("string")))
+    first = F.row_number().over(Window.partitionBy(group).orderBy("pos")) == 1
     rows = rows.withColumn("outcome", F.when(F.col("url").isNull(), F.lit("invalid")).when(first, F.lit("new")).otherwise(F.lit("repeat")))
     return rows.select(
         "url", url_hash(F.col("url")).alias("url_hash"), authority(F.col("url")).alias("domain"), F.lit(priority).alias("priority"), F.lit("queued").alias("status"),
@@ -54,9 +56,9 @@ def next_batch(frontier: DataFrame, now: float, limit: int | None = 10, domain:
 
 
 def lease(frontier: DataFrame, batch: DataFrame, now: float, worker_id: str = "local", token: str = "", most: int | None = MOST_LEASED) -> DataFrame:
-    """The frontier after the batch is handed to a worker: broadcast as it has at most MOST_LEASED rows, unless most is None."""
+    """The frontier after the batch, or its first `most` rows, is handed to a worker."""
     mine = batch.select("url_hash", F.lit(True).alias("_mine"))
-    mine = mine if most is None else F.broadcast(mine)
+    mine = mine if most is None else mine.limit(most)
     return _update(frontier.join(mine, "url_hash", "left"), {"status": F.lit("running"), "attempts": F.col("attempts") + 1, "worker_id": F.lit(worker_id), "locked_at": F.lit(now), "updated_at": F.lit(now), "lease_token": F.lit(token)}, frontier)
 
 

@@ -10,12 +10,12 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.functions.predicates import RESERVED, identifier, where
-from sluice.session import fresh
+from sluice.session import fresh, write_out
 
 TYPES = {"TEXT": "string", "INTEGER": "bigint", "REAL": "double", "BLOB": "binary", "NUMERIC": "string"}
 
@@ -106,8 +106,9 @@ def sole_id(df: DataFrame, schema: TableSchema | None) -> Column:
 
 
 def first_by_identity(df: DataFrame, key: str, order: Column) -> DataFrame:
-    n = fresh("n", df)
-    return df.withColumn(n, F.row_number().over(Window.partitionBy(key).orderBy(order))).filter(F.col(n) == 1).drop(n)
+    """Of the rows of each key the first in order, by a sum that takes one row a key and task, however many a key has."""
+    row, of = fresh("row", df), fresh("of", df)
+    return df.groupBy(F.col(key).alias(of)).agg(F.min_by(F.struct(*[F.col(c) for c in df.columns]), order).alias(row)).select(f"{row}.*")
 
 
 def new_records(stored: DataFrame | None, batch: DataFrame, schema: TableSchema | None, order: Column) -> DataFrame:
@@ -169,9 +170,10 @@ class Store:
         fresh_rows = first_by_identity(keyed, "sole_id", F.col(n)).drop(n)
         if stored is not None:
             fresh_rows = fresh_rows.join(stored.select("sole_id"), "sole_id", "left_anti")
-        before = stored.count() if stored is not None else 0
-        fresh_rows.write.mode("append").parquet(self._path(db, table) + "/data")
-        saved = self.table(db, table).count() - before
+        # Written out first: the rows are told apart once, and it is their number that counts, not that of the whole table.
+        new = write_out(fresh_rows, "new")
+        saved = new.count()
+        new.write.mode("append").parquet(self._path(db, table) + "/data")
         return {"saved": saved, "skipped": state["rows"] - (state["bad"] or 0) - saved, "errors": state["bad"] or 0}
 
     def query(self, db: str, table: str, spec=None, limit: int = 20, offset: int = 0, order: tuple[str, ...] = ("sole_id",)) -> tuple[int, DataFrame]:

@@ -14,7 +14,7 @@ from sluice.operators import extract, score
 
 def analyze(pages: DataFrame, goal: str = "", fields: list[str] = (), *, html: str = "html", url: str = "url") -> DataFrame:
     """pages' other columns with signals, challenge, js_shell, categories, response_score, site_type, findings and ok."""
-    read = extract.signals(extract.page_text(pages, html=html, out="_text"), html=html)
+    read = extract.text_and_signals(pages, html=html, text="_text")
     kinds = text.site_type_scores(F.concat_ws(" ", F.lit(goal), F.col(url), F.col("_text")), list(fields))
     challenge = text.challenge_in_html(F.col(html))
     s = F.col("signals")
