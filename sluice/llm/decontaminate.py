@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
+from sluice.llm.parts import give_back
 from sluice.session import fresh, small_batches, write_out
 
 SEED, LEAST, FLOOR = 5, 0.5, 8
@@ -157,6 +158,7 @@ def _tiler(least: float):
                 if is_hit(covered, item.size, least):
                     hits.append({"nth": nth, "tokens": item.size, "covered": covered, "tiles": len(tiles)})
             out.append(hits)
+        give_back()
         return pa.array(out, type=_FOUND)
 
     return tiled
@@ -190,6 +192,7 @@ def _doc_seeds(lengths: list[int], wanted: np.ndarray | None):
                     h = h[_among(h, wanted)]
                 found.append(h)
             out.append(np.unique(np.concatenate(found)).view(np.int64) if found else np.zeros(0, np.int64))
+        give_back()
         return pa.array(out, type=pa.list_(pa.int64()))
 
     return emit

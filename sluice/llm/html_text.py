@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluice.llm.parts import give_back
 from sluice.session import fresh, small_batches, write_out
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<([/A-Za-z])[^>]*(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.DOTALL)
@@ -230,6 +231,7 @@ def _read_pages(pages: pa.Array) -> pa.Array:
         blocks, main, branches = read_page(page.as_py() or "")
         # Into Arrow page by page, as Python objects take many times the bytes.
         out.append(pa.array([{"blocks": [{"at": k, "text": t} for k, t in blocks], "main": main, "branches": [dict(zip(_BRANCH, b, strict=True)) for b in branches]}], type=_ARROW))
+    give_back()
     return pa.concat_arrays(out) if out else pa.array([], type=_ARROW)
 
 

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.parts import text_hash
+from sluice.llm.parts import give_back, text_hash
 from sluice.session import fresh, small_batches, write_out
 
 N_GRAM, THRESHOLD = 5, 0.8
@@ -142,6 +142,7 @@ def _sketches(texts: pa.Array) -> pa.Array:
         keys.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest())
         sigs.append(sig.tobytes())
         bands.append(_mix(sig.view("<u8") + np.arange(HASHES // BAND, dtype=np.uint64) * np.uint64(_BASE)).view(np.int64))
+    give_back()
     return pa.StructArray.from_arrays([pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["key", "size", "sig", "bands"])
 
 
@@ -250,6 +251,7 @@ def _prune(least: list[int]):
                 bits.append(np.packbits(one).tobytes())
             kept = t.select(["block", "key"]).take(rows)
             yield pa.RecordBatch.from_arrays([kept.column("block").combine_chunks(), kept.column("key").combine_chunks(), pa.array(bits, pa.binary())], schema=schema)
+        give_back()
 
     return prune
 
@@ -294,6 +296,7 @@ def _verify(threshold: float):
             if found.size:
                 roots = pa.array([top(x) for x in found.tolist()])
                 yield pa.RecordBatch.from_arrays([keys.take(found).combine_chunks(), pa.array(links[found]), keys.take(roots).combine_chunks()], schema=schema)
+        give_back()
 
     return verify
 
@@ -304,6 +307,7 @@ def _sets(texts: pa.Array) -> pa.Array:
         g = shingles(t.as_py())
         keys.append(hashlib.blake2b(g.tobytes(), digest_size=16).digest() if g.size else None)
         grams.append(g.tobytes())
+    give_back()
     return pa.StructArray.from_arrays([pa.array(keys, pa.binary()), pa.array(grams, pa.binary())], ["key", "grams"])
 
 

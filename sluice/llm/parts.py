@@ -6,15 +6,22 @@ operators and share one result.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.session import fresh, write_out
 
-#: Positions that take up to this many bytes are broadcast; more of them, as of any large table, are joined by document.
-BROADCAST_BYTES = 1 << 20
+
+def give_back() -> None:
+    """Return what a Python worker has freed to the system: workers live on from task to task, beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library may have no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def text_hash(text: Column) -> Column:
@@ -24,13 +31,13 @@ def text_hash(text: Column) -> Column:
 def without(docs: DataFrame, gone: DataFrame, split: Callable[[Column], Column], glue: str, text: str, doc_id: str, out: str, prefix: str) -> DataFrame:
     """docs with out (the text without its gone parts) and, behind prefix, parts and removed (counts).
 
-    gone: rows (id, hash, at) of positions from 0, each once or more often.
+    gone: rows (id, hash, at) of positions from 0, each once or more often. Their lists grow with the documents,
+    so they are joined by document at every size: documents are shuffled once, and a hot one is split.
     """
     of, by, at, parts = (fresh(x, docs) for x in ("r_id", "r_hash", "r_at", "r_parts"))
     lists = write_out(gone.groupBy(F.col("id").alias(of), F.col("hash").alias(by)).agg(F.sort_array(F.collect_set("at")).alias(at)), "removed")
-    size = lists.agg(F.sum(F.size(at) * 4 + 32)).first()[0] or 0
     hit = (F.col(by) == text_hash(F.col(text))) & F.col(of).eqNullSafe(F.col(doc_id))
-    joined = docs.join(F.broadcast(lists) if size <= BROADCAST_BYTES else lists, hit, "left")
+    joined = docs.join(lists.hint("merge"), hit, "left")
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     joined = joined.withColumn(parts, split(whole))
     n = F.size(parts)
