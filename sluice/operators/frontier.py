@@ -102,3 +102,35 @@ def dequeue_order(requests: DataFrame) -> DataFrame:
     first = F.row_number().over(Window.partitionBy("fingerprint").orderBy("seq")) == 1
     kept = requests.withColumn("_first", first).filter(F.col("dont_filter") | F.col("_first")).drop("_first")
     return kept.orderBy(F.desc("priority"), F.asc("seq"))
+
+
+#: Bits of a bucket of a Bloom filter, as Spark's bitmap functions have them.
+BUCKET = 32768
+
+
+def _bloom_places(key: Column, bits: int, hashes: int) -> Column:
+    """The places, from 1, of a key in a filter of 2**bits bits."""
+    return F.transform(F.array(*[F.lit(k) for k in range(hashes)]), lambda k: F.pmod(F.xxhash64(k, key), F.lit(1 << bits)) + 1)
+
+
+def bloom(seen: DataFrame, key: str = "url_hash", bits: int = 23, hashes: int = 7) -> DataFrame:
+    """(bucket, bitmap): a Bloom filter of the keys, of 2**bits bits however many they are; 2**23 bits hold 800,000 keys at 1 %."""
+    place = seen.filter(F.col(key).isNotNull()).select(F.explode(_bloom_places(F.col(key), bits, hashes)).alias("p"))
+    return place.groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bitmap"))
+
+
+def bloom_merge(*filters: DataFrame) -> DataFrame:
+    """One filter of all keys of filters of one size: what is added to a stored filter, or filters of parts of a frontier."""
+    both = filters[0]
+    for other in filters[1:]:
+        both = both.unionByName(other)
+    return both.groupBy("bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+
+
+def bloom_maybe(items: DataFrame, stored: DataFrame, key: str = "url_hash", bits: int = 23, hashes: int = 7) -> DataFrame:
+    """items with `maybe`: false says for certain that the key isn't in the filter, which is a megabyte for 2**23 bits."""
+    whole = stored.agg(F.map_from_entries(F.collect_list(F.struct("bucket", "bitmap"))).alias("_filter"))
+    place = lambda p: F.conv(F.hex(F.substring(F.col("_filter")[F.bitmap_bucket_number(p)], F.floor(F.bitmap_bit_position(p) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = lambda p: F.coalesce(F.expr("1") == F.floor(place(p) / F.pow(F.lit(2), F.bitmap_bit_position(p) % 8)) % 2, F.lit(False))
+    held = F.forall(_bloom_places(F.col(key), bits, hashes), bit)
+    return items.join(F.broadcast(whole)).withColumn("maybe", F.coalesce(held, F.lit(False))).drop("_filter")

@@ -407,3 +407,23 @@ def first_where(items: Column, keep: Callable[[Column], Column]) -> Column:
 def json_of(n: dom.Node):
     """What an element's text says as JSON."""
     return json.loads(n.text())
+
+
+def remember(pages: DataFrame, expression: str, identifier: str, *, html: str = "html", url: str = "url") -> DataFrame:
+    """(domain, identifier, element): of each page's host the fingerprint, as JSON, of the first element that an XPath finds."""
+
+    def first(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts:
+            found = next((n for n in xpath(dom.parse(t.as_py()), expression) if isinstance(n, dom.Node)), None)
+            out.append(json.dumps(dom.fingerprint(found), sort_keys=True) if found else None)
+        return pa.array(out, type=pa.string())
+
+    told = pages.select(F.lower(F.try_parse_url(F.col(url), F.lit("HOST"))).alias("domain"), F.lit(identifier).alias("identifier"), F.col(url).alias("_url"), F.arrow_udf(first, "string")(F.col(html).cast("string")).alias("element"))
+    return told.filter(F.col("element").isNotNull()).groupBy("domain", "identifier").agg(F.min_by("element", "_url").alias("element"))
+
+
+def recall(stored: DataFrame, domain: str, identifier: str) -> dict | None:
+    """The fingerprint that was kept for an identifier of a domain."""
+    row = stored.filter((F.col("domain") == domain.lower()) & (F.col("identifier") == identifier)).first()
+    return json.loads(row["element"]) if row else None

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sluice.functions import text, urls
-from sluice.operators import convert, extract, memory, profile, search
-from sluice.plans import specs
+from sluice.operators import convert, extract, frontier, memory, profile, search
+from sluice.plans import diagnose, specs
 from sluice.plans.catalog import query, table
 from sluice.plans.spider import CrawlState, Jobs, bfs, child_requests
 from sluice.session import new_path
@@ -255,3 +255,43 @@ def access_signals(spark, sf_dir):
     k = F.col("page_id") % 4
     found = text.access_categories(F.lit("plain words"), status=F.when(k == 0, F.lit(429)).otherwise(F.lit(200)), truncated=k == 0, js_shell=k == 1, api_hints=k == 2)
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(found, ",").alias("categories"))
+
+
+# ------------------------------------------------------------------ diagnosis, filters, kept elements
+
+
+@query("""SELECT o_orderkey, CASE o_custkey % 6 WHEN 0 THEN 'blocked_or_challenged' WHEN 1 THEN 'api_driven_js_page' WHEN 2 THEN 'browser_rendered_js_page' WHEN 3 THEN 'api_hinted_page' WHEN 4 THEN 'browser_rendered_page' ELSE 'unknown' END AS name FROM orders""")
+def access_classes(spark, sf_dir):
+    k = F.col("o_custkey") % 6
+    categories = F.when(k == 0, F.array(F.lit("challenge"), F.lit("js_shell"))).when(k.isin(1, 2), F.array(F.lit("js_shell"))).otherwise(F.array(F.lit("html_available")))
+    c = diagnose.access_class(categories, k.isin(1, 3).cast("int"), F.when(k == 4, F.lit("browser")).otherwise(F.lit("")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", c["name"].alias("name"))
+
+
+@query("""SELECT url, challenge = '' AS ok, CASE WHEN challenge = '' THEN 'preferred_fetch_mode,' ELSE 'manual_access_required,' END || CASE WHEN html LIKE '%<a href="%' THEN 'list_selector' ELSE 'none' END AS recommendations
+FROM (SELECT url, html, CASE WHEN contains(lower(html), 'captcha') THEN 'captcha' ELSE '' END AS challenge FROM pages)""")
+def page_advice(spark, sf_dir):
+    told = diagnose.diagnose(table(spark, sf_dir, "pages").select("url", "html"))
+    wanted = F.filter("recommendations", lambda x: x.isin("preferred_fetch_mode", "manual_access_required", "list_selector"))
+    return told.select("url", "ok", F.array_join(wanted, ",").alias("recommendations"))
+
+
+@query("""SELECT e.event_id % 2 = 0 AS even, e.event_id % 2 = 0 AS held FROM events e GROUP BY 1, 2""")
+def bloom_filters(spark, sf_dir):
+    """A filter of the even ids, built in two parts and merged: all even ones may be in it, and of the odd ones few."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("url_hash"), (F.col("event_id") % 2 == 0).alias("even"), (F.col("event_id") % 4 == 0).alias("fourth"))
+    stored = frontier.bloom_merge(frontier.bloom(e.filter("fourth")), frontier.bloom(e.filter("even and not fourth")))
+    share = frontier.bloom_maybe(e, stored).groupBy("even").agg(F.avg(F.col("maybe").cast("double")).alias("share"))
+    return share.select("even", F.when(F.col("even"), F.col("share") == 1).otherwise(F.col("share") > 0.03).alias("held"))
+
+
+@query("""SELECT domain, 'headline' AS identifier, 'h1' AS tag FROM (SELECT DISTINCT lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS domain FROM pages WHERE html LIKE '%<h1%')""")
+def kept_elements(spark, sf_dir):
+    kept = search.remember(table(spark, sf_dir, "pages").select("url", "html"), "//h1", "headline")
+    return kept.select("domain", "identifier", F.get_json_object("element", "$.tag").alias("tag"))
+
+
+@query("""SELECT 'network_api_candidate' AS type, (SELECT 'http://h/' || min(event_id) FROM events) AS url UNION ALL SELECT 'pagination_candidate', (SELECT 'http://h/' || min(event_id) FROM events WHERE user_id % 3 = 0) UNION ALL SELECT 'json_api_candidate', (SELECT 'http://h/' || min(event_id) FROM events WHERE event_type = 'view')""")
+def network_advice(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), F.concat(F.lit("http://h/"), F.col("event_id").cast("string")).alias("url"), (F.col("event_type") == "view").alias("json_like"), (F.col("user_id") % 3 == 0).alias("paged"))
+    return diagnose.network_advice(e)
