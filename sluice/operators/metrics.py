@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 EVENT = "ts string, event string, success boolean, url string, domain string, requested_mode string, mode string, cache_hit boolean, escalations array<string>, duration_ms bigint, error_type string, error string"
 
+MOST_RECENT = 500
+
 
 def known(c: Column | str) -> Column:
     return F.coalesce(F.nullif(F.col(c) if isinstance(c, str) else c, F.lit("")), F.lit("unknown"))
@@ -42,15 +44,15 @@ def all_metrics(events: DataFrame) -> DataFrame:
     return f.groupingSets(sets, "domain", "mode").agg(level.alias("level"), *_counts())
 
 
-def recent(events: DataFrame, order: list[str], limit: int = 50, event: str = "", domain: str = "", tail: int = 5000) -> DataFrame:
-    """The last matching events of the log's tail, in order of time."""
+def recent(events: DataFrame, order: list[str], limit: int | None = 50, event: str = "", domain: str = "", tail: int | None = 5000) -> DataFrame:
+    """The last matching events of the log's tail, in order of time; None takes a limit off."""
     down = [F.desc(c) for c in order]
-    last = events.orderBy(*down).limit(tail)
+    last = events if tail is None else events.orderBy(*down).limit(tail)
     if event:
         last = last.filter(F.col("event") == event)
     if domain:
         last = last.filter(F.contains(F.col("domain"), F.lit(domain)))
-    return last.orderBy(*down).limit(max(1, min(limit, 500))).orderBy(*order)
+    return (last if limit is None else last.orderBy(*down).limit(max(1, min(limit, MOST_RECENT)))).orderBy(*order)
 
 
 def crawl_stats(requests: DataFrame) -> DataFrame:
