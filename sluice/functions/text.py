@@ -56,6 +56,13 @@ CITIES = {
 PROXY_ERRORS = ("net::err_proxy", "net::err_tunnel", "connection refused", "connection reset", "connection timed out", "failed to connect", "could not resolve proxy")
 AGENT_WORDS = ("ai agent", "agent", "llm", "智能体", "Agent开发", "多智能体", "大模型")
 BENEFITS = ("福利", "五险一金", "奖金", "期权", "股权", "体检", "年假")
+JOB_CATEGORIES = (("AI Agent - Marketing", ("marketing",)), ("AI Agent - Customer Success", ("customer success",)), ("AI Agent Development", ("agent", "智能体")), ("LLM Application Development", ("llm", "大模型")))
+SALARY_PATTERNS = (
+    r"(?i)USD\s*([0-9,]+)\s*-\s*([0-9,]+)\s*/\s*([A-Z]+)",
+    r"\$\s*([0-9,]+)\s*(?:k|K)?\s*[-~]\s*\$?\s*([0-9,]+)\s*(?:k|K)?",
+    r"([0-9]+(?:\.[0-9]+)?)\s*[-~]\s*([0-9]+(?:\.[0-9]+)?)\s*[kK]",
+)
+JOB_HEADINGS = ("岗位职责", "职位描述", "工作描述", "Job Summary", "职位要求", "Requirements")
 NUMBER = r"-?\d+(?:\.\d+)?"
 
 
@@ -190,9 +197,8 @@ def normalize_title(title: Column) -> Column:
 
 def job_category(title: Column, description: Column) -> Column:
     text = F.lower(F.concat(clean_text(title), F.lit(" "), clean_text(description)))
-    rules = (("AI Agent - Marketing", ("marketing",)), ("AI Agent - Customer Success", ("customer success",)), ("AI Agent Development", ("agent", "智能体")), ("LLM Application Development", ("llm", "大模型")))
     out = F.when(F.lit(False), F.lit(""))
-    for name, words in rules:
+    for name, words in JOB_CATEGORIES:
         out = out.when(first_match(text, words) != "", F.lit(name))
     return out.otherwise(F.lit("AI Engineering"))
 
@@ -217,11 +223,7 @@ def parse_salary(raw: Column) -> Column:
     """struct(salary_raw, currency, salary_min, salary_max, salary_period, salary_negotiable, benefits)."""
     value = clean_text(raw)
     none = (value == "") | value.contains("未公开")
-    usd, short, cny = (
-        r"(?i)USD\s*([0-9,]+)\s*-\s*([0-9,]+)\s*/\s*([A-Z]+)",
-        r"\$\s*([0-9,]+)\s*(?:k|K)?\s*[-~]\s*\$?\s*([0-9,]+)\s*(?:k|K)?",
-        r"([0-9]+(?:\.[0-9]+)?)\s*[-~]\s*([0-9]+(?:\.[0-9]+)?)\s*[kK]",
-    )
+    usd, short, cny = SALARY_PATTERNS
     whole = lambda p, i: F.replace(F.regexp_extract(value, p, i), F.lit(","), F.lit("")).try_cast("long")
     scaled = lambda n: F.when(n < 1000, n * 1000).otherwise(n)
     is_usd, is_short, is_cny = (~none & value.rlike(p) for p in (usd, short, cny))
@@ -350,3 +352,13 @@ def location_from_jsonld(job: Column) -> Column:
     told = F.filter(F.transform(places, one), lambda x: x != "")
     remote = (F.get_json_object(job, "$.jobLocationType") == "TELECOMMUTE") & ~F.exists(told, lambda x: F.contains(x, F.lit("Remote")) | F.contains(x, F.lit("远程")))
     return F.array_join(F.array_distinct(F.when(F.coalesce(remote, F.lit(False)), F.concat(told, F.array(F.lit("Remote")))).otherwise(told)), " / ")
+
+
+def generic_job(title: Column, page: Column, url: Column, channel: Column) -> Column:
+    """struct of a job record by a page's text alone: title, description (from its first heading on), url, channel and status; null if it isn't about agents."""
+    body = clean_text(page)
+    low = F.lower(body)
+    at = F.coalesce(*[F.nullif(F.instr(low, h.lower()), F.lit(0)) for h in JOB_HEADINGS])
+    about = is_agent_related(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.substring(body, 1, 3000)))
+    record = F.struct(F.substring(clean_text(title), 1, 180).alias("title"), F.when(at.isNotNull(), F.substring(body, at, F.lit(1400))).otherwise(body).alias("description"), url.alias("url"), channel.alias("source_channel"), F.lit("parsed_text").alias("fetch_status"))
+    return F.when(about, record)

@@ -137,3 +137,8 @@ def convert(pages: DataFrame, kind: str = "markdown", selector: str = "", main_o
         raise ValueError(f"no such kind of content: {kind}")
     done = F.arrow_udf(lambda texts: pa.array([content(t.as_py(), kind, selector, main_only) for t in texts], type=pa.list_(pa.string())), "array<string>")(F.col(html).cast("string"))
     return pages.withColumn(out, done).select(*[c for c in pages.columns if c not in (html, out)], out)
+
+
+def write(pages: DataFrame, path: str, kind: str = "markdown", *, html: str = "html", url: str = "url") -> None:
+    """Pages as contents in a folder of text files, a JSON line (url, content) each: Spark's own writer, so lost tasks leave nothing behind."""
+    convert(pages.select(url, html), kind, html=html).select(url, F.array_join("content", "\n\n").alias("content")).write.mode("overwrite").json(path)

@@ -186,3 +186,10 @@ def selector_stability(selector: Column) -> Column:
 def probe_summary(probes: DataFrame, key: str = "url") -> DataFrame:
     """(url, categories, first_ok): of probes (url, mode, ord, ok, categories) all categories and the first mode that worked."""
     return probes.groupBy(key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("categories")))).alias("categories"), F.min_by("mode", F.when(F.col("ok"), F.col("ord"))).alias("first_ok"))
+
+
+def overall_confidence(list_hits: Column, samples: Column, field_scores: Column) -> Column:
+    """Mean of how many of the samples a list selector covers (at most all) and of the fields' scores (an array); the first alone without fields."""
+    lists = F.least(F.lit(1.0), F.coalesce(list_hits, F.lit(0)) / F.greatest(F.lit(1), samples))
+    fields = F.aggregate(field_scores, F.lit(0.0), lambda a, x: a + x) / F.size(field_scores)
+    return F.round(F.when(F.size(field_scores) > 0, (lists + fields) / 2).otherwise(lists), 3)

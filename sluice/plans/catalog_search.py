@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sluice.functions import text, urls
-from sluice.operators import convert, extract, frontier, memory, profile, search
+from sluice.operators import convert, extract, frontier, memory, profile, score, search
 from sluice.plans import diagnose, specs
 from sluice.plans.catalog import query, table
 from sluice.plans.spider import CrawlState, Jobs, bfs, child_requests
@@ -295,3 +295,25 @@ def kept_elements(spark, sf_dir):
 def network_advice(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), F.concat(F.lit("http://h/"), F.col("event_id").cast("string")).alias("url"), (F.col("event_type") == "view").alias("json_like"), (F.col("user_id") % 3 == 0).alias("paged"))
     return diagnose.network_advice(e)
+
+
+@query("""SELECT c_custkey, round(CASE WHEN c_nationkey % 3 = 0 THEN least(1.0, c_nationkey / 10) ELSE (least(1.0, c_nationkey / 10) + (0.5 + c_nationkey % 3 / 4) / 2) / 2 END, 3)::DOUBLE AS confidence FROM customer""")
+def overall_confidences(spark, sf_dir):
+    n = F.col("c_nationkey")
+    scores = F.when(n % 3 == 0, F.array().cast("array<double>")).otherwise(F.array(F.lit(0.5), (n % 3) / 4.0))
+    return table(spark, sf_dir, "customer").select("c_custkey", score.overall_confidence(n, F.lit(10), scores).alias("confidence"))
+
+
+@query("""SELECT o_orderkey, CASE o_custkey % 3 WHEN 0 THEN 'Requirements: one ' || o_custkey WHEN 1 THEN 'plain agent page' END AS description, CASE WHEN o_custkey % 3 < 2 THEN 'parsed_text' END AS status FROM orders""")
+def generic_jobs(spark, sf_dir):
+    k = F.col("o_custkey") % 3
+    page = F.when(k == 0, F.concat(F.lit("An LLM team.  Requirements: one "), F.col("o_custkey").cast("string"))).when(k == 1, F.lit("plain agent page")).otherwise(F.lit("nothing of that kind"))
+    job = text.generic_job(F.lit("Engineer"), page, F.lit("http://h/"), F.lit("c"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", job["description"].alias("description"), job["fetch_status"].alias("status"))
+
+
+@query("""SELECT page_id, true AS headed FROM pages WHERE html LIKE '%<h1>%'""")
+def written_contents(spark, sf_dir):
+    path = new_path(spark, "contents")
+    convert.write(table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("url"), "html"), path)
+    return spark.read.schema("url string, content string").json(path).select(F.col("url").cast("long").alias("page_id"), F.col("content").rlike(r"(?m)^# ").alias("headed"))

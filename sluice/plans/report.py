@@ -51,24 +51,32 @@ def site_spec(pages: DataFrame, fields: list[str], *, html: str = "html", url: s
     return score.vote(top.withColumn("_pos", F.pmod(F.xxhash64(url), F.lit(1 << 40))), "field", "selector", "_pos")
 
 
+# Kinds of pages and sources of data with the confidence in each. Of page kinds the last that holds counts, with the
+# highest confidence of all that hold; of sources the first.
+PAGE_KINDS = [
+    ("unknown", 0.3, lambda f: True),
+    ("list", 0.78, lambda f: f["detail_links"] >= 2 or f["list_selector"]),
+    ("detail_or_content", 0.55, lambda f: f["field_candidates"] and not f["detail_samples"]),
+    ("paginated_list", 0.84, lambda f: f["pagination"]),
+]
+KIND_NAMES = {("jobs", "list"): "job_list", ("ecommerce", "list"): "product_list", ("ecommerce", "paginated_list"): "paginated_product_list"}
+DATA_SOURCES = [
+    ("public_api_or_initial_state", 0.78, lambda f: f["api_candidates"]),
+    ("browser_dom", 0.74, lambda f: f["best_mode"] == "browser"),
+    ("static_dom", 0.72, lambda f: f["list_selector"]),
+    ("manual_review", 0.45, lambda f: True),
+]
+
+
 def page_type(detail_links: int, list_selector: str, pagination: str, site_type: str, field_candidates: bool = False, detail_samples: int = 0) -> tuple[str, float]:
-    kind, confidence = "unknown", 0.3
-    if detail_links >= 2 or list_selector:
-        kind, confidence = "list", 0.78
-    if not detail_samples and field_candidates:
-        kind, confidence = "detail_or_content", max(confidence, 0.55)
-    if pagination:
-        kind, confidence = "paginated_list", max(confidence, 0.84)
-    names = {("jobs", "list"): "job_list", ("ecommerce", "list"): "product_list", ("ecommerce", "paginated_list"): "paginated_product_list"}
-    return names.get((site_type, kind), kind), confidence
+    facts = {"detail_links": detail_links, "list_selector": list_selector, "pagination": pagination, "field_candidates": field_candidates, "detail_samples": detail_samples}
+    held = [(kind, confidence) for kind, confidence, holds in PAGE_KINDS if holds(facts)]
+    return KIND_NAMES.get((site_type, held[-1][0]), held[-1][0]), max(c for _, c in held)
 
 
 def data_source(api_candidates: int, best_mode: str, list_selector: str) -> tuple[str, float]:
-    if api_candidates:
-        return "public_api_or_initial_state", 0.78
-    if best_mode == "browser":
-        return "browser_dom", 0.74
-    return ("static_dom", 0.72) if list_selector else ("manual_review", 0.45)
+    facts = {"api_candidates": api_candidates, "best_mode": best_mode, "list_selector": list_selector}
+    return next((source, confidence) for source, confidence, holds in DATA_SOURCES if holds(facts))
 
 
 def site_model(pages: DataFrame, goal: str = "", fields: list[str] = ("title",), *, html: str = "html", url: str = "url") -> dict:

@@ -31,6 +31,13 @@ RISKS: list[tuple[str, Callable[[dict], bool]]] = [
     ("category_urls_without_menu_source", lambda p: bool(p.get("category_urls")) and not p.get("menu_source_path")),
     ("browser_rendering_required", lambda p: p.get("mode") == "browser"),
 ]
+ASSUMPTIONS: list[tuple[str, str]] = [
+    ("list_selector", "list_selector points to detail-page URLs"),
+    ("detail_urls", "detail_urls are crawlable product/detail pages"),
+    ("category_urls", "category_urls are list pages that share list_selector"),
+    ("menu_source_path", "menu_source_path identifies the category/menu source used to derive category_urls"),
+    ("fields", "field selectors are evaluated on detail pages"),
+]
 DEFAULT_FIELDS = ("title", "price", "image_src")
 BODY_WORDS = ("body", "description", "详情", "描述")
 
@@ -75,6 +82,12 @@ def plan_risks(plan: dict, challenge: bool = False, truncated: bool = False) ->
     return flags + ([f"missing_field_selectors:{','.join(without)}"] if without else [])
 
 
+def with_metadata(plan: dict, version: str = "1", **signs: bool) -> dict:
+    """The plan with its kind and version, what it takes for granted, and its risks."""
+    told = [text for part, text in ASSUMPTIONS if plan.get(part)]
+    return {"version": version, "kind": "collection_plan"} | plan | {"assumptions": [*plan.get("assumptions", ()), *told], "risk_flags": plan_risks(plan, **signs)}
+
+
 def validate_plan(plan: dict, pages: DataFrame | None = None) -> dict:
     """Faults and warnings of a plan, its pipeline, and what its list selector finds on the landed start page."""
     out = plan_faults(plan)
@@ -172,6 +185,11 @@ class SpecStore:
         self.spark.createDataFrame([row], self.SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
         return row[1]
 
+    def export(self, site: str, path: str, version: int | None = None) -> None:
+        """A version as one JSON text file, for a crawler that runs elsewhere."""
+        text = json.dumps(self.get(site, version), ensure_ascii=False, sort_keys=True)
+        self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
     def versions(self, site: str) -> DataFrame:
         """(version, saved, spec), the newest first."""
         return self._rows().filter(F.col("site") == site).select("version", "saved", "spec").orderBy(F.desc("version"))

@@ -102,3 +102,17 @@ def test_faults_of_plans_and_specifications(spark):
     spec = {"site": "s", "start_urls": ["http://h.example/l"], "list": {"item_link": "a@href"}, "detail": {"t": "h2", "n": "h9"}}
     assert specs.validate_spec(spec, pages, pages) == {"ok": False, "issues": ["detail.n matched 0 values"], "links": 1, "hits": {"t": 1, "n": 0}, "score": 0.667}
     assert specs.draft_spec("s", ["http://h.example/l"], pages.limit(1), ["title"])["list"]["item_link"].endswith("@href")
+
+
+def test_metadata_and_export(spark, tmp_path):
+    plan = specs.with_metadata({"start_url": "http://h.example/", "fields": {"t": "h1"}}, challenge=True)
+    assert plan["kind"] == "collection_plan" and plan["assumptions"] == ["field selectors are evaluated on detail pages"] and plan["risk_flags"] == ["single_detail_fallback", "challenge_detected"]
+    store = specs.SpecStore(spark, f"{tmp_path}/specs")
+    spec = {"site": "s", "start_urls": ["http://h.example/"], "list": {"item_link": "a@href"}, "detail": {"t": "h1"}}
+    assert store.save(spec, now=1.0) == 1 and store.save(spec | {"goal": "g"}, now=2.0) == 2 and store.rollback("s", now=3.0) == 3 and store.get("s") == spec
+    store.export("s", f"{tmp_path}/out", 2)
+    assert '"goal": "g"' in spark.read.text(f"{tmp_path}/out").first()[0]
+    with pytest.raises(KeyError):
+        store.get("s", 9)
+    with pytest.raises(ValueError):
+        store.save({"site": "s"})
