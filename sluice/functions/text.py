@@ -144,10 +144,8 @@ def access_categories(visible: Column, error: Column | None = None, status: Colu
 
     def judged(text: Column) -> Column:
         holds = lambda words: F.exists(F.array(*[F.lit(w.lower()) for w in words]), lambda w: F.contains(text, w))
-        # The text is the error, a line feed and what is shown.
-        short = F.length(text) - F.length(said) - 1 <= 2000
         found = [F.when(holds(PAGE_CHALLENGE_PATTERNS), F.lit("challenge")), *statuses]
-        found += [F.when(holds(words) & short if name == "login_required" else holds(words), F.lit(name)) for name, words in ACCESS_KEYWORDS.items()]
+        found += [F.when(holds(words) & (F.length(shown) <= 2000) if name == "login_required" else holds(words), F.lit(name)) for name, words in ACCESS_KEYWORDS.items()]
         return F.array_distinct(F.array_compact(F.array(*found, *signals)))
 
     none = F.when(said != "", F.array(F.lit("fetch_error"))).otherwise(F.array(F.lit("html_available")))
