@@ -14,7 +14,8 @@ pieces. Revisits take length, digest and payload from the record that WARC-Refer
 Edge cases: a null payload is an empty one; a null id or url is left out of the record and read back as
 null, an empty url as an empty one; a url with white space, controls or characters beyond ASCII is
 percent-encoded in its field, and stands in a field of its own in Base64, so that it is read back exactly;
-rows that repeat an id and a payload which is the largest id's are each a response; a revisit of a record
+rows that repeat an id and a payload which is the largest id's are each a response, and rows that also
+repeat the url are one record written again, with one record id; a revisit of a record
 that the archive lacks keeps what its own header says, without a payload; an empty table gives an empty
 archive; files without records, and bytes behind the last true record, give nothing. Versions 1.0 and 1.1
 are read. Header fields end with a carriage return and a line feed, and with nothing else. Other columns
