@@ -60,12 +60,14 @@ def measure(docs: DataFrame, text: str = "text", out: str = "quality") -> DataFr
     base_failed: fewer than 50 words, or more than half of the words repeat in windows. failed: base_failed
     or more than one symbol in ten words, over 30 % lines that repeat, or a mean word length out of 2 to 14.
     """
-    body, words, lines, ordered, base = (fresh(x, docs) for x in ("q_body", "q_words", "q_lines", "q_ordered", "q_base"))
+    body, words, lines, windows, ordered, base = (fresh(x, docs) for x in ("q_body", "q_words", "q_lines", "q_windows", "q_ordered", "q_base"))
     b, w = F.col(body), F.col(words)
     df = docs.withColumn(body, F.coalesce(F.col(text).cast("string"), F.lit("")))
     df = df.withColumns({words: F.array_remove(F.split(b, GAP), ""), lines: F.filter(F.split(b, "\n"), lambda x: F.length(_without(x, GAP_CHARS)) > 0)})
-    keyed = F.transform(w, lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")))
-    df = df.withColumn(ordered, F.sort_array(F.slice(keyed, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0)))))
+    df = df.withColumn(windows, F.slice(F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))), F.lit(1), F.greatest(F.size(w) - 2, F.lit(0))))
+    g = F.col(windows)
+    # Only where windows repeat are they brought in order.
+    df = df.withColumn(ordered, F.when(F.size(F.array_distinct(g)) < F.size(g), F.sort_array(F.transform(g, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     size = F.length(b)
     counts = {
         "n_words": F.size(w),
@@ -73,14 +75,14 @@ def measure(docs: DataFrame, text: str = "text", out: str = "quality") -> DataFr
         "n_symbols": size - F.length(_without(b, SYMBOLS)),
         "n_lines": F.size(lines),
         "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
-        "n_repeat_words": _covered(F.col(ordered)),
+        "n_repeat_words": F.when(F.col(ordered).isNull(), F.lit(0)).otherwise(_covered(F.col(ordered))),
     }
     df = df.withColumn(base, F.struct(*[c.cast("long").alias(k) for k, c in counts.items()]))
     m = F.col(base)
     base_failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
     other = (10 * m["n_symbols"] > m["n_words"]) | (10 * m["n_dup_lines"] > 3 * m["n_lines"]) | (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 14 * m["n_words"])
     df = df.withColumn(out, F.struct(*[m[k].alias(k) for k in MEASURES], base_failed.alias("base_failed"), (base_failed | other).alias("failed")))
-    return df.drop(body, words, lines, ordered, base)
+    return df.drop(body, words, lines, windows, ordered, base)
 
 
 def host_rates(measured: DataFrame, host: str = "source", quality: str = "quality", least: float = LIMIT) -> DataFrame:
