@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import audit, chat, decontaminate, html_text, jaccard, line_dedup, mixing, pii, quality, substring_dedup, warc
+from sluice.llm import align, audit, chat, decontaminate, html_text, jaccard, line_dedup, mixing, pii, quality, substring_dedup, warc
 from sluice.session import new_path
 
 
@@ -76,6 +76,18 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.filter_audit(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), table(spark, sf_dir, "labels"))
 
 
+#: Where the public tokenizers' files are, on every node.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    files = f"{tokenizers}/byte_bpe_50k.json", f"{tokenizers}/piece_bpe_32k.model"
+    aligned = align.align(table(spark, sf_dir, "documents").select("doc_id", "text"), *files)
+    scored = align.score(aligned, align.pair_counts(aligned, *files))
+    a, s = F.col("aligned"), F.col("scores")
+    return scored.select("doc_id", *[a[x].alias(x) for x in ("n_a", "n_b", "n_groups", "n_links")], s["n_best"].alias("n_best"), s["count_sum"].alias("count_sum"), a["groups_sha256"].alias("groups_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_warc": op2_warc,
@@ -88,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_chat_formatting": op10_chat_formatting,
     "op11_filter_audit": op11_filter_audit,
+    "op12_token_alignment": op12_token_alignment,
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
