@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import align, audit, chat, decontaminate, html_text, jaccard, line_dedup, mixing, pii, quality, substring_dedup, warc
+from sluice.llm import align, audit, chat, decontaminate, html_text, jaccard, licenses, line_dedup, mixing, pii, quality, substring_dedup, warc
 from sluice.session import new_path
 
 
@@ -88,6 +88,13 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str, tokenizers: str = TOK
     return scored.select("doc_id", *[a[x].alias(x) for x in ("n_a", "n_b", "n_groups", "n_links")], s["n_best"].alias("n_best"), s["count_sum"].alias("count_sum"), a["groups_sha256"].alias("groups_sha256"))
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    x = F.col("licenses")
+    plain = [x[c].alias(c) for c in ("n_words", "n_base", "first_word", "last_word")]
+    return found.select("doc_id", *plain, *[F.array_join(x[c], ",").alias(c) for c in ("base_labels", "labels")], x["score"].alias("score"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_warc": op2_warc,
@@ -101,9 +108,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_formatting": op10_chat_formatting,
     "op11_filter_audit": op11_filter_audit,
     "op12_token_alignment": op12_token_alignment,
+    "op13_license_scan": op13_license_scan,
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
+_LOWER_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_TEMPLATES = ", ".join(f"('{t.label}', {t.words}, {t.phrase}, {t.stride}, {t.need}, {t in licenses.BASE})" for t in licenses.TEMPLATES)
 
 SQL: dict[str, str] = {
     # All runs of 2 to 10 sentences that have the words, so more than the operator hashes.
@@ -211,5 +221,20 @@ r AS (SELECT part, o, step, bit, sum(n) FILTER (mask & (before | bit) = 0) AS ke
 SELECT part, o AS filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
     coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, coalesce(sum(removed) OVER (PARTITION BY part, bit), 0)::BIGINT AS shapley
 FROM r
+""",
+    # Every block of every document against every template, and phrases at every word.
+    "op13_license_scan": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_LOWER_WORD}') AS ws FROM documents),
+t AS (SELECT * FROM (VALUES {_TEMPLATES}) t(label, words, phrase, stride, need, base)),
+k AS (SELECT r, stride, list_distinct(ws[k * stride + 1:k * stride + 2 * stride]) AS b FROM (SELECT r, ws, stride, unnest(range(0, (len(ws) + stride - 1) // stride)) AS k FROM d, (SELECT DISTINCT stride FROM t WHERE NOT phrase))),
+n AS (SELECT r, label, len(list_intersect(list_distinct(words), b)) / len(list_distinct(words)) AS score, need, len(list_intersect(list_distinct(words), b)) AS common FROM k JOIN t USING (stride) WHERE NOT phrase),
+i AS (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM d),
+p AS (SELECT r, label, base, i - 1 AS pos FROM i JOIN t ON phrase AND ws[i] = words[1] AND ws[i:i + len(words) - 1] = words),
+f AS (SELECT r, label, score, false AS base, NULL AS pos FROM n WHERE common >= need UNION ALL SELECT r, label, 1, base, pos FROM p),
+g AS (SELECT r, count(*) FILTER (base) AS n_base, min(pos) FILTER (base) AS first_word, max(pos) FILTER (base) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+        string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM f GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+    coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN g USING (r)
 """,
 }
