@@ -119,7 +119,7 @@ def spans(text: str) -> list[tuple[str, int, int, float]]:
     if "@" in text:
         found += (("email", *x) for x in _emails(text))
     if _IP_HINT.search(text):
-        found += (("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")))
+        found += (("ip", *m.span()) for m in _IP.finditer(text) if all(len(d := p.lstrip("0")) <= 3 and int(d or "0") <= 255 for p in m[0].split(".")))
     found += (("card", *m.span()) for m in _CARD.finditer(text) if m.end() - m.start() >= 13 and 13 <= len(d := _NON_DIGIT.sub("", m[0])) <= 19 and luhn(d))
     if "+" in text:
         found += (("phone", *m.span()) for m in _PHONE.finditer(text) if 9 <= len(_NON_DIGIT.sub("", m[0])) <= 15)

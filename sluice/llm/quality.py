@@ -86,14 +86,18 @@ def measure(docs: DataFrame, text: str = "text", out: str = "quality") -> DataFr
 
 
 def host_rates(measured: DataFrame, host: str = "source", quality: str = "quality", least: float = LIMIT) -> DataFrame:
-    """Per host its documents, failures, shrunk failure rate and whether it goes: (host, docs, failures, rate, rejected).
+    """Per host its documents, failures, shrunk failure rate and whether it goes: (host, docs, failures, rate, rejected)."""
+    hosts = measured.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("docs"), F.sum(F.col(quality)["failed"].cast("long")).alias("failures"))
+    return shrunk(write_out(hosts, "hosts"), least)
+
+
+def shrunk(hosts: DataFrame, least: float = LIMIT) -> DataFrame:
+    """hosts (host, docs, failures) with rate and rejected.
 
     The beta prior has the mean of all documents. Its variance is how far the hosts' rates differ beyond what
     chance alone explains (method of moments), and gives its weight; if they don't, every host gets the mean.
     """
-    hosts = measured.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("docs"), F.sum(F.col(quality)["failed"].cast("long")).alias("failures"))
-    hosts = write_out(hosts, "hosts")
-    total = hosts.agg(F.count(F.lit(1)).alias("k"), F.sum("docs").alias("n"), F.sum("failures").alias("f"), F.sum(F.col("failures") * F.col("failures") / F.col("docs")).alias("s2")).first()
+    total = hosts.agg(F.count(F.lit(1)).alias("k"), F.sum("docs").alias("n"), F.sum("failures").alias("f"), F.sum(F.col("failures").cast("double") * F.col("failures") / F.col("docs")).alias("s2")).first()
     if not total["n"]:
         return hosts.withColumns({"rate": F.lit(None).cast("double"), "rejected": F.lit(False)})
     mean = total["f"] / total["n"]
@@ -120,7 +124,8 @@ def judge(measured: DataFrame, rates: DataFrame, host: str = "source", quality:
         joined = measured.join(F.broadcast(bad), hit, "left")
     else:
         other = fresh("q_salt_of", measured)
-        salted = measured.withColumn(salt, F.pmod(F.xxhash64(*[c for c in measured.columns if c != quality][:4]), F.lit(SALTS)).cast("int"))
+        # By rows, so that columns of any type and of one value are dealt evenly; every salt finds its copy, so any will do.
+        salted = measured.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
         copies = bad.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = salted.join(copies, hit & (F.col(salt) == F.col(other)), "left").drop(salt, other)
     return joined.withColumn(out, own & F.col(mark).isNull()).drop(name, mark)

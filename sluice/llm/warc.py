@@ -16,7 +16,8 @@ null, an empty url as an empty one; a url with white space, controls or characte
 percent-encoded in its field, and stands in a field of its own in Base64, so that it is read back exactly;
 rows that repeat an id and a payload which is the largest id's are each a response, and rows that also
 repeat the url are one record written again, with one record id; a revisit of a record
-that the archive lacks keeps what its own header says, without a payload; an empty table gives an empty
+that the archive lacks keeps what its own header says, without a payload; a length or page id beyond 18 digits or
+64 bits, and what is no Base64, count as absent; a record that its file's end cuts off is none; an empty table gives an empty
 archive; files without records, and bytes behind the last true record, give nothing. Versions 1.0 and 1.1
 are read. Header fields end with a carriage return and a line feed, and with nothing else. Other columns
 of the input are ignored.
@@ -37,6 +38,7 @@ from sluice.session import write_out
 
 MAGIC = b"WARC/1."
 MIN_REVISIT = 1000
+MOST_DIGITS = 18
 #: Repeated payloads whose digests take up to this many bytes are broadcast; more of them are joined by digest.
 BROADCAST_BYTES = 8 << 20
 CELL = 1 << 20
@@ -55,7 +57,14 @@ def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", payloa
     groups = groups.filter("n > 1").select(F.col("digest").alias("of"), F.col("size").alias("first_size"), F.col("first.id").alias("first_id"), F.col("first.url").alias("first_url"))
     groups = write_out(groups, "payloads")
     bounded = groups.select(F.sum(100 + F.coalesce(F.octet_length("first_url"), F.lit(0)))).first()[0] or 0
-    p = p.join(F.broadcast(groups) if bounded <= BROADCAST_BYTES else groups.hint("merge"), (F.col("digest") == F.col("of")) & (F.col("size") == F.col("first_size")), "left")
+    same = (F.col("digest") == F.col("of")) & (F.col("size") == F.col("first_size"))
+    if bounded <= BROADCAST_BYTES:
+        p = p.join(F.broadcast(groups), same, "left")
+    else:
+        # Digests meet without their payloads; a payload then meets its own verdict by id, so a payload of very many pages is no hot key.
+        told = p.select("id", "digest", "size").distinct().join(groups.hint("merge"), same).select(F.col("id").alias("told_id"), "of", "first_size", "first_id", "first_url")
+        told = write_out(told, "verdicts")
+        p = p.join(told.hint("merge"), F.col("id").eqNullSafe(F.col("told_id")) & same, "left")
     revisit = F.coalesce(~F.col("id").eqNullSafe(F.col("first_id")) & F.col("of").isNotNull(), F.lit(False))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size"), F.lit("\r\n\r\n"))
     block = F.concat(http, F.when(revisit, F.lit("")).otherwise(F.col("body")))
@@ -107,9 +116,25 @@ def _fields(head: bytes) -> dict[str, str]:
     return out
 
 
+def _number(said: str) -> int | None:
+    """A decimal of at most 18 digits, so that offsets stay within 64 bits; what is longer is none."""
+    digits = said.removeprefix("-")
+    if not (digits.isascii() and digits.isdigit()) or len(digits := digits.lstrip("0")) > MOST_DIGITS:
+        return None
+    return int(digits or "0") * (-1 if said.startswith("-") else 1)
+
+
 def _length(fields: dict[str, str]) -> int | None:
-    said = fields.get("content-length", "")
-    return int(said) if said.isascii() and said.isdigit() else None
+    size = _number(fields.get("content-length", ""))
+    return size if size is not None and size >= 0 else None
+
+
+def _exact(said: str | None) -> str | None:
+    """The text that a field has in Base64, or None if there is no such field or no Base64 in it."""
+    try:
+        return None if said is None else base64.b64decode(said, validate=True).decode("utf-8", "replace")
+    except ValueError:
+        return None
 
 
 def _header(piece: bytes) -> tuple[int, int, dict[str, str]] | None:
@@ -121,6 +146,11 @@ def _header(piece: bytes) -> tuple[int, int, dict[str, str]] | None:
     return None if length is None else (end + 4, length, fields)
 
 
+def _page_id(said: str) -> int | None:
+    """A whole number of 64 bits."""
+    return n if re.fullmatch(r"-?[0-9]{1,19}", said) and -(1 << 63) <= (n := int(said)) < 1 << 63 else None
+
+
 def _payload(fields: dict[str, str], block: bytes) -> tuple[int, str, bytes]:
     """The payload's length and digest, and its bytes where the record has them."""
     body = block
@@ -133,10 +163,9 @@ def _payload(fields: dict[str, str], block: bytes) -> tuple[int, str, bytes]:
 
 def _record(fields: dict[str, str], block: bytes, payloads: bool) -> tuple:
     size, digest, body = _payload(fields, block)
-    page, exact = fields.get("x-page-id", ""), fields.get("x-target-uri-base64")
-    url = base64.b64decode(exact).decode("utf-8", "replace") if exact is not None else fields.get("warc-target-uri")
-    number = int(page) if re.fullmatch(r"-?[0-9]{1,19}", page) else None
-    return fields.get("warc-type"), fields.get("warc-record-id"), url, number, fields.get("warc-refers-to"), size, digest, body if payloads else None
+    exact = _exact(fields.get("x-target-uri-base64"))
+    url = fields.get("warc-target-uri") if exact is None else exact
+    return fields.get("warc-type"), fields.get("warc-record-id"), url, _page_id(fields.get("x-page-id", "")), fields.get("warc-refers-to"), size, digest, body if payloads else None
 
 
 def _scan(raw: bool, payloads: bool):
@@ -183,10 +212,15 @@ def pieces(spark: SparkSession, path: str, raw: bool = False, payloads: bool = F
     return text.select("_metadata.file_path", "_metadata.file_block_start", F.col("value").cast("binary")).mapInArrow(_scan(raw, payloads), _PIECE)
 
 
+def _splits(scanned: DataFrame) -> DataFrame:
+    """(file, block, base, size): where each split's bytes begin in their file, and how many they are."""
+    order = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return scanned.filter("kind = 0").select("file", "block", F.coalesce(F.sum("size").over(order), F.lit(0)).alias("base"), "size")
+
+
 def _placed(scanned: DataFrame) -> DataFrame:
     """Pieces with offsets in their files, of what _scan has written."""
-    order = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    base = scanned.filter("kind = 0").select("file", "block", F.coalesce(F.sum("size").over(order), F.lit(0)).alias("base"))
+    base = _splits(scanned).drop("size")
     found = scanned.filter("kind = 1").join(base.hint("merge"), ["file", "block"])
     return found.withColumns({"at": F.col("at") + F.col("base"), "successor": F.col("successor") + F.col("base")}).drop("base", "kind").filter("at >= 0")
 
@@ -246,16 +280,28 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
 
     refers_to is the page of the record that a revisit names, and its payload is that record's. payloads=False reads none.
     """
-    placed = _placed(write_out(pieces(spark, path, payloads=payloads), "pieces"))
+    scanned = write_out(pieces(spark, path, payloads=payloads), "pieces")
+    placed = _placed(scanned)
     candidates = placed.filter("successor is not null").select("file", "block", "at", "successor")
     true = write_out(reachable(candidates), "records")
     found = placed.join(true.hint("merge"), ["file", "at"])
     done = found.filter("complete").select("file", "at", *_FIELDS)
-    torn = write_out(found.filter("not complete").select("file", F.col("at").alias("start"), "successor"), "torn")
+    splits = _splits(scanned)
+    # The splits' bytes count a magic behind the last piece too. A block that goes on behind its file's end is none; the line ends behind it may lack.
+    ends = splits.groupBy("file").agg((F.max(F.col("base") + F.col("size")) - len(MAGIC) + 4).alias("end"))
+    torn = found.filter("not complete").select("file", F.col("at").alias("start"), "successor").join(ends.hint("merge"), "file").filter(F.col("successor") <= F.col("end"))
+    torn = write_out(torn.drop("end"), "torn")
     if not torn.isEmpty():
         # A piece lies in few cells and so does a record: the join is on the file and the cell, never on the file alone.
         cells = torn.withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / CELL), F.floor(F.col("successor") / CELL))))
-        parts = _placed(write_out(pieces(spark, path, raw=True), "raw")).select("file", "at", "raw").withColumn("cell", F.floor(F.col("at") / CELL))
+        # Of the archive only the pieces in such cells are written again, known by offsets inside their splits.
+        held = splits.select("file", "block", "base", F.explode(F.sequence(F.floor(F.greatest(F.col("base") - len(MAGIC), F.lit(0)) / CELL), F.floor((F.col("base") + F.col("size")) / CELL))).alias("cell"))
+        inside = held.join(cells.select("file", "cell").distinct().hint("merge"), ["file", "cell"])
+        local = inside.select("file", "block", "base", F.explode(F.sequence(F.floor((F.col("cell") * CELL - F.col("base")) / CELL), F.floor(((F.col("cell") + 1) * CELL - 1 - F.col("base")) / CELL))).alias("near")).distinct()
+        local = write_out(local, "cells")
+        small = local.count() * 300 <= BROADCAST_BYTES
+        raw = pieces(spark, path, raw=True).filter("kind = 1").withColumn("near", F.floor(F.col("at") / CELL)).join(F.broadcast(local) if small else local.hint("merge"), ["file", "block", "near"])
+        parts = write_out(raw.select("file", (F.col("at") + F.col("base")).alias("at"), "raw"), "raw").withColumn("cell", F.floor(F.col("at") / CELL))
         torn_parts = cells.join(parts.hint("merge"), ["file", "cell"]).filter((F.col("at") >= F.col("start")) & (F.col("at") < F.col("successor")))
         whole = torn_parts.select("file", "start", "successor", "at", "raw").groupBy("file", "start").applyInPandas(_whole(payloads), f"file string, at long, {_FOUND}")
         done = done.unionByName(whole)
