@@ -767,6 +767,38 @@ def crawl_levels(spark, sf_dir):
     return crawl(pages, CrawlSpec(pages.select("url"), max_depth=2))
 
 
+_SITE = """WITH e AS (SELECT 'http://shop.example/region/' || n_regionkey AS s, 'http://shop.example/nation/' || n_nationkey AS t FROM nation
+    UNION SELECT 'http://shop.example/nation/' || c_nationkey, 'http://shop.example/customer/' || c_custkey FROM customer UNION SELECT 'http://shop.example/customer/' || c_custkey, 'http://shop.example/region/' || n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey
+    UNION SELECT 'http://shop.example/customer/' || o_custkey, 'http://shop.example/order/' || o_orderkey FROM orders UNION SELECT 'http://shop.example/order/' || l_orderkey, 'http://shop.example/part/' || l_partkey FROM lineitem
+    UNION SELECT 'http://shop.example/order/' || o_orderkey, 'http://shop.example/customer/' || o_custkey FROM orders)
+"""
+
+
+def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages (url, html) of a shop of the tables: regions link to nations, those to customers, these to orders and back, orders to parts, which have no pages."""
+    t = {x: table(spark, sf_dir, x) for x in ("nation", "customer", "orders", "lineitem")}
+    at = lambda kind, key: F.concat(F.lit(f"/{kind}/"), F.col(key))
+    edge = lambda df, *ends: df.select(at(*ends[:2]).alias("s"), at(*ends[2:]).alias("t"))
+    home = t["customer"].join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey"))
+    edges = [edge(t["nation"], "region", "n_regionkey", "nation", "n_nationkey"), edge(t["customer"], "nation", "c_nationkey", "customer", "c_custkey"), edge(home, "customer", "c_custkey", "region", "n_regionkey")]
+    edges += [edge(t["orders"], "customer", "o_custkey", "order", "o_orderkey"), edge(t["lineitem"], "order", "l_orderkey", "part", "l_partkey"), edge(t["orders"], "order", "o_orderkey", "customer", "o_custkey")]
+    linked = edges[0]
+    for e in edges[1:]:
+        linked = linked.unionByName(e)
+    anchors = F.concat(F.lit("<html><body>"), F.array_join(F.transform(F.array_sort(F.collect_set("t")), lambda x: F.concat(F.lit('<a href="'), x, F.lit('">x</a>'))), ""), F.lit("</body></html>"))
+    return linked.groupBy("s").agg(anchors.alias("html")).select(F.concat(F.lit("http://shop.example"), "s").alias("url"), "html")
+
+
+@query(_SITE + """, l0 AS (SELECT DISTINCT 'http://shop.example/region/' || r_regionkey AS u FROM region), l1 AS (SELECT DISTINCT t AS u FROM e JOIN l0 ON s = u WHERE t NOT IN (SELECT u FROM l0)),
+l2 AS (SELECT DISTINCT t AS u FROM e JOIN l1 ON s = u WHERE t NOT IN (SELECT u FROM l0 UNION SELECT u FROM l1)), l3 AS (SELECT DISTINCT t AS u FROM e JOIN l2 ON s = u WHERE t NOT IN (SELECT u FROM l0 UNION SELECT u FROM l1 UNION SELECT u FROM l2)),
+l4 AS (SELECT DISTINCT t AS u FROM e JOIN l3 ON s = u WHERE t NOT IN (SELECT u FROM l0 UNION SELECT u FROM l1 UNION SELECT u FROM l2 UNION SELECT u FROM l3)),
+a AS (SELECT u, 0 AS d FROM l0 UNION ALL SELECT u, 1 FROM l1 UNION ALL SELECT u, 2 FROM l2 UNION ALL SELECT u, 3 FROM l3 UNION ALL SELECT u, 4 FROM l4)
+SELECT u AS url, d::INT AS depth, u IN (SELECT s FROM e) AS found FROM a""")
+def crawl_site_depths(spark, sf_dir):
+    start = table(spark, sf_dir, "region").select(F.concat(F.lit("http://shop.example/region/"), F.col("r_regionkey")).alias("url"))
+    return crawl(site_pages(spark, sf_dir), CrawlSpec(start, max_depth=4))
+
+
 @query("SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, count(*)::BIGINT AS n FROM events GROUP BY 1, 2")
 def stream_tumbling(spark, sf_dir):
     """The same windows by a stream that reads all there is, into a memory table, and ends."""

@@ -1,4 +1,4 @@
-"""Crawling over landed pages, level by level: each round is a join of the frontier with the pages.
+"""Crawling over landed pages, level by level, by their link graph; following anything else level by level; jobs.
 
 Rounds are written to the shared folder, so the plan of a round never holds those before it. Priorities order
 work inside a round only.
@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.functions import urls
-from sluice.operators.extract import fields_of, links
+from sluice.operators.extract import fields_of
+from sluice.operators.graph import Folder, LinkGraph, page_graph
 from sluice.operators.score import first_rule
 from sluice.session import write_out
 
@@ -132,24 +133,23 @@ class CrawlSpec:
         return CrawlSpec(list(spec["start_urls"]), rules, tuple(spec.get("allow", ())), tuple(spec.get("deny", ())), tuple(spec.get("allowed_domains", ())), int(spec.get("max_depth", 2)), spec.get("selector", "a[href]"))
 
 
-def crawl(pages: DataFrame, spec: CrawlSpec, state: CrawlState | None = None) -> DataFrame:
-    """(url, depth, found): every URL reached, whether a landed page answers it. pages: (url, html). A state makes it go on where it stopped.
+def crawl(pages: DataFrame, spec: CrawlSpec, state: Folder | None = None) -> DataFrame:
+    """(url, depth, found): every URL reached, whether a landed page answers it. pages: (url, html).
 
-    Of pages that are one in canonical form the one with the greatest text counts, so that reruns agree.
+    Pages become a link graph once, and levels are reached in it by ids. A folder as state keeps both, so that a crawl
+    goes on where it stopped. Of pages that are one in canonical form the one with the greatest text counts, so that
+    reruns agree.
     """
     spark = pages.sparkSession
-    landed = write_out(pages.select(urls.canonical_url(F.col("url")).alias("node"), "html").filter(F.col("node").isNotNull()).groupBy("node").agg(F.max("html").alias("html")), "landed")
     given = spec.start_urls if isinstance(spec.start_urls, DataFrame) else spark.createDataFrame([(u,) for u in spec.start_urls], "url string")
-    start = given.select(urls.canonical_url(F.col("url")).alias("node")).filter(F.col("node").isNotNull())
+    start = given.select(urls.canonical_url(F.col("url")).alias("name")).filter(F.col("name").isNotNull())
 
-    def follow(level: DataFrame) -> DataFrame:
-        found = links(level.join(landed, "node"), spec.selector, html="html", url="node")
-        targets = found.select(urls.canonical_url(F.col("link")).alias("node")).filter(F.col("node").isNotNull())
-        ok = urls.url_allowed(F.col("node"), allow=spec.allow, deny=spec.deny, allow_domains=spec.allowed_domains)
-        return first_rule(targets.filter(ok), "node", spec.rules)
+    def followed(linked: DataFrame) -> DataFrame:
+        ok = urls.url_allowed(F.col("target"), allow=spec.allow, deny=spec.deny, allow_domains=spec.allowed_domains)
+        return first_rule(linked.filter(ok).withColumnRenamed("target", "to"), "to", spec.rules).select("name", F.col("to").alias("target"))
 
-    reached = bfs(start, follow, spec.max_depth, state=state)
-    return reached.join(landed.select("node", F.lit(True).alias("found")), "node", "left").select(F.col("node").alias("url"), "depth", F.coalesce("found", F.lit(False)).alias("found"))
+    graph = (LinkGraph.opened(state) if state else None) or page_graph(pages, spec.selector, followed, start, state)
+    return graph.reached(start, spec.max_depth).select(F.col("name").alias("url"), "depth", F.col("landed").alias("found"))
 
 
 def items(pages: DataFrame, reached: DataFrame, fields: dict[str, str], required: tuple[str, ...] = ()) -> DataFrame:

@@ -38,6 +38,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _made: list[str] = []
+_tables: list[str] = []
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -51,6 +52,8 @@ def clear(spark: SparkSession) -> None:
 
     Call it when no DataFrame of an operator is needed any more: they read these tables when they run.
     """
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
     while _made:
         path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -68,6 +71,28 @@ def write_out(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _bucket_table() -> str:
+    _tables.append(f"sluice_{uuid.uuid4().hex}")
+    return _tables[-1]
+
+
+def write_buckets(df: DataFrame, path: str, by: str, buckets: int) -> DataFrame:
+    """Write df as a table at path in so many buckets of a column: joins on it, of tables in as many buckets, need no shuffle.
+
+    What is dealt by that column into as many partitions already is written a file a bucket.
+    """
+    name = _bucket_table()
+    df.write.format("parquet").mode("overwrite").option("path", path).option("compression", "zstd").bucketBy(buckets, by).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def open_buckets(spark: SparkSession, path: str, schema: str, by: str, buckets: int) -> DataFrame:
+    """The table that write_buckets has left at path, also in another session."""
+    name = _bucket_table()
+    spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({by}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, most: str = "8m") -> Iterator[None]:
     """Arrow batches of at most so many bytes in what is written out inside the block: long texts and large sets come few at a time."""
