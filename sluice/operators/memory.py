@@ -1,8 +1,10 @@
-"""Memory of domains, targets, proxies and caches, computed from logs of attempts by windows."""
+"""Memory of domains, targets, proxies and caches, computed from logs of attempts by scans over ranges of them."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,29 +14,61 @@ DAY = 86400
 MODES = ("requests", "curl_cffi", "browser")
 
 
-def streaks(log: DataFrame, key: str, order: list[str], success: Column) -> DataFrame:
-    """log with success_streak and fail_streak as they stand after each attempt.
+def _deal(log: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
+    """log, written in ranges of key and order with the range's number: a key with very many rows is spread over ranges."""
+    return write_out(log.repartitionByRange(F.col(key), *order).withColumn("_pid", F.spark_partition_id()), name)
+
 
-    Attempts are dealt by ranges of key and order, so a key with very many is spread over tasks. Each range
-    counts on its own; the runs with which ranges end are carried over for keys that lie in several of them,
-    of which there are fewer than ranges.
+def _carried(log: DataFrame, ends: DataFrame, key: str, state: str, none: tuple, fold: Callable[[tuple, Row], tuple]) -> DataFrame:
+    """(_key, _at, state): what each range of a key takes over from those before it. ends: a row a range and key.
+
+    Only keys that lie in several ranges count, of which there are fewer than ranges; their ends, each of a fixed
+    size, meet on the driver.
     """
-    dealt = write_out(log.withColumn("_ok", success.cast("int")).repartitionByRange(F.col(key), *order).withColumn("_pid", F.spark_partition_id()), "attempts")
-    frame = lambda *by: Window.partitionBy("_pid", key, *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = dealt.withColumns({"_bad": F.sum(1 - F.col("_ok")).over(frame()), "_good": F.sum("_ok").over(frame())})
-    own = marked.withColumns({"_s": F.sum("_ok").over(frame("_bad")), "_f": F.sum(1 - F.col("_ok")).over(frame("_good"))})
-    ends = own.groupBy(key, "_pid").agg(F.max_by(F.struct("_s", "_f", "_bad", "_good"), F.struct(*order)).alias("e"))
     spread = ends.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col(key).alias("_key"))
-    pieces = ends.join(spread, F.col(key).eqNullSafe(F.col("_key"))).select("_key", "_pid", "e.*")
+    pieces = ends.join(spread, F.col(key).eqNullSafe(F.col("_key"))).drop(key)
     carried, last = [], None
     for r in sorted(pieces.collect(), key=lambda r: (r["_key"] is None, r["_key"], r["_pid"])):
-        s, f = (last[1], last[2]) if last and last[0] == r["_key"] else (0, 0)
-        carried.append((r["_key"], r["_pid"], s, f))
-        last = (r["_key"], r["_s"] + (s if not r["_bad"] else 0), r["_f"] + (f if not r["_good"] else 0))
-    carry = log.sparkSession.createDataFrame(carried, T.StructType([T.StructField("_key", log.schema[key].dataType), T.StructField("_at", T.IntegerType()), T.StructField("_cs", T.LongType()), T.StructField("_cf", T.LongType())]))
-    both = own.join(F.broadcast(carry), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_pid") == F.col("_at")), "left")
-    more = lambda own_run, broken, c: F.col(own_run) + F.when(F.col(broken) == 0, F.coalesce(F.col(c), F.lit(0))).otherwise(F.lit(0))
-    return both.select(*log.columns, more("_s", "_bad", "_cs").alias("success_streak"), more("_f", "_good", "_cf").alias("fail_streak"))
+        now = last[1] if last and last[0] == r["_key"] else none
+        carried.append((r["_key"], r["_pid"], *now))
+        last = (r["_key"], fold(now, r))
+    fields = [T.StructField("_key", log.schema[key].dataType), T.StructField("_at", T.IntegerType()), *T.StructType.fromDDL(state)]
+    return log.sparkSession.createDataFrame(carried, T.StructType(fields))
+
+
+def _taking(own: DataFrame, carry: DataFrame, key: str) -> DataFrame:
+    return own.join(F.broadcast(carry), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_pid") == F.col("_at")), "left")
+
+
+def _run_columns(dealt: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """dealt (with _ok, _pid) and, inside each range, the runs that end at a row (_s, _f) and what broke them (_bad, _good)."""
+    frame = lambda *by: Window.partitionBy("_pid", key, *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = lambda c, *by: F.coalesce(F.sum(c).over(frame(*by)), F.lit(0))
+    went, failed = F.col("_ok"), 1 - F.col("_ok")  # an attempt of unknown outcome neither counts nor breaks a run
+    return dealt.withColumns({"_bad": total(failed), "_good": total(went)}).withColumns({"_s": total(went, "_bad"), "_f": total(failed, "_good")})
+
+
+_RUNS = "_cs long, _cf long"
+
+
+def _fold_runs(now: tuple, e: Row) -> tuple:
+    return e["_s"] + (now[0] if not e["_bad"] else 0), e["_f"] + (now[1] if not e["_good"] else 0)
+
+
+def _runs(own_run: str, broken: str, carried: str) -> Column:
+    return F.col(own_run) + F.when(F.col(broken) == 0, F.coalesce(F.col(carried), F.lit(0))).otherwise(F.lit(0))
+
+
+def streaks(log: DataFrame, key: str, order: list[str], success: Column) -> DataFrame:
+    """log with success_streak and fail_streak as they stand after each attempt.
+
+    Attempts are dealt by ranges of key and order. Each range counts on its own; the runs with which ranges
+    end are carried over.
+    """
+    own = _run_columns(_deal(log.withColumn("_ok", success.cast("int")), key, order, "attempts"), key, order)
+    ends = own.groupBy(key, "_pid").agg(F.max_by(F.struct("_s", "_f", "_bad", "_good"), F.struct(*order)).alias("e")).select(key, "_pid", "e.*")
+    both = _taking(own, _carried(log, ends, key, _RUNS, (0, 0), _fold_runs), key)
+    return both.select(*log.columns, _runs("_s", "_bad", "_cs").alias("success_streak"), _runs("_f", "_good", "_cf").alias("fail_streak"))
 
 
 def domain_memory(log: DataFrame, key: str, order: list[str], success: Column, mode: Column, at: Column) -> DataFrame:
@@ -72,23 +106,56 @@ def target_key(kind: Column, name: Column, url: Column) -> Column:
 def recent_rates(log: DataFrame, key: str, order: list[str], success: Column, last: int = 20) -> DataFrame:
     """log with n_recent and rate over the last attempts, fails in a row, and whether the key is disabled then and for how long.
 
-    The last attempts are a window by key: all attempts of one key are one task's work.
+    Attempts are dealt by ranges of key and order, as for streaks. A range takes over, beside the runs and the
+    failures so far, a halo: whether the last - 1 attempts before it went well, from as many ranges as it takes.
     """
-    ordered = Window.partitionBy(key).orderBy(*order)
-    near = ordered.rowsBetween(-(last - 1), Window.currentRow)
-    upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = streaks(log, key, order, success).withColumns({"n_recent": F.count(F.lit(1)).over(near), "rate": F.avg(success.cast("double")).over(near), "total_fail": F.sum((~success).cast("long")).over(upto)})
+    own = _run_columns(_deal(log.withColumn("_ok", success.cast("int")), key, order, "attempts"), key, order)
+    by = Window.partitionBy("_pid", key)
+    upto = by.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = by.orderBy(*order).rowsBetween(-(last - 1), Window.currentRow)
+    own = own.withColumns({"_i": F.count(F.lit(1)).over(upto), "_c": F.count(F.lit(1)).over(by), "_n": F.count(F.lit(1)).over(near), "_known": F.count("_ok").over(near), "_went": F.coalesce(F.sum("_ok").over(near), F.lit(0)), "_failed": F.coalesce(F.sum(1 - F.col("_ok")).over(upto), F.lit(0))})
+    tail = F.sort_array(F.collect_list(F.when(F.col("_i") > F.col("_c") - (last - 1), F.struct("_i", "_ok"))))
+    ends = own.groupBy(key, "_pid").agg(F.max_by(F.struct("_s", "_f", "_bad", "_good"), F.struct(*order)).alias("e"), F.coalesce(F.sum(1 - F.col("_ok")), F.lit(0)).alias("_all"), tail.alias("_tail"))
+
+    def fold(now: tuple, r: Row) -> tuple:
+        halo = [*now[3], *(x["_ok"] for x in r["_tail"])]
+        return *_fold_runs(now, r), now[2] + r["_all"], halo[max(0, len(halo) - (last - 1)) :]
+
+    carry = _carried(log, ends.select(key, "_pid", "e.*", "_all", "_tail"), key, f"{_RUNS}, _cfailed long, _halo array<int>", (0, 0, 0, []), fold)
+    both = _taking(own, carry, key)
+    # Of the halo as many attempts as the row's own range lacks, from its end.
+    lacking = F.greatest(F.lit(last) - F.col("_i"), F.lit(0)).cast("int")
+    halo = F.coalesce("_halo", F.array().cast("array<int>"))
+    before = F.slice(halo, F.greatest(F.size(halo) - lacking + 1, F.lit(1)), lacking)
+    known = F.filter(before, lambda x: x.isNotNull())
+    n_known, went = F.col("_known") + F.size(known), F.col("_went") + F.aggregate(known, F.lit(0).cast("long"), lambda a, x: a + x)
+    out = both.select(
+        *log.columns, _runs("_s", "_bad", "_cs").alias("success_streak"), _runs("_f", "_good", "_cf").alias("fail_streak"), (F.col("_n") + F.size(before)).alias("n_recent"),
+        F.when(n_known > 0, went / n_known).alias("rate"), (F.col("_failed") + F.coalesce("_cfailed", F.lit(0))).alias("total_fail"),
+    )
     failing = ~success & ((F.col("fail_streak") >= 3) | ((F.col("n_recent") >= 10) & (F.col("rate") < 0.5)))
     return out.withColumns({"disabled": failing, "penalty": F.when(failing, F.least(60 * F.greatest("fail_streak", "total_fail"), F.lit(600)))})
 
 
 def next_allowed(requests: DataFrame, key: str, order: list[str], at: Column, gap: Column) -> DataFrame:
-    """When each request of a domain may start if starts are gap seconds apart: the running maximum of at - n * gap, plus n * gap."""
-    by = Window.partitionBy(key).orderBy(*order)
-    n = F.row_number().over(by) - 1
-    numbered = requests.withColumn("_n", n)
-    lead = F.max(at - F.col("_n") * gap).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return numbered.withColumn("starts_at", lead + F.col("_n") * gap).drop("_n")
+    """requests with starts_at: when each request of a domain may start, if it starts gap behind the one before it.
+
+    A start is the greater of the request's own time and the start before it plus gap. Over a range of rows that
+    is again a maximum and a sum, so ranges are scanned each on its own, and the start with which a range ends,
+    and its sum of gaps, are carried over.
+    """
+    dealt = _deal(requests.withColumns({"_time": at, "_gap": gap}), key, order, "requests")
+    upto = Window.partitionBy("_pid", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = dealt.withColumn("_gaps", F.sum("_gap").over(upto))
+    own = own.withColumn("_start", F.max(F.col("_time") - F.col("_gaps")).over(upto) + F.col("_gaps"))
+    ends = own.groupBy(key, "_pid").agg(F.max("_start").alias("_last"), F.sum("_gap").alias("_sum"))
+
+    def fold(now: tuple, r: Row) -> tuple:
+        return (r["_last"] if now[0] is None else max(now[0] + r["_sum"], r["_last"]),)
+
+    kind = own.schema["_start"].dataType.simpleString()
+    both = _taking(own, _carried(requests, ends, key, f"_before {kind}", (None,), fold), key)
+    return both.select(*requests.columns, F.greatest("_start", F.col("_before") + F.col("_gaps")).alias("starts_at"))
 
 
 def prune_cache(entries: DataFrame, size: str, order: list[str], most: int) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions import predicates, text, urls
 from sluice.operators import extract, frontier, jsonshape, memory, metrics, profile, score, store, tree
+from sluice.operators.frontier_log import StoredFrontier
 from sluice.plans import report
 from sluice.plans.pipeline import Pipeline
 from sluice.plans.spider import CrawlSpec, bfs, crawl
@@ -279,6 +280,25 @@ def frontier_add(spark, sf_dir):
     return frontier.add_urls(known, p, 2.0, order="page_id")[1]
 
 
+@query("""WITH u AS (SELECT DISTINCT 'http://h' || (o_custkey % 20) || '/' || o_orderkey AS url FROM orders), a AS (SELECT url, row_number() OVER (ORDER BY sha256(url)) <= 500 AS first, sha256(url) AS h FROM u),
+d AS (SELECT *, first AND right(h, 1) BETWEEN '0' AND '7' AS done FROM a), b AS (SELECT *, NOT done AND row_number() OVER (PARTITION BY done ORDER BY h) <= 500 AS second FROM d)
+SELECT url, CASE WHEN done THEN 'done' WHEN second THEN 'running' ELSE 'queued' END AS status, first::INT + second::INT AS attempts FROM b""")
+def frontier_log_state(spark, sf_dir):
+    """All orders' URLs through a stored frontier: added, leased, done or failed, leased again, with compactions between."""
+    stored = StoredFrontier(spark, new_path(spark, "frontier"), buckets=16)
+    given = table(spark, sf_dir, "orders").select(F.concat(F.lit("http://h"), F.col("o_custkey") % 20, F.lit("/"), F.col("o_orderkey")).alias("url"), F.col("o_orderkey").alias("pos"))
+    stored.add(given, 1.0, order="pos", priority=1)
+    stored.compact()
+    stored.add(given, 1.5, order="pos", priority=9)
+    leased = stored.lease(2.0, 500, token="a")
+    low = F.substring("url_hash", 64, 1).between("0", "7")
+    stored.done(leased.filter(low), 3.0)
+    stored.failed(leased.filter(~low), 4.0, "later")
+    stored.lease(5.0, 500, token="b")
+    stored.compact()
+    return stored.table().select("url", "status", "attempts")
+
+
 # ------------------------------------------------------------------ memory
 
 

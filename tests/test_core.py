@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -378,3 +379,49 @@ def test_streams(spark, tmp_path):
     for _ in range(2):
         streams.append_new(stream.select("url", F.lit(0).alias("pos")), path, str(tmp_path / f"cp{_}"), None).awaitTermination()
     assert spark.read.parquet(path).count() == 3
+
+
+# ------------------------------------------------------------------ scans over ranges
+
+
+def _log(spark, rows, parts=5):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    return spark.createDataFrame(rows, "k string, at int, ok boolean, t double, extra int"), before
+
+
+@pytest.mark.parametrize("keys", [["hot"], ["a", "b", None], ["hot"] * 30 + ["x", "y", None]])
+def test_scans_over_ranges_equal_windows(spark, keys):
+    rng = random.Random(len(keys))
+    rows = [(rng.choice(keys), i, rng.choice([True, True, False, None] if len(keys) == 3 else [True, False]), float(i // 3 + rng.randrange(20)), i % 3) for i in range(700)] + [("one", 1, False, 2.0, 0)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    log, before = _log(spark, rows, 23)
+    try:
+        rates = {(r["k"], r["at"]): r for r in memory.recent_rates(log, "k", ["at"], F.col("ok")).collect()}
+        starts = {(r["k"], r["at"]): r["starts_at"] for r in memory.next_allowed(log, "k", ["at"], F.col("t"), F.lit(4) + F.col("extra")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(rates) == len(starts) == len(rows)
+    for key in set(keys) | {"one"}:
+        own = sorted((r for r in rows if r[0] == key), key=lambda r: r[1])
+        at, flags = None, []
+        for r in own:
+            at = r[3] if at is None else max(r[3], at + 4 + r[4])
+            flags.append(r[2])
+            near = [f for f in flags[-20:] if f is not None]
+            got = rates[key, r[1]]
+            assert (got["n_recent"], got["rate"], got["total_fail"] or 0) == (len(flags[-20:]), sum(near) / len(near) if near else None, flags.count(False))
+            assert starts[key, r[1]] == at
+
+
+def test_one_key_is_scanned_by_all_tasks(spark):
+    rows = [("hot", i, i % 7 != 0, float(i), 0) for i in range(5000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    log, before = _log(spark, rows, 8)
+    try:
+        dealt = memory._deal(log, "k", ["at"], "attempts").groupBy("_pid").count().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(dealt) == 8 and max(r["count"] for r in dealt) < 2 * 5000 / 8
