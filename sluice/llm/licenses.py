@@ -116,8 +116,11 @@ def _index(spark, templates: list[Template], rank: dict[str, int]) -> DataFrame:
     rows = []
     for at, t in enumerate(templates):
         ordered = sorted(set(t.words), key=rank.__getitem__)
-        rows += [(t.stride, w, at, t.label, t.phrase, i, len(ordered), t.need, ordered, t.words) for i, w in enumerate(ordered[: len(ordered) - t.need + 1])]
-    return spark.createDataFrame(rows, "stride int, word string, template int, label string, phrase boolean, i int, size int, need int, ordered array<string>, words array<string>")
+        one = {"stride": t.stride, "template": at, "label": t.label, "phrase": t.phrase, "size": len(ordered), "need": t.need, "ordered": ordered, "words": t.words}
+        rare = F.struct(*[F.lit(v).alias(k) for k, v in one.items()], _literals(ordered[: len(ordered) - t.need + 1]).alias("rare"))
+        rows.append(rare)
+    listed = spark.range(1).select(F.inline(F.array(*rows)))
+    return listed.select("*", F.posexplode("rare").alias("i", "word")).drop("rare")
 
 
 def _starts(hits: Column, ahead: list[str], stride: int) -> Column:
