@@ -10,19 +10,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions import text
-from sluice.operators import extract
+from sluice.operators import extract, fused
 from sluice.plans.report import analyze
 
-# Access classes with the confidence in each, first condition first, over the columns categories (an array),
-# hints (their number) and best_mode; and types of recommendations with the conditions they are given on.
+# Access classes with the confidence in each, first condition first, of categories (an array),
+# hints (their number) and the best mode; and types of recommendations with the conditions they are given on.
 ACCESS_CLASSES = [
-    ("blocked_or_challenged", 0.84, "arrays_overlap(categories, array('forbidden', 'challenge'))"),
-    ("api_driven_js_page", 0.82, "array_contains(categories, 'js_shell') AND hints > 0"),
-    ("browser_rendered_js_page", 0.72, "array_contains(categories, 'js_shell')"),
-    ("api_hinted_page", 0.7, "hints > 0"),
-    ("browser_rendered_page", 0.68, "best_mode = 'browser'"),
-    ("html_available", 0.76, "best_mode <> ''"),
-    ("unknown", 0.35, "true"),
+    ("blocked_or_challenged", 0.84, lambda c, h, m: F.arrays_overlap(c, F.array(F.lit("forbidden"), F.lit("challenge")))),
+    ("api_driven_js_page", 0.82, lambda c, h, m: F.array_contains(c, "js_shell") & (h > 0)),
+    ("browser_rendered_js_page", 0.72, lambda c, h, m: F.array_contains(c, "js_shell")),
+    ("api_hinted_page", 0.7, lambda c, h, m: h > 0),
+    ("browser_rendered_page", 0.68, lambda c, h, m: m == "browser"),
+    ("html_available", 0.76, lambda c, h, m: m != ""),
+    ("unknown", 0.35, lambda c, h, m: F.lit(True)),
 ]
 RECOMMENDATIONS = [
     ("manual_access_required", "challenge <> ''"),
@@ -40,26 +40,9 @@ API_ACTIONS = [("implement_api_crawler", "item_path <> '' AND fields > 0"), ("sa
 
 
 def access_class(categories: Column, hints: Column, best_mode: Column) -> Column:
-    """struct(name, confidence) of a site by what its probes told."""
-    names = {"categories": F.coalesce(categories, F.array().cast("array<string>")), "hints": F.coalesce(hints, F.lit(0)), "best_mode": F.coalesce(best_mode, F.lit(""))}
-    row = F.array(F.struct(*[c.alias(k) for k, c in names.items()]))
-    verdict = lambda x: F.coalesce(*[F.when(_on(x, condition), F.struct(F.lit(name).alias("name"), F.lit(confidence).alias("confidence"))) for name, confidence, condition in ACCESS_CLASSES])
-    return F.get(F.transform(row, verdict), F.lit(0))
-
-
-def _on(row: Column, condition: str) -> Column:
-    """A rule's condition on a struct, by the few forms that rules have."""
-    out = F.lit(True)
-    for part in condition.split(" AND "):
-        if part.startswith("arrays_overlap"):
-            out = out & F.arrays_overlap(row["categories"], F.array(*[F.lit(w) for w in part.split("'")[1::2]]))
-        elif part.startswith("array_contains"):
-            out = out & F.array_contains(row["categories"], part.split("'")[1])
-        elif part != "true":
-            name, op, value = part.split(" ")
-            want = F.lit(int(value)) if value.isdigit() else F.lit(value.strip("'"))
-            out = out & {">": row[name] > want, "=": row[name] == want, "<>": row[name] != want}[op]
-    return out
+    """struct(name, confidence) of a site by what its probes told: of the first condition that holds."""
+    known = F.coalesce(categories, F.array().cast("array<string>")), F.coalesce(hints, F.lit(0)), F.coalesce(best_mode, F.lit(""))
+    return F.coalesce(*[F.when(holds(*known), F.struct(F.lit(name).alias("name"), F.lit(confidence).alias("confidence"))) for name, confidence, holds in ACCESS_CLASSES])
 
 
 def api_action(item_path: Column, fields: Column) -> Column:
@@ -74,11 +57,8 @@ def diagnose(pages: DataFrame, selector: str = "a[href]", *, html: str = "html",
     Pages are told by their URL, each once. longest: the length at which pages are cut when they land.
     """
     once = pages.groupBy(F.col(url).alias("url")).agg(F.max(F.col(html)).alias("html"))
-    looked = analyze(once.withColumn("_n", F.length(F.coalesce("html", F.lit("")))), html="html", url="url")
-    count = lambda df, name: df.groupBy(F.col("url").alias(f"_{name}")).agg(F.count(F.lit(1)).alias(name))
-    sides = {"hints": extract.api_hints(once), "links": extract.links(once, selector), "anchors": extract.links(once, "a[href]"), "script_urls": extract.script_urls(once)}
-    for name, side in sides.items():
-        looked = looked.join(count(side.select("url"), name), F.col("url").eqNullSafe(F.col(f"_{name}")), "left").withColumn(name, F.coalesce(name, F.lit(0))).drop(f"_{name}")
+    sized = once.withColumns({"_n": F.length(F.coalesce("html", F.lit(""))), "script_urls": F.coalesce(F.size(extract.script_url_list(F.col("html"))), F.lit(0))})
+    looked = analyze(sized, html="html", url="url", also={"hints": fused.N_HINTS, "links": fused.n_links(selector), "anchors": fused.n_links()})
     more = [F.when(F.col("hints") > 0, F.lit("api_hints_found"))] + ([F.when(F.col("_n") >= longest - 16, F.lit("html_truncated"))] if longest is not None else [])
     extra = F.array_compact(F.array(*more))
     plain = F.array_remove(F.col("categories"), "html_available")

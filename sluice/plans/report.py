@@ -9,12 +9,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions import text, urls
-from sluice.operators import extract, score
+from sluice.operators import extract, fused, score
+from sluice.session import write_out
 
 
-def analyze(pages: DataFrame, goal: str = "", fields: list[str] = (), *, html: str = "html", url: str = "url") -> DataFrame:
-    """pages' other columns with signals, challenge, js_shell, categories, response_score, site_type, findings and ok."""
-    read = extract.text_and_signals(pages, html=html, text="_text")
+def analyze(pages: DataFrame, goal: str = "", fields: list[str] = (), *, html: str = "html", url: str = "url", also: dict[str, fused.Extractor] | None = None) -> DataFrame:
+    """pages' other columns with signals, challenge, js_shell, categories, response_score, site_type, findings and ok.
+
+    also: further extractors, whose columns come from the same reading of the pages.
+    """
+    also = also or {}
+    read = fused.read(pages, {"_text": fused.TEXT, "signals": fused.SIGNALS, **also}, html=html, url=url)
     kinds = text.site_type_scores(F.concat_ws(" ", F.lit(goal), F.col(url), F.col("_text")), list(fields))
     challenge = text.challenge_in_html(F.col(html))
     s = F.col("signals")
@@ -28,6 +33,7 @@ def analyze(pages: DataFrame, goal: str = "", fields: list[str] = (), *, html: s
     )
     return read.select(
         *[c for c in pages.columns if c != html],
+        *also,
         "signals",
         challenge.alias("challenge"),
         shell.alias("js_shell"),
@@ -80,11 +86,17 @@ def data_source(api_candidates: int, best_mode: str, list_selector: str) -> tupl
 
 
 def site_model(pages: DataFrame, goal: str = "", fields: list[str] = ("title",), *, html: str = "html", url: str = "url") -> dict:
-    """The document about one site: summary, sources, selectors, pagination and recommendations."""
-    hosts = site_summary(analyze(pages, goal, list(fields), html=html, url=url), url).orderBy(F.desc("pages"), "host").limit(20).collect()
-    spec = {r["field"]: r["selector"] for r in site_spec(pages, ["link", *fields], html=html, url=url).collect()}
-    hints = extract.api_hints(pages, html=html, url=url).groupBy("hint").agg(F.count(F.lit(1)).alias("n"), F.bool_or("json_like").alias("json_like")).orderBy(F.desc("json_like"), F.desc("n"), "hint").limit(12).collect()
-    paging = extract.pagination(pages, html=html, url=url).filter(F.col("rank") == 0).groupBy("kind").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "kind").first()
+    """The document about one site: summary, sources, selectors, pagination and recommendations.
+
+    Pages are read once, and what that gives, without their texts, is written; all parts are sums over it.
+    """
+    also = {"candidates": fused.candidates(["link", *fields], 1), "hint_list": fused.HINTS, "paging": fused.PAGINATION}
+    facts = write_out(analyze(pages.select(url, html), goal, list(fields), html=html, url=url, also=also), "facts")
+    hosts = site_summary(facts, url).orderBy(F.desc("pages"), "host").limit(20).collect()
+    top = facts.select(url, F.explode("candidates").alias("c")).select(url, "c.*")
+    spec = {r["field"]: r["selector"] for r in score.vote(top.withColumn("_pos", F.pmod(F.xxhash64(url), F.lit(1 << 40))), "field", "selector", "_pos").collect()}
+    hints = facts.select(F.explode("hint_list").alias("h")).select("h.*").groupBy("hint").agg(F.count(F.lit(1)).alias("n"), F.bool_or("json_like").alias("json_like")).orderBy(F.desc("json_like"), F.desc("n"), "hint").limit(12).collect()
+    paging = facts.select(F.get("paging", F.lit(0))["kind"].alias("kind")).filter("kind is not null").groupBy("kind").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "kind").first()
     site = hosts[0]["site_type"] if hosts else "unknown"
     source, confidence = data_source(sum(h["json_like"] for h in hints), "", spec.get("link", ""))
     kind, sure = page_type(2 if spec.get("link") else 0, spec.get("link", ""), paging["kind"] if paging and paging["kind"] != "page_param_guess" else "", site)

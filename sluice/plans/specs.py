@@ -10,12 +10,13 @@ import json
 import time
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.functions import urls
-from sluice.operators import extract, search
+from sluice.operators import dom, extract, fused, search
 from sluice.plans.pipeline import PLAN_PARTS, from_plan
 from sluice.session import write_out
 
@@ -106,13 +107,10 @@ def validate_plan(plan: dict, pages: DataFrame | None = None) -> dict:
 
 
 def zero_links(pages: DataFrame, selector: str, *, html: str = "html", url: str = "url") -> DataFrame:
-    """Of each page on which a selector finds no link: (url, reason, html_chars, anchors, script_urls)."""
-    found = extract.links(pages, selector, html=html, url=url).select(F.col(url).alias("_hit")).distinct()
-    none = pages.join(found, F.col(url).eqNullSafe(F.col("_hit")), "left_anti")
-    anchors = search.by_xpath(none.select(url, html), "//a[@href]", html=html).groupBy(F.col(url).alias("_a")).agg(F.count(F.lit(1)).alias("anchors"))
-    scripts = extract.script_urls(none.select(url, html), html=html).groupBy(F.col(url).alias("_s")).agg(F.count(F.lit(1)).alias("script_urls"))
-    out = none.join(anchors, F.col(url).eqNullSafe(F.col("_a")), "left").join(scripts, F.col(url).eqNullSafe(F.col("_s")), "left")
-    return out.select(url, F.lit("selector_zero_match").alias("reason"), F.length(F.coalesce(F.col(html), F.lit(""))).alias("html_chars"), F.coalesce("anchors", F.lit(0)).alias("anchors"), F.coalesce("script_urls", F.lit(0)).alias("script_urls"))
+    """Of each page on which a selector finds no link: (url, reason, html_chars, anchors, script_urls), from one reading of it."""
+    read = fused.read(pages.select(url, html), {"_links": fused.n_links(selector), "anchors": fused.Extractor("long", pa.int64(), lambda p: len(dom.select(p.root, "a[href]")))}, html=html, url=url)
+    chars, scripts = F.length(F.coalesce(F.col(html), F.lit(""))), F.size(extract.script_url_list(F.coalesce(F.col(html), F.lit(""))))
+    return read.filter("_links = 0").select(url, F.lit("selector_zero_match").alias("reason"), chars.alias("html_chars"), "anchors", scripts.cast("long").alias("script_urls"))
 
 
 def spec_faults(spec) -> list[str]:
