@@ -12,6 +12,11 @@ tree judges the branches inside that part too, by counts of their own in which e
 count once. An article of which the tree would take half of the characters or more is a copy, not a template, and
 stays whole.
 
+Inside an article names may be those of its subject (notice-period, related-work, a section login). There a class
+leaves a block out only if all of it names a part of the page (comments, share-buttons); where it or an
+id merely holds such a word, the block goes if half of its characters or more are links, and otherwise
+the tree decides.
+
 A page is read in one pass: an element holds hashes of its path, of the tags below it and of its contents,
 which its parent takes over when it closes, so time and memory grow with the page, however deep it is.
 
@@ -28,6 +33,7 @@ import html
 import itertools
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,6 +59,10 @@ OUT_WORDS = frozenset(
     "header masthead footer sidebar aside cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup "
     "login share sharing social comment comments commentlist reply replies respond disqus related recommended widget toolbar pagination pager search skip".split()
 )
+#: Words that say how, not what: with one of OUT_WORDS they make up the name of a part of the page.
+FORM_WORDS = frozenset("area bar block body box button buttons container content count form group icon icons inline inner item items link links list outer panel section text title top bottom wrap wrapper".split())
+#: Words of OUT_WORDS that inside an article are rather its subject.
+SUBJECTS = frozenset(("header", "skip"))
 _P_ENDS = BLOCK - {"html", "body", "head"}
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("article section div table ul ol dl main body html td th nav aside footer header form blockquote".split())
@@ -72,13 +82,16 @@ PART = _hash("part")
 
 
 class _Element:
-    """An open element: number is its branch; content and tags are polynomial hashes of sequences, of n texts and of tags."""
+    """An open element: number is its branch; content and tags are polynomial hashes of sequences, of n texts and of tags.
+
+    chars and linked count characters and those in links; since, of a doubted one, tells what there was before it.
+    """
 
-    __slots__ = ("tag", "path", "out", "main", "content", "n", "tags", "number")
+    __slots__ = ("tag", "path", "out", "main", "content", "n", "tags", "number", "since", "chars", "linked")
 
-    def __init__(self, tag: str, path: int, out: bool, main: bool, number: int):
-        self.tag, self.path, self.out, self.main, self.number = tag, path, out, main, number
-        self.content = self.n = self.tags = 0
+    def __init__(self, tag: str, path: int, out: bool, main: bool, number: int, since: tuple[int, int] | None = None):
+        self.tag, self.path, self.out, self.main, self.number, self.since = tag, path, out, main, number, since
+        self.content = self.n = self.tags = self.chars = self.linked = 0
 
     def add(self, content: int, n: int) -> None:
         self.content = (self.content * pow(_BASE, n, _PRIME) + content) % _PRIME
@@ -90,11 +103,18 @@ _ABOUT_OTHERS = ("has-", "with-", "no-", "without-", "is-", "not-", "js-")
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
+def _names(attrs: dict[str, str], which: tuple[str, ...]) -> list[set[str]]:
+    """The words of each class name, or id, that is the element's own."""
+    given = [c for a in which for c in (attrs.get(a, "").split() if a == "class" else [attrs.get(a, "")])]
+    return [{w.lower() for w in _TOKEN.findall(c)} for c in given if not c.lower().startswith(_ABOUT_OTHERS)]
+
+
 def _left_out(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
     """Whether an element is no part of the article: by its tag, role, style, or the words of its class and id.
 
     Headers inside the article hold its title and stay; headings and the page's own frame are never judged by
-    their class or id, but an article element that says it is a comment is one.
+    their class or id, but an article element that says it is a comment is one. Inside an article all words of a
+    block's class must name a part of the page.
     """
     if tag in OUT or (tag == "header" and not in_article) or "hidden" in attrs or attrs.get("role", "").strip().lower() in OUT_ROLES:
         return True
@@ -102,11 +122,15 @@ def _left_out(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
         return True
     if tag in _HEADINGS or tag in ("html", "body", "main"):
         return False
-    names = [c for c in (*attrs.get("class", "").split(), attrs.get("id", "")) if not c.lower().startswith(_ABOUT_OTHERS)]
-    said = {w.lower() for c in names for w in _TOKEN.findall(c)}
-    if tag == "article" and not in_article:
-        return bool(said & {"comment", "comments", "reply"})
-    return bool(said & (OUT_WORDS - {"header"} if in_article else OUT_WORDS))
+    if in_article or tag == "article":
+        parts = OUT_WORDS - SUBJECTS if in_article else {"comment", "comments", "reply"}
+        return tag in BLOCK and any(said & parts and all(w in OUT_WORDS or w in FORM_WORDS or w.isdigit() for w in said) for said in _names(attrs, ("class",)))
+    return bool(set().union(*_names(attrs, ("class", "id"))) & OUT_WORDS)
+
+
+def _doubted(tag: str, attrs: dict[str, str]) -> bool:
+    """Whether an element inside an article may be no part of it, by a word of its class or id."""
+    return tag not in _HEADINGS and any(said & OUT_WORDS for said in _names(attrs, ("class", "id")))
 
 
 def read_page(source: str) -> tuple[list[tuple[int, str]], bool, list[tuple[int, int, int, bool, bool, int]]]:
@@ -136,6 +160,9 @@ def read_page(source: str) -> tuple[list[tuple[int, str]], bool, list[tuple[int,
     def add(piece: str) -> None:
         if not stack[-1].out:
             text.append(html.unescape(piece))
+            size = len(text[-1].strip())
+            stack[-1].chars += size
+            stack[-1].linked += size * bool(opened.get("a"))
         elif words := " ".join(html.unescape(piece).split()):
             stack[-1].add(_hash(words), 1)
 
@@ -147,6 +174,13 @@ def read_page(source: str) -> tuple[list[tuple[int, str]], bool, list[tuple[int,
             around.pop()
             opened[e.tag] -= 1
             stack[-1].add(e.content, e.n)
+            if e.since and e.linked and 2 * e.linked >= e.chars and (e.tag in BLOCK or e.since[0] == len(blocks)):
+                # Mostly links: what it has put down goes.
+                del blocks[e.since[0] :], text[0 if e.tag in BLOCK else e.since[1] :]
+                branches[e.number :] = [None] * (len(branches) - e.number)
+                continue
+            stack[-1].chars += e.chars
+            stack[-1].linked += e.linked
             if e.path not in (0, PART) and e.n and not e.out:
                 branches[e.number] = (e.path, e.tags, e.content, e.main, len(branches) - 1)
 
@@ -199,7 +233,8 @@ def read_page(source: str) -> tuple[list[tuple[int, str]], bool, list[tuple[int,
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE).search(source, at)
             at = end.end() if end else size
             continue
-        stack.append(_Element(tag, path, out, main and not out, len(branches)))
+        doubted = up.main and not out and bool(attrs) and _doubted(tag, attrs)
+        stack.append(_Element(tag, path, out, main and not out, len(branches), (len(blocks), len(text)) if doubted else None))
         around.append(stack[-1] if tag in BLOCK else around[-1])
         opened[tag] = opened.get(tag, 0) + 1
         branches.append(None)
@@ -235,6 +270,27 @@ def _read_pages(pages: pa.Array) -> pa.Array:
     return pa.concat_arrays(out) if out else pa.array([], type=_ARROW)
 
 
+def _cut(pages: pa.Array, keys: pa.Array, low: pa.Array) -> pa.Array:
+    """The text without the blocks below branches whose keys are low, on the side of the page that counts."""
+    out = []
+    for page, own, gone in zip(pages, keys, low, strict=True):
+        if not page.is_valid:
+            out.append(None)
+            continue
+        page, gone = page.as_py(), set(gone.as_py())
+        edges = np.zeros(len(page["branches"]) + 1, dtype=np.int64)
+        for i, (b, key) in enumerate(zip(page["branches"], own.as_py(), strict=True)):
+            if key in gone and b["inside"] == page["main"]:
+                edges[i] += 1
+                edges[b["last"] + 1] -= 1
+        below = np.cumsum(edges) > 0
+        every = [b["text"] for b in page["blocks"]]
+        left = [b["text"] for b in page["blocks"] if b["at"] < 0 or not below[b["at"]]]
+        out.append("\n".join(every if page["main"] and 2 * sum(map(len, left)) <= sum(map(len, every)) else left))
+    give_back()
+    return pa.array(out, type=pa.string())
+
+
 def style_tree(parsed: DataFrame, host: str, page: str) -> DataFrame:
     """(host, key, importance) of branches whose content is on two pages or more; equal pages of a host count once, and so do equal articles."""
     b = F.col(f"{page}.branches")
@@ -272,14 +328,11 @@ def main_text(pages: DataFrame, url: str = "url", source: str = "html", out: str
     drop = tree.filter(F.col("importance") < LEAST_IMPORTANCE)
     drop = write_out(drop.groupBy(F.col("host").alias(of)).agg(F.collect_set("key").alias(low)), "low")
     size = drop.select(F.sum(F.size(low) * 8 + 64)).first()[0] or 0
-    joined = parsed.join(F.broadcast(drop) if size <= BROADCAST_BYTES else drop, F.col(host) == F.col(of), "left")
-    # Branches of low importance on the side of the page that counts, as spans of branches.
-    spans, all_of, left = (fresh(x, joined) for x in ("h_spans", "h_all", "h_left"))
-    numbered = F.transform(F.col(f"{page}.branches"), lambda b, i: F.struct(i.alias("from"), b["last"].alias("to"), b["inside"].alias("inside"), F.xxhash64(b["path"], b["style"], b["content"]).alias("key")))
-    found = F.filter(numbered, lambda b: (b["inside"] == F.col(f"{page}.main")) & F.array_contains(low, b["key"]))
-    joined = joined.withColumn(spans, F.when(F.col(low).isNull(), F.array().cast("array<struct<from:int,to:int,inside:boolean,key:long>>")).otherwise(found))
-    gone = lambda b: F.exists(spans, lambda s: (s["from"] <= b["at"]) & (b["at"] <= s["to"]))
-    chars = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda n, b: n + F.length(b["text"]))
-    joined = joined.withColumn(all_of, F.col(f"{page}.blocks")).withColumn(left, F.when(F.size(spans) == 0, F.col(f"{page}.blocks")).otherwise(F.filter(F.col(f"{page}.blocks"), lambda b: ~gone(b))))
-    kept = F.when(F.col(f"{page}.main") & (2 * chars(F.col(left)) <= chars(F.col(all_of))), F.col(all_of)).otherwise(F.col(left))
-    return joined.withColumn(out, F.array_join(F.transform(kept, lambda b: b["text"]), "\n")).select(*keep, out)
+    joined = parsed.join(F.broadcast(drop) if size <= BROADCAST_BYTES else drop, F.col(host) == F.col(of), "left").drop(of)
+    keys = F.transform(F.col(f"{page}.branches"), lambda b: F.xxhash64(b["path"], b["style"], b["content"]))
+    # Of the host's list only what the page has goes on, and only pages that have some of it are cut.
+    joined = joined.withColumn(low, F.array_intersect(keys, F.coalesce(F.col(low), F.array().cast("array<bigint>"))))
+    hit = F.size(low) > 0
+    cut = F.arrow_udf(_cut, "string")(F.when(hit, F.col(page)), F.when(hit, keys), F.when(hit, F.col(low)))
+    whole = F.array_join(F.transform(F.col(f"{page}.blocks"), lambda b: b["text"]), "\n")
+    return joined.withColumn(of, F.coalesce(cut, whole)).select(*keep, F.col(of).alias(out))
