@@ -145,7 +145,7 @@ def test_operator_equals_plain_reading_and_plain_tree(spark):
     pages = []
     for i in range(60):
         own = "".join(f"<p>Own text {rng.randrange(10**6)} that is long enough to be the story {i}</p>" for _ in range(3))
-        pages.append((i, f"h{i % 3}", f"<body><article><h1>T{i}</h1>{own}{rng.choice(shared)}<div class=related-work>Work of {i}</div></article></body>"))
+        pages.append((i, f"h{i % 3}", f"<body><article><h1>T{i}</h1>{own}{"".join(shared)}<div class=related-work>Work of {i}</div></article></body>"))
     df = spark.createDataFrame([(i, f"http://{h}.example/{i}", p) for i, h, p in pages], "page_id long, url string, html string")
     got = {r["page_id"]: r["main_text"] for r in html_text.main_text(df).collect()}
     assert got == plain_tree(pages)
