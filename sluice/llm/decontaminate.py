@@ -1,8 +1,8 @@
 """Benchmark decontamination by greedy string tiling.
 
 Words are compared in lower case, without punctuation. Runs of SEED words (seeds) of the benchmark items are
-joined with those of the documents. A pair of a document and an item goes on if the item's words under
-shared seeds could reach the threshold. Then the item is tiled: the longest matches between the item and
+joined with those of the documents, but for each item's commonest ones, which alone can't make a hit. A
+pair of a document and an item goes on if the item's words under shared seeds could reach the threshold. Then the item is tiled: the longest matches between the item and
 the document that overlap no earlier ones are marked again and again, found by Karp-Rabin hashes; their
 length is searched by bisection, as two texts that share a run share its parts. The share of the item's
 words under tiles is its coverage, which neither the order of its passages nor text put between them
@@ -209,6 +209,42 @@ def _items(benchmark: DataFrame, item_id: str, item_text: str) -> DataFrame:
     return items.select("item", "text", F.md5(F.col("text").cast("binary")).alias("ikey"), "s.*").filter("tokens > 0")
 
 
+def _rare(least: float):
+    def rare(tokens_of: pa.Array, seeds_of: pa.Array, counts_of: pa.Array) -> pa.Array:
+        """Of each item the seeds but for the commonest: as many as may go without their words reaching the threshold."""
+        out = []
+        for size, own, counts in zip(tokens_of.to_pylist(), seeds_of.to_pylist(), counts_of.to_pylist(), strict=True):
+            n, need = min(SEED, size), max(-(-least * size // 1), min(size, FLOOR))
+            under, n_under, kept = [False] * size, 0, set()
+            for _, seed, at in sorted(((c, s, k) for k, (s, c) in enumerate(zip(own, counts, strict=True))), reverse=True):
+                new = under[at : at + n].count(False)
+                if n_under + new < need:
+                    under[at : at + n] = [True] * n
+                    n_under += new
+                else:
+                    kept.add(seed)
+            out.append(sorted(kept))
+        return pa.array(out, type=pa.list_(pa.int64()))
+
+    return rare
+
+
+def candidate_pairs(emitted: DataFrame, texts: DataFrame, places: DataFrame, least: float) -> DataFrame:
+    """(key, ikey): documents and items that share one of the item's rarer seeds.
+
+    Of an item the seeds that most documents have are left out, as many as together lie over fewer words than
+    the threshold asks for: a document that shares none but these is no hit. So a run of words that stands
+    in very many documents and items pairs them only where it makes up a hit.
+    """
+    held = places.select("seed").distinct()
+    shared = write_out(emitted.select("key", F.explode("seeds").alias("seed")).join(held, "seed", "left_semi"), "shared")
+    count = shared.groupBy("seed").agg(F.count(F.lit(1)).alias("n"))
+    counted = places.join(count, "seed", "left").groupBy("ikey").agg(F.any_value("tokens").alias("tokens"), F.sort_array(F.collect_list(F.struct("pos", "seed", F.coalesce("n", F.lit(0)).alias("n")))).alias("p"))
+    of = lambda c: F.transform("p", lambda x: x[c])
+    rare = counted.select("ikey", F.explode(F.arrow_udf(_rare(least), "array<long>")("tokens", of("seed"), of("n"))).alias("seed"))
+    return write_out(shared.join(write_out(rare, "rare"), "seed").select("key", "ikey").distinct(), "candidates")
+
+
 def _hits(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str, least: float) -> DataFrame:
     """(key, found): by the hash of a text the items that it hits."""
     items = write_out(_items(benchmark, item_id, item_text), "items")
@@ -222,12 +258,14 @@ def _hits(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_t
     source = docs.select(F.col(text).cast("string").alias("text")).filter("text is not null")
     emitted = source.select(_key(F.col("text")).alias("key"), F.arrow_udf(_doc_seeds(lengths, wanted), "array<long>")("text").alias("seeds")).filter(F.size("seeds") > 0)
     some = write_out(emitted, "seeds")
-    found = some.dropDuplicates(["key"]).select("key", F.explode("seeds").alias("seed"))
+    pairs = candidate_pairs(some.dropDuplicates(["key"]), texts, places, least)
     # An item's words under shared seeds bound what tiles can cover.
-    pairs = found.join(places, "seed").groupBy("key", "ikey").agg(F.any_value("tokens").alias("tokens"), F.sort_array(F.collect_set("pos")).alias("at"))
+    both = pairs.join(some.dropDuplicates(["key"]).withColumnRenamed("seeds", "own"), "key").join(texts.select("ikey", "tokens", "seeds"), "ikey")
+    both = both.withColumn("own", F.array_intersect("seeds", "own"))
+    both = both.withColumn("at", F.filter(F.transform("seeds", lambda s, i: F.when(F.array_contains("own", s), i)), lambda i: i.isNotNull()))
     size = F.least("tokens", F.lit(SEED))
     upto = F.aggregate("at", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), lambda s, p: F.struct((s["n"] + p + size - F.greatest(s["end"], p)).alias("n"), (p + size).alias("end")))["n"]
-    pairs = write_out(pairs.filter((upto >= least * F.col("tokens")) & (upto >= F.least("tokens", F.lit(FLOOR)))).select("key", "ikey"), "pairs")
+    pairs = write_out(both.filter((upto >= least * F.col("tokens")) & (upto >= F.least("tokens", F.lit(FLOOR)))).select("key", "ikey"), "pairs")
     candidates = pairs.join(texts.select("ikey", "item_text"), "ikey").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("ikey", "item_text"))).alias("of"))
     candidates = write_out(candidates, "candidates")
     side = lambda df, n: F.broadcast(df) if df.count() * n <= BROADCAST_BYTES else df
