@@ -57,9 +57,12 @@ def suffix_ranks(seq: DataFrame, depth: int) -> DataFrame:
         pair = seq.withColumn("next", F.coalesce(F.lead(f"r{k}", 2**k).over(order), F.lit(0)))
         pair = write_out(pair, "suffixes")
         # A suffix that ends before, and one whose first lines stand alone, is in no deeper interval: rank 0.
-        twice = pair.filter((F.col(f"r{k}") > 0) & (F.col("next") > 0)).groupBy(f"r{k}", "next").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+        # Most are such; they stay out of the join, where they would be one hot key.
+        open_ = (F.col(f"r{k}") > 0) & (F.col("next") > 0)
+        twice = pair.filter(open_).groupBy(f"r{k}", "next").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
         ranks = _numbered(twice, f"r{k}", "next").withColumnRenamed("rank", f"r{k + 1}")
-        seq = pair.join(ranks, [f"r{k}", "next"], "left").drop("next").withColumn(f"r{k + 1}", F.coalesce(f"r{k + 1}", F.lit(0)))
+        ranked = pair.filter(open_).join(ranks, [f"r{k}", "next"], "left").withColumn(f"r{k + 1}", F.coalesce(f"r{k + 1}", F.lit(0)).cast("long"))
+        seq = ranked.drop("next").unionByName(pair.filter(~open_).drop("next").withColumn(f"r{k + 1}", F.lit(0).cast("long")))
         k += 1
     return write_out(seq, "suffixes")
 
