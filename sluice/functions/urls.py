@@ -122,9 +122,9 @@ def path_parts(url: Column) -> Column:
     return F.transform(parts, lambda x: F.coalesce(F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B"))), x))
 
 
-def prefixes(parts: Column, most: Column | int) -> Column:
+def prefixes(parts: Column, most: Column | int | None = None) -> Column:
     """All prefixes of an array, shortest first, up to most elements."""
-    top = F.least(F.size(parts), F.lit(most) if isinstance(most, int) else most)
+    top = F.size(parts) if most is None else F.least(F.size(parts), F.lit(most) if isinstance(most, int) else most)
     return F.when(top >= 1, F.transform(F.sequence(F.lit(1), top), lambda d: F.slice(parts, F.lit(1), d))).otherwise(F.array().cast("array<array<string>>"))
 
 

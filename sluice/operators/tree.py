@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions import urls
 from sluice.functions.text import label
+from sluice.session import write_out
 
 # First path segments and patterns that are no categories.
 EXCLUDED_FIRST = (
@@ -50,21 +51,60 @@ def product_prefixes(rows: DataFrame, depth: int = 3, *, url: str = "url", least
 
 def with_products(categories: DataFrame, products: DataFrame) -> DataFrame:
     """Categories that a product prefix extends or that extend one. Both ways are equi joins on prefixes."""
-    below = products.select(F.explode(urls.prefixes(F.col("parts"), 10)).alias("parts")).distinct()
+    below = products.select(F.explode(urls.prefixes(F.col("parts"))).alias("parts")).distinct()
     one = categories.join(below, "parts", "left_semi")
-    own = categories.select(F.col("parts").alias("whole"), F.explode(urls.prefixes(F.col("parts"), 10)).alias("parts"))
+    own = categories.select(F.col("parts").alias("whole"), F.explode(urls.prefixes(F.col("parts"))).alias("parts"))
     two = own.join(products, "parts", "left_semi").select(F.col("whole").alias("parts"))
     return one.union(two).distinct()
 
 
 def category_tree(paths: DataFrame, base_url: str) -> DataFrame:
     """(path, parent, depth, name, url): one node for every prefix of the paths."""
-    nodes = paths.select(F.explode(urls.prefixes(F.col("parts"), 10)).alias("p")).distinct()
+    nodes = paths.select(F.explode(urls.prefixes(F.col("parts"))).alias("p")).distinct()
     join = lambda c: F.array_join(c, "/")
     root = F.concat(urls.part(F.lit(base_url), "PROTOCOL"), F.lit("://"), urls.part(F.lit(base_url), "AUTHORITY"))
     return nodes.select(join(F.col("p")).alias("path"), F.when(F.size("p") > 1, join(F.slice("p", F.lit(1), F.size("p") - 1))).alias("parent"), F.size("p").alias("depth"), label(F.element_at("p", -1)).alias("name"), F.concat(root, F.lit("/"), join(F.col("p")), F.lit("/")).alias("url"))
 
 
+def subtree_counts(paths: DataFrame, weight: Column | None = None) -> DataFrame:
+    """(parts, depth, own, total, nodes, children): of each node of the paths what stands at it, what stands at it or
+    below, the nodes of its subtree with itself, and its children. A path counts as often as it is there, or by its weight.
+
+    Every path tells its ancestors at once, whatever its depth; equal ones are summed on their way, so a root that
+    all paths have takes a row from each task.
+    """
+    given = paths.groupBy("parts").agg(F.sum(F.lit(1) if weight is None else weight).cast("long").alias("n")).filter(F.size("parts") > 0)
+    up = given.select(F.posexplode(urls.prefixes(F.col("parts"))).alias("k", "node"), F.size("parts").alias("size"), "n")
+    sums = write_out(up.groupBy(F.col("node").alias("parts")).agg(F.sum(F.when(F.col("k") + 1 == F.col("size"), F.col("n")).otherwise(F.lit(0))).alias("own"), F.sum("n").alias("total")), "nodes")
+    below = sums.select(F.posexplode(urls.prefixes(F.col("parts"))).alias("k", "node"), F.size("parts").alias("size"))
+    kin = below.groupBy(F.col("node").alias("parts")).agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("size") == F.col("k") + 2).alias("children"))
+    return sums.join(kin, "parts").select("parts", F.size("parts").alias("depth"), "own", "total", "nodes", "children")
+
+
+def fold_small(counts: DataFrame, least: int) -> DataFrame:
+    """(parts, depth, own): the tree whose leaves all have least or more: smaller leaves are folded into their parents,
+    which may make these large enough, or leaves that are folded in turn. Roots stay.
+
+    counts: (parts, depth, own). From the deepest level up, each level is folded once, so there are as many rounds
+    as levels; a round has the rows of its level and what was folded into it.
+    """
+    rows = write_out(counts.select("parts", "depth", "own"), "tree")
+    kept, deepest = [], rows.agg(F.max("depth")).first()[0] or 0
+    folded = None
+    for depth in range(deepest, 0, -1):
+        level = rows.filter(F.col("depth") == depth).select("parts", "own", F.lit(False).alias("inner"))
+        both = (level if folded is None else level.unionByName(folded)).groupBy("parts").agg(F.sum("own").alias("own"), F.bool_or("inner").alias("inner"))
+        both = write_out(both, "level")
+        stays = F.col("inner") | (F.col("own") >= least) | F.lit(depth == 1)
+        kept.append(both.filter(stays).select("parts", F.lit(depth).alias("depth"), "own"))
+        # A node that stays tells its parent so; one that goes gives it what it has.
+        folded = both.select(F.slice("parts", 1, depth - 1).alias("parts"), F.when(stays, F.lit(0)).otherwise(F.col("own")).alias("own"), stays.alias("inner")) if depth > 1 else None
+    out = kept[0] if kept else rows
+    for level in kept[1:]:
+        out = out.unionByName(level)
+    return out
+
+
 def render_tree(nodes: DataFrame) -> list[dict]:
     """The nested form of category_tree's rows, for one site: a document for people, so it meets on the driver."""
     rows = nodes.orderBy("path").collect()

@@ -69,7 +69,10 @@ def robots_sitemaps(text: Column) -> Column:
 
 
 def robots_rules(robots: DataFrame, agent: str = "*") -> DataFrame:
-    """(host, pos, allow, prefix) of the groups for an agent, of robots.txt files (host, body)."""
+    """(host, pos, allow, prefix) of the groups for an agent, of robots.txt files (host, body).
+
+    Of the groups whose name the agent's begins with, or holds, the longest name counts, and * if there is none.
+    """
     lines = robots.select("host", F.posexplode(F.split("body", r"\R")).alias("pos", "line")).withColumn("line", F.trim(F.regexp_replace("line", "#.*$", "")))
     name, value = F.lower(F.trim(F.substring_index("line", ":", 1))), F.trim(F.regexp_replace("line", "^[^:]*:", ""))
     lines = lines.select("host", "pos", name.alias("name"), value.alias("value"))
@@ -78,18 +81,50 @@ def robots_rules(robots: DataFrame, agent: str = "*") -> DataFrame:
     starts = (F.col("name") == "user-agent") & (F.coalesce(F.lag("name").over(by), F.lit("")) != "user-agent")
     grouped = lines.filter(F.col("name").isin("user-agent", "allow", "disallow")).withColumn("s", starts.cast("int"))
     grouped = grouped.withColumn("g", F.sum("s").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    mine = grouped.filter((F.col("name") == "user-agent") & (F.lower("value") == agent.lower())).select("host", "g").distinct()
+    called = F.lower("value")
+    fit = F.when(called == "*", F.lit(0)).when((called != "") & F.contains(F.lit(agent.lower()), called), F.length("value"))
+    named = grouped.filter(F.col("name") == "user-agent").withColumn("fit", fit).filter("fit is not null")
+    best = named.groupBy("host").agg(F.max("fit").alias("fit"))
+    mine = named.join(best, ["host", "fit"]).select("host", "g").distinct()
     rules = grouped.filter(F.col("name").isin("allow", "disallow") & (F.col("value") != "")).join(mine, ["host", "g"])
     return rules.select("host", "pos", (F.col("name") == "allow").alias("allow"), F.col("value").alias("prefix"))
 
 
+#: Rules of at most this many bytes are broadcast; more are joined by host and head.
+BROADCAST_BYTES = 8 << 20
+
+
+def compiled_rules(rules: DataFrame) -> DataFrame:
+    """Rules with head, the literal text that a target must begin with, exact, and pattern where * stands in them.
+
+    A $ at the end ties a rule to the target's end; a * at the end says nothing.
+    """
+    tied = F.col("prefix").endswith("$")
+    bare = F.when(tied, F.expr("left(prefix, length(prefix) - 1)")).otherwise(F.regexp_replace("prefix", r"\*+$", ""))
+    rows = rules.withColumns({"_bare": bare, "exact": tied})
+    quoted = F.array_join(F.transform(F.split("_bare", r"\*+"), lambda x: F.concat(F.lit("\\Q"), F.replace(x, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))), ".*")
+    pattern = F.when(F.contains("_bare", F.lit("*")), F.concat(F.lit("(?s)^"), quoted, F.when(tied, F.lit("$")).otherwise(F.lit(""))))
+    return rows.withColumns({"head": F.substring_index("_bare", "*", 1), "pattern": pattern}).drop("_bare")
+
+
 def allowed(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
-    """urls with can_fetch: the longest matching prefix decides, an allowing one of equal length wins; no rule allows."""
+    """urls with can_fetch: the longest rule that matches decides, an allowing one of equal length wins; no rule allows.
+
+    A URL meets the rules of its host by equality of the rule's head with as many of its first characters; only
+    lengths that heads of the host have are tried. Rules with * are matched as patterns on what is left then.
+    """
     target = F.concat(F.coalesce(F.nullif(path(F.col(url)), F.lit("")), F.lit("/")), F.when(query(F.col(url)) != "", F.concat(F.lit("?"), query(F.col(url)))).otherwise(F.lit("")))
-    u = urls.withColumns({"_host": host(F.col(url)), "_target": target})
-    hit = u.join(rules.withColumnRenamed("host", "_host"), "_host").filter(F.col("_target").startswith(F.col("prefix")))
-    verdict = hit.groupBy(url).agg(F.max_by("allow", F.struct(F.length("prefix"), "allow")).alias("can_fetch"))
-    return u.drop("_host", "_target").join(verdict, url, "left").withColumn("can_fetch", F.coalesce("can_fetch", F.lit(True)))
+    u = urls.select(url).distinct().withColumns({"_host": host(F.col(url)), "_target": target})
+    ready = write_out(compiled_rules(rules).groupBy(F.col("host").alias("_host"), "head", "exact", "pattern").agg(F.max(F.struct(F.length("prefix").alias("size"), "allow")).alias("says")), "rules")
+    size = ready.agg(F.sum(F.octet_length("_host") + 2 * F.octet_length("head") + F.coalesce(F.octet_length("pattern"), F.lit(0)) + 64)).first()[0] or 0
+    small = lambda df: F.broadcast(df) if size <= BROADCAST_BYTES else df.hint("merge")
+    lengths = ready.groupBy("_host").agg(F.sort_array(F.collect_set(F.length("head"))).alias("_lengths"))
+    heads = F.transform(F.filter("_lengths", lambda n: n <= F.length("_target")), lambda n: F.substring(F.col("_target"), F.lit(1), n))
+    tried = u.join(small(lengths), "_host").select(url, "_host", "_target", F.explode(heads).alias("head"))
+    hit = tried.join(small(ready), ["_host", "head"]).filter(F.when(F.col("pattern").isNotNull(), F.expr("_target rlike pattern")).otherwise(~F.col("exact") | (F.length("_target") == F.length("head"))))
+    verdict = hit.groupBy(F.col(url).alias("_url")).agg(F.max("says").alias("says"))
+    out = urls.join(verdict, F.col(url) == F.col("_url"), "left")
+    return out.withColumn("can_fetch", F.coalesce(F.col("says")["allow"], F.lit(True))).drop("_url", "says")
 
 
 def decompress(body: Column) -> Column:
