@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sluice.operators import menus, tree
-from sluice.plans.catalog import query, table
+from sluice.functions import urls
+from sluice.operators import menus, relocate, tree
+from sluice.plans.catalog import _P, query, table
+from sluice.session import write_out
 from sluice.sources import sitemap
 
 
@@ -74,3 +76,14 @@ def menu_compare(spark, sf_dir):
     named = F.when(F.col("k") % 100 == 1, F.concat(F.lit("New "), "p_name")).otherwise(F.col("p_name"))
     after = upper.unionByName(leaf(p.filter("k % 100 <> 0"), "p", named)).unionByName(leaf(p.filter("k % 100 = 2"), "n", F.concat(F.lit("Added "), "k")))
     return menus.compare(before, after)
+
+
+@query(_P + """SELECT page_id, 'title' AS name, h1 AS text FROM p UNION ALL SELECT page_id, 'advert', trim(regexp_replace(regexp_extract(html, '<div class="ad">([^<]*)', 1), '\\s+', ' ', 'g')) FROM p""")
+def relocated_elements(spark, sf_dir):
+    """A heading and an advert stored from the least page of each host, found again on all pages of the host after a change of tags and classes."""
+    pages = table(spark, sf_dir, "pages").select("page_id", urls.host(F.col("url")).alias("site"), "html")
+    first = pages.join(pages.groupBy("site").agg(F.min("page_id").alias("least")), "site").filter("page_id = least")
+    stored = write_out(relocate.fingerprints(first, {"title": "h1", "advert": "div.ad"}), "fingerprints")
+    changed = pages.withColumn("html", F.replace(F.replace(F.replace("html", F.lit("<article"), F.lit("<section class='new'")), F.lit("</article"), F.lit("</section")), F.lit('<div class="ad"'), F.lit('<div class="promo"')))
+    found = relocate.relocate_all(changed, stored)
+    return found.groupBy("page_id", "name").agg(F.min_by(F.trim(F.regexp_replace("text", r"\s+", " ")), F.length("path")).alias("text"))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice.functions import predicates, text, urls
-from sluice.operators import dom, extract, frontier, jsonshape, memory, profile, score, store, tree
+from sluice.operators import dom, extract, frontier, jsonshape, memory, profile, relocate, score, store, tree
 from sluice.plans import pipeline, report, spider
 from sluice.session import new_path
 from sluice.sources import pages as landed
@@ -232,7 +232,7 @@ def test_elements_relocate_similar(spark, shop):
     assert cards.count() == 2 and e.join(cards.select(F.col("node_id").alias("parent_id")), "parent_id").count() == 6
     kept = dom.fingerprint(dom.select(dom.parse(PRODUCTS), "span.price")[0])
     moved = spark.createDataFrame([("u", PRODUCTS.replace("<article", "<section").replace("</article", "</section"))], "url string, html string")
-    assert "$19.99" in [r["text"] for r in extract.relocate(moved, kept).collect()]
+    assert "$19.99" in [r["text"] for r in relocate.relocate(moved, kept).collect()]
     assert [r["text"] for r in extract.find_similar(shop.filter(F.col("url") == f"{H}/products"), "span.price").collect()] == ["$29.99"]
 
 

@@ -142,6 +142,9 @@ def changed(rng, menu):
         p = rng.random()
         if p < 0.1:
             continue
+        if p > 0.7 and kids:  # the first child moves up, as it is
+            out += [(title, url, kids[1:]), kids[0]]
+            continue
         out.append((title + "x" if p < 0.2 and title else title, url, changed(rng, kids)))
     if rng.random() < 0.2:
         out.append(("Added", "/n", []))
