@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.operators.extract import absolute
+from sluice.session import fresh
 
 # Key names by meaning.
 FIELD_HINTS = {
@@ -37,47 +38,57 @@ def kind_of(v) -> str:
     return "array" if isinstance(v, list) else "object" if isinstance(v, dict) else "null"
 
 
-def walk(data, most_depth: int = 8, most_children: int = 5):
-    """(path, value) in preorder; of a list its first children only. The root is $."""
+def walk(data, most_depth: int | None = None, most_children: int | None = None):
+    """(path, value) in preorder, in the order of the document; of lists at most so many children. The root is $."""
     stack = [("$", data, 0)]
     while stack:
         path, v, depth = stack.pop()
         yield path, v
-        if depth < most_depth:
+        if most_depth is None or depth < most_depth:
             join = lambda k, path=path: k if path == "$" else f"{path}{k}" if k[0] == "[" else f"{path}.{k}"
-            below = list(v.items()) if isinstance(v, dict) else [(f"[{i}]", x) for i, x in enumerate(v[:most_children])] if isinstance(v, list) else []
-            stack.extend((join(str(k)), x, depth + 1) for k, x in reversed(below))
+            below = [(str(k) or '""', x) for k, x in v.items()] if isinstance(v, dict) else [(f"[{i}]", x) for i, x in enumerate(v[:most_children])] if isinstance(v, list) else []
+            stack.extend((join(k), x, depth + 1) for k, x in reversed(below))
+
+
+def parsed(text: str | None):
+    """The JSON that a text is; None for what is none, and for what is nested deeper than the parser goes."""
+    try:
+        return json.loads(text) if text else None
+    except (ValueError, RecursionError):
+        return None
 
 
 _NODE = pa.struct([("pos", pa.int32()), ("path", pa.string()), ("leaf", pa.string()), ("kind", pa.string()), ("n", pa.int32()), ("value", pa.string()), ("keys", pa.list_(pa.string())), ("objects", pa.bool_())])
 
 
-def _walks(most_depth: int, most_children: int):
+def _walks(most_depth: int | None, most_children: int | None, most_chars: int | None):
     def run(texts: pa.Array) -> pa.Array:
         out = []
         for t in texts.to_pylist():
-            try:
-                data = json.loads(t) if t else None
-            except ValueError:
-                data = None
             rows = []
+            data = parsed(t)
             for pos, (path, v) in enumerate(walk(data, most_depth, most_children) if data is not None else ()):
                 head = [x for x in v[:10] if isinstance(x, dict)] if isinstance(v, list) else []
                 keys = sorted({str(k) for x in head for k in x}) if head else [str(k) for k in v] if isinstance(v, dict) else []
                 leaf = re.sub("[_-]", "", path.rsplit(".", 1)[-1].lower())
-                rows.append({"pos": pos, "path": path, "leaf": leaf, "kind": kind_of(v), "n": len(v) if isinstance(v, (list, dict)) else None, "value": None if isinstance(v, (list, dict)) else str(v)[:160], "keys": keys, "objects": bool(head)})
-            out.append(rows)
-        return pa.array(out, type=pa.list_(_NODE))
+                rows.append({"pos": pos, "path": path, "leaf": leaf, "kind": kind_of(v), "n": len(v) if isinstance(v, (list, dict)) else None, "value": None if isinstance(v, (list, dict)) else str(v)[:most_chars], "keys": keys, "objects": bool(head)})
+            out.append(pa.array([rows], type=pa.list_(_NODE)))
+        return pa.concat_arrays(out) if out else pa.array([], type=pa.list_(_NODE))
 
     return run
 
 
-def nodes(docs: DataFrame, text: str, most_depth: int = 8, most_children: int = 5) -> DataFrame:
-    """docs' other columns with (pos, path, leaf, kind, n, value, keys, objects) of every node; bad JSON has none."""
+def nodes(docs: DataFrame, text: str, most_depth: int | None = None, most_children: int | None = None, most_chars: int | None = None) -> DataFrame:
+    """docs' other columns with (pos, path, leaf, kind, n, value, keys, objects) of every node; bad JSON has none.
+
+    Nodes come in the order of the document, by which ties are decided; a VARIANT would have its keys sorted. Limits of
+    depth, of children of a list and of a value's characters are off unless given.
+    """
     keep = [c for c in docs.columns if c != text]
+    name = fresh("x_nodes", docs)
     kind = "array<struct<pos:int,path:string,leaf:string,kind:string,n:int,value:string,keys:array<string>,objects:boolean>>"
-    found = docs.withColumn("x_nodes", F.arrow_udf(_walks(most_depth, most_children), kind)(F.col(text).cast("string")))
-    return found.select(*keep, F.explode("x_nodes").alias("n")).select(*keep, "n.*")
+    found = docs.withColumn(name, F.arrow_udf(_walks(most_depth, most_children, most_chars), kind)(F.col(text).cast("string")))
+    return found.select(*keep, F.explode(name).alias("n")).select(*keep, "n.*")
 
 
 def item_arrays(walked: DataFrame, key: str) -> DataFrame:
@@ -171,10 +182,8 @@ def json_path(text: Column, path: str, dialect: str = "a") -> Column:
     def run(texts: pa.Array) -> pa.Array:
         out = []
         for t in texts.to_pylist():
-            try:
-                v = reader(json.loads(t), path) if t else None
-            except ValueError:
-                v = None
+            data = parsed(t)
+            v = None if data is None else reader(data, path)
             out.append(None if v is None else json.dumps(v, ensure_ascii=False))
         return pa.array(out, type=pa.string())
 
@@ -232,10 +241,8 @@ def menus(docs: DataFrame, text: str, base: str, most_depth: int = 4) -> DataFra
     def run(texts: pa.Array) -> pa.Array:
         out = []
         for t in texts.to_pylist():
-            try:
-                out.append(menu_rows(json.loads(t), base, most_depth) if t else [])
-            except ValueError:
-                out.append([])
+            data = parsed(t)
+            out.append([] if data is None else menu_rows(data, base, most_depth))
         return pa.array(out, type=kind)
 
     keep = [c for c in docs.columns if c != text]

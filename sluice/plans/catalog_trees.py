@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sluice.functions import urls
-from sluice.operators import menus, relocate, tree
+from sluice.operators import jsonshape, menus, relocate, tree
 from sluice.plans.catalog import _P, query, table
 from sluice.session import write_out
 from sluice.sources import sitemap
@@ -87,3 +87,26 @@ def relocated_elements(spark, sf_dir):
     changed = pages.withColumn("html", F.replace(F.replace(F.replace("html", F.lit("<article"), F.lit("<section class='new'")), F.lit("</article"), F.lit("</section")), F.lit('<div class="ad"'), F.lit('<div class="promo"')))
     found = relocate.relocate_all(changed, stored)
     return found.groupBy("page_id", "name").agg(F.min_by(F.trim(F.regexp_replace("text", r"\s+", " ")), F.length("path")).alias("text"))
+
+
+@query("""WITH c AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY o_custkey), s AS (SELECT k, least(3 * n, 45) + 35 + 30 + 24 AS score FROM c)
+SELECT k, 'data.items' AS path, score::INT AS score, 4::BIGINT AS n_fields, true AS has_pagination, round(least(0.3 + least(score / 160, 0.45) + 0.2 + 0.08, 0.95), 3) AS confidence FROM s""")
+def api_models(spark, sf_dir):
+    """The responses of an API: the orders of each customer as items, nested two levels down, beside a page number."""
+    o = table(spark, sf_dir, "orders")
+    item = F.struct(F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("title"), F.col("o_totalprice").cast("double").alias("price"), F.col("o_orderkey").alias("id"))
+    by = o.groupBy(F.col("o_custkey").alias("k")).agg(F.sort_array(F.collect_list(item)).alias("items"))
+    docs = by.select("k", F.to_json(F.struct(F.struct("items", F.lit(1).alias("page")).alias("data"))).alias("j"))
+    return jsonshape.api_models(docs, "j", "k").select("k", "path", F.col("score").cast("int").alias("score"), F.col("n_fields").cast("long").alias("n_fields"), "has_pagination", "confidence")
+
+
+@query("""WITH l AS (SELECT l_orderkey AS o, l_partkey AS p, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS j FROM lineitem),
+o AS (SELECT o_custkey AS k, o_orderkey AS o, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem))
+SELECT k, 'orders[' || i || '].parts[' || j || ']' AS path, 'number' AS kind, p::VARCHAR AS value FROM o JOIN l USING (o)""")
+def json_walk_nested(spark, sf_dir):
+    """Leaves of nested documents, a customer's orders with their parts: every child of every list, at any depth."""
+    l = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"]).alias("parts"))  # noqa: E741
+    o = table(spark, sf_dir, "orders").join(l, F.col("o_orderkey") == F.col("l_orderkey"))
+    by = o.groupBy(F.col("o_custkey").alias("k")).agg(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", "parts"))), lambda x: F.struct(x["parts"].alias("parts"))).alias("orders"))
+    docs = by.select("k", F.to_json(F.struct("orders")).alias("j"))
+    return jsonshape.nodes(docs, "j").filter("kind = 'number'").select("k", "path", "kind", "value")

@@ -177,3 +177,23 @@ def test_menus_equal_a_plain_comparison(spark):
     assert moved > 3 and ("moved", "a > b", "d > b", 2) in got["moved."] and got["none."] == [("added", None, "a", 1)]
     empty = frames[0].limit(0)
     assert menus.compare(empty, empty).count() == 0
+
+
+# ------------------------------------------------------------------ JSON documents
+
+
+def test_walks_have_no_limits_unless_given(spark):
+    import json
+
+    from sluice.operators import jsonshape
+
+    deep = json.dumps({"a": list(range(40)), "b": {"c": {"d": {"e": {"f": {"g": {"h": {"i": {"j": {"k": "x" * 500}}}}}}}}}, "": 1})
+    df = spark.createDataFrame([("d", deep), ("n", "[" * 100_000), ("bad", "{"), ("e", ""), (None, "3")], "k string, j string")
+    rows = jsonshape.nodes(df, "j").collect()
+    assert len([r for r in rows if r["path"].startswith("a[")]) == 40 and {len(r["value"]) for r in rows if r["leaf"] == "k"} == {500}
+    assert [r["path"] for r in rows if r["k"] is None] == ["$"] and not [r for r in rows if r["k"] in ("n", "bad", "e")] and '""' in {r["path"] for r in rows}
+    few = jsonshape.nodes(df, "j", most_depth=2, most_children=3, most_chars=4).collect()
+    assert len([r for r in few if r["path"].startswith("a[")]) == 3 and max(r["path"].count(".") for r in few) == 1
+    # Of equal scores the first of the document counts.
+    two = jsonshape.nodes(spark.createDataFrame([("k", '{"name": "A", "headline": "B"}')], "k string, j string"), "j")
+    assert [r["path"] for r in jsonshape.field_paths(two, "k").collect() if r["field"] == "title"] == ["name"]
