@@ -1,14 +1,15 @@
-"""Queries over trees and rules: robots, category trees, menus; added to the catalog."""
+"""Queries over trees, rules, documents, streams and by table functions; added to the catalog."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sluice.functions import urls
+from sluice.functions import udtf, urls
 from sluice.operators import jsonshape, menus, relocate, tree
 from sluice.plans.catalog import _P, query, table
-from sluice.session import write_out
-from sluice.sources import sitemap
+from sluice.session import new_path, write_out
+from sluice.sources import sitemap, tail
+from sluice.streaming import leases
 
 
 @query("""WITH u AS (SELECT DISTINCT l_partkey AS k, CASE WHEN l_linenumber % 2 = 0 THEN 'a' ELSE 'b' END AS f, l_linenumber AS n, CASE WHEN l_linenumber % 3 <> 0 THEN 'html' ELSE 'pdf' END AS e FROM lineitem),
@@ -110,3 +111,39 @@ def json_walk_nested(spark, sf_dir):
     by = o.groupBy(F.col("o_custkey").alias("k")).agg(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", "parts"))), lambda x: F.struct(x["parts"].alias("parts"))).alias("orders"))
     docs = by.select("k", F.to_json(F.struct("orders")).alias("j"))
     return jsonshape.nodes(docs, "j").filter("kind = 'number'").select("k", "path", "kind", "value")
+
+
+@query("""WITH e AS (SELECT user_id % 20 AS d, event_id::VARCHAR AS u, epoch_us(ts::TIMESTAMP) // 1000 AS ms FROM events), k AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY ms, u) - 1 AS k FROM e)
+SELECT d::VARCHAR AS domain, u AS url, 1 AS attempt, (max(ms - 5000 * k) OVER (PARTITION BY d ORDER BY k ROWS UNBOUNDED PRECEDING) + 5000 * k)::BIGINT AS starts_at FROM k""")
+def stream_leases(spark, sf_dir):
+    """All events as found URLs through the lease stream, and one far ahead that moves the watermark past them."""
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 20).cast("string").alias("domain"), F.col("event_id").cast("string").alias("url"), F.lit("found").alias("kind"), F.col("ts").cast("timestamp").alias("ts"))
+    ahead = e.agg(F.max("ts").alias("ts")).select(F.lit("end").alias("domain"), F.lit("end").alias("url"), F.lit("found").alias("kind"), F.expr("ts + INTERVAL 10 DAYS").alias("ts"))
+    path, out = new_path(spark, "found"), new_path(spark, "leases")
+    e.unionByName(ahead).write.parquet(path)
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    try:
+        stream = leases.with_state(spark).readStream.schema(e.schema).parquet(path)
+        q = leases.leases(stream, 5, most=1).writeStream.format("parquet").option("checkpointLocation", new_path(spark, "stream-state")).trigger(availableNow=True).start(out)
+        q.awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(leases.OUT).parquet(out).filter("domain <> 'end'")
+
+
+@query(_P + "SELECT page_id, unnest(links) AS link FROM p")
+def udtf_links(spark, sf_dir):
+    udtf.register(spark)
+    table(spark, sf_dir, "pages").createOrReplaceTempView("sluice_landed")
+    return spark.sql("SELECT page_id, link FROM extract_links(TABLE(SELECT page_id, url, html FROM sluice_landed), 'a[href]')")
+
+
+@query("SELECT event_id, url FROM (SELECT event_id, 'u' || user_id AS url, ts FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 500)")
+def log_tail(spark, sf_dir):
+    """The last 500 errors of a log of all events, written in the order of their time, read from its end."""
+    tail.register(spark)
+    path = new_path(spark, "log")
+    rows = table(spark, sf_dir, "events").select("ts", "event_id", F.col("event_type").alias("event"), F.concat(F.lit("u"), "user_id").alias("url"))
+    rows.repartitionByRange("ts", "event_id").sortWithinPartitions("ts", "event_id").write.json(path)
+    return spark.read.format("log_tail").schema("event_id long, url string").option("path", path).option("lines", 500).option("event", "error").load()
