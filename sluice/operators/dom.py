@@ -15,18 +15,27 @@ from html.parser import HTMLParser
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset(("script", "style"))
+# What an element ends that was left open, and how far up it looks.
+ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+SCOPES = frozenset(("ul", "ol", "dl", "table", "tr", "select", "menu", "body", "html"))
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "parent", "index")
+    """An element: index in document order, nth among its parent's elements and of_type among those of its tag, from 0."""
+
+    __slots__ = ("tag", "attrs", "children", "parent", "index", "nth", "of_type", "elements", "counts")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None, index: int):
         self.tag, self.attrs, self.parent, self.index = tag, attrs, parent, index
         self.children: list[Node | str] = []
-
-    @property
-    def elements(self) -> list[Node]:
-        return [c for c in self.children if isinstance(c, Node)]
+        self.elements: list[Node] = []
+        self.counts: dict[str, int] = {}
+        self.nth = self.of_type = 0
+        if parent is not None:
+            self.nth, self.of_type = len(parent.elements), parent.counts.get(tag, 0)
+            parent.counts[tag] = self.of_type + 1
+            parent.elements.append(self)
+            parent.children.append(self)
 
     def walk(self) -> Iterator[Node]:
         """All elements below, in document order."""
@@ -76,9 +85,15 @@ class _Builder(HTMLParser):
         self.at, self.n = self.root, 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        # Items and cells end where the next begins, if it is one of the same list or table.
+        n = self.at if tag in ENDS else self.root
+        while n is not self.root:
+            if n.tag in ENDS[tag] or n.tag in SCOPES:
+                self.at = n.parent if n.tag in ENDS[tag] else self.at
+                break
+            n = n.parent
         node = Node(tag, {k: v or "" for k, v in reversed(attrs)}, self.at, self.n)
         self.n += 1
-        self.at.children.append(node)
         if tag not in VOID:
             self.at = node
 
@@ -158,9 +173,7 @@ def _passes(n: Node, tests: tuple) -> bool:
         elif t[0] == "not":
             ok = not any(_matches(n, a) for a in t[1])
         else:
-            around = n.parent.elements
-            of = [e for e in around if e.tag == n.tag] if t[0] == "nth-of-type" else around
-            ok = of.index(n) == {"first-child": 0, "last-child": len(of) - 1}.get(t[0], t[1] - 1 if len(t) > 1 else 0)
+            ok = {"first-child": lambda: n.nth == 0, "last-child": lambda: n.nth == len(n.parent.elements) - 1, "nth-child": lambda: n.nth == t[1] - 1, "nth-of-type": lambda: n.of_type == t[1] - 1}[t[0]]()
         if not ok:
             return False
     return True
@@ -176,8 +189,8 @@ def _matches(n: Node, steps: tuple) -> bool:
     if link == ">":
         return n.parent is not None and bool(n.parent.tag) and _matches(n.parent, rest)
     if link in "+~":
-        before = n.parent.elements[: n.parent.elements.index(n)]
-        return any(_matches(e, rest) for e in (before[-1:] if link == "+" else before))
+        before = n.parent.elements[max(0, n.nth - 1) if link == "+" else 0 : n.nth]
+        return any(_matches(e, rest) for e in before)
     return any(_matches(a, rest) for a in n.ancestors())
 
 
@@ -204,8 +217,7 @@ def path(n: Node, full: bool = False) -> str:
         if n.attrs.get("id") and not full:
             out.append(f"#{n.attrs['id']}")
             break
-        same = [e for e in n.parent.elements if e.tag == n.tag]
-        out.append(n.tag if len(same) == 1 else f"{n.tag}:nth-of-type({same.index(n) + 1})")
+        out.append(n.tag if n.parent.counts[n.tag] == 1 else f"{n.tag}:nth-of-type({n.of_type + 1})")
         n = n.parent
     return " > ".join(reversed(out))
 

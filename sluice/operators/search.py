@@ -136,30 +136,51 @@ def compile_xpath(source: str):
     return tree
 
 
-def _related(n, axis: str) -> list:
-    if not isinstance(n, dom.Node):
-        return [n] if axis in ("self", "descendant-or-self") else []
-    if axis == "child":
-        return n.children
-    if axis in ("descendant", "descendant-or-self"):
-        out, stack = [], [n] if axis == "descendant-or-self" else n.children[::-1]
+class _Text(str):
+    """A text of a document, at its own place."""
+
+
+class _Document:
+    """Children, parents and places of a document's elements and texts, all numbered in its order."""
+
+    def __init__(self, root: dom.Node):
+        self.root = root
+        self.kids: dict[int, list] = {}
+        self.place: dict[int, tuple] = {}
+        self.order: dict[int, int] = {}
+        stack: list = [root]
         while stack:
-            c = stack.pop()
-            out.append(c)
-            if isinstance(c, dom.Node):
-                stack.extend(c.children[::-1])
-        return out
-    if axis == "self":
-        return [n]
-    if axis == "parent":
-        return [n.parent] if n.parent is not None else []
-    if axis == "ancestor":
-        return list(n.ancestors())
-    if axis == "ancestor-or-self":
-        return [n, *n.ancestors()]
-    around = n.parent.elements if n.parent is not None else [n]
-    at = around.index(n)
-    return around[at + 1 :] if axis == "following-sibling" else around[:at][::-1]
+            n = stack.pop()
+            self.order[id(n)] = len(self.order)
+            if isinstance(n, dom.Node):
+                kids = self.kids[id(n)] = [c if isinstance(c, dom.Node) else _Text(c) for c in n.children]
+                self.place.update((id(c), (n, i)) for i, c in enumerate(kids))
+                stack.extend(reversed(kids))
+
+    def related(self, n, axis: str) -> list:
+        if not isinstance(n, (dom.Node, _Text)):  # the value of an attribute
+            return [n] if axis in ("self", "descendant-or-self") else []
+        if axis == "child":
+            return self.kids.get(id(n), [])
+        if axis in ("descendant", "descendant-or-self"):
+            out, stack = [], [n] if axis == "descendant-or-self" else self.kids.get(id(n), [])[::-1]
+            while stack:
+                out.append(stack.pop())
+                stack.extend(reversed(self.kids.get(id(out[-1]), [])))
+            return out
+        if axis == "self":
+            return [n]
+        up, at = self.place.get(id(n), (None, 0))
+        if axis == "parent":
+            return [] if up is None else [up]
+        if axis in ("ancestor", "ancestor-or-self"):
+            out = [n] if axis == "ancestor-or-self" else []
+            while up is not None and up.tag:
+                out.append(up)
+                up = self.place.get(id(up), (None, 0))[0]
+            return out
+        around = [] if up is None else self.kids[id(up)]
+        return around[at + 1 :] if axis == "following-sibling" else around[:at][::-1]
 
 
 def _text(value) -> str:
@@ -197,7 +218,7 @@ _CALLS = {
     "not": lambda c, a: not _true(a),
     "position": lambda c: float(c[1]),
     "last": lambda c: float(c[2]),
-    "name": lambda c, *a: (a[0][0] if a and a[0] else c[0]).tag,
+    "name": lambda c, *a: getattr(a[0][0] if a and a[0] else c[0], "tag", ""),
     "true": lambda c: True,
     "false": lambda c: False,
 }
@@ -212,65 +233,63 @@ def _compared(op: str, a, b) -> bool:
     return _COMPARE[op](_number(a), _number(b))
 
 
-def _kept(nodes: list, conditions: list, root: dom.Node) -> list:
+def _kept(nodes: list, conditions: list, doc: _Document) -> list:
     for condition in conditions:
         total, left = len(nodes), []
         for place, n in enumerate(nodes, 1):
-            value = _value(condition, (n, place, total), root)
+            value = _value(condition, (n, place, total), doc)
             if value == place if isinstance(value, float) else _true(value):
                 left.append(n)
         nodes = left
     return nodes
 
 
-def _value(tree, context: tuple, root: dom.Node):
+def _value(tree, context: tuple, doc: _Document):
     kind = tree[0]
     if kind == "value":
         return tree[1]
     if kind == "or":
-        return _true(_value(tree[1], context, root)) or _true(_value(tree[2], context, root))
+        return _true(_value(tree[1], context, doc)) or _true(_value(tree[2], context, doc))
     if kind == "and":
-        return _true(_value(tree[1], context, root)) and _true(_value(tree[2], context, root))
+        return _true(_value(tree[1], context, doc)) and _true(_value(tree[2], context, doc))
     if kind in _COMPARE:
-        return _compared(kind, _value(tree[1], context, root), _value(tree[2], context, root))
+        return _compared(kind, _value(tree[1], context, doc), _value(tree[2], context, doc))
     if kind == "|":
-        found = [n for side in tree[1:] for n in _value(side, context, root)]
-        seen: set[int] = set()
-        found = [n for n in found if not isinstance(n, dom.Node) or (n.index not in seen and not seen.add(n.index))]
-        return sorted(found, key=lambda n: n.index) if all(isinstance(n, dom.Node) for n in found) else found
+        return _in_order([n for side in tree[1:] for n in _value(side, context, doc)], doc)
     if kind == "filter":
-        return _kept(_value(tree[1], context, root), tree[2], root)
+        return _kept(_value(tree[1], context, doc), tree[2], doc)
     if kind == "call":
         if tree[1] not in _CALLS:
             raise ValueError(f"no such XPath function: {tree[1]}")
-        return _CALLS[tree[1]](context, *[_value(a, context, root) for a in tree[2]])
+        return _CALLS[tree[1]](context, *[_value(a, context, doc) for a in tree[2]])
     _, start, absolute, steps = tree
-    nodes = _value(start, context, root) if start else [root if absolute else context[0]]
+    nodes = _value(start, context, doc) if start else [doc.root if absolute else context[0]]
     for axis, test, conditions in steps:
-        met: dict[int, dom.Node] = {}
-        texts: list[str] = []
+        met: list = []
         for n in nodes:
             if axis == "attribute":
                 attrs = n.attrs if isinstance(n, dom.Node) else {}
-                texts += list(attrs.values()) if test == "*" else [attrs[test]] if test in attrs else []
+                met += list(attrs.values()) if test == "*" else [attrs[test]] if test in attrs else []
                 continue
-            near = _related(n, axis)
+            near = doc.related(n, axis)
             if test == "text()":
-                near = [c for c in near if isinstance(c, str)]
+                near = [c for c in near if isinstance(c, _Text)]
             elif test != "node()":
                 near = [c for c in near if isinstance(c, dom.Node) and c.tag and test in ("*", c.tag)]
-            for c in _kept(near, conditions, root):
-                if isinstance(c, dom.Node):
-                    met[c.index] = c
-                else:
-                    texts.append(c)
-        nodes = [met[k] for k in sorted(met)] + texts
+            met += _kept(near, conditions, doc)
+        nodes = met if axis == "attribute" else _in_order(met, doc)
     return nodes
 
 
+def _in_order(found: list, doc: _Document) -> list:
+    """Elements and texts once each, in the order of the document, and behind them values of attributes as they came."""
+    placed = {doc.order[id(n)]: n for n in found if id(n) in doc.order}
+    return [placed[k] for k in sorted(placed)] + [n for n in found if id(n) not in doc.order]
+
+
 def xpath(root: dom.Node, expression: str) -> list:
     """Elements and texts that an expression finds, in document order; a value other than nodes alone."""
-    found = _value(compile_xpath(expression), (root, 1, 1), root)
+    found = _value(compile_xpath(expression), (root, 1, 1), _Document(root))
     return found if isinstance(found, list) else [found]
 
 
@@ -334,8 +353,7 @@ def find_ancestor(n: dom.Node, keep: Callable[[dom.Node], bool]) -> dom.Node | N
 
 def sibling(n: dom.Node, by: int) -> dom.Node | None:
     """The element so many places behind (or, below 0, before) among its parent's elements."""
-    around = n.parent.elements if n.parent is not None else [n]
-    at = around.index(n) + by
+    around, at = (n.parent.elements, n.nth + by) if n.parent is not None else ([n], by)
     return around[at] if 0 <= at < len(around) else None
 
 

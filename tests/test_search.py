@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 
 from sluice.operators import convert, dom, search
@@ -45,6 +47,36 @@ def test_xpath(expression, want):
     assert told(search.xpath(ROOT, expression)) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "expression", "want"),
+    [
+        ("<p>x<b>y</b>z</p>", "//p/node()", ["x", "b:y", "z"]),
+        ("<div>a<div>b</div>c</div>", "//div/descendant::text()", ["a", "b", "c"]),
+        ("<p>x<b>y</b>z<i>w</i>v</p>", "//b/following-sibling::text()", ["z", "v"]),
+        ("<p>x<b>y</b>z</p>", "//b/preceding-sibling::node()", ["x"]),
+        ("<p>x<b>y</b>z</p>", "//b/text()/..", ["b:y"]),
+        ("<p>x<b>y</b>z</p>", "//text()[. = 'z']/preceding-sibling::b", ["b:y"]),
+        ("<p>x<b>y</b>z</p>", "//text() | //b", ["x", "b:y", "y", "z"]),
+        ("<p>same<b>same</b></p>", "//text()", ["same", "same"]),
+        ("<ul><li>1<li>2<ul><li>a<li>b</ul><li>3</ul>", "//body/li[2] | /ul/li[3]/text()", ["3"]),
+        ("<ul><li>1<li>2<li>3</ul>", "//li[2]", ["li:2"]),
+        ("<table><tr><td>a<td>b<tr><td>c</table>", "//td[2]", ["td:b"]),
+        ("<dl><dt>t<dd>d<dt>u</dl>", "//dl/*", ["dt:t", "dd:d", "dt:u"]),
+    ],
+)
+def test_texts_have_their_places(page, expression, want):
+    assert told(search.xpath(dom.parse(page), expression)) == want
+
+
+def test_wide_and_deep_pages_take_linear_time():
+    began = time.time()
+    wide = dom.parse("<div>" + "<p class=a>x<b>y</b></p>" * 20_000 + "</div>")
+    assert len(search.xpath(wide, "//b/following-sibling::text()")) == 0 and len(search.xpath(wide, "//p[@class='a']/text()")) == 20_000
+    assert len(dom.select(wide, "p:nth-child(7), p:last-child, b:nth-of-type(1)")) == 20_002
+    assert dom.path(wide.elements[0].elements[-1]) == "div > p:nth-of-type(20000)" and search.sibling(wide.elements[0].elements[500], 1).index > 0
+    assert time.time() - began < 10
+
+
 @pytest.mark.parametrize("broken", ["//p[", "//p[1", "p]", "//", "//p[foo(1)]", "$x", "//following::p"])
 def test_what_is_no_xpath(broken):
     with pytest.raises(ValueError):
@@ -106,7 +138,7 @@ def test_faults_of_plans_and_specifications(spark):
 
 def test_metadata_and_export(spark, tmp_path):
     plan = specs.with_metadata({"start_url": "http://h.example/", "fields": {"t": "h1"}}, challenge=True)
-    assert plan["kind"] == "collection_plan" and plan["assumptions"] == ["field selectors are evaluated on detail pages"] and plan["risk_flags"] == ["single_detail_fallback", "challenge_detected"]
+    assert plan["kind"] == "collection_plan" and plan["assumptions"] == [specs.ASSUMPTIONS["fields"]] and plan["risk_flags"] == ["single_detail_fallback", "challenge_detected"]
     store = specs.SpecStore(spark, f"{tmp_path}/specs")
     spec = {"site": "s", "start_urls": ["http://h.example/"], "list": {"item_link": "a@href"}, "detail": {"t": "h1"}}
     assert store.save(spec, now=1.0) == 1 and store.save(spec | {"goal": "g"}, now=2.0) == 2 and store.rollback("s", now=3.0) == 3 and store.get("s") == spec
