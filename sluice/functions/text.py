@@ -173,12 +173,12 @@ def best_site_type(scores: dict[str, Column]) -> Column:
     return out
 
 
-def clean_description(text: Column, most: int = 1200) -> Column:
-    """A job description without what follows footer marks (from the 101st character on) and legal marks."""
+def clean_description(text: Column, most: int | None = None) -> Column:
+    """A job description without what follows footer marks (from the 101st character on) and legal marks; whole, or its first characters."""
     out = clean_text(text)
     for mark, least in [(m, 101) for m in FOOTER_MARKERS] + [(m, 1) for m in LEGAL_MARKERS]:
         out = _cut_at(out, mark, least)
-    return F.substring(F.trim(out), 1, most)
+    return F.trim(out) if most is None else F.substring(F.trim(out), 1, most)
 
 
 def _cut_at(text: Column, mark: str, least: int) -> Column:
@@ -352,11 +352,12 @@ def location_from_jsonld(job: Column) -> Column:
     return F.array_join(F.array_distinct(F.when(F.coalesce(remote, F.lit(False)), F.concat(told, F.array(F.lit("Remote")))).otherwise(told)), " / ")
 
 
-def generic_job(title: Column, page: Column, url: Column, channel: Column) -> Column:
-    """struct of a job record by a page's text alone: title, description (from its first heading on), url, channel and status; null if it isn't about agents."""
+def generic_job(title: Column, page: Column, url: Column, channel: Column, most_title: int | None = None, most_text: int | None = None, tested: int | None = None) -> Column:
+    """struct of a job record by a page's text alone (limits of characters are off unless given): title, description (from its first heading on), url, channel and status; null if it isn't about agents."""
     body = clean_text(page)
     low = F.lower(body)
     at = F.coalesce(*[F.nullif(F.instr(low, h.lower()), F.lit(0)) for h in JOB_HEADINGS])
-    about = is_agent_related(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.substring(body, 1, 3000)))
-    record = F.struct(F.substring(clean_text(title), 1, 180).alias("title"), F.when(at.isNotNull(), F.substring(body, at, F.lit(1400))).otherwise(body).alias("description"), url.alias("url"), channel.alias("source_channel"), F.lit("parsed_text").alias("fetch_status"))
+    first = lambda c, most: c if most is None else F.substring(c, 1, most)
+    about = is_agent_related(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), first(body, tested)))
+    record = F.struct(first(clean_text(title), most_title).alias("title"), F.when(at.isNotNull(), first(F.substring(body, at, F.length(body)), most_text)).otherwise(body).alias("description"), url.alias("url"), channel.alias("source_channel"), F.lit("parsed_text").alias("fetch_status"))
     return F.when(about, record)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.functions.urls import authority, canonical_url, url_hash
+from sluice.session import write_out
 
 SCHEMA = (
     "url string, url_hash string, domain string, priority int, status string, kind string, depth int, parent_url string, payload_json string, "
@@ -104,8 +105,28 @@ def dequeue_order(requests: DataFrame) -> DataFrame:
     return kept.orderBy(F.desc("priority"), F.asc("seq"))
 
 
+def hand_out(requests: DataFrame) -> DataFrame:
+    """The requests of dequeue_order with their number n from 1 in that order, without a sort in one task.
+
+    Range partitions are numbered each on its own; only their sizes meet on the driver.
+    """
+    order = [F.desc("priority"), F.asc("seq")]
+    first = F.row_number().over(Window.partitionBy("fingerprint").orderBy("seq")) == 1
+    kept = requests.withColumn("_first", first).filter(F.col("dont_filter") | F.col("_first")).drop("_first")
+    dealt = write_out(kept.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()), "requests")
+    starts, total = [], 0
+    for r in sorted(dealt.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect()):
+        starts.append((r["_pid"], total))
+        total += r["n"]
+    base = requests.sparkSession.createDataFrame(starts, "_pid int, _base long")
+    own = F.row_number().over(Window.partitionBy("_pid").orderBy(*order))
+    return dealt.withColumn("n", own).join(F.broadcast(base), "_pid").withColumn("n", F.col("n") + F.col("_base")).drop("_pid", "_base")
+
+
 #: Bits of a bucket of a Bloom filter, as Spark's bitmap functions have them.
 BUCKET = 32768
+#: A filter of 8 MB.
+MOST_BITS = 26
 
 
 def _bloom_places(key: Column, bits: int, hashes: int) -> Column:
@@ -128,7 +149,9 @@ def bloom_merge(*filters: DataFrame) -> DataFrame:
 
 
 def bloom_maybe(items: DataFrame, stored: DataFrame, key: str = "url_hash", bits: int = 23, hashes: int = 7) -> DataFrame:
-    """items with `maybe`: false says for certain that the key isn't in the filter, which is a megabyte for 2**23 bits."""
+    """items with `maybe`: false says for certain that the key isn't in the filter, which is a megabyte for 2**23 bits and goes to all tasks."""
+    if bits > MOST_BITS:
+        raise ValueError(f"a filter of 2**{bits} bits is too large to be broadcast: join the keys, or use might_contain")
     whole = stored.agg(F.map_from_entries(F.collect_list(F.struct("bucket", "bitmap"))).alias("_filter"))
     place = lambda p: F.conv(F.hex(F.substring(F.col("_filter")[F.bitmap_bucket_number(p)], F.floor(F.bitmap_bit_position(p) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     bit = lambda p: F.coalesce(F.expr("1") == F.floor(place(p) / F.pow(F.lit(2), F.bitmap_bit_position(p) % 8)) % 2, F.lit(False))

@@ -68,15 +68,17 @@ def network_totals(entries: DataFrame, order: str) -> DataFrame:
     return e.select(F.explode(pairs).alias("x")).groupBy("x.kind", "x.value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def field_quality(samples: DataFrame, spec: dict[str, str], key: str = "key", order: str = "pos", site_type: str = "") -> DataFrame:
-    """(key, field, score, grade, non_empty_ratio, risks, checks) from the first five samples of each key.
+def field_quality(samples: DataFrame, spec: dict[str, str], key: str = "key", order: str = "pos", site_type: str = "", most: int | None = None) -> DataFrame:
+    """(key, field, score, grade, non_empty_ratio, risks, checks) from the first five samples of each key. most: characters of a value.
 
     samples: rows (key, order, values as map of field to text). spec: field to selector.
     """
     head = samples.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(order))).filter("_k <= 5")
     sizes = head.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     fields = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(s or "").alias("selector")) for f, s in spec.items()])
-    each = head.select(key, "_k", F.explode(fields).alias("f"), "values").select(key, "_k", "f.field", "f.selector", F.substring(clean_text(F.element_at("values", F.col("f.field"))), 1, 300).alias("v"))
+    value = clean_text(F.element_at("values", F.col("f.field")))
+    value = value if most is None else F.substring(value, 1, most)
+    each = head.select(key, "_k", F.explode(fields).alias("f"), "values").select(key, "_k", "f.field", "f.selector", value.alias("v"))
     by = each.groupBy(key, "field", "selector").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("v") != "", F.struct("_k", "v")))), lambda x: x["v"]).alias("vs")).join(sizes, key)
     vs, total, sel = F.col("vs"), F.greatest(F.col("_n"), F.lit(1)), F.col("selector")
     every = lambda p: F.size(vs).cast("int").__gt__(0) & F.forall(vs, p)

@@ -491,7 +491,7 @@ def clean_text(spark, sf_dir):
 
 
 @query("""WITH c AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents), a AS (SELECT doc_id, CASE WHEN strpos(t, 'All Rights Reserved') > 0 THEN left(t, strpos(t, 'All Rights Reserved') - 1) ELSE t END AS t FROM
-    (SELECT doc_id, CASE WHEN strpos(t, 'Copyright') > 0 THEN left(t, strpos(t, 'Copyright') - 1) ELSE t END AS t FROM c)) SELECT doc_id, left(trim(t), 1200) AS t FROM a""")
+    (SELECT doc_id, CASE WHEN strpos(t, 'Copyright') > 0 THEN left(t, strpos(t, 'Copyright') - 1) ELSE t END AS t FROM c)) SELECT doc_id, trim(t) AS t FROM a""")
 def clean_description(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.clean_description(F.col("text")).alias("t"))
 

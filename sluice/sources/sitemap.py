@@ -127,17 +127,17 @@ def allowed(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
     return out.withColumn("can_fetch", F.coalesce(F.col("says")["allow"], F.lit(True))).drop("_url", "says")
 
 
-def decompress(body: Column) -> Column:
-    """Texts of bodies (binary), gunzipped if they are gzip; more than MOST_BYTES of text is null."""
+def decompress(body: Column, most: int | None = MOST_BYTES) -> Column:
+    """Texts of bodies (binary), gunzipped if they are gzip; more than so many bytes of text are null, as a small body may hold very many."""
 
     def run(bodies: pa.Array) -> pa.Array:
         out = []
         for b in bodies.to_pylist():
             try:
-                data = gzip.GzipFile(fileobj=io.BytesIO(b)).read(MOST_BYTES + 1) if b and b[:2] == b"\x1f\x8b" else b
+                data = gzip.GzipFile(fileobj=io.BytesIO(b)).read(-1 if most is None else most + 1) if b and b[:2] == b"\x1f\x8b" else b
             except (OSError, EOFError):
                 data = None
-            out.append(None if data is None or len(data) > MOST_BYTES else data.decode("utf-8", "replace"))
+            out.append(None if data is None or (most is not None and len(data) > most) else data.decode("utf-8", "replace"))
         return pa.array(out, type=pa.string())
 
     return F.arrow_udf(run, "string")(body)
