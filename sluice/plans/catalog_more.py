@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from sluice.functions import predicates, text, urls
 from sluice.operators import extract, frontier, jsonshape, memory, score, store, tree
-from sluice.plans.catalog import _P, _U, query, table
+from sluice.plans import report
+from sluice.plans.catalog import _P, _T, _U, _analysis, query, table
 from sluice.session import new_path
 from sluice.sources import records, sitemap
 
@@ -215,3 +216,30 @@ def selector_points(spark, sf_dir):
     size, key = F.col("p_size"), F.col("p_partkey")
     selector = F.concat(F.lit("div"), F.when(size % 2 == 0, "#main").otherwise(""), F.when(key % 3 == 0, ".price").otherwise(""), F.when(size % 5 == 0, "[itemprop='x']").otherwise(""), F.when(key % 7 == 0, " css-abcd").otherwise(""))
     return table(spark, sf_dir, "part").select("p_partkey", score.selector_stability(selector).cast("int").alias("points"))
+
+
+# ------------------------------------------------------------------ what an analysis leaves
+
+
+@query(_T + f""", a AS (SELECT lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host, {_analysis("' ' || url || ' ' || text")}, CASE WHEN regexp_matches(url, '[?&]page=[0-9]+') THEN 'current_query_pattern' ELSE 'page_param_guess' END AS paging FROM t),
+k AS (SELECT host, max((n, site_type)) AS best FROM (SELECT host, site_type, count(*) AS n FROM a GROUP BY host, site_type) GROUP BY host), g AS (SELECT host, max((n, paging)) AS best FROM (SELECT host, paging, count(*) AS n FROM a GROUP BY host, paging) GROUP BY host)
+SELECT lower(k.best[2] || '|' || host || '|http://' || host || '/') AS target_key, k.best[2] AS target_type, g.best[2] AS pagination_type, (SELECT count(*) FROM a WHERE a.host = k.host)::BIGINT AS pages, 'h1' AS title, 2.0::DOUBLE AS updated_at FROM k JOIN g USING (host)""")
+def targets_remembered(spark, sf_dir):
+    """The hosts of all pages as targets, remembered twice: the later record of each stays."""
+    facts = report.site_facts(table(spark, sf_dir, "pages").select("url", "html"))
+    known = report.remember_targets(None, facts, 1.0)
+    known = report.remember_targets(known, facts, 2.0)
+    return known.select("target_key", "target_type", "pagination_type", "pages", F.col("selectors")["title"].alias("title"), "updated_at")
+
+
+@query(_BRANDS + "SELECT 'shop.example' AS host, 'network_pagination' AS action, 'json' AS strategy, 0.78::DOUBLE AS confidence, 5::BIGINT AS n FROM (SELECT count(*) AS c FROM b) WHERE c >= 5 UNION ALL SELECT 'shop.example', 'paginate', 'page_param_guess', 0.45, 5 FROM (SELECT count(*) AS c FROM b) WHERE c >= 5")
+def interaction_map(spark, sf_dir):
+    facts = report.site_facts(_shop(spark, sf_dir).select("url", "html"))
+    return report.interactions(facts).select("host", "action", "strategy", F.col("confidence").cast("double").alias("confidence"), F.size("samples").cast("long").alias("n"))
+
+
+@query(_P + "SELECT page_id, replace(link, '/', '|') AS link FROM (SELECT page_id, unnest(links) AS link FROM p) WHERE NOT contains(link, 'the')")
+def processed_links(spark, sf_dir):
+    """Links through a function of one's own, which changes some and drops others."""
+    found = extract.links(table(spark, sf_dir, "pages").select("page_id", "url", "html"), process=lambda link: None if "the" in link else link.replace("/", "|"))
+    return found.select("page_id", "link")

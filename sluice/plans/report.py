@@ -5,11 +5,12 @@ analyze() gives one row a page. Only the documents for people, of one site each,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.functions import text, urls
 from sluice.operators import extract, fused, score
+from sluice.operators.memory import target_key, upsert_latest
 from sluice.session import write_out
 
 
@@ -85,13 +86,67 @@ def data_source(api_candidates: int, best_mode: str, list_selector: str) -> tupl
     return next((source, confidence) for source, confidence, holds in DATA_SOURCES if holds(facts))
 
 
+def site_facts(pages: DataFrame, goal: str = "", fields: list[str] = ("title",), *, html: str = "html", url: str = "url") -> DataFrame:
+    """What one reading of the pages tells, without their texts, written: analyze()'s columns, candidates of each field, hints and next pages."""
+    also = {"candidates": fused.candidates(["link", *fields], 1), "hint_list": fused.HINTS, "paging": fused.PAGINATION}
+    return write_out(analyze(pages.select(url, html), goal, list(fields), html=html, url=url, also=also), "facts")
+
+
+def _most(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, value, n): the value that most rows of the keys have, of equally frequent ones the greatest."""
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy(*keys).agg(F.max(F.struct("n", value)).alias("b")).select(*keys, f"b.{value}", "b.n")
+
+
+def targets(facts: DataFrame, at: float, url: str = "url") -> DataFrame:
+    """What site_facts tell about each host, as records for the memory of targets, by target_key.
+
+    (target_key, host, target_type, pages, readable, preferred_mode, pagination_type, selectors, findings, updated_at): types and
+    paging are those of most pages, selectors (field to selector) those that most pages put first.
+    """
+    f = facts.withColumn("host", urls.host(F.col(url)))
+    total = f.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.count_if("ok").alias("readable"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("findings")))).alias("findings"))
+    kind = _most(f, ["host"], "site_type").select(F.col("host").alias("_k"), F.col("site_type").alias("target_type"))
+    paging = _most(f.withColumn("kind", F.get("paging", F.lit(0))["kind"]), ["host"], "kind").select(F.col("host").alias("_p"), F.col("kind").alias("pagination_type"))
+    votes = _most(f.select("host", F.explode("candidates").alias("c")).select("host", F.col("c.field").alias("field"), F.col("c.selector").alias("selector")), ["host", "field"], "selector")
+    chosen = votes.groupBy(F.col("host").alias("_s")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", "selector")))).alias("selectors"))
+    out = total
+    for side, key in ((kind, "_k"), (paging, "_p"), (chosen, "_s")):
+        out = out.join(side, F.col("host").eqNullSafe(F.col(key)), "left").drop(key)
+    mode = F.when(F.col("readable") > 0, F.lit("requests")).otherwise(F.lit("browser"))
+    key = target_key(F.col("target_type"), F.col("host"), F.concat(F.lit("http://"), "host", F.lit("/")))
+    return out.select(key.alias("target_key"), "host", "target_type", "pages", "readable", mode.alias("preferred_mode"), "pagination_type", "selectors", "findings", F.lit(at).alias("updated_at"))
+
+
+def remember_targets(known: DataFrame | None, facts: DataFrame, at: float, url: str = "url") -> DataFrame:
+    """The memory of targets with what an analysis has found; of a target the latest record stays."""
+    new = targets(facts, at, url)
+    return upsert_latest(new if known is None else known.unionByName(new), "target_key", "updated_at")
+
+
+def interactions(facts: DataFrame, url: str = "url") -> DataFrame:
+    """(host, action, strategy, confidence, samples): how each host's pages lead on: by paging and by requests that page.
+
+    Of each action the strategy of most pages, and up to five URLs, the least.
+    """
+    f = facts.withColumn("host", urls.host(F.col(url)))
+    first = f.select("host", F.get("paging", F.lit(0)).alias("p")).filter("p is not null").select("host", F.lit("paginate").alias("action"), F.col("p.kind").alias("strategy"), F.col("p.confidence").alias("confidence"), F.col("p.next").alias("sample"))
+    paged = f.select("host", F.explode("hint_list").alias("h")).filter("h.paged").select("host", F.lit("network_pagination").alias("action"), F.when(F.col("h.json_like"), F.lit("json")).otherwise(F.lit("page")).alias("strategy"), F.lit(0.78).alias("confidence"), F.col("h.hint").alias("sample"))
+    rows = write_out(first.unionByName(paged), "interactions")
+    best = _most(rows, ["host", "action"], "strategy").withColumnsRenamed({"host": "_h", "action": "_a", "strategy": "_s"})
+    # Samples are the least of each task first, so no host's list is longer than what is shown.
+    ranked = rows.select("host", "action", "strategy", "confidence", "sample").distinct()
+    least = ranked.withColumn("_n", F.row_number().over(Window.partitionBy("host", "action", "strategy").orderBy("sample"))).filter("_n <= 5")
+    by = least.groupBy("host", "action", "strategy").agg(F.max("confidence").alias("confidence"), F.sort_array(F.collect_list("sample")).alias("samples"))
+    return by.join(best, F.col("host").eqNullSafe(F.col("_h")) & (F.col("action") == F.col("_a")) & (F.col("strategy") == F.col("_s")), "left_semi")
+
+
 def site_model(pages: DataFrame, goal: str = "", fields: list[str] = ("title",), *, html: str = "html", url: str = "url") -> dict:
     """The document about one site: summary, sources, selectors, pagination and recommendations.
 
     Pages are read once, and what that gives, without their texts, is written; all parts are sums over it.
     """
-    also = {"candidates": fused.candidates(["link", *fields], 1), "hint_list": fused.HINTS, "paging": fused.PAGINATION}
-    facts = write_out(analyze(pages.select(url, html), goal, list(fields), html=html, url=url, also=also), "facts")
+    facts = site_facts(pages, goal, fields, html=html, url=url)
     hosts = site_summary(facts, url).orderBy(F.desc("pages"), "host").limit(20).collect()
     top = facts.select(url, F.explode("candidates").alias("c")).select(url, "c.*")
     spec = {r["field"]: r["selector"] for r in score.vote(top.withColumn("_pos", F.pmod(F.xxhash64(url), F.lit(1 << 40))), "field", "selector", "_pos").collect()}
