@@ -9,7 +9,7 @@ from collections import Counter
 import corpus_pipeline
 import pytest
 
-from sluice.llm import chat, decontaminate, html_text, jaccard, line_dedup, mixing, pii, quality, substring_dedup, warc
+from sluice.llm import chat, decontaminate, html_text, jaccard, licenses, line_dedup, mixing, pii, quality, substring_dedup, warc
 from sluice.session import new_path
 from tests.conftest import SF
 
@@ -33,6 +33,7 @@ OPERATORS = {
     "op6": lambda s, d: pii.redact(pii.find_pii(d)),
     "op8": lambda s, d: decontaminate.decontaminate(d, bench(s)),
     "op9": lambda s, d: line_dedup.line_dedup(d),
+    "op13": lambda s, d: licenses.scan(d),
     **{f"stage_{name}": (lambda s, d, f=f: f(s, d, SF)) for name, f in corpus_pipeline.STAGES},
 }
 # The names that results of an operator have take the place of such columns.
