@@ -8,3 +8,10 @@ def test_a_url_landed_twice_is_diagnosed_twice(spark):
     pages = spark.createDataFrame([("http://h/a", "<a href='/x'>x</a>"), ("http://h/a", "<p>captcha</p>"), ("http://h/a", "<p>captcha</p>"), (None, None)], "url string, html string")
     got = sorted((r["url"] or "", r["ok"], r["links"]) for r in diagnose.diagnose(pages).collect())
     assert got == [("", True, 0), ("http://h/a", False, 0), ("http://h/a", False, 0), ("http://h/a", True, 1)]
+
+
+def test_a_reference_ends_with_a_semicolon():
+    root = dom.parse("<title>a&amp;b&amp</title><script>if (a && b) x('&amp', '&amp;')</script><!-- & --><p title='&quot;&lt'>&#65;&#65 &#x42;&copy=1 &eacute; R&D</p><a href='?a=1&copy=2&amp;b=3'>&lt</a>")
+    assert dom.values(root, "title::text") == ["a&b&amp"] and root.elements[1].text() == "if (a && b) x('&amp', '&amp;')"
+    assert dom.values(root, "p::text") == ["A&#65 B&copy=1 é R&D"] and dom.values(root, "p@title") == ['"&lt']
+    assert dom.values(root, "a@href") == ["?a=1&copy=2&b=3"] and dom.values(root, "a::text") == ["&lt"]
