@@ -129,15 +129,25 @@ BUCKET = 32768
 MOST_BITS = 26
 
 
+def bloom_bits(keys: int) -> int:
+    """The bits of a filter that holds so many keys at 1 %, with 7 hashes."""
+    return max(15, (max(keys, 1) * 52 // 5 - 1).bit_length())
+
+
+def _bloom_bucket(key: Column, bits: int) -> Column:
+    """The bucket that all bits of a key lie in, so that one row of the filter tells about it."""
+    return F.pmod(F.xxhash64(key), F.lit(max(1, (1 << bits) // BUCKET)))
+
+
 def _bloom_places(key: Column, bits: int, hashes: int) -> Column:
-    """The places, from 1, of a key in a filter of 2**bits bits."""
-    return F.transform(F.array(*[F.lit(k) for k in range(hashes)]), lambda k: F.pmod(F.xxhash64(k, key), F.lit(1 << bits)) + 1)
+    """The places, from 0, of a key in its bucket."""
+    return F.transform(F.array(*[F.lit(k) for k in range(hashes)]), lambda k: F.pmod(F.xxhash64(k, key), F.lit(min(1 << bits, BUCKET))))
 
 
 def bloom(seen: DataFrame, key: str = "url_hash", bits: int = 23, hashes: int = 7) -> DataFrame:
-    """(bucket, bitmap): a Bloom filter of the keys, of 2**bits bits however many they are; 2**23 bits hold 800,000 keys at 1 %."""
-    place = seen.filter(F.col(key).isNotNull()).select(F.explode(_bloom_places(F.col(key), bits, hashes)).alias("p"))
-    return place.groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bitmap"))
+    """(bucket, bitmap): a Bloom filter of the keys, of 2**bits bits however many they are; 2**23 bits hold 800,000 keys at 1 %, bloom_bits tells how many are needed."""
+    place = seen.filter(F.col(key).isNotNull()).select(_bloom_bucket(F.col(key), bits).alias("bucket"), F.explode(_bloom_places(F.col(key), bits, hashes)).alias("p"))
+    return place.groupBy("bucket").agg(F.bitmap_construct_agg("p").alias("bitmap"))
 
 
 def bloom_merge(*filters: DataFrame) -> DataFrame:
@@ -148,12 +158,20 @@ def bloom_merge(*filters: DataFrame) -> DataFrame:
     return both.groupBy("bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
 
 
+def _bloom_held(items: DataFrame, stored: DataFrame, key: str, bits: int, hashes: int) -> DataFrame:
+    byte = lambda p: F.conv(F.hex(F.substring(F.col("_bitmap"), F.floor(p / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = lambda p: F.coalesce(F.floor(byte(p) / F.pow(F.lit(2), p % 8)) % 2 == 1, F.lit(False))
+    met = items.withColumn("_bucket", _bloom_bucket(F.col(key), bits)).join(stored, F.col("_bucket") == F.col("_of"), "left")
+    return met.withColumn("maybe", F.coalesce(F.forall(_bloom_places(F.col(key), bits, hashes), bit), F.lit(False))).drop("_bucket", "_of", "_bitmap")
+
+
 def bloom_maybe(items: DataFrame, stored: DataFrame, key: str = "url_hash", bits: int = 23, hashes: int = 7) -> DataFrame:
     """items with `maybe`: false says for certain that the key isn't in the filter, which is a megabyte for 2**23 bits and goes to all tasks."""
     if bits > MOST_BITS:
-        raise ValueError(f"a filter of 2**{bits} bits is too large to be broadcast: join the keys, or use might_contain")
-    whole = stored.agg(F.map_from_entries(F.collect_list(F.struct("bucket", "bitmap"))).alias("_filter"))
-    place = lambda p: F.conv(F.hex(F.substring(F.col("_filter")[F.bitmap_bucket_number(p)], F.floor(F.bitmap_bit_position(p) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    bit = lambda p: F.coalesce(F.expr("1") == F.floor(place(p) / F.pow(F.lit(2), F.bitmap_bit_position(p) % 8)) % 2, F.lit(False))
-    held = F.forall(_bloom_places(F.col(key), bits, hashes), bit)
-    return items.join(F.broadcast(whole)).withColumn("maybe", F.coalesce(held, F.lit(False))).drop("_filter")
+        raise ValueError(f"a filter of 2**{bits} bits is too large to be broadcast: use bloom_joined, join the keys, or use might_contain")
+    return _bloom_held(items, F.broadcast(stored.select(F.col("bucket").alias("_of"), F.col("bitmap").alias("_bitmap"))), key, bits, hashes)
+
+
+def bloom_joined(items: DataFrame, stored: DataFrame, key: str = "url_hash", bits: int = 23, hashes: int = 7) -> DataFrame:
+    """As bloom_maybe, for filters of any size: items meet the filter by bucket and nothing is broadcast."""
+    return _bloom_held(items, stored.select(F.col("bucket").alias("_of"), F.col("bitmap").alias("_bitmap")).hint("merge"), key, bits, hashes)

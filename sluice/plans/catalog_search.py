@@ -280,8 +280,10 @@ def page_advice(spark, sf_dir):
 def bloom_filters(spark, sf_dir):
     """A filter of the even ids, built in two parts and merged: all even ones may be in it, and of the odd ones few."""
     e = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("url_hash"), (F.col("event_id") % 2 == 0).alias("even"), (F.col("event_id") % 4 == 0).alias("fourth"))
-    stored = frontier.bloom_merge(frontier.bloom(e.filter("fourth")), frontier.bloom(e.filter("even and not fourth")))
-    share = frontier.bloom_maybe(e, stored).groupBy("even").agg(F.avg(F.col("maybe").cast("double")).alias("share"))
+    bits = frontier.bloom_bits(e.filter("even").count())
+    stored = frontier.bloom_merge(frontier.bloom(e.filter("fourth"), bits=bits), frontier.bloom(e.filter("even and not fourth"), bits=bits))
+    asked = frontier.bloom_maybe if bits <= frontier.MOST_BITS else frontier.bloom_joined
+    share = asked(e, stored, bits=bits).groupBy("even").agg(F.avg(F.col("maybe").cast("double")).alias("share"))
     return share.select("even", F.when(F.col("even"), F.col("share") == 1).otherwise(F.col("share") > 0.03).alias("held"))
 
 

@@ -54,3 +54,13 @@ def test_targets_and_interactions_of_hosts(spark):
 def test_plan_faults_follow_the_schema():
     assert specs.plan_faults({"url": "ftp://x", "category_urls": "http://h/a", "fields": {"t": "h1"}, "urls": ["http://h/d"]}) == {"ok": False, "errors": ["invalid_start_url:ftp://x", "category_urls_must_be_array"], "warnings": []}
     assert specs.plan_risks({"category_urls": ["x"], "mode": "browser", "fields": {"a": "", "b": "h1"}}, truncated=True) == ["single_detail_fallback", "category_urls_without_menu_source", "browser_rendering_required", "html_truncated_likely", "missing_field_selectors:a"]
+
+
+def test_a_bloom_filter_is_as_large_as_its_keys_ask_for(spark):
+    keys = spark.range(60_000).selectExpr("cast(id as string) as url_hash", "id % 2 = 0 as even")
+    bits = frontier.bloom_bits(30_000)
+    stored = frontier.bloom_merge(*[frontier.bloom(keys.filter(f"even and url_hash % 4 = {k}"), bits=bits) for k in (0, 2)]).localCheckpoint()
+    shares = {f.__name__: {r["even"]: r["s"] for r in f(keys, stored, bits=bits).groupBy("even").agg(F.avg(F.col("maybe").cast("double")).alias("s")).collect()} for f in (frontier.bloom_maybe, frontier.bloom_joined)}
+    assert shares["bloom_maybe"] == shares["bloom_joined"] and shares["bloom_maybe"][True] == 1 and 0 < shares["bloom_maybe"][False] < 0.03
+    assert [frontier.bloom_bits(n) for n in (0, 800_000, 3_000_000, 18_000_000)] == [15, 23, 25, 28]
+    assert frontier.bloom_joined(spark.createDataFrame([(None,)], "url_hash string"), stored, bits=bits).first()["maybe"] is False
