@@ -131,3 +131,26 @@ def test_tail_equals_a_full_read_and_reads_a_share(spark, log):
     own = spark.read.format("log_tail").schema("ts string, nope long, duration_ms string").option("path", path).option("lines", 1).load().first()
     assert tuple(own) == (rows[-1]["ts"], None, str(rows[-1]["duration_ms"]))
     assert spark.read.format("log_tail").option("path", f"{path}/none").load().count() == 0
+
+
+def test_a_call_to_the_state_is_about_many_urls():
+    class State(dict):
+        calls = 0
+
+        def getValue(self, key):
+            self.calls += 1
+            return self.get(key)
+
+        def updateValue(self, key, value):
+            self.calls += 1
+            self[key] = value
+
+    state, told = State(), {"n": 0, "bits": 0}
+    for first in range(0, 20_000, 4_000):
+        seen = leases._Seen(state, told)
+        for i in range(max(0, first - 500), first + 4_000):
+            assert seen.get(f"u{i}") == ((1, i) if i < first else None)
+            seen.put(f"u{i}", (1, i))
+        seen.flush()
+    assert told["n"] == 20_000 and told["n"] <= leases.FULL << told["bits"] and len(state) == 1 << told["bits"]
+    assert state.calls < 3_000 and all(leases._Seen(state, told).get(f"u{i}") == (1, i) for i in (0, 777, 19_999))
