@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.functions.pieces import in_pieces
 from sluice.operators import dom, extract
 from sluice.session import fresh
 
@@ -94,6 +95,6 @@ def read(pages: DataFrame, wanted: dict[str, Extractor], *, html: str = "html",
     kind = ",".join(f"`{k}`:{x.kind}" for k, x in wanted.items())
     base = F.col(url).cast("string") if url else F.lit(None).cast("string")
     # Told as nondeterministic, so that a filter on one of the columns isn't pushed below with a reading of its own.
-    once = F.arrow_udf(run, f"struct<{kind}>").asNondeterministic()
+    once = in_pieces(run, f"struct<{kind}>", 2).asNondeterministic()
     done = pages.withColumn(both, once(F.col(html).cast("string"), base))
     return done.withColumns({k: F.col(both)[k] for k in wanted}).drop(both)

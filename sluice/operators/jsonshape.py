@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.functions.pieces import in_pieces
 from sluice.operators.extract import absolute
 from sluice.session import fresh
 
@@ -87,7 +88,7 @@ def nodes(docs: DataFrame, text: str, most_depth: int | None = None, most_childr
     keep = [c for c in docs.columns if c != text]
     name = fresh("x_nodes", docs)
     kind = "array<struct<pos:int,path:string,leaf:string,kind:string,n:int,value:string,keys:array<string>,objects:boolean>>"
-    found = docs.withColumn(name, F.arrow_udf(_walks(most_depth, most_children, most_chars), kind)(F.col(text).cast("string")))
+    found = docs.withColumn(name, in_pieces(_walks(most_depth, most_children, most_chars), kind)(F.col(text).cast("string")))
     return found.select(*keep, F.explode(name).alias("n")).select(*keep, "n.*")
 
 
