@@ -73,8 +73,8 @@ def _walks(most_depth: int | None, most_children: int | None, most_chars: int |
                 keys = sorted({str(k) for x in head for k in x}) if head else [str(k) for k in v] if isinstance(v, dict) else []
                 leaf = re.sub("[_-]", "", path.rsplit(".", 1)[-1].lower())
                 rows.append({"pos": pos, "path": path, "leaf": leaf, "kind": kind_of(v), "n": len(v) if isinstance(v, (list, dict)) else None, "value": None if isinstance(v, (list, dict)) else str(v)[:most_chars], "keys": keys, "objects": bool(head)})
-            out.append(pa.array([rows], type=pa.list_(_NODE)))
-        return pa.concat_arrays(out) if out else pa.array([], type=pa.list_(_NODE))
+            out.append(rows)
+        return pa.array(out, type=pa.list_(_NODE))
 
     return run
 

@@ -4,7 +4,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sluice.functions import pieces
-from sluice.operators import extract
+from sluice.operators import extract, jsonshape
 
 
 def test_cut_keeps_rows_and_order():
@@ -24,3 +24,11 @@ def test_elements_see_a_batch_in_pieces(spark):
     e = extract.elements(sizes).select("id", "text").collect()
     assert len(e) == 3000 and all(r["text"] == str(r["id"]) for r in e)
     assert extract.elements(sizes.limit(0)).count() == 0
+
+
+def test_json_is_walked_in_pieces(spark, monkeypatch):
+    sizes = []
+    docs = spark.range(0, 2000, 1, 1).select("id", F.concat(F.lit('{"k":['), "id", F.lit(',null]}')).alias("j"))
+    monkeypatch.setattr(jsonshape, "in_pieces", lambda f, kind, n=1: sizes.append(n) or pieces.in_pieces(f, kind, n))
+    got = jsonshape.nodes(docs, "j").filter("path = 'k[0]'").collect()
+    assert sizes == [1] and len(got) == 2000 and all(r["value"] == str(r["id"]) for r in got)
