@@ -73,14 +73,16 @@ def robots_rules(robots: DataFrame, agent: str = "*") -> DataFrame:
 
     Of the groups whose name the agent's begins with, or holds, the longest name counts, and * if there is none.
     """
-    lines = robots.select("host", F.posexplode(F.split("body", r"\R")).alias("pos", "line")).withColumn("line", F.trim(F.regexp_replace("line", "#.*$", "")))
+    # Lines are spread before they are taken apart: a file is a row, so its lines come out of one task.
+    lines = robots.select("host", F.posexplode(F.split("body", r"\R")).alias("pos", "line")).repartition("host", "pos").withColumn("line", F.trim(F.regexp_replace("line", "#.*$", "")))
     name, value = F.lower(F.trim(F.substring_index("line", ":", 1))), F.trim(F.regexp_replace("line", "^[^:]*:", ""))
     lines = lines.select("host", "pos", name.alias("name"), value.alias("value"))
     by = Window.partitionBy("host").orderBy("pos")
     # A group is a run of user-agent lines and the rules up to the next run.
     starts = (F.col("name") == "user-agent") & (F.coalesce(F.lag("name").over(by), F.lit("")) != "user-agent")
     grouped = lines.filter(F.col("name").isin("user-agent", "allow", "disallow")).withColumn("s", starts.cast("int"))
-    grouped = grouped.withColumn("g", F.sum("s").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    # Written once: a file of millions of lines is one task's work, and what follows reads it several times.
+    grouped = write_out(grouped.withColumn("g", F.sum("s").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("s"), "robots")
     called = F.lower("value")
     fit = F.when(called == "*", F.lit(0)).when((called != "") & F.contains(F.lit(agent.lower()), called), F.length("value"))
     named = grouped.filter(F.col("name") == "user-agent").withColumn("fit", fit).filter("fit is not null")
@@ -92,6 +94,8 @@ def robots_rules(robots: DataFrame, agent: str = "*") -> DataFrame:
 
 #: Rules of at most this many bytes are broadcast; more are joined by host and head.
 BROADCAST_BYTES = 8 << 20
+#: Into so many parts a host's URLs are dealt where even the lengths of heads, a row a host, are more than that.
+SALTS = 32
 
 
 def compiled_rules(rules: DataFrame) -> DataFrame:
@@ -117,11 +121,17 @@ def allowed(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
     u = urls.select(url).distinct().withColumns({"_host": host(F.col(url)), "_target": target})
     ready = write_out(compiled_rules(rules).groupBy(F.col("host").alias("_host"), "head", "exact", "pattern").agg(F.max(F.struct(F.length("prefix").alias("size"), "allow")).alias("says")), "rules")
     size = ready.agg(F.sum(F.octet_length("_host") + 2 * F.octet_length("head") + F.coalesce(F.octet_length("pattern"), F.lit(0)) + 64)).first()[0] or 0
-    small = lambda df: F.broadcast(df) if size <= BROADCAST_BYTES else df.hint("merge")
-    lengths = ready.groupBy("_host").agg(F.sort_array(F.collect_set(F.length("head"))).alias("_lengths"))
+    # Lengths are joined by host alone, so they have a bound of their own: by a shuffle all URLs of a host would meet in one task.
+    lengths = write_out(ready.groupBy("_host").agg(F.sort_array(F.collect_set(F.length("head"))).alias("_lengths")), "lengths")
+    if (lengths.agg(F.sum(F.octet_length("_host") + 4 * F.size("_lengths") + 64)).first()[0] or 0) <= BROADCAST_BYTES:
+        sized = u.join(F.broadcast(lengths), "_host")
+    else:
+        dealt = lengths.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+        sized = u.withColumn("_salt", F.pmod(F.xxhash64(F.col(url)), F.lit(SALTS)).cast("int")).join(dealt.hint("merge"), ["_host", "_salt"])
     heads = F.transform(F.filter("_lengths", lambda n: n <= F.length("_target")), lambda n: F.substring(F.col("_target"), F.lit(1), n))
-    tried = u.join(small(lengths), "_host").select(url, "_host", "_target", F.explode(heads).alias("head"))
-    hit = tried.join(small(ready), ["_host", "head"]).filter(F.when(F.col("pattern").isNotNull(), F.expr("_target rlike pattern")).otherwise(~F.col("exact") | (F.length("_target") == F.length("head"))))
+    tried = sized.select(url, "_host", "_target", F.explode(heads).alias("head"))
+    # Rules are few beside what is tried: hashed, they leave that unsorted.
+    hit = tried.join(F.broadcast(ready) if size <= BROADCAST_BYTES else ready.hint("shuffle_hash"), ["_host", "head"]).filter(F.when(F.col("pattern").isNotNull(), F.expr("_target rlike pattern")).otherwise(~F.col("exact") | (F.length("_target") == F.length("head"))))
     verdict = hit.groupBy(F.col(url).alias("_url")).agg(F.max("says").alias("says"))
     out = urls.join(verdict, F.col(url) == F.col("_url"), "left")
     return out.withColumn("can_fetch", F.coalesce(F.col("says")["allow"], F.lit(True))).drop("_url", "says")

@@ -47,6 +47,16 @@ def test_ten_thousand_rules_of_one_host(spark):
     assert got.filter(F.col("can_fetch") != ((F.col("id") % 6000 >= 5000) | (F.col("id") % 3 == 0))).count() == 0 and got.count() == 20_000
 
 
+def test_urls_of_one_host_do_not_meet_in_one_task(spark, monkeypatch):
+    monkeypatch.setattr(sitemap, "BROADCAST_BYTES", 2000)
+    rules = sitemap.robots_rules(spark.createDataFrame([("h.example", "User-agent: *\n" + "\n".join(f"Disallow: /p/{i}/" for i in range(200)))], "host string, body string"))
+    urls = spark.range(1000).selectExpr("concat('http://h.example/p/', id, '/') as url", "id")
+    got = sitemap.allowed(urls, rules)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"ShuffledHashJoin \[_host#\d+, head#\d+\]", plan) and not re.search(r"SortMergeJoin \[_host#\d+\]", plan)
+    assert got.filter(F.col("can_fetch") == (F.col("id") < 200)).count() == 0 and got.count() == 1000
+
+
 def test_the_longest_name_of_an_agent_counts(spark):
     body = "User-agent: *\nDisallow: /\n\nUser-agent: bot\nUser-agent: other\nDisallow: /b\n\nUser-agent: goodbot\nDisallow: /g"
     df = spark.createDataFrame([("h", body), ("i", "User-agent: bot\nDisallow: /x\nUser-agent: *\nDisallow: /y")], "host string, body string")
