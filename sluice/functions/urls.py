@@ -40,12 +40,16 @@ def query(url: Column) -> Column:
     return F.coalesce(part(url, "QUERY"), F.lit(""))
 
 
+# URLs that are their own canonical form, told by one pattern: parsing takes each part anew.
+CANONICAL = r"\Ahttps?://[a-z0-9-]+(?:\.[a-z0-9-]+)*/[A-Za-z0-9/._~-]*(?:\?[A-Za-z0-9=&._~-]+)?\z"
+
+
 def canonical_url(url: Column) -> Column:
     """Scheme and authority in lower case, path or /, query; no fragment. Null unless http or https with a host."""
     scheme = F.lower(part(url, "PROTOCOL"))
     where = F.coalesce(F.nullif(path(url), F.lit("")), F.lit("/"))
     whole = F.concat(scheme, F.lit("://"), authority(url), where, F.when(query(url) != "", F.concat(F.lit("?"), query(url))).otherwise(F.lit("")))
-    return F.when(scheme.isin("http", "https") & (F.coalesce(authority(url), F.lit("")) != ""), whole)
+    return F.when(url.rlike(CANONICAL), url).when(scheme.isin("http", "https") & (F.coalesce(authority(url), F.lit("")) != ""), whole)
 
 
 def url_hash(url: Column) -> Column:
@@ -130,7 +134,8 @@ def prefixes(parts: Column, most: Column | int | None = None) -> Column:
 
 def url_allowed(url: Column, *, schemes: tuple[str, ...] = ("http", "https", "file"), allow: tuple[str, ...] = (), deny: tuple[str, ...] = (), allow_domains: tuple[str, ...] = (), deny_domains: tuple[str, ...] = (), deny_extensions: tuple[str, ...] = ()) -> Column:
     """Link rules: scheme, extension, patterns (any allowed, none denied) and domains (a denied one wins)."""
-    ok = F.coalesce(F.lower(part(url, "PROTOCOL")).isin(*schemes), F.lit(False))
+    scheme = F.when(url.rlike(CANONICAL), F.substring_index(url, "://", 1)).otherwise(F.lower(part(url, "PROTOCOL")))
+    ok = F.coalesce(scheme.isin(*schemes), F.lit(False))
     if deny_extensions:
         ok = ok & ~extension(url).isin(*deny_extensions)
     if allow:
