@@ -19,21 +19,31 @@ SCHEMA = (
 MOST_LEASED, MOST_ERROR = 500, 500
 
 
-def incoming(urls: DataFrame, now: float, *, url: str = "url", order: str | None = None, priority: int = 0, kind: str = "page", depth: int = 0, parent_url: str = "", payload_json: str = "{}") -> DataFrame:
-    """Frontier rows, and outcome invalid or new, of raw URLs; of equal ones the first in order is kept, others are repeat."""
+def outcomes(urls: DataFrame, *, url: str = "url", order: str | None = None) -> DataFrame:
+    """(url, outcome) of raw URLs: canonical ones, new or repeat, of equal ones the first in order is new; null and invalid otherwise."""
     canon = canonical_url(F.col(url))
     rows = urls.select(canon.alias("url"), (F.col(order) if order else F.monotonically_increasing_id()).alias("pos"))
     # What is no URL has no equals: each such row is a group of its own, so that they don't meet in one task.
     group = F.coalesce(F.col("url"), F.concat(F.lit(" "), F.col("pos").cast("string")))
     first = F.row_number().over(Window.partitionBy(group).orderBy("pos")) == 1
-    rows = rows.withColumn("outcome", F.when(F.col("url").isNull(), F.lit("invalid")).when(first, F.lit("new")).otherwise(F.lit("repeat")))
+    return rows.select("url", F.when(F.col("url").isNull(), F.lit("invalid")).when(first, F.lit("new")).otherwise(F.lit("repeat")).alias("outcome"))
+
+
+def filled(rows: DataFrame, now: float, *, priority: int = 0, kind: str = "page", depth: int = 0, parent_url: str = "", payload_json: str = "{}") -> DataFrame:
+    """Frontier rows of rows with url, with their other columns."""
     return rows.select(
         "url", url_hash(F.col("url")).alias("url_hash"), authority(F.col("url")).alias("domain"), F.lit(priority).alias("priority"), F.lit("queued").alias("status"),
         F.lit(kind).alias("kind"), F.lit(depth).alias("depth"), F.lit(parent_url).alias("parent_url"), F.lit(payload_json).alias("payload_json"), F.lit(0).alias("attempts"),
-        F.lit("").alias("worker_id"), F.lit("").alias("error"), F.lit(now).alias("created_at"), F.lit(now).alias("updated_at"), F.lit(0.0).alias("locked_at"), F.lit(0.0).alias("completed_at"), F.lit("").alias("lease_token"), "outcome",
+        F.lit("").alias("worker_id"), F.lit("").alias("error"), F.lit(now).alias("created_at"), F.lit(now).alias("updated_at"), F.lit(0.0).alias("locked_at"), F.lit(0.0).alias("completed_at"), F.lit("").alias("lease_token"),
+        *[c for c in rows.columns if c != "url"],
     )
 
 
+def incoming(urls: DataFrame, now: float, *, url: str = "url", order: str | None = None, **values) -> DataFrame:
+    """Frontier rows, and outcome invalid or new, of raw URLs; of equal ones the first in order is kept, others are repeat."""
+    return filled(outcomes(urls, url=url, order=order), now, **values)
+
+
 def add_urls(frontier: DataFrame, urls: DataFrame, now: float, **options) -> tuple[DataFrame, DataFrame]:
     """(frontier with the new URLs, counts (outcome, n)); outcomes are added, skipped and invalid."""
     rows = incoming(urls, now, **options)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluice.functions.urls import url_hash
 from sluice.operators import frontier
 from sluice.session import write_out
 
@@ -58,9 +59,13 @@ class StoredFrontier:
         """Write the rows as the next batch, in order of buckets, so that readers can pass over row groups."""
         version = max([self.folded(), *self.versions()], default=0) + 1
         rows = rows.withColumn("version", F.lit(version).cast("long")).withColumn("bucket", self.bucket(F.col("url_hash")))
-        rows.select(*self.schema.names).repartitionByRange("bucket").sortWithinPartitions("bucket").write.mode("overwrite").parquet(self._batch(version))
+        self._hashed(rows.drop("url_hash").repartitionByRange("bucket").sortWithinPartitions("bucket")).write.mode("overwrite").parquet(self._batch(version))
         return version
 
+    def _hashed(self, rows: DataFrame) -> DataFrame:
+        """rows with the hash of their URLs, which doesn't compress: it is most of a row, so rows move without it."""
+        return rows.withColumn("url_hash", url_hash(F.col("url"))).select(*self.schema.names)
+
     def batch(self, version: int) -> DataFrame:
         """The rows that a batch has changed, as it left them."""
         return self.spark.read.schema(self.schema).parquet(self._batch(version))
@@ -108,11 +113,13 @@ class StoredFrontier:
 
     def add(self, urls: DataFrame, now: float, **options) -> DataFrame:
         """Append what is new; (outcome, n) as frontier.add_urls counts them."""
-        rows = write_out(frontier.incoming(urls, now, **options), "incoming")
-        new = rows.filter("outcome = 'new'")
-        keys = ["bucket", "url_hash"]
-        known = write_out(self._present(self._within(new)).select(*keys).join(new.select(self.bucket(F.col("url_hash")).alias("bucket"), "url_hash"), keys, "left_semi"), "known")
-        self._append(new.join(known, "url_hash", "left_anti").drop("outcome"))
+        given = {k: options.pop(k) for k in ("url", "order") if k in options}
+        rows = write_out(frontier.outcomes(urls, **given), "incoming")
+        new = rows.filter("outcome = 'new'").select("url", url_hash(F.col("url")).alias("url_hash"))
+        keys = lambda df: df.select(self.bucket(F.col("url_hash")).alias("bucket"), F.unhex("url_hash").alias("key"))
+        known = write_out(keys(self._present(self._within(new))).join(keys(new), ["bucket", "key"], "left_semi").select("key"), "known")
+        fresh = new.select("url", F.unhex("url_hash").alias("key")).join(known, "key", "left_anti").select("url")
+        self._append(frontier.filled(fresh, now, **options))
         n_known = known.count()
         outcome = F.when(F.col("outcome") == "invalid", F.lit("invalid")).when(F.col("outcome") == "new", F.lit("added")).otherwise(F.lit("skipped"))
         counts = rows.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
@@ -147,8 +154,8 @@ class StoredFrontier:
         touched = self.touched()
         if touched:
             # Written aside first: the base is overwritten by what was read from it.
-            merged = write_out(self._present(F.col("bucket").isin(touched)), "merged")
-            merged.repartition(F.col("bucket")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/base")
+            merged = write_out(self._present(F.col("bucket").isin(touched)).drop("url_hash"), "merged")
+            self._hashed(merged.repartition(F.col("bucket"))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/base")
         if versions and versions[-1] > upto:
             self.spark.range(0).write.mode("overwrite").parquet(f"{self.path}/folded/upto-{versions[-1]:010d}")
         return touched

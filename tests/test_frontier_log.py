@@ -119,3 +119,18 @@ def test_empty(spark):
     stored = StoredFrontier(spark, new_path(spark, "frontier"))
     assert stored.table().count() == 0 and stored.compact() == [] and stored.lease(1.0).count() == 0
     assert stored.add(urls(spark, []), 1.0, order="pos").count() == 0
+
+
+def test_what_is_written_aside_has_no_hashes_of_urls(spark, monkeypatch):
+    from sluice.operators import frontier_log
+
+    aside = {}
+    monkeypatch.setattr(frontier_log, "write_out", lambda df, name: (aside.update({name: df.columns}), write_out(df, name))[1])
+    stored = StoredFrontier(spark, new_path(spark, "frontier"), buckets=4)
+    stored.add(spark.range(50).selectExpr("concat('http://h/', id) as url"), 1.0)
+    stored.compact()
+    assert not any("url_hash" in columns for columns in aside.values()) and set(aside["incoming"]) == {"url", "outcome"}
+    counts = {r["outcome"]: r["n"] for r in stored.add(spark.range(40, 60).selectExpr("concat('http://h/', id) as url"), 2.0, priority=3).collect()}
+    rows = stored.table()
+    assert counts == {"added": 10, "skipped": 10} and rows.count() == 60 and rows.filter(F.col("url_hash") != F.sha2("url", 256)).count() == 0
+    assert rows.filter("priority = 3").count() == 10
