@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions.pieces import in_pieces
 from sluice.operators.extract import absolute
-from sluice.session import fresh
+from sluice.session import fresh, write_out
 
 # Key names by meaning.
 FIELD_HINTS = {
@@ -46,9 +46,13 @@ def walk(data, most_depth: int | None = None, most_children: int | None = None):
         path, v, depth = stack.pop()
         yield path, v
         if most_depth is None or depth < most_depth:
-            join = lambda k, path=path: k if path == "$" else f"{path}{k}" if k[0] == "[" else f"{path}.{k}"
-            below = [(str(k) or '""', x) for k, x in v.items()] if isinstance(v, dict) else [(f"[{i}]", x) for i, x in enumerate(v[:most_children])] if isinstance(v, list) else []
-            stack.extend((join(k), x, depth + 1) for k, x in reversed(below))
+            head = "" if path == "$" else path
+            if isinstance(v, dict):
+                named = [(str(k) or '""', x) for k, x in v.items()]
+                stack.extend([(k if not head else f"{head}{k}" if k[0] == "[" else f"{head}.{k}", x, depth + 1) for k, x in reversed(named)])
+            elif isinstance(v, list):
+                some = v[:most_children]
+                stack.extend([(f"{head}[{i}]", some[i], depth + 1) for i in range(len(some) - 1, -1, -1)])
 
 
 def parsed(text: str | None):
@@ -64,17 +68,26 @@ _NODE = pa.struct([("pos", pa.int32()), ("path", pa.string()), ("leaf", pa.strin
 
 def _walks(most_depth: int | None, most_children: int | None, most_chars: int | None):
     def run(texts: pa.Array) -> pa.Array:
-        out = []
+        # A list a column: dictionaries of nodes would take as long again.
+        columns: list[list] = [[] for _ in _NODE]
+        ends = [0]
+        of_pos, of_path, of_leaf, of_kind, of_n, of_value, of_keys, of_objects = (c.append for c in columns)
         for t in texts.to_pylist():
-            rows = []
             data = parsed(t)
             for pos, (path, v) in enumerate(walk(data, most_depth, most_children) if data is not None else ()):
-                head = [x for x in v[:10] if isinstance(x, dict)] if isinstance(v, list) else []
-                keys = sorted({str(k) for x in head for k in x}) if head else [str(k) for k in v] if isinstance(v, dict) else []
-                leaf = re.sub("[_-]", "", path.rsplit(".", 1)[-1].lower())
-                rows.append({"pos": pos, "path": path, "leaf": leaf, "kind": kind_of(v), "n": len(v) if isinstance(v, (list, dict)) else None, "value": None if isinstance(v, (list, dict)) else str(v)[:most_chars], "keys": keys, "objects": bool(head)})
-            out.append(rows)
-        return pa.array(out, type=pa.list_(_NODE))
+                listed, named = isinstance(v, list), isinstance(v, dict)
+                head = [x for x in v[:10] if isinstance(x, dict)] if listed else ()
+                of_pos(pos)
+                of_path(path)
+                of_leaf(path.rsplit(".", 1)[-1].lower().replace("_", "").replace("-", ""))
+                of_kind(kind_of(v))
+                of_n(len(v) if listed or named else None)
+                of_value(None if listed or named else str(v)[:most_chars])
+                of_keys(sorted({str(k) for x in head for k in x}) if head else [str(k) for k in v] if named else [])
+                of_objects(bool(head))
+            ends.append(len(columns[0]))
+        flat = pa.StructArray.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, _NODE, strict=True)], fields=list(_NODE))
+        return pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), flat)
 
     return run
 
@@ -122,9 +135,12 @@ def pagination_keys(walked: DataFrame, key: str) -> DataFrame:
 
 def api_models(docs: DataFrame, text: str, key: str) -> DataFrame:
     """(key, path, score, n_fields, has_pagination, confidence, rank): how well each response serves as an API."""
-    walked = nodes(docs.select(key, text), text)
-    arrays = item_arrays(walked, key)
-    inside = walked.join(arrays.select(key, F.col("path").alias("_top")), key).filter(F.col("path").startswith(F.concat(F.col("_top"), F.lit("[0]"))) | ((F.col("_top") == "$") & F.col("path").startswith("[0]")))
+    # Three parts read the nodes, so the texts are walked once, without values, which none of them asks for.
+    walked = write_out(nodes(docs.select(key, text), text, most_chars=0), "walked")
+    arrays = write_out(item_arrays(walked, key), "arrays")
+    # Only leaves below the first of some list can lie below the first item of the list that is chosen.
+    firsts = walked.filter(~F.col("kind").isin("array", "object") & F.contains("path", F.lit("[0]")))
+    inside = firsts.join(arrays.select(key, F.col("path").alias("_top")), key).filter(F.col("path").startswith(F.concat(F.col("_top"), F.lit("[0]"))) | ((F.col("_top") == "$") & F.col("path").startswith("[0]")))
     fields = field_paths(inside, key).groupBy(key).agg(F.count(F.lit(1)).alias("n_fields"))
     paged = pagination_keys(walked, key).select(key).distinct().withColumn("has_pagination", F.lit(True))
     out = docs.select(key).distinct().join(arrays, key, "left").join(fields, key, "left").join(paged, key, "left").fillna({"n_fields": 0, "has_pagination": False})

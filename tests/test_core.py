@@ -425,3 +425,10 @@ def test_one_key_is_scanned_by_all_tasks(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(dealt) == 8 and max(r["count"] for r in dealt) < 2 * 5000 / 8
+
+
+def test_api_models_walk_each_text_once(spark):
+    texts = [(1, '{"data": {"items": [{"title": "a", "price": 1.5, "id": 3}, {"title": "b"}], "page": 1}}'), (2, "[[1, 2], [3]]"), (3, "no json"), (4, '{"[0]": {"title": "t"}, "list": [{"[0]x": [{"name": "n"}]}]}')]
+    got = jsonshape.api_models(spark.createDataFrame(texts, "k int, j string"), "j", "k")
+    assert "Python" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["k"]: (r["path"], r["n_fields"], r["has_pagination"]) for r in got.collect()} == {1: ("data.items", 4, True), 2: ("$", 1, False), 3: (None, 0, False), 4: ("list[0][0]x", 2, False)}
