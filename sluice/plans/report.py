@@ -89,7 +89,9 @@ def data_source(api_candidates: int, best_mode: str, list_selector: str) -> tupl
 def site_facts(pages: DataFrame, goal: str = "", fields: list[str] = ("title",), *, html: str = "html", url: str = "url") -> DataFrame:
     """What one reading of the pages tells, without their texts, written: analyze()'s columns, candidates of each field, hints and next pages."""
     also = {"candidates": fused.candidates(["link", *fields], 1), "hint_list": fused.HINTS, "paging": fused.PAGINATION}
-    return write_out(analyze(pages.select(url, html), goal, list(fields), html=html, url=url, also=also), "facts")
+    # A Parquet file of many pages may be a few row groups, hence a few tasks: pages are dealt to all before they are parsed.
+    dealt = pages.select(url, html).repartition(4 * pages.sparkSession.sparkContext.defaultParallelism)
+    return write_out(analyze(dealt, goal, list(fields), html=html, url=url, also=also), "facts")
 
 
 def _most(rows: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -64,3 +64,9 @@ def test_a_bloom_filter_is_as_large_as_its_keys_ask_for(spark):
     assert shares["bloom_maybe"] == shares["bloom_joined"] and shares["bloom_maybe"][True] == 1 and 0 < shares["bloom_maybe"][False] < 0.03
     assert [frontier.bloom_bits(n) for n in (0, 800_000, 3_000_000, 18_000_000)] == [15, 23, 25, 28]
     assert frontier.bloom_joined(spark.createDataFrame([(None,)], "url_hash string"), stored, bits=bits).first()["maybe"] is False
+
+
+def test_pages_of_one_row_group_are_parsed_in_several_tasks(spark):
+    pages = spark.range(200).selectExpr("concat('http://h', id % 3, '.example/', id) as url", "concat('<h1>', id, '</h1>') as html").coalesce(1)
+    facts = report.site_facts(pages)
+    assert facts.count() == 200 and len(facts.inputFiles()) > 1
