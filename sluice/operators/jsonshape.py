@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -40,11 +41,11 @@ def kind_of(v) -> str:
 
 
 def walk(data, most_depth: int | None = None, most_children: int | None = None):
-    """(path, value) in preorder, in the order of the document; of lists at most so many children. The root is $."""
+    """(path, value, depth) in preorder, in the order of the document; of lists at most so many children. The root is $."""
     stack = [("$", data, 0)]
     while stack:
         path, v, depth = stack.pop()
-        yield path, v
+        yield path, v, depth
         if most_depth is None or depth < most_depth:
             head = "" if path == "$" else path
             if isinstance(v, dict):
@@ -63,6 +64,11 @@ def parsed(text: str | None):
         return None
 
 
+def leaf_of(path: str) -> str:
+    """The name that a path ends in, as names are compared."""
+    return path.rsplit(".", 1)[-1].lower().replace("_", "").replace("-", "")
+
+
 _NODE = pa.struct([("pos", pa.int32()), ("path", pa.string()), ("leaf", pa.string()), ("kind", pa.string()), ("n", pa.int32()), ("value", pa.string()), ("keys", pa.list_(pa.string())), ("objects", pa.bool_())])
 
 
@@ -74,17 +80,17 @@ def _walks(most_depth: int | None, most_children: int | None, most_chars: int |
         of_pos, of_path, of_leaf, of_kind, of_n, of_value, of_keys, of_objects = (c.append for c in columns)
         for t in texts.to_pylist():
             data = parsed(t)
-            for pos, (path, v) in enumerate(walk(data, most_depth, most_children) if data is not None else ()):
+            for pos, (path, v, _) in enumerate(walk(data, most_depth, most_children) if data is not None else ()):
                 listed, named = isinstance(v, list), isinstance(v, dict)
-                head = [x for x in v[:10] if isinstance(x, dict)] if listed else ()
+                items = [x for x in v[:most_children] if isinstance(x, dict)] if listed else ()
                 of_pos(pos)
                 of_path(path)
-                of_leaf(path.rsplit(".", 1)[-1].lower().replace("_", "").replace("-", ""))
+                of_leaf(leaf_of(path))
                 of_kind(kind_of(v))
                 of_n(len(v) if listed or named else None)
                 of_value(None if listed or named else str(v)[:most_chars])
-                of_keys(sorted({str(k) for x in head for k in x}) if head else [str(k) for k in v] if named else [])
-                of_objects(bool(head))
+                of_keys(sorted({str(k) for x in items for k in x}) if items else [str(k) for k in v] if named else [])
+                of_objects(bool(items))
             ends.append(len(columns[0]))
         flat = pa.StructArray.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, _NODE, strict=True)], fields=list(_NODE))
         return pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), flat)
@@ -133,19 +139,70 @@ def pagination_keys(walked: DataFrame, key: str) -> DataFrame:
     return walked.filter(~F.col("kind").isin("array", "object") & F.col("leaf").rlike("|".join(PAGE_KEYS))).select(key, "path", "kind", "value")
 
 
+_LISTS = pa.struct([("paged", pa.bool_()), ("lists", pa.list_(pa.struct([("path", pa.string()), ("score", pa.int32()), ("pos", pa.int32()), ("fields", pa.int32())])))])
+_ARRAY_NAME = re.compile(ARRAY_NAMES, re.ASCII)
+
+
+@lru_cache(4096)
+def _meanings(leaf: str, kind: str) -> int:
+    """A bit for each meaning that field_paths would give a leaf of that name and kind."""
+    fits = {"number": ("price",), "price_like": ("price",), "url_or_path": ("image", "url"), "text": ("title", "description")}.get(kind, ())
+    return sum(1 << i for i, (f, hints) in enumerate(FIELD_HINTS.items()) if f in fits or any(h in leaf for h in hints))
+
+
+@lru_cache(4096)
+def _pages(leaf: str) -> bool:
+    return any(k in leaf for k in PAGE_KEYS)
+
+
+def lists_in(data) -> dict:
+    """paged: whether a leaf's name holds a word of paging; lists: (path, score, pos, fields) of each list that holds something.
+
+    Scores are those of item_arrays; fields has a bit for each meaning of a leaf in any item, at any depth.
+    """
+    paged, found, around = False, [], []
+
+    def leave(depth: int) -> None:
+        while around and around[-1][0] >= depth:
+            inner = around.pop()[1]
+            if around:
+                around[-1][1]["fields"] |= inner["fields"]
+
+    for pos, (path, v, depth) in enumerate(walk(data)):
+        leave(depth)
+        if isinstance(v, list):
+            if v:
+                items = [x for x in v if isinstance(x, dict)]
+                keys = {str(k).lower() for x in items for k in x}
+                score = min(3 * len(v), 45) + 35 * bool(_ARRAY_NAME.search(path)) + (30 + 8 * sum(not keys.isdisjoint(hints) for hints in FIELD_HINTS.values()) if items else 5)
+                found.append({"path": path, "score": score, "pos": pos, "fields": 0})
+                around.append((depth, found[-1]))
+        elif not isinstance(v, dict):
+            leaf = leaf_of(path)
+            paged = paged or _pages(leaf)
+            if around:
+                around[-1][1]["fields"] |= _meanings(leaf, kind_of(v))
+    leave(0)
+    return {"paged": paged, "lists": found}
+
+
+def _lists(texts: pa.Array) -> pa.Array:
+    return pa.array([None if (data := parsed(t)) is None else lists_in(data) for t in texts.to_pylist()], type=_LISTS)
+
+
 def api_models(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(key, path, score, n_fields, has_pagination, confidence, rank): how well each response serves as an API."""
-    # Three parts read the nodes, so the texts are walked once, without values, which none of them asks for.
-    walked = write_out(nodes(docs.select(key, text), text, most_chars=0), "walked")
-    arrays = write_out(item_arrays(walked, key), "arrays")
-    # Only leaves below the first of some list can lie below the first item of the list that is chosen.
-    firsts = walked.filter(~F.col("kind").isin("array", "object") & F.contains("path", F.lit("[0]")))
-    inside = firsts.join(arrays.select(key, F.col("path").alias("_top")), key).filter(F.col("path").startswith(F.concat(F.col("_top"), F.lit("[0]"))) | ((F.col("_top") == "$") & F.col("path").startswith("[0]")))
-    fields = field_paths(inside, key).groupBy(key).agg(F.count(F.lit(1)).alias("n_fields"))
-    paged = pagination_keys(walked, key).select(key).distinct().withColumn("has_pagination", F.lit(True))
-    out = docs.select(key).distinct().join(arrays, key, "left").join(fields, key, "left").join(paged, key, "left").fillna({"n_fields": 0, "has_pagination": False})
+    """(key, path, score, n_fields, has_pagination, confidence): how well each response serves as an API, by all items of its likeliest list.
+
+    Texts of one key are one response. What is none or bad JSON has no path.
+    """
+    read = docs.select(key, in_pieces(_lists, "struct<paged:boolean,lists:array<struct<path:string,score:int,pos:int,fields:int>>>")(F.col(text).cast("string")).alias("_read"))
+    lists = write_out(read.select(key, F.col("_read.paged").alias("_paged"), F.explode_outer("_read.lists").alias("_l")), "lists")
+    # A row a list and not a node; the first of equal scores is the greatest.
+    each = lists.groupBy(key, F.col("_l.path").alias("_path")).agg(F.max(F.struct("_l.score", -F.col("_l.pos"))).alias("_rank"), F.bit_or("_l.fields").alias("_fields"), F.max("_paged").alias("_paged"))
+    best = each.groupBy(key).agg(F.max_by(F.struct("_path", "_rank.score", "_fields"), "_rank").alias("_b"), F.max("_paged").alias("_paged"))
+    out = best.select(key, F.col("_b._path").alias("path"), F.col("_b.score").alias("score"), F.coalesce(F.bit_count("_b._fields"), F.lit(0)).cast("long").alias("n_fields"), F.coalesce("_paged", F.lit(False)).alias("has_pagination"))
     confidence = 0.3 + F.least(F.coalesce(F.col("score"), F.lit(0)) / 160, F.lit(0.45)) + F.least(F.col("n_fields") * 0.06, F.lit(0.2)) + F.when(F.col("has_pagination"), 0.08).otherwise(0.0)
-    return out.select(key, "path", "score", "n_fields", "has_pagination", F.round(F.least(confidence, F.lit(0.95)), 3).alias("confidence"))
+    return out.select("*", F.round(F.least(confidence, F.lit(0.95)), 3).alias("confidence"))
 
 
 def tokens_a(path: str) -> list[str | int]:

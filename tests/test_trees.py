@@ -220,3 +220,30 @@ def test_rounds_of_a_comparison_write_three_tables(spark, monkeypatch):
     assert got == {("changed", "a", "a", 1), ("renamed", "a > b", "a > new b", 1), ("removed", "a > c", None, 1), ("removed", "a > x", None, 1), ("added", None, "a > y", 1), ("moved", "a > b > m", "a > m", 1)}
     assert {n: written.count(n) for n in ("menu-pairs", "menu-met", "menu-renamed")} == {"menu-pairs": 3, "menu-met": 3, "menu-renamed": 3}
     assert not {"menu-tree", "menu-rest", "menu-alone"} & set(written)
+
+
+def test_api_models_read_all_items(spark):
+    import json
+    import random
+
+    from sluice.operators import jsonshape
+
+    late = [{"sku_code": "x"}] * 12 + [{"Title": "T", "price": 2.5}, {"image": "/i.png", "deep": [{"link": "/u"}]}]
+    docs = [("late", json.dumps({"rows": late})), ("first", json.dumps({"rows": [1, {"price": 1}]})), ("two", '{"rows": [{"id": true}]}'), ("two", '{"rows": [{"image": true}]}'), ("a", '{"a": [{"id": true}], "a[0]x": {"price": 1}}'), (None, '{"rows": [{"id": true}]}'), ("bad", "["), ("none", None)]
+    got = {r["k"]: r for r in jsonshape.api_models(spark.createDataFrame(docs, "k string, j string"), "j", "k").collect()}
+    # Keys and fields that only later items have: titles (with descriptions, as texts), prices, images and URLs, beside ids.
+    assert (got["late"]["path"], got["late"]["score"], got["late"]["n_fields"]) == ("rows", 42 + 30 + 8 * 3, 6)
+    assert (got["first"]["score"], got["first"]["n_fields"]) == (6 + 30 + 8, 1)
+    assert got["two"]["n_fields"] == 2 and got["a"]["n_fields"] == 1 and got[None]["path"] == "rows" and got["bad"]["path"] is got["none"]["path"] is None
+    # The same by the parts on nodes.
+    rnd = random.Random(4)
+    make = lambda d: rnd.choice([1, 2.5, "t", "/p", "1.99", None, True]) if d == 0 or rnd.random() < 0.2 else [make(d - 1) for _ in range(rnd.randint(0, 14))] if rnd.random() < 0.5 else {rnd.choice(["title", "sku", "x", "Page_no", "items", "img-url", "a"]): make(d - 1) for _ in range(3)}
+    df = spark.createDataFrame([(i, json.dumps(make(4))) for i in range(150)], "k int, j string")
+    walked = jsonshape.nodes(df, "j").cache()
+    best = {r["k"]: (r["path"], r["score"]) for r in jsonshape.item_arrays(walked, "k").collect()}
+    top = spark.createDataFrame([(k, "[" if p == "$" else p + "[") for k, (p, _) in best.items()], "k int, top string")
+    fields = {r["k"]: r["count"] for r in jsonshape.field_paths(walked.join(top, "k").filter("startswith(path, top)").drop("top"), "k").groupBy("k").count().collect()}
+    paged = {r["k"] for r in jsonshape.pagination_keys(walked, "k").collect()}
+    walked.unpersist()
+    got = {r["k"]: (r["path"], r["score"], r["n_fields"], r["has_pagination"]) for r in jsonshape.api_models(df, "j", "k").collect()}
+    assert len(best) > 50 and got == {i: (*best.get(i, (None, None)), fields.get(i, 0), i in paged) for i in range(150)}
