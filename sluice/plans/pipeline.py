@@ -1,7 +1,7 @@
 """The pipeline language: a JSON list of steps, compiled to lazy DataFrames. Only sinks run jobs.
 
 Steps: crawl_list, crawl_lists, frontier_add, frontier_next, crawl_products (crawl_product), filter, save,
-save_json. Links are set anew by each step that makes them. Pages come from a PageSource.
+save_json. Links are set anew by each step that makes them. Pages come from a PageSource, whole.
 """
 
 from __future__ import annotations
@@ -90,7 +90,7 @@ def _collect_links(state: State, step: dict, c: Context, lists: list[str]) -> No
     if not selector or not lists:
         raise ValueError("a list step needs its URLs and a selector")
     asked = c.spark.createDataFrame(list(enumerate(lists)), "list_no int, url string").filter(validate_url(F.col("url")) == "")
-    found = extract.links(c.pages.fetch(asked).filter("ok").select("list_no", "url", "html"), selector)
+    found = extract.links(c.pages.fetch(asked, whole=True).filter("ok").select("list_no", "url", "html"), selector)
     first = found.groupBy("link").agg(F.min(F.struct("list_no", "pos", "text", F.col("url").alias("source"))).alias("f"))
     ranked = first.orderBy("f.list_no", "f.pos").limit(_most(step, 100))
     state.links = ranked.select(F.col("link").alias("url"), "f.text", F.col("f.source").alias("source_list_url"), (F.col("f.list_no").cast("long") * (1 << 32) + F.col("f.pos")).alias("pos"))
@@ -130,7 +130,7 @@ def crawl_products(state: State, step: dict, c: Context) -> None:
     if not isinstance(fields, dict) or not fields:
         raise ValueError("crawl_products needs fields")
     wanted = state.links.orderBy("pos").limit(int(step["max_items"])) if step.get("max_items") else state.links
-    got = c.pages.fetch(wanted)
+    got = c.pages.fetch(wanted, whole=True)
     if step.get("stop_on_error") and not got.filter("not ok").isEmpty():
         raise ValueError("a page could not be read")
     read = extract.fields_of(got.filter("ok"), fields)

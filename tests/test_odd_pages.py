@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from sluice.functions import urls
 from sluice.operators import dom, extract
-from sluice.plans import diagnose
+from sluice.plans import catalog, diagnose
+from sluice.plans.pipeline import Pipeline
+from sluice.sources.pages import LandedPages
 
 
 def test_a_url_landed_twice_is_diagnosed_twice(spark):
@@ -59,3 +61,12 @@ def test_plain_links_and_urls_are_what_parsing_makes_of_them(spark):
     rows = spark.createDataFrame(some, "url string").distinct().select("url", plain.alias("plain"), urls.canonical_url(F.concat(url, F.lit("#"))).alias("parsed"), urls.canonical_url(url).alias("got"))
     told = rows.filter("plain is not null").collect()
     assert told and all(r["plain"] == r["parsed"] == r["got"] for r in told)
+
+
+def test_pipelines_read_pages_to_their_ends(spark, tmp_path):
+    filler = "<p>long</p>" * 10_000
+    pages = spark.createDataFrame([(1, "http://h/list", f'{filler}<a class="item" href="/p">p</a>'), (2, "http://h/p", f"{filler}<h1>Last</h1>")], "page_id long, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    assert [tuple(r) for r in catalog.QUERIES["pipeline_run"](spark, str(tmp_path)).collect()] == [("http://h/p", "Last")]
+    spec = {"steps": [{"step": "crawl_list", "url": "http://h/list", "selector": "a.item"}, {"step": "crawl_products", "fields": {"title": "h1"}}]}
+    assert [(r["url"], r["title"]) for r in Pipeline(spec).run(spark, LandedPages(pages), now=1.0).records.collect()] == [("http://h/p", "Last")]
